@@ -1,0 +1,118 @@
+"""Joins that survive a key holding a large share of all rows.
+
+A plain shuffle join sends all rows of a key to one task. Adaptive execution
+splits such a task only when both join inputs come straight from an exchange,
+which is not so for aggregated inputs. Here hot keys are found first and only
+their rows are spread: the big side over ``salts`` sub-keys, the small side by
+one copy per sub-key. Cold keys are joined as ever.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from lineforge.operators.columns import quoted
+
+HOT_SHARE = 0.01
+HOT_ROWS = 5_000_000
+ROWS_PER_SALT = 2_000_000
+_TRACKED = 10_000
+_SALT = "__salt"
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Hashes of the hot keys (at most 1/share of them) and the salts to use."""
+
+    hashes: tuple[int, ...]
+    salts: int
+
+    def __bool__(self) -> bool:
+        return bool(self.hashes)
+
+
+NO_HOT_KEYS = HotKeys((), 1)
+
+
+def _hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*(quoted(k) for k in keys))
+
+
+def find_hot_keys(
+    df: DataFrame,
+    keys: Sequence[str],
+    share: float = HOT_SHARE,
+    min_rows: int = HOT_ROWS,
+    rows_per_salt: int = ROWS_PER_SALT,
+) -> HotKeys:
+    """Keys with at least ``share`` of the rows and at least ``min_rows`` rows.
+
+    One pass over the key columns with a fixed-size frequent-items sketch per
+    task; no shuffle by key. What reaches the driver is bounded by 1/share
+    entries. The answer only steers how rows are spread, never which rows a join
+    returns, so the sketch's approximation is harmless; taking it to the driver
+    makes both join sides use the very same list.
+    """
+    most = math.ceil(1 / share)
+    # Hashing gives the sketch one item type whatever the keys are.
+    (row,) = (
+        df.select(_hash(keys).alias("h"))
+        .agg(F.expr(f"approx_top_k(h, {most}, {_TRACKED})").alias("top"), F.count("*").alias("n"))
+        .collect()
+    )
+    floor = max(share * row["n"], min_rows)
+    hot = [(item["item"], item["count"]) for item in row["top"] or [] if item["count"] >= floor]
+    if not hot:
+        return NO_HOT_KEYS
+    return HotKeys(
+        tuple(sorted(h for h, _ in hot)),
+        max(2, math.ceil(max(n for _, n in hot) / rows_per_salt)),
+    )
+
+
+def join_by_key(
+    big: DataFrame,
+    other: DataFrame,
+    keys: Sequence[str],
+    how: str,
+    hot: HotKeys,
+    null_safe: bool = False,
+) -> DataFrame:
+    """Join on equally named ``keys`` (inner, left, left_semi or left_anti).
+
+    Columns of ``other`` besides the keys are appended. The salt of a row is the
+    number of its input partition: the same on a retry, and different for equal
+    rows of different partitions.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"cannot spread the big side of a {how} join")
+    renamed = {key: f"__key{i}" for i, key in enumerate(keys)}
+    right = other.withColumnsRenamed(renamed)
+    left = big
+    if hot:
+        sub_keys = F.sequence(F.lit(0), F.lit(hot.salts - 1))
+        right = right.withColumn(
+            f"{_SALT}_r",
+            F.explode(
+                F.when(_hash(list(renamed.values())).isin(*hot.hashes), sub_keys).otherwise(
+                    F.array(F.lit(0))
+                )
+            ),
+        )
+        left = left.withColumn(
+            _SALT,
+            F.when(
+                _hash(keys).isin(*hot.hashes), F.spark_partition_id() % F.lit(hot.salts)
+            ).otherwise(F.lit(0)),
+        )
+    condition = F.lit(True)
+    for key, name in renamed.items():
+        a, b = left[f"`{key}`"], right[name]
+        condition = condition & (a.eqNullSafe(b) if null_safe else a == b)
+    if hot:
+        condition = condition & (left[_SALT] == right[f"{_SALT}_r"])
+    return left.join(right, condition, how).drop(*renamed.values(), _SALT, f"{_SALT}_r")
