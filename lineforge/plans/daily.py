@@ -10,13 +10,14 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lineforge.operators.columns import stamp_provenance, void_to_string
+from lineforge.operators.skew import HotKeys, find_hot_keys
 from lineforge.operators.unions import union_pages
 from lineforge.operators.upsert import latest_lines, upsert
 from lineforge.plans import delivery, gold, quality, silver
-from lineforge.plans.columns import BRONZE_COLUMNS, LINE_SCHEMA
+from lineforge.plans.columns import BRONZE_COLUMNS, KEY, LINE_SCHEMA
 from lineforge.sources.pages import DAY_DIRECTORY, STATUS_DIRECTORY, page_lines, read_pages
 from lineforge.sources.seeds import load_seed
-from lineforge.sources.tables import overwrite_table, scan_table, table_exists
+from lineforge.sources.tables import Buckets, overwrite_table, scan_table, table_exists
 from lineforge.sources.zones import ZONE_URI, land_raw, stage_table, zone_path
 
 BRONZE_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in BRONZE_COLUMNS])
@@ -35,7 +36,12 @@ PREDICTION_SCHEMA = T.StructType(
 
 @dataclass(frozen=True)
 class Lake:
-    """Where the job reads and writes."""
+    """Where the job reads and writes.
+
+    With ``snapshot_buckets`` the bronze snapshot is laid out by hash of its key. A
+    day's upsert then shuffles the batch only, however large the snapshot is. Pick
+    a number that keeps a bucket within what one task handles.
+    """
 
     account: str
     pages: str
@@ -45,26 +51,40 @@ class Lake:
     bronze: str = "bronze"
     silver: str = "silver"
     gold: str = "gold"
+    snapshot_buckets: int | None = None
 
     def path(self, database: str, table: str = "") -> str:
         return zone_path(self.account, "tables", database, table, self.uri)
 
-    def store(self, df: DataFrame, table: str, database: str) -> DataFrame:
+    def store(
+        self, df: DataFrame, table: str, database: str, buckets: Buckets | None = None
+    ) -> DataFrame:
         return overwrite_table(
             df,
             self.path(database, table),
             table,
             database,
             database_location=self.path(database),
+            buckets=buckets,
         )
 
+    def store_snapshot(self, df: DataFrame, hot: HotKeys) -> DataFrame:
+        """Bucketed as configured, unless a hot key would fill one bucket."""
+        spread = self.snapshot_buckets is None or hot
+        buckets = None if spread else Buckets(self.snapshot_buckets, KEY)
+        return self.store(df, "parts", self.bronze, buckets)
+
 
 def run_day(as_of: str) -> date:
     return date.fromisoformat(as_of[:10])
 
 
 def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
-    """Pages of the fetch windows to raw, to staging, to the bronze snapshot."""
+    """Pages of the fetch windows to raw, to staging, to the bronze snapshot.
+
+    The batch, one row per key, is written before the upsert, which reads it several
+    times.
+    """
     day = run_day(as_of)
     pages = page_lines(read_pages(spark, lake.pages, LINE_SCHEMA, day))
     stamped = stamp_provenance(pages, F.col(STATUS_DIRECTORY), as_of)
@@ -73,12 +93,13 @@ def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     staged = stage_table(
         spark, lake.account, lake.entity, day, "parts_tmp", lake.bronze, lake.uri
     )
+    batch = lake.store(latest_lines(staged), "parts_batch", lake.bronze)
     if table_exists(spark, "parts", lake.bronze):
         snapshot = scan_table(spark, "parts", lake.bronze)
     else:
         snapshot = spark.createDataFrame([], BRONZE_SCHEMA)
-    merged = upsert(snapshot, latest_lines(staged), checked=True)
-    return lake.store(merged, "parts", lake.bronze)
+    hot = find_hot_keys(snapshot, [KEY])
+    return lake.store_snapshot(upsert(snapshot, batch, hot=hot, checked=True), hot)
 
 
 def seed(spark: SparkSession, lake: Lake) -> DataFrame:

@@ -9,10 +9,19 @@ table as it was.
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@dataclass(frozen=True)
+class Buckets:
+    """Hash layout of a table: number of buckets and the column that decides."""
+
+    number: int
+    column: str
+
+
 def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> None:
     if not spark.catalog.databaseExists(database):
         where = f" LOCATION '{location}'" if location else ""
@@ -38,11 +47,13 @@ def overwrite_table(
     database: str,
     fmt: str = "parquet",
     database_location: str | None = None,
+    buckets: Buckets | None = None,
 ) -> DataFrame:
     """Replace a table, its schema included; returns the new content.
 
-    ``fmt="delta"`` hands the replacement to that format where its classes are on
-    the classpath.
+    ``buckets`` lays the rows out by hash of a key, so that later joins on the key
+    read the table without shuffling it. ``fmt="delta"`` hands the replacement to
+    that format where its classes are on the classpath.
     """
     spark = df.sparkSession
     ensure_database(spark, database, database_location)
@@ -57,18 +68,48 @@ def overwrite_table(
         )
         return spark.table(name)
     version = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
-    df.write.format(fmt).save(version)
+    if buckets is None:
+        df.write.format(fmt).save(version)
+        schema = spark.read.format(fmt).load(version).schema
+    else:
+        staged = f"{table}__{uuid.uuid4().hex}"
+        _write_buckets(df, buckets, fmt, version, _name(database, staged))
+        schema = spark.table(_name(database, staged)).schema
     if table_exists(spark, table, database):
-        written = spark.read.format(fmt).load(version).schema
-        if written.simpleString() == spark.table(name).schema.simpleString():
+        same = schema.simpleString() == spark.table(name).schema.simpleString()
+        if same and buckets_of(spark, table, database) == buckets:
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
             spark.catalog.refreshTable(name)
+            if buckets is not None:
+                spark.sql(f"DROP TABLE {_name(database, staged)}")
             return spark.table(name)
         spark.sql(f"DROP TABLE {name}")
-    spark.catalog.createTable(name, path=version, source=fmt)
+    if buckets is None:
+        spark.catalog.createTable(name, path=version, source=fmt)
+    else:
+        spark.sql(f"ALTER TABLE {_name(database, staged)} RENAME TO {name}")
     return spark.table(name)
 
 
+def _write_buckets(df: DataFrame, buckets: Buckets, fmt: str, path: str, name: str) -> None:
+    (
+        df.write.format(fmt)
+        .bucketBy(buckets.number, buckets.column)
+        .sortBy(buckets.column)
+        .option("path", path)
+        .saveAsTable(name)
+    )
+
+
+def buckets_of(spark: SparkSession, table: str, database: str) -> Buckets | None:
+    """The bucket layout of a table, if it has one."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {_name(database, table)}")
+    facts = {r["col_name"]: r["data_type"] for r in described.filter("col_name like '%Bucket%'").collect()}
+    if "Num Buckets" not in facts:
+        return None
+    return Buckets(int(facts["Num Buckets"]), facts["Bucket Columns"].strip("[]`"))
+
+
 def append_table(
     df: DataFrame,
     path: str,

@@ -129,8 +129,8 @@ def bronze(spark: SparkSession, sf_dir: str, *columns: str, extra: str = "") ->
     if "facilityName" in wanted:
         customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
         nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-        places = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-        orders = orders.join(places, orders.o_custkey == places.c_custkey, "left")
+        orders = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
+        orders = orders.join(nation, orders.c_nationkey == nation.n_nationkey, "left")
     more = [extra] if extra else []
     return orders.selectExpr(*(f"{made[c]} as {c}" for c in wanted), *more)
 

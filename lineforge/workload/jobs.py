@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lineforge.operators.skew import NO_HOT_KEYS
 from lineforge.plans import daily
 from lineforge.plans.columns import SOURCE_COLUMNS
 from lineforge.session import run_dir
@@ -20,6 +21,7 @@ from lineforge.workload.sql import FEATURES, WEIGHTS, with_
 
 AS_OF = "2024-01-31 01:20:32"
 FIRST_DAY = date(2024, 1, 29)
+SNAPSHOT_BUCKETS = 16
 
 
 def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
@@ -33,9 +35,10 @@ def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
         bronze=f"bronze_{mark}",
         silver=f"silver_{mark}",
         gold=f"gold_{mark}",
+        snapshot_buckets=SNAPSHOT_BUCKETS,
     )
     lines = bronze(spark, sf_dir, extra="d")
-    lake.store(lines.filter(F.col("d") < F.lit(SNAPSHOT_END)).drop("d"), "parts", lake.bronze)
+    lake.store_snapshot(lines.filter(F.col("d") < F.lit(SNAPSHOT_END)).drop("d"), NO_HOT_KEYS)
     key = F.col("polExternalID").cast("bigint")
     later = lines.filter(F.col("d") >= F.lit(BATCH_START)).select(
         *SOURCE_COLUMNS,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineforge.operators.sampling import HOLDOUT_ROWS, holdout_head, split_train_test
@@ -65,22 +68,74 @@ def training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return split_train_test(head, "polExternalID")
 
 
-@query("ml_fit")
+def _determinant(entries: list[list[str]]) -> str:
+    """Leibniz sum over the entries of a small square matrix, as SQL."""
+    terms = []
+    for order in permutations(range(len(entries))):
+        swaps = sum(a > b for i, a in enumerate(order) for b in order[i + 1 :])
+        factors = " * ".join(entries[i][j] for i, j in enumerate(order))
+        terms.append(f"{'-' if swaps % 2 else '+'} {factors}")
+    return "(0 " + " ".join(terms) + ")"
+
+
+def _least_squares_ctes() -> str:
+    """Least squares by Cramer's rule on the covariances of features and label."""
+    n = range(len(delivery.FEATURES))
+    x = [f"cast(coalesce({name}, 0) as double)" for name in delivery.FEATURES]
+    y = f"cast({delivery.LABEL} as double)"
+    sums = [f"covar_pop({x[i]}, {x[j]}) as c{i}{j}" for i in n for j in n]
+    sums += [f"covar_pop({x[i]}, {y}) as y{i}, avg({x[i]}) as m{i}" for i in n]
+    matrix = [[f"c{i}{j}" for j in n] for i in n]
+    solved = []
+    for k in n:
+        replaced = [[f"y{i}" if j == k else matrix[i][j] for j in n] for i in n]
+        solved.append(f"{_determinant(replaced)} / {_determinant(matrix)} as w{k}")
+    intercept = " - ".join(["my", *(f"w{k} * m{k}" for k in n)])
+    return f"""{FEATURES},
+sums as (select {', '.join(sums)}, avg({y}) as my from features
+  where {delivery.LABEL} is not null),
+solved as (select *, {', '.join(solved)} from sums),
+model as (select *, {intercept} as w from solved)"""
+
+
+def _fit_sql() -> str:
+    rows = ["select 'intercept' as term, round(w, 6) as weight from model"]
+    rows += [
+        f"select '{name}', round(w{k}, 6) from model" for k, name in enumerate(delivery.FEATURES)
+    ]
+    return with_(_least_squares_ctes(), " union all ".join(rows))
+
+
+@query("ml_fit", _fit_sql())
 def ml_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of the model fitted on all rows with a label; no SQL for the solver."""
-    model = delivery.fit(features_of(spark, sf_dir))
-    return spark.createDataFrame(
-        list(delivery.coefficients(model).items()), "term string, weight double"
+    """Weights of the model fitted on all rows with a label."""
+    weights = delivery.coefficients(delivery.fit(features_of(spark, sf_dir)))
+    rounded = [(term, round(weight, 6)) for term, weight in weights.items()]
+    return spark.createDataFrame(rounded, "term string, weight double")
+
+
+def _score_saved_sql() -> str:
+    total = " + ".join(
+        ["w", *(f"w{k} * coalesce({name}, 0)" for k, name in enumerate(delivery.FEATURES))]
+    )
+    return with_(
+        _least_squares_ctes(),
+        f"""select transportMode, orderType, count(*) as n_rows,
+        round(avg({total}), 3) as mean_days from features, model group by 1, 2""",
     )
 
 
-@query("ml_score_saved")
+@query("ml_score_saved", _score_saved_sql())
 def ml_score_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit, save, load, and predict every feature row with the loaded model."""
+    """Fit, save, load, predict every feature row with the loaded model; means by category."""
     path = run_dir(spark, "delivery_model")
     rows = features_of(spark, sf_dir)
     delivery.save_model(delivery.fit(rows), path)
-    return delivery.predictions(rows, delivery.load_model(path), "2024-01-31 01:20:32")
+    scored = delivery.predictions(rows, delivery.load_model(path), "2024-01-31 01:20:32")
+    return scored.groupBy("transportMode", "orderType").agg(
+        F.count("*").alias("n_rows"),
+        F.round(F.avg("PredictedDaysForDelivery"), 3).alias("mean_days"),
+    )
 
 
 @query(
@@ -133,12 +188,33 @@ fresh as (
     and shippedpgidate > (select max("Prediction_Datetime") from scored))"""
 
 
-def scored_before(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features_of(spark, sf_dir).filter(
+@dataclass(frozen=True)
+class Scoring:
+    """The fact table and the prediction table after the first scoring, both written."""
+
+    fact: DataFrame
+    scored: DataFrame
+    path: str
+    table: str
+    database: str
+
+
+def after_first_scoring(spark: SparkSession, sf_dir: str) -> Scoring:
+    database, location = fresh_database(spark, "scoring")
+    table = "deliveryprediction"
+
+    def store(df: DataFrame, name: str) -> DataFrame:
+        return overwrite_table(
+            df, f"{location}/{name}", name, database, database_location=location
+        )
+
+    fact = store(fact_of(spark, sf_dir), "factparts")
+    rows = delivery.features(fact).filter(
         (F.col("shippedPGIDate") <= F.lit(FIRST_SCORED).cast("date"))
         | (F.col("orderType") == "EMERGENCY")
     )
-    return delivery.predictions(rows, WEIGHTS, FIRST_SCORING)
+    scored = store(delivery.predictions(rows, WEIGHTS, FIRST_SCORING), table)
+    return Scoring(fact, scored, f"{location}/{table}", table, database)
 
 
 @query(
@@ -150,7 +226,8 @@ def scored_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def new_rows_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = delivery.new_rows_to_score(fact_of(spark, sf_dir), scored_before(spark, sf_dir))
+    first = after_first_scoring(spark, sf_dir)
+    rows = delivery.new_rows_to_score(first.fact, first.scored)
     return rows.select("polExternalID", "transportMode", "orderType", "shippedPGIDate")
 
 
@@ -159,8 +236,8 @@ def new_rows_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(_SCORED, "select count(*) as n_rows, count(*) = 0 as is_empty from fresh"),
 )
 def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = delivery.new_rows_to_score(fact_of(spark, sf_dir), scored_before(spark, sf_dir))
-    return delivery.batch_size(rows)
+    first = after_first_scoring(spark, sf_dir)
+    return delivery.batch_size(delivery.new_rows_to_score(first.fact, first.scored))
 
 
 @query(
@@ -175,13 +252,7 @@ def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def score_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prediction table after a second scoring."""
-    database, location = fresh_database(spark, "score_append")
-    path = f"{location}/deliveryprediction"
-    scored = overwrite_table(
-        scored_before(spark, sf_dir), path, "deliveryprediction", database,
-        database_location=location,
-    )
+    first = after_first_scoring(spark, sf_dir)
     return delivery.score_batch(
-        fact_of(spark, sf_dir), scored, WEIGHTS, path, "deliveryprediction", database,
-        SECOND_SCORING,
+        first.fact, first.scored, WEIGHTS, first.path, first.table, first.database, SECOND_SCORING
     )
