@@ -62,9 +62,13 @@ def page_lines(pages: DataFrame) -> DataFrame:
 
 
 def bad_pages(pages: DataFrame) -> DataFrame:
-    """Pages that could not be read, as text, with their status and day."""
+    """Pages that could not be read, as text, and how many lines were legible.
+
+    None of their lines are in ``page_lines``, which takes sound pages only.
+    """
     bad = pages.filter(F.col(BAD_PAGE).isNotNull())
-    return bad.select(STATUS_DIRECTORY, DAY_DIRECTORY, BAD_PAGE)
+    legible = F.coalesce(F.size(LINES), F.lit(0)).alias("legible_lines")
+    return bad.select(STATUS_DIRECTORY, DAY_DIRECTORY, BAD_PAGE, legible)
 
 
 def write_pages(lines: DataFrame, path: str, page: str) -> None:
