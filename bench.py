@@ -39,7 +39,7 @@ HEADLINE = (
     "ml_fit",
     "ml_score",
     "new_rows_to_score",
-    "pipeline_end_to_end",
+    "daily_run_end_to_end",
 )
 
 

@@ -10,14 +10,20 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lineforge.operators.columns import stamp_provenance, void_to_string
-from lineforge.operators.skew import HotKeys, find_hot_keys
+from lineforge.operators.skew import NO_HOT_KEYS, HotKeys, find_hot_keys
 from lineforge.operators.unions import union_pages
 from lineforge.operators.upsert import latest_lines, upsert
 from lineforge.plans import delivery, gold, quality, silver
 from lineforge.plans.columns import BRONZE_COLUMNS, KEY, LINE_SCHEMA
 from lineforge.sources.pages import DAY_DIRECTORY, STATUS_DIRECTORY, page_lines, read_pages
 from lineforge.sources.seeds import load_seed
-from lineforge.sources.tables import Buckets, overwrite_table, scan_table, table_exists
+from lineforge.sources.tables import (
+    Buckets,
+    buckets_of,
+    overwrite_table,
+    scan_table,
+    table_exists,
+)
 from lineforge.sources.zones import ZONE_URI, land_raw, stage_table, zone_path
 
 BRONZE_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in BRONZE_COLUMNS])
@@ -57,7 +63,12 @@ class Lake:
         return zone_path(self.account, "tables", database, table, self.uri)
 
     def store(
-        self, df: DataFrame, table: str, database: str, buckets: Buckets | None = None
+        self,
+        df: DataFrame,
+        table: str,
+        database: str,
+        buckets: Buckets | None = None,
+        arranged: bool = False,
     ) -> DataFrame:
         return overwrite_table(
             df,
@@ -66,13 +77,14 @@ class Lake:
             database,
             database_location=self.path(database),
             buckets=buckets,
+            arranged=arranged,
         )
 
-    def store_snapshot(self, df: DataFrame, hot: HotKeys) -> DataFrame:
-        """Bucketed as configured, unless a hot key would fill one bucket."""
-        spread = self.snapshot_buckets is None or hot
-        buckets = None if spread else Buckets(self.snapshot_buckets, KEY)
-        return self.store(df, "parts", self.bronze, buckets)
+    def layout(self, hot: HotKeys = NO_HOT_KEYS) -> Buckets | None:
+        """Buckets as configured, unless a hot key would fill one of them."""
+        if self.snapshot_buckets is None or hot:
+            return None
+        return Buckets(self.snapshot_buckets, KEY)
 
 
 def run_day(as_of: str) -> date:
@@ -83,7 +95,7 @@ def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     """Pages of the fetch windows to raw, to staging, to the bronze snapshot.
 
     The batch, one row per key, is written before the upsert, which reads it several
-    times.
+    times, and in the layout of the snapshot, so that neither is shuffled to join.
     """
     day = run_day(as_of)
     pages = page_lines(read_pages(spark, lake.pages, LINE_SCHEMA, day))
@@ -93,13 +105,16 @@ def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     staged = stage_table(
         spark, lake.account, lake.entity, day, "parts_tmp", lake.bronze, lake.uri
     )
-    batch = lake.store(latest_lines(staged), "parts_batch", lake.bronze)
     if table_exists(spark, "parts", lake.bronze):
         snapshot = scan_table(spark, "parts", lake.bronze)
+        present = buckets_of(spark, "parts", lake.bronze)
     else:
-        snapshot = spark.createDataFrame([], BRONZE_SCHEMA)
+        snapshot, present = spark.createDataFrame([], BRONZE_SCHEMA), None
     hot = find_hot_keys(snapshot, [KEY])
-    return lake.store_snapshot(upsert(snapshot, batch, hot=hot, checked=True), hot)
+    layout = lake.layout(hot or find_hot_keys(staged, [KEY]))
+    batch = lake.store(latest_lines(staged), "parts_batch", lake.bronze, layout)
+    merged = upsert(snapshot, batch, hot=hot, checked=True)
+    return lake.store(merged, "parts", lake.bronze, layout, arranged=present == layout)
 
 
 def seed(spark: SparkSession, lake: Lake) -> DataFrame:

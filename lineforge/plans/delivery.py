@@ -12,8 +12,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lineforge.functions.categories import ORDER_TYPE_CODES, TRANSPORT_CODES, encode
 from lineforge.functions.dates import PREDICTION_FORMAT, days_between, iso_date, stamp_text
 from lineforge.operators.antijoin import not_in
+from lineforge.operators.sampling import HOLDOUT_ROWS, holdout_head, split_train_test
 from lineforge.operators.skew import HotKeys
 from lineforge.plans.quality import drop_ship_after_arrival
+from lineforge.session import run_dir
+from lineforge.sources.files import write_parquet
 from lineforge.sources.tables import append_table
 
 FEATURES = ("transportModeCode", "orderTypeCode", "orderedQuantity", "DaysToShip")
@@ -107,15 +110,31 @@ def _with_inputs(df: DataFrame) -> DataFrame:
 def fit(train: DataFrame) -> PipelineModel:
     """Least squares on the four features; rows without a label are left out.
 
-    The normal-equation solver makes one pass and moves only the sums of products.
+    Rows alike in features and label are counted first, combined per task, and the
+    count becomes the weight: the solution is the same, and the solver's passes run
+    over the distinct rows only. The normal-equation solver moves nothing but sums
+    of products.
     """
-    labelled = _with_inputs(train.filter(F.col(LABEL).isNotNull())).withColumn(
-        "y", F.col(LABEL).cast("double")
+    labelled = train.filter(F.col(LABEL).isNotNull())
+    distinct = labelled.groupBy(*FEATURES, LABEL).agg(F.count("*").alias("n"))
+    weighted = _with_inputs(distinct).select(
+        *(f"{name}_x" for name in FEATURES),
+        F.col(LABEL).cast("double").alias("y"),
+        F.col("n").cast("double").alias("weight"),
     )
     regression = LinearRegression(
-        featuresCol="x", labelCol="y", predictionCol=PREDICTION, regParam=0.0, solver="normal"
+        featuresCol="x",
+        labelCol="y",
+        weightCol="weight",
+        predictionCol=PREDICTION,
+        regParam=0.0,
+        solver="normal",
     )
-    return Pipeline(stages=[_assembly(), regression]).fit(labelled)
+    weighted = weighted.persist()
+    try:
+        return Pipeline(stages=[_assembly(), regression]).fit(weighted)
+    finally:
+        weighted.unpersist()
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -156,6 +175,20 @@ def rmse(scored: DataFrame, label: str = LABEL, prediction: str = PREDICTION) ->
     return scored.agg(F.sqrt(F.avg(error * error)).alias("rmse"))
 
 
+def train_and_evaluate(
+    rows: DataFrame, holdout_rows: int = HOLDOUT_ROWS
+) -> tuple[PipelineModel, DataFrame]:
+    """Leave out the last rows by entry date, split the rest, fit, and score the test part.
+
+    Returns the model and the test rows with their predictions. Entry dates may be
+    missing; the key decides among equal dates.
+    """
+    head = holdout_head(rows, ("orderEntryDate", "polExternalID"), holdout_rows)
+    train, test = split_train_test(head, "polExternalID")
+    model = fit(train)
+    return model, predict(test.filter(F.col(LABEL).isNotNull()), model)
+
+
 def predictions(
     df: DataFrame, model: PipelineModel | Mapping[str, float], as_of: str | None = None
 ) -> DataFrame:
@@ -213,8 +246,15 @@ def score_batch(
     as_of: str | None = None,
     bootstrap: bool = False,
 ) -> DataFrame:
-    """Score what is new and append it; an empty batch appends nothing."""
+    """Score what is new and append it; an empty batch appends nothing.
+
+    The scored batch is written aside first: whether it is empty is then known
+    without joining twice, and the append reads files rather than the table it
+    appends to.
+    """
+    spark = fact.sparkSession
     batch = prepare(new_rows_to_score(fact, scored, bootstrap))
-    if batch.isEmpty():
+    fresh = write_parquet(predictions(batch, model, as_of), run_dir(spark, "scored"))
+    if fresh.isEmpty():
         return scored
-    return append_table(predictions(batch, model, as_of), path, table, database)
+    return append_table(fresh, path, table, database)

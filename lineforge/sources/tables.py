@@ -48,11 +48,14 @@ def overwrite_table(
     fmt: str = "parquet",
     database_location: str | None = None,
     buckets: Buckets | None = None,
+    arranged: bool = False,
 ) -> DataFrame:
     """Replace a table, its schema included; returns the new content.
 
     ``buckets`` lays the rows out by hash of a key, so that later joins on the key
-    read the table without shuffling it. ``fmt="delta"`` hands the replacement to
+    read the table without shuffling it. Rows are brought together by bucket first,
+    or every task would write a file for every bucket; ``arranged`` says they come
+    from a table of the same layout and already are. ``fmt="delta"`` hands the replacement to
     that format where its classes are on the classpath.
     """
     spark = df.sparkSession
@@ -73,7 +76,8 @@ def overwrite_table(
         schema = spark.read.format(fmt).load(version).schema
     else:
         staged = f"{table}__{uuid.uuid4().hex}"
-        _write_buckets(df, buckets, fmt, version, _name(database, staged))
+        rows = df if arranged else df.repartition(buckets.number, buckets.column)
+        _write_buckets(rows, buckets, fmt, version, _name(database, staged))
         schema = spark.table(_name(database, staged)).schema
     if table_exists(spark, table, database):
         same = schema.simpleString() == spark.table(name).schema.simpleString()

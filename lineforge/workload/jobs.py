@@ -7,7 +7,6 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lineforge.operators.skew import NO_HOT_KEYS
 from lineforge.plans import daily
 from lineforge.plans.columns import SOURCE_COLUMNS
 from lineforge.session import run_dir
@@ -38,7 +37,8 @@ def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
         snapshot_buckets=SNAPSHOT_BUCKETS,
     )
     lines = bronze(spark, sf_dir, extra="d")
-    lake.store_snapshot(lines.filter(F.col("d") < F.lit(SNAPSHOT_END)).drop("d"), NO_HOT_KEYS)
+    earlier = lines.filter(F.col("d") < F.lit(SNAPSHOT_END)).drop("d")
+    lake.store(earlier, "parts", lake.bronze, lake.layout())
     key = F.col("polExternalID").cast("bigint")
     later = lines.filter(F.col("d") >= F.lit(BATCH_START)).select(
         *SOURCE_COLUMNS,
@@ -51,7 +51,7 @@ def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
 
 
 @query(
-    "pipeline_end_to_end",
+    "daily_run_end_to_end",
     with_(
         FEATURES,
         """select 'bronze.parts' as table_name, count(*) as n_rows from bronze
@@ -68,7 +68,7 @@ def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
         union all select 'gold.deliveryprediction', count(*) from features""",
     ),
 )
-def pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+def daily_run_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of every table after one run of the daily job."""
     lake = prepare_lake(spark, sf_dir)
     return daily.row_counts(daily.run(spark, lake, WEIGHTS, AS_OF, bootstrap=True))

@@ -7,7 +7,6 @@ from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lineforge.operators.sampling import HOLDOUT_ROWS, holdout_head, split_train_test
 from lineforge.plans import delivery, gold, silver
 from lineforge.session import run_dir
 from lineforge.sources.tables import overwrite_table
@@ -60,14 +59,6 @@ def ml_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return delivery.moments(features_of(spark, sf_dir))
 
 
-def training_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows of what is left after the holdout."""
-    head = holdout_head(
-        features_of(spark, sf_dir), ("orderEntryDate", "polExternalID"), HOLDOUT_ROWS
-    )
-    return split_train_test(head, "polExternalID")
-
-
 def _determinant(entries: list[list[str]]) -> str:
     """Leibniz sum over the entries of a small square matrix, as SQL."""
     terms = []
@@ -78,7 +69,7 @@ def _determinant(entries: list[list[str]]) -> str:
     return "(0 " + " ".join(terms) + ")"
 
 
-def _least_squares_ctes() -> str:
+def _least_squares_ctes(ctes: str = FEATURES, rows: str = "features") -> str:
     """Least squares by Cramer's rule on the covariances of features and label."""
     n = range(len(delivery.FEATURES))
     x = [f"cast(coalesce({name}, 0) as double)" for name in delivery.FEATURES]
@@ -91,8 +82,8 @@ def _least_squares_ctes() -> str:
         replaced = [[f"y{i}" if j == k else matrix[i][j] for j in n] for i in n]
         solved.append(f"{_determinant(replaced)} / {_determinant(matrix)} as w{k}")
     intercept = " - ".join(["my", *(f"w{k} * m{k}" for k in n)])
-    return f"""{FEATURES},
-sums as (select {', '.join(sums)}, avg({y}) as my from features
+    return f"""{ctes},
+sums as (select {', '.join(sums)}, avg({y}) as my from {rows}
   where {delivery.LABEL} is not null),
 solved as (select *, {', '.join(solved)} from sums),
 model as (select *, {intercept} as w from solved)"""
@@ -114,10 +105,14 @@ def ml_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rounded, "term string, weight double")
 
 
-def _score_saved_sql() -> str:
-    total = " + ".join(
+def _fitted() -> str:
+    return " + ".join(
         ["w", *(f"w{k} * coalesce({name}, 0)" for k, name in enumerate(delivery.FEATURES))]
     )
+
+
+def _score_saved_sql() -> str:
+    total = _fitted()
     return with_(
         _least_squares_ctes(),
         f"""select transportMode, orderType, count(*) as n_rows,
@@ -138,6 +133,34 @@ def ml_score_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HELD_OUT = 100
+
+
+def _train_sql() -> str:
+    ctes = f"""{FEATURES},
+    numbered as (select *, row_number() over
+      (order by orderEntryDate desc nulls last, polExternalID desc) as n from features),
+    parts as (select *, cast('0x' || substr(md5('42:' || polExternalID), 1, 8) as bigint) % 100 < 33
+      as is_test from numbered where n > {HELD_OUT}),
+    train as (select * from parts where not is_test)"""
+    return with_(
+        _least_squares_ctes(ctes, "train"),
+        f"""select count(*) as n_test, round(sqrt(avg(({delivery.LABEL} - ({_fitted()}))
+          * ({delivery.LABEL} - ({_fitted()})))), 4) as rmse
+        from parts, model where is_test and {delivery.LABEL} is not null""",
+    )
+
+
+@query("ml_train_evaluate", _train_sql())
+def ml_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdout, split, fit on the train part, error on the test part."""
+    _, scored = delivery.train_and_evaluate(features_of(spark, sf_dir), HELD_OUT)
+    error = F.col(delivery.LABEL).cast("double") - F.col(delivery.PREDICTION).cast("double")
+    return scored.agg(
+        F.count("*").alias("n_test"), F.round(F.sqrt(F.avg(error * error)), 4).alias("rmse")
+    )
+
+
 @query(
     "ml_score",
     with_(FEATURES, f'select polExternalID, {PREDICTED} as "PredictedDaysForDelivery" from features'),

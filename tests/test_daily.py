@@ -5,7 +5,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from conftest import bag
-from lineforge.operators.skew import NO_HOT_KEYS, HotKeys
+from lineforge.operators.skew import HotKeys
 from lineforge.plans import daily
 from lineforge.sources.pages import write_pages
 from lineforge.sources.seeds import write_status_seed
@@ -89,10 +89,21 @@ def test_cold_start_scores_nothing_unless_told(spark, folder):
     assert [r[0] for r in failed] == ["not_null"]  # the pages hold no isPurged
 
 
-def test_hot_keys_keep_the_snapshot_unbucketed(spark, folder):
+def test_hot_keys_keep_the_snapshot_unbucketed(spark, folder, monkeypatch):
     where = lake(spark, folder, "hot", snapshot_buckets=4)
-    df = spark.createDataFrame([("1",)], "polExternalID string")
-    where.store_snapshot(df, HotKeys((1,), 2))
-    assert buckets_of(spark, "parts", "hot_bronze") is None
-    where.store_snapshot(df, NO_HOT_KEYS)
+    assert where.layout().number == 4 and where.layout(HotKeys((1,), 2)) is None
+    write_pages(lines(spark, range(40), "Open", "2024-01-10"), where.pages, "page")
+    daily.ingest(spark, where, "2024-01-10 01:20:32")
     assert buckets_of(spark, "parts", "hot_bronze").number == 4
+    monkeypatch.setattr(daily, "find_hot_keys", lambda df, keys: HotKeys((1,), 2))
+    assert daily.ingest(spark, where, "2024-01-10 01:20:32").count() == 40
+    assert buckets_of(spark, "parts", "hot_bronze") is None
+
+
+def test_buckets_stay_few_files(spark, folder):
+    where = lake(spark, folder, "few", snapshot_buckets=4)
+    write_pages(lines(spark, range(200), "Open", "2024-01-10"), where.pages, "page")
+    for _ in range(3):
+        merged = daily.ingest(spark, where, "2024-01-10 01:20:32")
+        assert len(merged.inputFiles()) <= 2 * 4
+        assert merged.count() == 200
