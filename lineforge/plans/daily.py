@@ -15,7 +15,13 @@ from lineforge.operators.unions import union_pages
 from lineforge.operators.upsert import latest_lines, upsert
 from lineforge.plans import delivery, gold, quality, silver
 from lineforge.plans.columns import BRONZE_COLUMNS, KEY, LINE_SCHEMA
-from lineforge.sources.pages import DAY_DIRECTORY, STATUS_DIRECTORY, page_lines, read_pages
+from lineforge.sources.pages import (
+    DAY_DIRECTORY,
+    STATUS_DIRECTORY,
+    bad_pages,
+    page_lines,
+    read_pages,
+)
 from lineforge.sources.seeds import load_seed
 from lineforge.sources.tables import (
     Buckets,
@@ -91,6 +97,11 @@ def run_day(as_of: str) -> date:
     return date.fromisoformat(as_of[:10])
 
 
+def unreadable(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
+    """Pages of the fetch windows that are no valid page; their lines are not ingested."""
+    return bad_pages(read_pages(spark, lake.pages, LINE_SCHEMA, run_day(as_of)))
+
+
 def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     """Pages of the fetch windows to raw, to staging, to the bronze snapshot.
 
@@ -181,7 +192,11 @@ def run(
     tests_first: bool = False,
 ) -> dict[str, DataFrame]:
     """One day's run. ``tests_first`` checks the tables of the day before."""
-    tables = {"bronze.parts": ingest(spark, lake, as_of), "bronze.statuses": seed(spark, lake)}
+    tables = {
+        "raw.unreadable": unreadable(spark, lake, as_of),
+        "bronze.parts": ingest(spark, lake, as_of),
+        "bronze.statuses": seed(spark, lake),
+    }
     first = check(spark, lake) if tests_first and table_exists(spark, "parts", lake.silver) else None
     tables |= build(spark, lake)
     tables["checks"] = first if first is not None else check(spark, lake)

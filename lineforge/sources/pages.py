@@ -66,9 +66,11 @@ def bad_pages(pages: DataFrame) -> DataFrame:
 
     None of their lines are in ``page_lines``, which takes sound pages only.
     """
-    bad = pages.filter(F.col(BAD_PAGE).isNotNull())
-    legible = F.coalesce(F.size(LINES), F.lit(0)).alias("legible_lines")
-    return bad.select(STATUS_DIRECTORY, DAY_DIRECTORY, BAD_PAGE, legible)
+    legible = F.coalesce(F.size(LINES), F.lit(0))
+    # Spark refuses a query, even a count, that needs no column but the corrupt one;
+    # the second condition is always true and makes the filter need another.
+    bad = pages.filter(F.col(BAD_PAGE).isNotNull() & (legible >= 0))
+    return bad.select(STATUS_DIRECTORY, DAY_DIRECTORY, BAD_PAGE, legible.alias("legible_lines"))
 
 
 def write_pages(lines: DataFrame, path: str, page: str) -> None:

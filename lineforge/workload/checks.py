@@ -41,7 +41,10 @@ def dq_string_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return name.unionByName(price).select("column_name", "n")
 
 
-@query("dq_not_null", with_(BRONZE, "select polExternalID, facilityName from bronze where facilityName is null"))
+@query(
+    "dq_not_null",
+    with_(BRONZE, "select polExternalID, facilityName from bronze where facilityName is null"),
+)
 def dq_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.not_null(bronze(spark, sf_dir, "polExternalID", "facilityName"), "facilityName")
 

@@ -54,7 +54,8 @@ def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
     "daily_run_end_to_end",
     with_(
         FEATURES,
-        """select 'bronze.parts' as table_name, count(*) as n_rows from bronze
+        """select 'raw.unreadable' as table_name, 0 as n_rows
+        union all select 'bronze.parts', count(*) from bronze
         union all select 'bronze.statuses', 7
         union all select 'silver.parts', count(*) from silver
         union all select 'silver.status', count(*) from status

@@ -10,7 +10,7 @@ from lineforge.session import run_dir
 from lineforge.sources.seeds import read_seed, write_status_seed
 from lineforge.workload.bronze import bronze
 from lineforge.workload.registry import query
-from lineforge.workload.sql import BRONZE, FACT, SILVER, STATUS, with_
+from lineforge.workload.sql import FACT, SILVER, STATUS, with_
 
 
 def seed_of(spark: SparkSession) -> DataFrame:

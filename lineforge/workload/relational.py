@@ -107,9 +107,12 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 assert set(BRONZE_COLUMNS) == {*SOURCE_COLUMNS, *ADDED_COLUMNS}
 
 
+LATEST_COLUMNS = ("polExternalID", "catOrderStatus", "insertDateTime", "modifiedDateTime")
+
+
 @query(
     "merge_latest",
-    f"""with lines as ({bronze_sql("polExternalID", "catOrderStatus", "insertDateTime", "modifiedDateTime", extra="o_custkey")})
+    f"""with lines as ({bronze_sql(*LATEST_COLUMNS, extra="o_custkey")})
     select * exclude (n) from (select cast(o_custkey as varchar) as "polExternalID",
       polExternalID as "line", catOrderStatus, insertDateTime, modifiedDateTime,
       row_number() over (partition by o_custkey order by insertDateTime desc nulls last,
@@ -118,8 +121,7 @@ assert set(BRONZE_COLUMNS) == {*SOURCE_COLUMNS, *ADDED_COLUMNS}
 )
 def merge_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch rule for repeated keys, with the customer standing in for the key."""
-    names = ("polExternalID", "catOrderStatus", "insertDateTime", "modifiedDateTime")
-    lines = bronze(spark, sf_dir, *names, extra="o_custkey")
+    lines = bronze(spark, sf_dir, *LATEST_COLUMNS, extra="o_custkey")
     keyed = lines.select(
         F.col("o_custkey").cast("string").alias("polExternalID"),
         F.col("polExternalID").alias("line"),

@@ -76,8 +76,11 @@ def test_windows_bound_what_is_read(spark, folder):
         lines(spark, [1], "Open", "2024-01-07").unionByName(lines(spark, [2], "Open", "2024-01-08")),
         where.pages, "page",
     )
+    Path(where.pages, "orderStatus=Open/fromDate=2024-01-08/bad.json").write_text("{oops")
     daily.ingest(spark, where, "2024-01-10 01:20:32")
     assert bag(scan_table(spark, "parts", "bound_bronze"), "polExternalID") == [("2",)]
+    assert daily.unreadable(spark, where, "2024-01-10 01:20:32").count() == 1
+    assert daily.unreadable(spark, where, "2024-01-12 01:20:32").count() == 0
 
 
 def test_cold_start_scores_nothing_unless_told(spark, folder):

@@ -55,7 +55,8 @@ def test_fact_status_codes(spark):
 
 
 def test_fact_fans_out_on_a_repeated_status_and_survives_a_large_lookup(spark, monkeypatch):
-    parts, status = parts_and_status(spark, *[dict(polExternalID=str(i), status="Shipped") for i in range(40)])
+    rows = [dict(polExternalID=str(i), status="Shipped") for i in range(40)]
+    parts, status = parts_and_status(spark, *rows)
     doubled = status.unionByName(status)
     small = gold.fact_parts(parts, doubled)
     monkeypatch.setattr(gold, "is_small", lambda df: False)
@@ -135,7 +136,8 @@ def test_report_of_an_empty_table(spark):
      ("2024-01-03 00:00:01", 0, "error"), ("2024-01-01 16:00:01", 8, "warn")],
 )
 def test_freshness(spark, as_of, offset, state):
-    df = spark.createDataFrame([("2024-01-01T00:00:00",), ("2023-01-01T00:00:00",), (None,), ("junk",)], "at string")
+    texts = ["2024-01-01T00:00:00", "2023-01-01T00:00:00", None, "junk"]
+    df = spark.createDataFrame([(t,) for t in texts], "at string")
     assert quality.freshness(df, "at", as_of, offset).first()["state"] == state
     assert quality.freshness(df.filter("false"), "at", as_of).first()["state"] == "error"
 

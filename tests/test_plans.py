@@ -1,12 +1,16 @@
 """What the physical plans must and must not contain."""
 
 import re
+from datetime import date
 from pathlib import Path
 
+from pyspark.sql import types as T
+
 import lineforge
 from conftest import plan
 from lineforge.operators.skew import NO_HOT_KEYS
 from lineforge.operators.upsert import upsert
+from lineforge.sources.pages import page_lines, read_pages
 from lineforge.sources.tables import Buckets, overwrite_table
 from lineforge.workload.all import QUERIES
 
@@ -56,6 +60,17 @@ def test_window_filter_reaches_the_scan(spark, small):
     assert "GreaterThanOrEqual(ts,2024-01-13" in text and "LessThan(ts,2024-01-16" in text
 
 
+def test_fetch_windows_prune_directories(spark, folder):
+    line = T.StructType([T.StructField("id", T.StringType())])
+    for day in ("2024-01-01", "2024-01-09"):
+        at = Path(folder, "orderStatus=Open", f"fromDate={day}")
+        at.mkdir(parents=True)
+        (at / "p.json").write_text('{"partOrderLines":[{"id":"1"}]}')
+    lines = page_lines(read_pages(spark, folder, line, as_of=date(2024, 1, 10)))
+    assert re.search(r"PartitionFilters: \[[^\]]*fromDate#\d+ >= 2024-01-08", plan(lines))
+    assert lines.count() == 1
+
+
 def test_latest_row_is_limited_before_the_shuffle(spark, small):
     text = plan(QUERIES["dedupe_latest"](spark, small))
     assert "row_number(), 1, Partial" in text

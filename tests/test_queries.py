@@ -2,6 +2,8 @@
 
 import pytest
 
+from lineforge.operators import antijoin, dedupe, skew, upsert
+from lineforge.plans import gold
 from lineforge.workload.all import ORACLES, QUERIES
 from lineforge.workload.compare import oracle_connection, verdict
 
@@ -35,6 +37,25 @@ def test_query(spark, small, duck, name):
     assert verdict(QUERIES[name](spark, small), duck, ORACLES[name]).startswith("ok")
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["dedupe_max_max", "not_in_anti", "merge_upsert", "gold_factparts", "score_append"],
+)
+def test_query_with_spread_keys(spark, small, duck, name, monkeypatch):
+    """The same rows when keys count as hot and the lookup as large."""
+    found = []
+
+    def find(df, keys):
+        found.append(skew.find_hot_keys(df, keys, share=0.0005, min_rows=1, rows_per_salt=1))
+        return found[-1]
+
+    for module in (dedupe, antijoin, upsert, gold):
+        monkeypatch.setattr(module, "find_hot_keys", find)
+    monkeypatch.setattr(gold, "is_small", lambda df: False)
+    assert verdict(QUERIES[name](spark, small), duck, ORACLES[name]).startswith("ok")
+    assert any(found)
+
+
 def test_entry(spark):
     import __spark_entry__ as contract
 

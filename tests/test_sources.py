@@ -132,7 +132,8 @@ def put_page(folder, status, day, *texts):
 def test_pages(spark, folder):
     put_page(
         folder, "Open", "2024-01-01",
-        '{"lastRecordID":"2","partOrderLines":[{"id":"1","empty":null,"carrier":{"code":"c","tags":["x"]}},{"carrier":{"code":"d"},"id":"2"}]}',
+        '{"lastRecordID":"2","partOrderLines":[{"id":"1","empty":null,'
+        '"carrier":{"code":"c","tags":["x"]}},{"carrier":{"code":"d"},"id":"2"}]}',
         '{"partOrderLines":[],"lastRecordID":""}',
         '{"lastRecordID": broken',
     )

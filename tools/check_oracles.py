@@ -1,4 +1,7 @@
-"""Run registered queries against their SQL checks: check_oracles.py [sf_dir] [name ...]"""
+"""Run registered queries against their SQL checks.
+
+check_oracles.py [sf_dir] [name ...] [key=value ...], the last being session settings.
+"""
 
 from __future__ import annotations
 
@@ -14,12 +17,16 @@ from lineforge.workload.compare import oracle_connection, verdict  # noqa: E402
 
 
 def main() -> int:
-    sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
-    names = sys.argv[2:] or list(QUERIES)
-    spark = build_session(
-        "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
-                                "spark.driver.memory": "8g"}
-    )
+    words = [a for a in sys.argv[1:] if "=" not in a]
+    sf_dir = words[0] if words else "/root/testdata/sf0.01"
+    names = words[1:] or list(QUERIES)
+    settings = {
+        "spark.sql.shuffle.partitions": "8",
+        "spark.ui.enabled": "false",
+        "spark.driver.memory": "8g",
+        **dict(a.split("=", 1) for a in sys.argv[1:] if "=" in a),
+    }
+    spark = build_session("check", "local[8]", **settings)
     spark.sparkContext.setLogLevel("ERROR")
     duck = oracle_connection(sf_dir)
     bad = 0
