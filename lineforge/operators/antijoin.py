@@ -41,4 +41,4 @@ def not_in(
     keys = excluded.select(quoted(key)).filter(quoted(key).isNotNull()).distinct()
     whole = excluded if guard_on is None else guard_on
     guarded = df.filter(null_aware_guard(whole, key))
-    return join_by_key(guarded, keys, [key], "left_anti", hot)
+    return join_by_key(guarded, keys, [key], "left_anti", hot, unique=True)

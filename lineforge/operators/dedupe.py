@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lineforge.operators.columns import quoted
-from lineforge.operators.skew import HotKeys, find_hot_keys, join_by_key
+from lineforge.operators.skew import NO_HOT_KEYS, HotKeys, find_hot_keys, join_by_key
 
 
 def dedupe_max_max(
@@ -22,18 +22,23 @@ def dedupe_max_max(
     The maxima are taken independently and as text (``'9'`` is above ``'10'``), so
     a key may keep no row, when they sit on different rows, or several, on ties.
 
-    Without hot keys this is one window: one shuffle and sort of the rows. With
-    them the maxima are pre-aggregated per task and joined back with the hot
-    keys' rows spread, so that no task holds a whole hot group.
+    This is one window: one shuffle and sort of the rows. Rows of hot keys take
+    another way: their maxima are combined per task into at most one row per hot
+    key, few by construction, and broadcast back, so hot rows are not shuffled and no
+    task holds a whole hot group.
     """
     hot = find_hot_keys(df, keys) if hot is None else hot
     tops = {"__stamp": F.max(F.trim(quoted(stamp))), "__sequence": F.max(F.trim(quoted(sequence)))}
+    window = Window.partitionBy(*map(quoted, keys))
+    cold = df.filter(~hot.matches(keys)) if hot else df
+    ranked = cold.withColumns({n: c.over(window) for n, c in tops.items()})
     if hot:
-        maxima = df.groupBy(*map(quoted, keys)).agg(*(c.alias(n) for n, c in tops.items()))
-        ranked = join_by_key(df, maxima, keys, "inner", hot, null_safe=True)
-    else:
-        window = Window.partitionBy(*map(quoted, keys))
-        ranked = df.withColumns({n: c.over(window) for n, c in tops.items()})
+        hot_rows = df.filter(hot.matches(keys))
+        maxima = hot_rows.groupBy(*map(quoted, keys)).agg(*(c.alias(n) for n, c in tops.items()))
+        joined = join_by_key(
+            hot_rows, F.broadcast(maxima), keys, "inner", NO_HOT_KEYS, null_safe=True
+        )
+        ranked = ranked.unionByName(joined)
     return ranked.filter(
         (F.trim(quoted(stamp)) == F.col("__stamp"))
         & (F.trim(quoted(sequence)) == F.col("__sequence"))

@@ -3,8 +3,12 @@
 A plain shuffle join sends all rows of a key to one task. Adaptive execution
 splits such a task only when both join inputs come straight from an exchange,
 which is not so for aggregated inputs. Here hot keys are found first and only
-their rows are spread: the big side over ``salts`` sub-keys, the small side by
-one copy per sub-key. Cold keys are joined as ever.
+their rows are treated differently; cold keys are joined as ever.
+
+* When the other side has one row per key, the hot keys' rows of it are few by
+  construction. They are broadcast, and the big side's hot rows are not shuffled.
+* Otherwise the hot rows are spread over sub-keys: the big side by a salt, the
+  other side by one copy per salt.
 """
 
 from __future__ import annotations
@@ -34,6 +38,10 @@ class HotKeys:
     def __bool__(self) -> bool:
         return bool(self.hashes)
 
+    def matches(self, keys: Sequence[str]) -> Column:
+        """Whether a row's key is hot; never null."""
+        return _hash(keys).isin(*self.hashes)
+
 
 NO_HOT_KEYS = HotKeys((), 1)
 
@@ -81,38 +89,48 @@ def join_by_key(
     how: str,
     hot: HotKeys,
     null_safe: bool = False,
+    unique: bool = False,
 ) -> DataFrame:
     """Join on equally named ``keys`` (inner, left, left_semi or left_anti).
 
-    Columns of ``other`` besides the keys are appended. The salt of a row is the
-    number of its input partition: the same on a retry, and different for equal
-    rows of different partitions.
+    Columns of ``other`` besides the keys are appended. ``unique`` says that ``other``
+    has one row per key, or few at most.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
-        raise ValueError(f"cannot spread the big side of a {how} join")
+        raise ValueError(f"cannot treat hot keys apart in a {how} join")
+    if not hot:
+        return _join(big, other, keys, how, null_safe)
+    if not unique:
+        return _salted(big, other, keys, how, hot, null_safe)
+    is_hot = hot.matches(keys)
+    few = F.broadcast(other.filter(is_hot))
+    apart = _join(big.filter(is_hot), few, keys, how, null_safe)
+    return _join(big.filter(~is_hot), other.filter(~is_hot), keys, how, null_safe).unionByName(apart)
+
+
+def _join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, null_safe: bool
+) -> DataFrame:
     renamed = {key: f"__key{i}" for i, key in enumerate(keys)}
-    right = other.withColumnsRenamed(renamed)
-    left = big
-    if hot:
-        sub_keys = F.sequence(F.lit(0), F.lit(hot.salts - 1))
-        right = right.withColumn(
-            f"{_SALT}_r",
-            F.explode(
-                F.when(_hash(list(renamed.values())).isin(*hot.hashes), sub_keys).otherwise(
-                    F.array(F.lit(0))
-                )
-            ),
-        )
-        left = left.withColumn(
-            _SALT,
-            F.when(
-                _hash(keys).isin(*hot.hashes), F.spark_partition_id() % F.lit(hot.salts)
-            ).otherwise(F.lit(0)),
-        )
+    right = right.withColumnsRenamed(renamed)
     condition = F.lit(True)
     for key, name in renamed.items():
         a, b = left[f"`{key}`"], right[name]
         condition = condition & (a.eqNullSafe(b) if null_safe else a == b)
-    if hot:
-        condition = condition & (left[_SALT] == right[f"{_SALT}_r"])
-    return left.join(right, condition, how).drop(*renamed.values(), _SALT, f"{_SALT}_r")
+    return left.join(right, condition, how).drop(*renamed.values())
+
+
+def _salted(
+    big: DataFrame, other: DataFrame, keys: Sequence[str], how: str, hot: HotKeys, null_safe: bool
+) -> DataFrame:
+    """Spread hot rows over sub-keys.
+
+    The salt of a row is the number of its input partition: the same on a retry,
+    and different for equal rows of different partitions.
+    """
+    cold, sub_keys = F.array(F.lit(0)), F.sequence(F.lit(0), F.lit(hot.salts - 1))
+    salts = F.when(hot.matches(keys), sub_keys).otherwise(cold)
+    salt = F.when(hot.matches(keys), F.spark_partition_id() % F.lit(hot.salts)).otherwise(F.lit(0))
+    copies = other.withColumn(_SALT, F.explode(salts))
+    spread = big.withColumn(_SALT, salt)
+    return _join(spread, copies, [*keys, _SALT], how, null_safe).drop(_SALT)

@@ -88,7 +88,7 @@ def upsert(
         quoted(key), F.struct(*(quoted(n) for n in values if n.lower() != key.lower())).alias("__new")
     )
     new = F.col("__new")
-    joined = join_by_key(snapshot, fresh, [key], "left", hot)
+    joined = join_by_key(snapshot, fresh, [key], "left", hot, unique=True)
     updated = joined.select(
         *(
             quoted(name)

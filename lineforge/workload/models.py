@@ -13,8 +13,15 @@ from lineforge.workload.registry import query
 from lineforge.workload.sql import FACT, SILVER, STATUS, with_
 
 
+_seed_paths: dict[str, str] = {}
+
+
 def seed_of(spark: SparkSession) -> DataFrame:
-    return read_seed(spark, write_status_seed(spark, run_dir(spark, "statuses")))
+    """The status lookup, written once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _seed_paths:
+        _seed_paths[application] = write_status_seed(spark, run_dir(spark, "statuses"))
+    return read_seed(spark, _seed_paths[application])
 
 
 def silver_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

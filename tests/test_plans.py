@@ -8,8 +8,10 @@ from pyspark.sql import types as T
 
 import lineforge
 from conftest import plan
-from lineforge.operators.skew import NO_HOT_KEYS
+from lineforge.operators.dedupe import dedupe_max_max
+from lineforge.operators.skew import NO_HOT_KEYS, find_hot_keys
 from lineforge.operators.upsert import upsert
+from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import page_lines, read_pages
 from lineforge.sources.tables import Buckets, overwrite_table
 from lineforge.workload.all import QUERIES
@@ -27,9 +29,22 @@ def test_no_driver_data_path():
     assert collecting == {"skew.py", "tables.py", "compare.py"}
 
 
-def test_broadcast_hint_only_behind_a_count():
-    hinting = [f for f in SOURCES if "F.broadcast(" in f.read_text()]
-    assert [f.name for f in hinting] == ["gold.py"]
+def test_broadcast_hints_are_bounded():
+    """A counted lookup, and one row per hot key."""
+    hinting = {f.name for f in SOURCES if "F.broadcast(" in f.read_text()}
+    assert hinting == {"gold.py", "dedupe.py", "skew.py"}
+
+
+def test_hot_rows_are_not_shuffled_to_dedupe(spark, folder):
+    df = spark.range(1000).selectExpr(
+        "if(id % 3 = 0, 0, id) as k", "'1' as JOTSTP", "'2' as JOSEQN", "id"
+    )
+    df = write_parquet(df, folder + "/d")
+    hot = find_hot_keys(df, ["k"], share=0.1, min_rows=1)
+    lines = plan(dedupe_max_max(df, ["k"], hot=hot)).splitlines()
+    at = next(i for i, text in enumerate(lines) if "BroadcastHashJoin" in text)
+    scan = next(i for i in range(at, len(lines)) if "FileScan" in lines[i])
+    assert not any("Exchange" in text for text in lines[at:scan])
 
 
 def test_emergency_is_a_top_k_over_a_pruned_scan(spark, small):

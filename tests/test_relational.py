@@ -51,8 +51,9 @@ def test_salted_join_equals_plain_join(spark, how, null_safe):
     assert hot
     salted = skew.join_by_key(df, other, ["k"], how, hot, null_safe)
     plain = skew.join_by_key(df, other, ["k"], how, skew.NO_HOT_KEYS, null_safe)
-    assert salted.columns == plain.columns
-    assert bag(salted) == bag(plain)
+    apart = skew.join_by_key(df, other, ["k"], how, hot, null_safe, unique=True)
+    assert salted.columns == plain.columns == apart.columns
+    assert bag(salted) == bag(plain) == bag(apart)
 
 
 def test_salting_spreads_the_hot_key(spark):
