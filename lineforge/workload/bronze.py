@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from lineforge.plans.columns import BRONZE_COLUMNS
+from lineforge.session import run_dir
 
 SPARES = (
     "reservePrimPSO",
@@ -135,6 +136,22 @@ def bronze(spark: SparkSession, sf_dir: str, *columns: str, extra: str = "") ->
     return orders.selectExpr(*(f"{made[c]} as {c}" for c in wanted), *more)
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def bronze_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All columns of all lines as a written table, as the models find them.
+
+    Written once per application and set of given tables, in evenly filled files.
+    """
+    made = (spark.sparkContext.applicationId, sf_dir)
+    if made not in _written:
+        path = run_dir(spark, "bronze")
+        bronze(spark, sf_dir).repartition("polExternalID").write.parquet(path)
+        _written[made] = path
+    return spark.read.parquet(_written[made])
+
+
 def bronze_sql(*columns: str, extra: str = "") -> str:
     """The same lines as SQL text."""
     wanted = columns or BRONZE_COLUMNS

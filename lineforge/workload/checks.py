@@ -131,9 +131,4 @@ def _report_sql() -> str:
 
 @query("dq_report", _report_sql())
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = (
-        "polExternalID", "shippedPGIDate", "orderEntryDate", "estimatedShipDate", "shipByDate",
-        "isPurged", "pso", "insertDateTime", "customerReference", "carrierName",
-        "customerStorageLocation",
-    )
-    return quality.report(silver_of(spark, sf_dir, *checked))
+    return quality.report(silver_of(spark, sf_dir))

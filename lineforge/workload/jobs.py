@@ -8,14 +8,13 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineforge.plans import daily
-from lineforge.plans.columns import SOURCE_COLUMNS
 from lineforge.session import run_dir
 from lineforge.sources.pages import write_pages
 from lineforge.sources.seeds import write_status_seed
-from lineforge.workload.bronze import bronze
+from lineforge.workload.bronze import bronze_table
 from lineforge.workload.registry import query
 from lineforge.workload.relational import BATCH_START, SNAPSHOT_END
-from lineforge.workload.scans import PAGE_LINES
+from lineforge.workload.scans import lines_for_pages
 from lineforge.workload.sql import FEATURES, WEIGHTS, with_
 
 AS_OF = "2024-01-31 01:20:32"
@@ -36,17 +35,11 @@ def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
         gold=f"gold_{mark}",
         snapshot_buckets=SNAPSHOT_BUCKETS,
     )
-    lines = bronze(spark, sf_dir, extra="d")
-    earlier = lines.filter(F.col("d") < F.lit(SNAPSHOT_END)).drop("d")
+    lines = bronze_table(spark, sf_dir)
+    earlier = lines.filter(F.col("createdDateTime") < F.lit(f"{SNAPSHOT_END}"))
     lake.store(earlier, "parts", lake.bronze, lake.layout())
-    key = F.col("polExternalID").cast("bigint")
-    later = lines.filter(F.col("d") >= F.lit(BATCH_START)).select(
-        *SOURCE_COLUMNS,
-        F.coalesce("catOrderStatus", F.lit("Open")).alias("orderStatus"),
-        F.date_add(F.lit(FIRST_DAY), (key % 3).cast("int")).alias("fromDate"),
-        F.floor(key / (PAGE_LINES * 3)).alias("page"),
-    )
-    write_pages(later, lake.pages, "page")
+    later = lines.filter(F.col("createdDateTime") >= F.lit(f"{BATCH_START}"))
+    write_pages(lines_for_pages(later, FIRST_DAY), lake.pages, "page")
     return lake
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineforge.plans import gold, silver
-from lineforge.plans.columns import BRONZE_COLUMNS
 from lineforge.session import run_dir
 from lineforge.sources.seeds import read_seed, write_status_seed
-from lineforge.workload.bronze import bronze
+from lineforge.workload.bronze import bronze_table
 from lineforge.workload.registry import query
 from lineforge.workload.sql import FACT, SILVER, STATUS, with_
 
@@ -24,13 +23,8 @@ def seed_of(spark: SparkSession) -> DataFrame:
     return read_seed(spark, _seed_paths[application])
 
 
-def silver_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Silver lines; with ``columns`` the other bronze columns are null and cost nothing."""
-    lines = bronze(spark, sf_dir, *columns)
-    if columns:
-        absent = [c for c in BRONZE_COLUMNS if c not in columns]
-        lines = lines.withColumns({c: F.lit(None).cast("string") for c in absent})
-    return silver.silver_parts(lines)
+def silver_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return silver.silver_parts(bronze_table(spark, sf_dir))
 
 
 @query("silver_parts", with_(SILVER, "select * from silver"))
@@ -49,7 +43,7 @@ def silver_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def silver_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned lookup with the silver lines of each status."""
     status = silver.silver_status(seed_of(spark))
-    lines = silver_of(spark, sf_dir, "status").groupBy(F.col("STATUS").alias("status"))
+    lines = silver_of(spark, sf_dir).groupBy(F.col("STATUS").alias("status"))
     return status.join(lines.agg(F.count("*").alias("n")), "status", "left").select(
         "sequence", "status", F.coalesce("n", F.lit(0)).alias("n_lines")
     )
@@ -60,7 +54,7 @@ def silver_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(SILVER, 'select distinct CARRIERCODE as "CARRIERCODE", CARRIERNAME as "CARRIERNAME" from silver'),
 )
 def gold_dimcarrier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gold.dim_carrier(silver_of(spark, sf_dir, "carrierCode", "carrierName"))
+    return gold.dim_carrier(silver_of(spark, sf_dir))
 
 
 @query(
@@ -74,7 +68,7 @@ def gold_dimcarrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gold_dimstatus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status dimension with the pending items of the facts that point to it."""
     status = silver.silver_status(seed_of(spark))
-    parts = silver_of(spark, sf_dir, "status", "pendingItemQuantity")
+    parts = silver_of(spark, sf_dir)
     facts = gold.fact_parts(parts, status).groupBy(F.col("status_code").alias("sequence"))
     pending = facts.agg(F.sum("pendingitemquantity").alias("pending_items"))
     return gold.dim_status(status).join(pending, "sequence", "left")
@@ -96,5 +90,5 @@ def gold_factparts(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def gold_emergency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = silver_of(spark, sf_dir, "facilityName", "orderType", "pendingItemQuantity")
+    parts = silver_of(spark, sf_dir)
     return gold.fact_emergency_order(parts)

@@ -12,7 +12,7 @@ from lineforge.operators.increments import fetch_windows, select_windows
 from lineforge.operators.sampling import holdout_head, holdout_tail, is_test_row
 from lineforge.operators.upsert import latest_lines, upsert
 from lineforge.plans.columns import ADDED_COLUMNS, BRONZE_COLUMNS, SOURCE_COLUMNS
-from lineforge.workload.bronze import bronze, bronze_sql, read
+from lineforge.workload.bronze import bronze, bronze_sql, bronze_table, read
 from lineforge.workload.registry import query
 from lineforge.workload.sql import with_
 
@@ -73,11 +73,11 @@ def _batch_values() -> dict[str, str]:
 
 def upsert_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Lines entered before a date, and a batch of lines entered from an earlier date on."""
-    lines = bronze(spark, sf_dir, extra="d")
-    snapshot = lines.filter(F.col("d") < F.lit(SNAPSHOT_END)).drop("d")
-    later = lines.filter(F.col("d") >= F.lit(BATCH_START)).drop("d", "changedDateTime")
-    batch = later.withColumns({name: F.expr(sql) for name, sql in _batch_values().items()})
-    return snapshot, batch
+    lines = bronze_table(spark, sf_dir)
+    snapshot = lines.filter(F.col("createdDateTime") < F.lit(f"{SNAPSHOT_END}"))
+    later = lines.filter(F.col("createdDateTime") >= F.lit(f"{BATCH_START}"))
+    changes = {name: F.expr(sql) for name, sql in _batch_values().items()}
+    return snapshot, later.drop("changedDateTime").withColumns(changes)
 
 
 _UPSERTED = ", ".join(

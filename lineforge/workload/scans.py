@@ -21,7 +21,7 @@ from lineforge.sources.pages import page_lines, read_pages, write_pages
 from lineforge.sources.seeds import load_seed, write_status_seed
 from lineforge.sources.tables import append_table, overwrite_table, scan_table
 from lineforge.sources.zones import land_raw, read_raw, stage_table
-from lineforge.workload.bronze import bronze, read
+from lineforge.workload.bronze import bronze, bronze_table, read
 from lineforge.workload.registry import query
 from lineforge.workload.sql import BRONZE, SEED, with_
 
@@ -159,14 +159,14 @@ def stage_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_table(spark, "lake", "events", day, "events_tmp", database, uri)
 
 
-def lines_for_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lines_for_pages(lines: DataFrame, first_day: date) -> DataFrame:
     """Bronze lines with page number, status directory and one of three day directories."""
-    lines = bronze(spark, sf_dir, *SOURCE_COLUMNS, "catOrderStatus", extra="k")
+    key = F.col("polExternalID").cast("bigint")
     return lines.select(
         *SOURCE_COLUMNS,
         F.coalesce("catOrderStatus", F.lit("Open")).alias("orderStatus"),
-        F.date_add(F.lit(date(2024, 1, 1)), (F.col("k") % 3).cast("int")).alias("fromDate"),
-        F.floor(F.col("k") / (PAGE_LINES * 3)).alias("page"),
+        F.date_add(F.lit(first_day), (key % 3).cast("int")).alias("fromDate"),
+        F.floor(key / (PAGE_LINES * 3)).alias("page"),
     )
 
 
@@ -181,7 +181,8 @@ def lines_for_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "json_pages")
-    write_pages(lines_for_pages(spark, sf_dir), path, "page")
+    lines = bronze_table(spark, sf_dir)
+    write_pages(lines_for_pages(lines, date(2024, 1, 1)), path, "page")
     return page_lines(read_pages(spark, path, LINE_SCHEMA, as_of=date(2024, 1, 3)))
 
 
