@@ -11,10 +11,14 @@ from conftest import plan
 from lineforge.operators.dedupe import dedupe_max_max
 from lineforge.operators.skew import NO_HOT_KEYS, find_hot_keys
 from lineforge.operators.upsert import upsert
+from lineforge.plans.delivery import features
+from lineforge.plans.gold import fact_emergency_order
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import page_lines, read_pages
 from lineforge.sources.tables import Buckets, overwrite_table
 from lineforge.workload.all import QUERIES
+from lineforge.workload.learning import fact_of
+from lineforge.workload.models import silver_of
 
 SOURCES = list(Path(lineforge.__file__).parent.rglob("*.py"))
 
@@ -50,14 +54,26 @@ def test_hot_rows_are_not_shuffled_to_dedupe(spark, folder):
 def test_emergency_is_a_top_k_over_a_pruned_scan(spark, small):
     text = plan(QUERIES["gold_emergency"](spark, small))
     assert "TakeOrderedAndProject(limit=10" in text
-    assert text.count("HashAggregate") == 2
-    assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderpriority:string>" in text
-
-
-def test_having_is_below_the_aggregate(spark, small):
-    text = plan(QUERIES["gold_emergency"](spark, small))
-    aggregate, scan = text.rindex("HashAggregate"), text.index("FileScan")
-    assert "= EMERGENCY)" in text[aggregate:scan]
+    assert text.count("HashAggregate") == 2 and text.count("Exchange") == 1
+    (schema,) = re.findall(r"ReadSchema: struct<(.*?)>", text)
+    columns = {field.split(":")[0] for field in schema.split(",")}
+    assert columns == {"pendingItemQuantity", "orderType", "facilityName"}
+
+
+def test_having_is_below_the_aggregate_and_in_the_scan(spark, small, folder):
+    parts = write_parquet(silver_of(spark, small), folder + "/silver")
+    text = plan(fact_emergency_order(parts))
+    aggregate = text.rindex("HashAggregate")
+    assert "= EMERGENCY)" in text[aggregate:]
+    (pushed,) = re.findall(r"PushedFilters: \[(.*?)\], ReadSchema", text)
+    assert "EqualTo(ORDERTYPE,EMERGENCY)" in pushed and "IsNotNull(FACILITYNAME)" in pushed
+
+
+def test_features_push_their_filters(spark, small, folder):
+    fact = write_parquet(fact_of(spark, small), folder + "/fact")
+    text = plan(features(fact))
+    assert "IsNotNull(transportmode)" in text and "IsNotNull(estimatedshipdate)" in text
+    assert "Exchange" not in text
 
 
 def test_fact_broadcasts_the_counted_lookup(spark, small):
