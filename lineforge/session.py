@@ -33,18 +33,18 @@ def build_session(app: str = "lineforge", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session may run without it; it then gets a temporary folder,
-    which the setting remembers for the rest of the session.
+    Failing that, the checkpoint directory the application has set. Only a local
+    session may run without either; it then gets a temporary folder, which serves as
+    its checkpoint directory from then on.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="lineforge-")
-    spark.sparkContext.setCheckpointDir(folder)
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="lineforge-"))
+    return context.getCheckpointDir()
 
 
 def run_dir(spark: SparkSession, purpose: str) -> str:

@@ -160,3 +160,29 @@ def test_multi_line_page(spark, folder):
 def test_shared_dir_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert session.run_dir(spark, "x").startswith(configured + "/lineforge/x-")
+
+
+class Context:
+    """Stands in for a Spark context without a configured folder."""
+
+    def __init__(self, master):
+        self.master, self.folder = master, None
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder + "/own"
+
+
+class Session:
+    def __init__(self, master):
+        self.sparkContext, self.conf = Context(master), {}
+
+
+def test_only_a_local_session_gets_a_temporary_folder():
+    local = Session("local[2]")
+    first = session.shared_dir(local)
+    assert first.endswith("/own") and session.shared_dir(local) == first
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session("spark://cluster:7077"))
