@@ -106,6 +106,7 @@ class Check:
         raise ValueError(f"unknown check {self.kind}")
 
 
+# Which check applies to which silver column.
 PARTS_CHECKS = (
     Check("date_format", "SHIPPEDPGIDATE"),
     Check("date_format", "ORDERENTRYDATE"),

@@ -2,8 +2,9 @@
 
 A table's directory holds one sub-directory per written version and the catalog
 points at the current one. A new version is complete before the pointer moves, so
-a job may read the table it replaces, and a job that dies half way leaves the
-table as it was.
+a job may read the table it replaces, and a job that dies while writing leaves the
+table as it was. With the schema unchanged the move is a single catalog change; a
+changed schema or layout drops the old entry and makes a new one, data untouched.
 """
 
 from __future__ import annotations

@@ -56,17 +56,11 @@ def _silver_columns() -> str:
 SEED = """select * from (values ('1','Future Dated'), ('2','ESD Needed'), ('6','Cancelled'),
   ('4','Sourced'), ('5','Shipped'), ('7','Griefed'), ('0','Null')) as t(sequence, status)"""
 
-FACT_COLUMNS = (
-    "transportmode trackingnumber sourcedpartnumber sourceditemquantity sourcecustomercode "
-    "shippedpgidate shipid reserveprimpso releaseitemquantity pso polexternalid "
-    "pendingitemquantity partnumber ordertype orderlinename orderentrydate orderedquantity "
-    "modifieddatetime materialrequestquantity lastactivitydatetime istransferorder "
-    "istrackingactive ispurged invoicereferencenumber invoicenumber invoiceditemquantity "
-    "hunumber facilitypso facilityname estimatedshipdate customersupplieditemnumber "
-    "customerreference dealercode crmbillnumber createddatetime containernumber carriercode "
-    "airwaybillnumber catorderstatus customerstoragelocation keycatcustomercode profile "
-    "relatedcustomer shipbydate insertdatetime changeddatetime"
-).split()
+FACT_COLUMNS = [
+    {"customerCode": "dealercode"}.get(name, name.lower())
+    for name in BRONZE_COLUMNS
+    if name not in ("status", "carrierName")
+]
 
 BRONZE = f"bronze as ({bronze_sql()})"
 SILVER = f"{BRONZE},\nsilver as (select {_silver_columns()} from bronze)"

@@ -26,7 +26,7 @@ SOURCES = list(Path(lineforge.__file__).parent.rglob("*.py"))
 def test_no_driver_data_path():
     for file in SOURCES:
         text = file.read_text()
-        assert "toPandas" not in text and "localCheckpoint" not in text
+        assert "toPandas" not in text
         assert ".rdd" not in text and "crossJoin" not in text
     collecting = {f.name for f in SOURCES if re.search(r"\.collect\(\)", f.read_text())}
     # A sketch of bounded size, a table description, and the comparison tool.
