@@ -57,7 +57,7 @@ RULES = (
     Rule(0, "few_words", "n_words", 1, 10, below=True),
     Rule(1, "repeated_windows", "n_repeat_words", 100, 20, "n_words"),
     Rule(2, "symbols", "n_symbols", 100, 10, "n_words"),
-    Rule(3, "repeated_lines", "n_dup_lines", 100, 30, "n_lines"),
+    Rule(3, "repeated_lines", "n_dup_lines", 100, 50, "n_lines"),
     Rule(4, "short_words", "word_chars", 100, 200, "n_words", below=True),
     Rule(5, "long_words", "word_chars", 100, 1400, "n_words"),
     Rule(6, "shouting", "n_upper", 100, 40, "n_letters"),
