@@ -4,9 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineforge.llm import bpe, decontaminate, quality_model, secrets, simhash
 from lineforge.session import run_dir
 
-STAGES = []
+STAGES = [
+    ("quality_classifier", quality_model.keep_good),
+    ("simhash_near_dedup", simhash.keep_one),
+    ("decontamination", decontaminate.drop_contaminated),
+    ("secret_scan", secrets.redact),
+    ("bpe_encoding", bpe.tokenize),
+]
 
 # The classifier's and the forest's decisions have no SQL form; tests hold the stages
 # against brute-force versions.

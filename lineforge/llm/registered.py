@@ -6,14 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineforge.llm import chat, quality_rules, token_counts
+from lineforge.llm import bpe, chat, decontaminate, quality_model, quality_rules, secrets, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_quality_classifier": quality_model.op3_quality_classifier,
+    "op5_bpe": bpe.op5_bpe,
     "op6_chat_format": chat.op6_chat_format,
     "op7_token_counts": token_counts.op7_token_counts,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op2_decontaminate": decontaminate.OP2_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
 }
