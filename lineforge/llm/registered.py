@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineforge.llm import bpe, chat, decontaminate, quality_model, quality_rules, secrets, simhash, token_counts
+from lineforge.llm import bpe, chat, decontaminate, quality_model, quality_rules, secrets, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_quality_classifier": quality_model.op3_quality_classifier,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op5_bpe": bpe.op5_bpe,
     "op6_chat_format": chat.op6_chat_format,
     "op7_token_counts": token_counts.op7_token_counts,
