@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lineforge.llm import bpe, chat, decontaminate, quality_model, quality_rules, secrets, simhash, token_counts, url_filter
+from lineforge.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    pseudo_likelihood,
+    quality_model,
+    quality_rules,
+    secrets,
+    simhash,
+    token_counts,
+    url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
