@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from lineforge.llm.arrow import by_bytes, mix, text_bytes
-from lineforge.llm.names import free_names
+from lineforge.llm.names import narrowed
 from lineforge.llm.tokens import Encoder, Memory, cuts, encoder
 
 WINDOW = 32  # bytes under the rolling hash
@@ -162,20 +162,17 @@ def _encode(column: pa.Array, vocabulary: str) -> list[bytes]:
     return chunk_encoder(vocabulary).ids([(s.tobytes(), chunks(s)) for s in spans])
 
 
-def _through(docs: DataFrame, read: str, kept: list[str], results: str, values) -> DataFrame:
-    (body,) = free_names([*kept, *(r.split()[0] for r in results.split(", "))], "body")
-    names = [r.split()[0] for r in results.split(", ")]
-    narrow = docs.select(*[docs[c] for c in kept], docs[read].alias(body))
-    fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+def _through(docs: DataFrame, read: str, keep: tuple[str, ...], results: str, values) -> DataFrame:
+    narrow, kept, body, schema = narrowed(docs, keep, read, results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, body):
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), *values(part.column(body))], names=[*kept, *names]
+                    [*(part.column(c) for c in kept), *values(part.column(body))], names=schema.names
                 )
 
-    return narrow.mapInArrow(run, ", ".join([*fields, results]))
+    return narrow.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -190,7 +187,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str
         ids = _encode(texts, vocabulary)
         return [pa.array(ids, type=pa.binary()), pa.array([len(x) // 4 for x in ids], type=pa.int64())]
 
-    return _through(docs, text, [c for c in keep if c not in ("ids", "n_tokens")], "ids binary, n_tokens long", values)
+    return _through(docs, text, keep, "ids binary, n_tokens long", values)
 
 
 def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -199,7 +196,7 @@ def decode(rows: DataFrame, vocabulary: str, ids: str = "ids", keep: tuple[str,
     def values(column: pa.Array) -> list[pa.Array]:
         return [pa.array(encoder(vocabulary).decode([x or b"" for x in column.to_pylist()]), type=pa.string())]
 
-    return _through(rows, ids, [c for c in keep if c != "decoded"], "decoded string", values)
+    return _through(rows, ids, keep, "decoded string", values)
 
 
 def digests(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -215,8 +212,7 @@ def digests(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[st
         ]
 
     results = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    names = ("n_tokens", "ids_sha256", "decoded_sha256")
-    return _through(docs, text, [c for c in keep if c not in names], results, values)
+    return _through(docs, text, keep, results, values)
 
 
 def _vocabulary() -> str:

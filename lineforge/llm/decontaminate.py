@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import SpanHashes, by_bytes, lower, shingle_hashes, text_bytes, words
-from lineforge.llm.names import free_names
+from lineforge.llm.names import col, free_names
 from lineforge.session import run_dir
 
 SHINGLE = 5
@@ -50,7 +50,7 @@ def signatures(
 
     ``signed`` marks those of the bottom-k signature. Items without words have no rows.
     """
-    narrow = items.select(items[key].alias("item"), items[text].alias("body"))
+    narrow = items.select(col(key).alias("item"), col(text).alias("body"))
     kind = narrow.schema["item"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,14 +121,14 @@ def contained(
     nothing. Equality of shingles is taken from 64-bit hashes.
     """
     path = run_dir(spark, "benchmark-signatures")
-    signatures(items.where(items[item_key].isNotNull()), item_text, item_key, size, containment).distinct().write.parquet(path)
+    signatures(items.where(col(item_key).isNotNull()), item_text, item_key, size, containment).distinct().write.parquet(path)
     signed = spark.read.parquet(path)
     context = spark.sparkContext
     any_filter = context.broadcast(_bitmap(signed))
     signed_filter = context.broadcast(_bitmap(signed.where("signed")))
     least = signed.agg(F.min("need").alias("least")).first()["least"] or 0
 
-    narrow = docs.where(docs[key].isNotNull()).select(docs[key].alias("doc"), docs[text].alias("body"))
+    narrow = docs.where(col(key).isNotNull()).select(col(key).alias("doc"), col(text).alias("body"))
     kind = narrow.schema["doc"].dataType.simpleString()
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +171,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark item go; null ids stay."""
     found = contained(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.join(found.select(F.col("doc_id").alias("_leak")).distinct(), F.col("doc_id") == F.col("_leak"), "left_anti")
+    leaks = found.select(F.col("doc_id").alias("leak")).distinct()
+    return docs.join(leaks, docs["doc_id"] == leaks["leak"], "left_anti")
 
 
 OP2_SQL = """

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import SpanHashes, by_bytes, lower, text_bytes, words
-from lineforge.llm.names import free_names
+from lineforge.llm.names import col, narrowed
 
 CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS
@@ -178,7 +178,7 @@ _MERGE_AT = 500_000
 
 def learn_vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     """Counts of all words of all texts; the most frequent come to the driver, as many as the model has ids."""
-    narrow = docs.select(docs[text].alias("body"))
+    narrow = docs.select(col(text).alias("body"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[tuple[np.ndarray, np.ndarray]] = []
@@ -222,7 +222,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int
     """
     vocabulary = learn_vocabulary(docs, text)
     network = Network.fresh(vocabulary.counts)
-    narrow = docs.select(docs[text].alias("body")).where(F.length("body") > 0)
+    narrow = docs.select(col(text).alias("body")).where(F.length("body") > 0)
 
     def learn(start: np.ndarray, number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,11 +289,8 @@ def score(
 
     Whole texts are scored. A null or empty text has no words, the sum 0 and no mean.
     """
-    results = ("n_words", "log_likelihood", "mean_log_likelihood")
-    kept = [c for c in keep if c not in results]
-    (body,) = free_names([*kept, *results], "body")
-    narrow = docs.select(*[docs[c] for c in kept], docs[text].alias(body))
-    fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+    results = "n_words long, log_likelihood double, mean_log_likelihood double"
+    narrow, kept, body, schema = narrowed(docs, keep, text, results)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,11 +306,10 @@ def score(
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), pa.array(n.astype(np.int64)), pa.array(total), mean],
-                    names=[*kept, *results],
+                    names=schema.names,
                 )
 
-    schema = "n_words long, log_likelihood double, mean_log_likelihood double"
-    return narrow.mapInArrow(run, ", ".join([*fields, schema]))
+    return narrow.mapInArrow(run, schema)
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

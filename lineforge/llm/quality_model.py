@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import SpanHashes, by_bytes, text_bytes, words
-from lineforge.llm.names import free_names
+from lineforge.llm.names import col, narrowed
 from lineforge.session import run_dir
 
 TO_POOLED = 0.2  # share of the pooled covariance in that of a class
@@ -181,10 +181,7 @@ class Discriminant:
 
 def featurise(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns and ``stats``, the statistics of each whole text."""
-    kept = [c for c in keep if c != "stats"]
-    (body,) = free_names([*kept, "stats"], "body")
-    narrow = docs.select(*[docs[c] for c in kept], docs[text].alias(body))
-    fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+    narrow, kept, body, schema = narrowed(docs, keep, text, "stats array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,10 +189,10 @@ def featurise(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
                 found = statistics(part.column(body))
                 stats = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), stats.cast(pa.list_(pa.float64()))], names=[*kept, "stats"]
+                    [*(part.column(c) for c in kept), stats.cast(pa.list_(pa.float64()))], names=schema.names
                 )
 
-    return narrow.mapInArrow(run, ", ".join([*fields, "stats array<double>"]))
+    return narrow.mapInArrow(run, schema)
 
 
 def fit(features: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id") -> Discriminant:
@@ -207,8 +204,9 @@ def fit(features: DataFrame, labels: DataFrame, label: str = "quality", key: str
     numbers as the model has come to the driver.
     """
     size = len(FEATURES)
-    known = labels.where(F.col(label).isin(0, 1)).select(F.col(key).alias("_id"), F.col(label).alias("_label"))
-    rows = features.join(known, features[key] == known["_id"]).select("_label", "stats")
+    known = labels.where(col(label).isin(0, 1)).select(col(key).alias("_id"), col(label).cast("int").alias("_label"))
+    rows = features.select(col(key).alias("_key"), "stats").join(known, F.col("_key") == F.col("_id"))
+    rows = rows.select("_label", "stats")
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 + size + size * size))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import SpanHashes, by_bytes, text_bytes, words
-from lineforge.llm.names import free_names
+from lineforge.llm.names import narrowed
 
 WINDOW = 5
 MEASURES = (
@@ -162,20 +162,15 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     n_upper and n_letters (A-Z, a-z). Null and empty texts measure 0 throughout.
     Equality of windows and lines is taken from 64-bit hashes.
     """
-    kept = [c for c in keep if c not in MEASURES]
-    (body,) = free_names([*kept, *MEASURES], "body")
-    narrow = docs.select(*[docs[c] for c in kept], docs[text].alias(body))
-    fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+    narrow, kept, body, schema = narrowed(docs, keep, text, ", ".join(f"{m} long" for m in MEASURES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, body):
                 found = [pa.array(np.asarray(m, dtype=np.int64)) for m in _measure(part.column(body))]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept] + found, names=[*kept, *MEASURES]
-                )
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + found, names=schema.names)
 
-    return narrow.mapInArrow(run, ", ".join([*fields, *(f"{m} long" for m in MEASURES)]))
+    return narrow.mapInArrow(run, schema)
 
 
 def ledger(measured: DataFrame, rules: Sequence[Rule] = RULES, bits: str = "fail_bits") -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineforge.llm.names import col, free_names, without
 from lineforge.session import run_dir
 
 LEAST = 16  # characters of a candidate
@@ -38,6 +39,7 @@ CANDIDATE = (
 NOUN = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)\W*$"
 PREFIXED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})$"
 
+FINDING = ("finding_no", "value", "before", "after")
 FEATURES = (
     "length",
     "transitions",
@@ -88,7 +90,7 @@ def _pairs(codes: Column) -> Column:
 
 def common_words(docs: DataFrame, text: str = "text", times: int = COMMON) -> DataFrame:
     """(word): runs of three to twenty letters, lower-cased, that occur often in the whole corpus."""
-    runs = docs.select(F.explode(F.split(F.lower(F.col(f"`{text}`")), r"[^\p{L}]+")).alias("word"))
+    runs = docs.select(F.explode(F.split(F.lower(col(text)), r"[^\p{L}]+")).alias("word"))
     return (
         runs.where(F.length("word").between(3, 20))
         .groupBy("word")
@@ -114,11 +116,14 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     ``before`` and ``after`` are up to eighty characters of the line around a value. Whole
     texts are searched; null and empty ones have no candidates.
     """
-    body = docs.select(*keep, F.col(f"`{text}`").alias("_body"))
-    found = body.withColumn("_values", F.regexp_extract_all("_body", F.lit(CANDIDATE), F.lit(0))).where(
-        F.size("_values") > 0
+    kept = [col(c) for c in without(keep, (*FINDING, *FEATURES, "score", "is_secret"))]
+    body, values, around = free_names([*keep, *FINDING], "body", "values", "around")
+    found = (
+        docs.select(*kept, col(text).alias(body))
+        .withColumn(values, F.regexp_extract_all(col(body), F.lit(CANDIDATE), F.lit(0)))
+        .where(F.size(values) > 0)
     )
-    between = F.split("_body", CANDIDATE, -1)
+    between = F.split(col(body), CANDIDATE, -1)
     cut = F.transform(
         between,
         lambda s: F.struct(
@@ -126,17 +131,13 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             F.substring_index(F.left(s, F.lit(80)), "\n", 1).alias("after"),
         ),
     )
-    rows = found.withColumn("_cut", cut).select(
-        *keep,
-        "_cut",
-        F.posexplode("_values").alias("finding_no", "value"),
-    )
+    rows = found.withColumn(around, cut).select(*kept, around, F.posexplode(values).alias("finding_no", "value"))
     return rows.select(
-        *keep,
+        *kept,
         "finding_no",
         "value",
-        F.get("_cut", F.col("finding_no"))["before"].alias("before"),
-        F.get("_cut", F.col("finding_no") + 1)["after"].alias("after"),
+        F.get(around, F.col("finding_no"))["before"].alias("before"),
+        F.get(around, F.col("finding_no") + 1)["after"].alias("after"),
     )
 
 
@@ -285,25 +286,26 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts meet their secrets by a hash of the text, so repeated and null ids do no harm.
     """
-    hashed = docs.withColumn("_hash", F.xxhash64("text"))
-    found = scan(spark, hashed.select("_hash", "text"), keep=("_hash",))
+    hash_, of, found_, clean_ = free_names(docs.columns, "hash", "of", "found", "clean")
+    hashed = docs.withColumn(hash_, F.xxhash64("text"))
+    found = scan(spark, hashed.select(col(hash_).alias("text_hash"), "text"), keep=("text_hash",))
     values = (
         found.where("is_secret")
-        .select(F.col("_hash").alias("_of"), "value")
+        .select(F.col("text_hash").alias(of), "value")
         .distinct()
-        .groupBy("_of")
-        .agg(F.collect_list("value").alias("_found"))
+        .groupBy(of)
+        .agg(F.collect_list("value").alias(found_))
     )
     # Longer values first, so that none is broken by another inside it.
     ordered = F.transform(
-        F.sort_array(F.transform("_found", lambda v: F.struct(-F.length(v), v.alias("v")))), lambda s: s["v"]
+        F.sort_array(F.transform(found_, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"]
     )
     clean = F.aggregate(ordered, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    joined = hashed.join(values, F.col("_hash") == F.col("_of"), "left").withColumn(
-        "_clean", F.when(F.col("_found").isNotNull(), clean)
+    joined = hashed.join(values, F.col(hash_) == F.col(of), "left").withColumn(
+        clean_, F.when(F.col(found_).isNotNull(), clean)
     )
     changed = {
-        "text": F.coalesce("_clean", "text"),
-        "n_chars": F.coalesce(F.length("_clean").cast("long"), "n_chars"),
+        "text": F.coalesce(clean_, "text"),
+        "n_chars": F.coalesce(F.length(clean_).cast("long"), "n_chars"),
     }
-    return joined.select(*[changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns])
+    return joined.select(*[changed[c].alias(c) if c in changed else col(c) for c in docs.columns])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import by_bytes, lower, text_bytes, words
 from lineforge.llm.components import components
-from lineforge.llm.names import free_names
+from lineforge.llm.names import col, free_names, narrowed
 from lineforge.session import run_dir
 
 SHINGLE = 3
@@ -143,18 +143,15 @@ def join_keys(prints: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]],
 
 def fingerprint(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Kept columns and ``print``, the fingerprint's 64 bits as a signed number."""
-    kept = [c for c in keep if c != "print"]
-    (body,) = free_names([*kept, "print"], "body")
-    narrow = docs.select(*[docs[c] for c in kept], docs[text].alias(body))
-    fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+    narrow, kept, body, schema = narrowed(docs, keep, text, "print long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, body):
                 prints = pa.array(fingerprints(part.column(body)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), prints], names=[*kept, "print"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), prints], names=schema.names)
 
-    return narrow.mapInArrow(run, ", ".join([*fields, "print long"]))
+    return narrow.mapInArrow(run, schema)
 
 
 def links(prints: DataFrame, column: str = "print") -> DataFrame:
@@ -213,7 +210,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, text: str = "text", ke
     Repeated rows stay, each with the same component. An empty table gives no rows.
     """
     path = run_dir(spark, "simhash-documents")
-    fingerprint(docs.select(docs[key].alias("_key"), docs[text].alias("_text")), "_text", ("_key",)).write.parquet(path)
+    fingerprint(docs.select(col(key).alias("_key"), col(text).alias("_text")), "_text", ("_key",)).write.parquet(path)
     prints = spark.read.parquet(path)
     found = groups(spark, prints, "_key")
     joined = prints.join(found.withColumnRenamed("print", "_print"), F.col("print") == F.col("_print"))
@@ -231,16 +228,18 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of rows alike in all columns one stays.
     """
     path = run_dir(spark, "simhash-documents")
-    alike = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    hashed = docs.withColumn("_alike", alike)
-    fingerprint(hashed, keep=("doc_id", "_alike")).write.parquet(path)
+    (row,) = free_names(docs.columns, "row")
+    hashed = docs.withColumn(row, F.xxhash64(*map(col, docs.columns)))
+    slim = hashed.select(col("doc_id").alias("_id"), col(row).alias("_row"), col("text").alias("_text"))
+    fingerprint(slim, "_text", ("_id", "_row")).write.parquet(path)
     prints = spark.read.parquet(path)
-    found = groups(spark, prints).withColumnRenamed("print", "_print")
+    found = groups(spark, prints, "_id").withColumnRenamed("print", "_print")
     # A component's rows never meet: their minimum is an aggregate over partial minima.
     placed = prints.join(found, F.col("print") == F.col("_print"))
-    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_alike"))).alias("first")
-    root = F.when(F.col("component_id").isNull(), F.col("print"))
-    chosen = placed.groupBy("component_id", root.alias("root")).agg(first)
-    winners = chosen.select(F.col("first.doc_id").alias("_id"), F.col("first._alike").alias("_row"))
-    kept = hashed.join(winners, hashed["doc_id"].eqNullSafe(winners["_id"]) & (hashed["_alike"] == winners["_row"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_alike"]).select(*docs.columns)
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row"))).alias("first")
+    nameless = F.when(F.col("component_id").isNull(), F.col("print")).alias("nameless")
+    chosen = placed.groupBy("component_id", nameless).agg(first)
+    winners = chosen.select(F.col("first._id").alias("_id"), F.col("first._row").alias("_row"))
+    same = hashed["doc_id"].eqNullSafe(winners["_id"]) & (hashed[row] == winners["_row"])
+    kept = hashed.join(winners, same, "left_semi").dropDuplicates(["doc_id", row])
+    return kept.select(*map(col, docs.columns))

@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from lineforge.llm.arrow import by_bytes
-from lineforge.llm.names import free_names
+from lineforge.llm.names import narrowed
 from lineforge.llm.tokens import encoder
 
 LIMIT = 512
@@ -26,11 +26,7 @@ def count_tokens(
     stay as they are; an empty table gives an empty result. Columns not named in ``keep``
     are left out, and a kept column called like a result loses to the result.
     """
-    results = "n_bytes long, n_tokens long, over_limit boolean"
-    kept = [c for c in keep if c not in ("n_bytes", "n_tokens", "over_limit")]
-    (body,) = free_names(kept, "body")
-    narrow = docs.select(*[docs[c] for c in kept], docs[text].alias(body))
-    fields = [f"`{c}` {narrow.schema[c].dataType.simpleString()}" for c in kept]
+    narrow, kept, body, schema = narrowed(docs, keep, text, "n_bytes long, n_tokens long, over_limit boolean")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
@@ -41,10 +37,10 @@ def count_tokens(
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in kept]
                     + [pc.binary_length(texts).cast(pa.int64()), n, pc.greater(n, limit)],
-                    names=[*kept, "n_bytes", "n_tokens", "over_limit"],
+                    names=schema.names,
                 )
 
-    return narrow.mapInArrow(count, ", ".join([*fields, results]))
+    return narrow.mapInArrow(count, schema)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
