@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F, types as T
 
+# Sign and whole digits of a number; digits may be missing on either side of its point.
+_DECIMAL = r"^[\s\p{Cntrl}]*([+-]?)(?=[.\d])(\d*)(?:\.\d*)?[\s\p{Cntrl}]*$"
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
 def truncated_int(text: Column, dtype: T.DataType | None = None) -> Column:
     """Integer part of a plain decimal number, null for anything else.
 
-    ``' 12 '`` gives 12, ``'1.5'`` gives 1, ``'-2.9'`` gives -2; ``''``, ``'abc'``
-    and values outside the type give null. Clean integers take the first branch
-    and never reach the pattern.
+    ``' 12 '`` gives 12, ``'1.5'`` gives 1, ``'-2.9'`` gives -2, ``'.5'`` gives 0
+    and so does a lone point; ``''``, ``'abc'`` and values outside the type give null. White space and
+    control characters around the number don't count. Clean integers take the first
+    branch and never reach the pattern.
     """
     dtype = dtype or T.IntegerType()
-    whole = F.regexp_extract(F.trim(text), r"^([+-]?\d+)(\.\d*)?$", 1)
-    return F.coalesce(text.try_cast(dtype), whole.try_cast(dtype))
+    whole = F.concat(F.regexp_extract(text, _DECIMAL, 1), F.lit("0"), F.regexp_extract(text, _DECIMAL, 2))
+    fraction = F.when(text.rlike(_DECIMAL), whole.try_cast(dtype))
+    return F.coalesce(text.try_cast(dtype), fraction)
 
 
 def strict_int(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from lineforge.operators.columns import quoted
-from lineforge.operators.skew import HotKeys, find_hot_keys, join_by_key
+from lineforge.operators.joins import join_on
 
 
 def null_aware_guard(excluded: DataFrame, key: str):
@@ -21,24 +21,20 @@ def null_aware_guard(excluded: DataFrame, key: str):
 
 
 def not_in(
-    df: DataFrame,
-    excluded: DataFrame,
-    key: str,
-    hot: HotKeys | None = None,
-    guard_on: DataFrame | None = None,
+    df: DataFrame, excluded: DataFrame, key: str, guard_on: DataFrame | None = None
 ) -> DataFrame:
     """Rows of ``df`` whose ``key`` is ``NOT IN`` the ``key`` column of ``excluded``.
 
     Spark plans SQL's ``NOT IN`` as a broadcast of the subquery, which fails once
     the excluded side has grown. This is an ordinary left anti join on the key
     behind a null guard: Spark may shuffle it or, when the excluded keys are small
-    at run time, broadcast it. Excluded keys are made distinct per task first.
+    at run time, broadcast it. Both sides reach the join straight from their shuffle,
+    so adaptive execution can split the rows of a frequent key.
 
     When ``excluded`` has already been reduced to keys that can match, the whole
     set goes in ``guard_on``, for the guard depends on all of it.
     """
-    hot = find_hot_keys(df, [key]) if hot is None else hot
-    keys = excluded.select(quoted(key)).filter(quoted(key).isNotNull()).distinct()
+    keys = excluded.select(quoted(key)).filter(quoted(key).isNotNull())
     whole = excluded if guard_on is None else guard_on
     guarded = df.filter(null_aware_guard(whole, key))
-    return join_by_key(guarded, keys, [key], "left_anti", hot, unique=True)
+    return join_on(guarded, keys, [key], "left_anti")

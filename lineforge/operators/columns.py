@@ -37,6 +37,16 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns; maps count by their entries in order of the keys."""
+    return F.xxhash64(
+        *(
+            F.sort_array(F.map_entries(quoted(f.name))) if isinstance(f.dataType, T.MapType) else quoted(f.name)
+            for f in df.schema
+        )
+    )
+
+
 def clean_name(name: str) -> str:
     for old, new in NAME_REPLACEMENTS:
         name = name.replace(old, new)
@@ -101,9 +111,26 @@ def nan_to_null(df: DataFrame, skip: Iterable[str] = (METADATA_COLUMN,)) -> Data
 
 
 def void_to_string(df: DataFrame) -> DataFrame:
-    """Columns whose type is unknown for want of values become string."""
-    void = [name for name, dtype in df.dtypes if "void" in dtype]
-    return _convert(df, void, lambda c: c.cast(T.StringType()))
+    """What has no type for want of values becomes string, inside nested types too."""
+    known = {f.name: _without_void(f.dataType) for f in df.schema}
+    changed = {f.name: known[f.name] for f in df.schema if known[f.name] != f.dataType}
+    return df.withColumns({name: quoted(name).cast(dtype) for name, dtype in changed.items()})
+
+
+def _without_void(dtype: T.DataType) -> T.DataType:
+    if isinstance(dtype, T.NullType):
+        return T.StringType()
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(_without_void(dtype.elementType), dtype.containsNull)
+    if isinstance(dtype, T.MapType):
+        return T.MapType(
+            _without_void(dtype.keyType), _without_void(dtype.valueType), dtype.valueContainsNull
+        )
+    if isinstance(dtype, T.StructType):
+        return T.StructType(
+            [T.StructField(f.name, _without_void(f.dataType), f.nullable, f.metadata) for f in dtype]
+        )
+    return dtype
 
 
 def trim_all(df: DataFrame) -> DataFrame:

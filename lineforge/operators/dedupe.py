@@ -6,43 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lineforge.operators.columns import quoted
-from lineforge.operators.skew import NO_HOT_KEYS, HotKeys, find_hot_keys, join_by_key
+from lineforge.operators.columns import quoted, row_hash
+from lineforge.operators.joins import join_on
 
 
 def dedupe_max_max(
-    df: DataFrame,
-    keys: Sequence[str],
-    stamp: str = "JOTSTP",
-    sequence: str = "JOSEQN",
-    hot: HotKeys | None = None,
+    df: DataFrame, keys: Sequence[str], stamp: str = "JOTSTP", sequence: str = "JOSEQN"
 ) -> DataFrame:
     """Rows whose trimmed stamp and trimmed sequence both equal the key's maxima.
 
     The maxima are taken independently and as text (``'9'`` is above ``'10'``), so
     a key may keep no row, when they sit on different rows, or several, on ties.
 
-    This is one window: one shuffle and sort of the rows. Rows of hot keys take
-    another way: their maxima are combined per task into at most one row per hot
-    key, few by construction, and broadcast back, so hot rows are not shuffled and no
-    task holds a whole hot group.
+    Maxima are combined per task before they meet. Rows then go to them by key, stamp
+    and sequence together, so a frequent key's rows are dealt out by their values and no
+    task gathers a key; nothing is held but the one row of maxima.
     """
-    hot = find_hot_keys(df, keys) if hot is None else hot
-    tops = {"__stamp": F.max(F.trim(quoted(stamp))), "__sequence": F.max(F.trim(quoted(sequence)))}
-    window = Window.partitionBy(*map(quoted, keys))
-    cold = df.filter(~hot.matches(keys)) if hot else df
-    ranked = cold.withColumns({n: c.over(window) for n, c in tops.items()})
-    if hot:
-        hot_rows = df.filter(hot.matches(keys))
-        maxima = hot_rows.groupBy(*map(quoted, keys)).agg(*(c.alias(n) for n, c in tops.items()))
-        joined = join_by_key(
-            hot_rows, F.broadcast(maxima), keys, "inner", NO_HOT_KEYS, null_safe=True
-        )
-        ranked = ranked.unionByName(joined)
-    return ranked.filter(
-        (F.trim(quoted(stamp)) == F.col("__stamp"))
-        & (F.trim(quoted(sequence)) == F.col("__sequence"))
-    ).drop(*tops)
+    tops = df.groupBy(*map(quoted, keys)).agg(
+        F.max(F.trim(quoted(stamp))).alias("__stamp"),
+        F.max(F.trim(quoted(sequence))).alias("__sequence"),
+    )
+    equal = {"__stamp": F.trim(quoted(stamp)), "__sequence": F.trim(quoted(sequence))}
+    return join_on(df, tops, keys, "inner", null_safe=True, also=equal)
 
 
 def dedupe_latest(
@@ -62,7 +47,7 @@ def dedupe_latest(
     for key in keys:
         complete = complete & quoted(key).isNotNull()
     keyed = df.filter(complete) if keep_null_keys else df
-    order = [*newest_first, F.xxhash64(*map(quoted, df.columns))]
+    order = [*newest_first, row_hash(df)]
     window = Window.partitionBy(*map(quoted, keys)).orderBy(*order)
     latest = keyed.withColumn("__n", F.row_number().over(window)).filter("__n = 1").drop("__n")
     return latest.unionByName(df.filter(~complete)) if keep_null_keys else latest

@@ -4,42 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HOLDOUT_ROWS = 10_000
-_POSITION_BITS = (1 << 33) - 1
 
 
-def _first_per_partition(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    position = F.monotonically_increasing_id().bitwiseAND(F.lit(_POSITION_BITS))
-    return df.sortWithinPartitions(*order).filter(position < n)
-
-
-def top_n(df: DataFrame, order: Sequence[Column], n: int, fan_in: int = 64) -> DataFrame:
-    """The first ``n`` rows in ``order``, found in two merging steps.
+def _cut(df: DataFrame, order: Sequence[str], n: int) -> Column:
+    """The smallest of the last ``n`` rows' values of ``order``; null if there are fewer rows.
 
-    A plain ``orderBy().limit(n)`` sends up to n rows of *every* input task to one
-    task: too much for a large n and many tasks. Here the tasks' first rows are
-    merged in ``fan_in`` tasks before the last step, which then sees at most
-    ``fan_in * n`` rows.
+    Rows are counted by the first column alone, combined per task; the running sum of
+    these counts from the newest on tells in which value the cut lies. Only that value's
+    rows are then looked at by the other columns, and no more than n of them kept.
     """
-    local = _first_per_partition(df, order, n)
-    merged = _first_per_partition(local.repartition(fan_in), order, n)
-    return merged.orderBy(*order).limit(n)
-
-
-def _cut(df: DataFrame, order: Sequence[str], n: int) -> Column:
-    newest = top_n(df.select(*order), [F.col(c).desc() for c in order], n)
-    return newest.agg(F.min(F.struct(*order))).scalar()
+    first, *rest = order
+    newest = Window.orderBy(F.col(first).desc_nulls_last()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    counts = df.groupBy(first).agg(F.count("*").alias("__n"))
+    reached = counts.withColumn("__sum", F.sum("__n").over(newest)).filter(F.col("__sum") >= n)
+    edge = reached.agg(F.min(F.struct("__sum", "__n", first))).scalar()
+    value, wanted = edge.getField(first), n - edge.getField("__sum") + edge.getField("__n")
+    within = df.filter(edge.isNotNull() & F.col(first).eqNullSafe(value)).select(*order)
+    by_rest = [F.col(c).desc() for c in rest] or [F.lit(0)]
+    last = within.orderBy(*by_rest).limit(n)
+    number = F.row_number().over(Window.orderBy(*by_rest))
+    chosen = last.withColumn("__k", number).filter(F.col("__k") <= wanted)
+    return chosen.agg(F.min(F.struct(*order))).scalar()
 
 
 def holdout_tail(df: DataFrame, order: Sequence[str], n: int = HOLDOUT_ROWS) -> DataFrame:
     """The last ``n`` rows in ``order``, whose columns together must be unique.
 
-    Only the cut value is computed by sorting; the rows are then found with a
-    filter, so nothing but the order columns of n rows per task is moved.
+    Nulls come first. Only the cut value is computed; the rows are then found with a
+    filter, so nothing but the order columns of the cut's own day is moved.
     """
-    return df.filter(F.struct(*order) >= _cut(df, order, n))
+    cut = _cut(df, order, n)
+    return df.filter(cut.isNull() | (F.struct(*order) >= cut))
 
 
 def holdout_head(df: DataFrame, order: Sequence[str], n: int = HOLDOUT_ROWS) -> DataFrame:

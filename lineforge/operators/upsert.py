@@ -4,21 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lineforge.operators.columns import quoted
+from lineforge.operators.columns import quoted, row_hash
 from lineforge.operators.dedupe import dedupe_latest
-from lineforge.operators.skew import HotKeys, find_hot_keys, join_by_key
 
 KEY = "polExternalID"
 INSERTED_AT = "insertDateTime"
 CHANGED_AT = "changedDateTime"
 
 
-class DuplicateKeys(ValueError):
-    """The batch holds several rows for one key."""
-
-
 def latest_lines(
     batch: DataFrame, key: str = KEY, tiebreak: Sequence[Column] = ()
 ) -> DataFrame:
@@ -35,13 +30,22 @@ def latest_lines(
     return dedupe_latest(batch, [key], order, keep_null_keys=True)
 
 
-def require_unique(batch: DataFrame, key: str = KEY) -> None:
-    """Raise if a non-null key occurs twice (counts are combined per task first)."""
-    repeated = (
-        batch.filter(quoted(key).isNotNull()).groupBy(quoted(key)).count().filter("count > 1")
-    )
-    if not repeated.isEmpty():
-        raise DuplicateKeys(f"the batch holds several rows for one {key}; dedupe it first")
+DUPLICATE = "the batch holds several rows for one key; dedupe it first"
+
+
+def unique_or_error(batch: DataFrame, key: str = KEY) -> DataFrame:
+    """The batch; the job that reads it fails if a non-null key occurs twice."""
+    window = Window.partitionBy(quoted(key), _apart(batch, key))
+    checked = batch.withColumn("__n", F.count("*").over(window))
+    repeated = quoted(key).isNotNull() & (F.col("__n") > 1)
+    return checked.filter(
+        F.when(repeated, F.raise_error(F.lit(DUPLICATE)).cast("boolean")).otherwise(F.lit(True))
+    ).drop("__n")
+
+
+def _apart(df: DataFrame, key: str) -> Column:
+    """0 for rows with a key; rows without one, which match nothing, are spread by their values."""
+    return F.when(quoted(key).isNull(), row_hash(df)).otherwise(F.lit(0).cast("bigint"))
 
 
 def upsert(
@@ -50,7 +54,6 @@ def upsert(
     key: str = KEY,
     inserted_at: str = INSERTED_AT,
     changed_at: str = CHANGED_AT,
-    hot: HotKeys | None = None,
     checked: bool = False,
 ) -> DataFrame:
     """The snapshot after the batch.
@@ -58,12 +61,11 @@ def upsert(
     A matching row takes every value of the batch row but keeps its own
     ``inserted_at``; ``changed_at`` becomes the batch row's ``inserted_at``. A batch
     row without a match is added with ``changed_at`` null. No row is deleted. Null
-    keys never match. Batch keys must be unique; ``checked`` says they are.
+    keys never match. Batch keys must be unique, or the job fails; ``checked`` says
+    they are.
 
-    The work is sized by the batch, not by the snapshot: the snapshot is the
-    streamed side of a left join, so a batch that proves small at run time is
-    broadcast and the snapshot is not shuffled at all. Which batch rows are new
-    is found from the snapshot's key column alone, reduced to the batch's keys.
+    One full outer join reads both sides once. Keys are unique, and rows without a
+    key are dealt out by their values, so no key gathers more than its two rows.
     """
     by_name = {name.lower(): name for name in batch.columns}
     missing = [
@@ -73,38 +75,55 @@ def upsert(
     ]
     if missing:
         raise ValueError(f"the batch lacks columns of the snapshot: {missing}")
-    if not checked:
-        require_unique(batch, key)
-
-    def is_kept(name: str) -> bool:
-        return name.lower() in (key.lower(), inserted_at.lower())
-
     values = [n for n in snapshot.columns if n.lower() != changed_at.lower()]
     batch = batch.select(*(quoted(by_name[n.lower()]).alias(n) for n in values))
-    keyed = batch.filter(quoted(key).isNotNull())
-    hot = find_hot_keys(snapshot, [key]) if hot is None else hot
+    if not checked:
+        batch = unique_or_error(batch, key)
 
-    fresh = keyed.select(
-        quoted(key), F.struct(*(quoted(n) for n in values if n.lower() != key.lower())).alias("__new")
+    old = snapshot.select(
+        quoted(key).alias("__key"),
+        _apart(snapshot, key).alias("__apart"),
+        F.struct(*map(quoted, snapshot.columns)).alias("__old"),
     )
-    new = F.col("__new")
-    joined = join_by_key(snapshot, fresh, [key], "left", hot, unique=True)
-    updated = joined.select(
-        *(
-            quoted(name)
-            if is_kept(name)
-            else F.when(
-                new.isNotNull(),
-                new.getField(inserted_at if name.lower() == changed_at.lower() else name),
-            )
-            .otherwise(quoted(name))
-            .alias(name)
-            for name in snapshot.columns
-        )
+    new = batch.select(
+        quoted(key).alias("__new_key"),
+        _apart(batch, key).alias("__new_apart"),
+        F.struct(*map(quoted, values)).alias("__new"),
     )
+    same = (F.col("__key") == F.col("__new_key")) & (F.col("__apart") == F.col("__new_apart"))
+    joined = old.join(new, same, "full_outer")
+    before, after = F.col("__old"), F.col("__new")
+
+    def merged(name: str) -> Column:
+        own = before.getField(name)
+        if name.lower() == changed_at.lower():
+            value = F.when(before.isNotNull() & after.isNotNull(), after.getField(inserted_at))
+            return value.otherwise(own)
+        if name.lower() == inserted_at.lower():
+            return F.when(before.isNull(), after.getField(name)).otherwise(own)
+        return F.when(after.isNotNull(), after.getField(name)).otherwise(own)
+
+    return joined.select(*(merged(name).alias(name) for name in snapshot.columns))
+
+
+def merge_statement(
+    table: str,
+    batch: str,
+    columns: Sequence[str],
+    key: str = KEY,
+    inserted_at: str = INSERTED_AT,
+    changed_at: str = CHANGED_AT,
+) -> str:
+    """The same upsert as ``MERGE INTO``, for a table format that has it.
 
-    present = snapshot.select(quoted(key)).join(keyed.select(quoted(key)), key, "left_semi")
-    added = keyed.join(present.distinct(), key, "left_anti").unionByName(
-        batch.filter(quoted(key).isNull())
+    ``batch`` names a view with one row per key. The format then decides which files of
+    ``table`` are rewritten.
+    """
+    changed = [c for c in columns if c.lower() not in (key.lower(), inserted_at.lower(), changed_at.lower())]
+    sets = [f"t.`{c}` = s.`{c}`" for c in changed] + [f"t.`{changed_at}` = s.`{inserted_at}`"]
+    values = ["NULL" if c.lower() == changed_at.lower() else f"s.`{c}`" for c in columns]
+    return (
+        f"MERGE INTO {table} t USING {batch} s ON t.`{key}` = s.`{key}`\n"
+        f"WHEN MATCHED THEN UPDATE SET {', '.join(sets)}\n"
+        f"WHEN NOT MATCHED THEN INSERT ({', '.join(f'`{c}`' for c in columns)}) VALUES ({', '.join(values)})"
     )
-    return updated.unionByName(added, allowMissingColumns=True)

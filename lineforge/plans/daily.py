@@ -9,8 +9,7 @@ from datetime import date
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from lineforge.operators.columns import stamp_provenance, void_to_string
-from lineforge.operators.skew import NO_HOT_KEYS, HotKeys, find_hot_keys
+from lineforge.operators.columns import LOCAL_OFFSET_HOURS, stamp_provenance, void_to_string
 from lineforge.operators.unions import union_pages
 from lineforge.operators.upsert import latest_lines, upsert
 from lineforge.plans import delivery, gold, quality, silver
@@ -19,14 +18,17 @@ from lineforge.sources.pages import (
     DAY_DIRECTORY,
     STATUS_DIRECTORY,
     bad_pages,
+    page_counts,
     page_lines,
     read_pages,
 )
 from lineforge.sources.seeds import load_seed
 from lineforge.sources.tables import (
+    BUCKET,
     Buckets,
-    buckets_of,
+    buckets_in,
     overwrite_table,
+    replace_buckets,
     scan_table,
     table_exists,
 )
@@ -50,9 +52,10 @@ PREDICTION_SCHEMA = T.StructType(
 class Lake:
     """Where the job reads and writes.
 
-    With ``snapshot_buckets`` the bronze snapshot is laid out by hash of its key. A
-    day's upsert then shuffles the batch only, however large the snapshot is. Pick
-    a number that keeps a bucket within what one task handles.
+    The bronze snapshot is laid out in ``snapshot_buckets`` buckets of its key. A day's
+    upsert reads and writes only those that hold keys of the batch. Pick a number that
+    keeps a bucket within what one task handles. A run fails if more than ``bad_pages`` of
+    the pages are damaged.
     """
 
     account: str
@@ -63,7 +66,8 @@ class Lake:
     bronze: str = "bronze"
     silver: str = "silver"
     gold: str = "gold"
-    snapshot_buckets: int | None = None
+    snapshot_buckets: int = 16
+    bad_pages: float = 0.01
 
     def path(self, database: str, table: str = "") -> str:
         return zone_path(self.account, "tables", database, table, self.uri)
@@ -74,7 +78,6 @@ class Lake:
         table: str,
         database: str,
         buckets: Buckets | None = None,
-        arranged: bool = False,
     ) -> DataFrame:
         return overwrite_table(
             df,
@@ -83,13 +86,10 @@ class Lake:
             database,
             database_location=self.path(database),
             buckets=buckets,
-            arranged=arranged,
         )
 
-    def layout(self, hot: HotKeys = NO_HOT_KEYS) -> Buckets | None:
-        """Buckets as configured, unless a hot key would fill one of them."""
-        if self.snapshot_buckets is None or hot:
-            return None
+    @property
+    def layout(self) -> Buckets:
         return Buckets(self.snapshot_buckets, KEY)
 
 
@@ -97,35 +97,47 @@ def run_day(as_of: str) -> date:
     return date.fromisoformat(as_of[:10])
 
 
+class DamagedPages(ValueError):
+    """Too many of a run's pages are damaged."""
+
+
 def unreadable(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
-    """Pages of the fetch windows that are no valid page; their lines are not ingested."""
-    return bad_pages(read_pages(spark, lake.pages, LINE_SCHEMA, run_day(as_of)))
+    """Damaged pages of the fetch windows, with how many whole lines they gave."""
+    return bad_pages(read_pages(spark, lake.pages, run_day(as_of)))
+
+
+def require_sound_pages(pages: DataFrame, share: float) -> None:
+    """Raise if more than ``share`` of the pages are damaged."""
+    counted = page_counts(pages).first()
+    if counted["n_bad"] > share * counted["n_pages"]:
+        raise DamagedPages(f"{counted['n_bad']} of {counted['n_pages']} pages are damaged")
 
 
 def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     """Pages of the fetch windows to raw, to staging, to the bronze snapshot.
 
-    The batch, one row per key, is written before the upsert, which reads it several
-    times, and in the layout of the snapshot, so that neither is shuffled to join.
+    Raw and staging keep fields the line schema does not name; the snapshot has its 48
+    columns. The batch, one row per key, is written first: its buckets tell which part
+    of the snapshot is read, merged and written anew. Returns the snapshot's rows.
     """
     day = run_day(as_of)
-    pages = page_lines(read_pages(spark, lake.pages, LINE_SCHEMA, day))
-    stamped = stamp_provenance(pages, F.col(STATUS_DIRECTORY), as_of)
+    pages = read_pages(spark, lake.pages, day)
+    require_sound_pages(pages, lake.bad_pages)
+    stamped = stamp_provenance(page_lines(pages, LINE_SCHEMA), F.col(STATUS_DIRECTORY), as_of)
     fetched = void_to_string(stamped.drop(STATUS_DIRECTORY, DAY_DIRECTORY))
     land_raw(fetched, lake.account, lake.entity, day, lake.uri)
     staged = stage_table(
         spark, lake.account, lake.entity, day, "parts_tmp", lake.bronze, lake.uri
     )
-    if table_exists(spark, "parts", lake.bronze):
-        snapshot = scan_table(spark, "parts", lake.bronze)
-        present = buckets_of(spark, "parts", lake.bronze)
-    else:
-        snapshot, present = spark.createDataFrame([], BRONZE_SCHEMA), None
-    hot = find_hot_keys(snapshot, [KEY])
-    layout = lake.layout(hot or find_hot_keys(staged, [KEY]))
-    batch = lake.store(latest_lines(staged), "parts_batch", lake.bronze, layout)
-    merged = upsert(snapshot, batch, hot=hot, checked=True)
-    return lake.store(merged, "parts", lake.bronze, layout, arranged=present == layout)
+    layout = lake.layout
+    latest = latest_lines(staged).withColumn("changedDateTime", F.lit(None).cast("string"))
+    batch = lake.store(layout.assign(latest.select(*BRONZE_COLUMNS)), "parts_batch", lake.bronze)
+    if not table_exists(spark, "parts", lake.bronze):
+        return lake.store(batch, "parts", lake.bronze, layout).drop(BUCKET)
+    touched = buckets_in(batch)
+    snapshot = scan_table(spark, "parts", lake.bronze).filter(F.col(BUCKET).isin(*touched))
+    merged = upsert(snapshot, batch, checked=True)
+    return replace_buckets(merged, "parts", lake.bronze, touched).drop(BUCKET)
 
 
 def seed(spark: SparkSession, lake: Lake) -> DataFrame:
@@ -141,7 +153,7 @@ def seed(spark: SparkSession, lake: Lake) -> DataFrame:
 
 def build(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
     """Silver tables, then the gold tables from what was written, not recomputed."""
-    bronze = scan_table(spark, "parts", lake.bronze)
+    bronze = scan_table(spark, "parts", lake.bronze).drop(BUCKET)
     statuses = scan_table(spark, "statuses", lake.bronze)
     parts = lake.store(silver.silver_parts(bronze), "parts", lake.silver)
     status = lake.store(silver.silver_status(statuses), "status", lake.silver)
@@ -157,12 +169,22 @@ def build(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
     }
 
 
-def check(spark: SparkSession, lake: Lake) -> DataFrame:
-    """The check report over the silver tables as they are."""
+def check(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
+    """The check report over the silver tables as they are, and the freshness of bronze."""
+    loaded = quality.freshness(
+        scan_table(spark, "parts", lake.bronze), "insertDateTime", as_of, LOCAL_OFFSET_HOURS
+    )
+    fresh = loaded.select(
+        F.lit("freshness").alias("check_name"),
+        F.lit("insertDateTime").alias("column_name"),
+        F.when(F.col("state") == "pass", 0).otherwise(1).cast("bigint").alias("failures"),
+        (F.col("state") != "error").alias("passed"),
+    )
     return union_pages(
         [
             quality.report(scan_table(spark, "parts", lake.silver), quality.PARTS_CHECKS),
             quality.report(scan_table(spark, "status", lake.silver), quality.STATUS_CHECKS),
+            fresh,
         ]
     )
 
@@ -197,9 +219,10 @@ def run(
         "bronze.parts": ingest(spark, lake, as_of),
         "bronze.statuses": seed(spark, lake),
     }
-    first = check(spark, lake) if tests_first and table_exists(spark, "parts", lake.silver) else None
+    ready = tests_first and table_exists(spark, "parts", lake.silver)
+    first = check(spark, lake, as_of) if ready else None
     tables |= build(spark, lake)
-    tables["checks"] = first if first is not None else check(spark, lake)
+    tables["checks"] = first if first is not None else check(spark, lake, as_of)
     tables["gold.deliveryprediction"] = score(spark, lake, model, as_of, bootstrap)
     return tables
 

@@ -13,7 +13,6 @@ from lineforge.functions.categories import ORDER_TYPE_CODES, TRANSPORT_CODES, en
 from lineforge.functions.dates import PREDICTION_FORMAT, days_between, iso_date, stamp_text
 from lineforge.operators.antijoin import not_in
 from lineforge.operators.sampling import HOLDOUT_ROWS, holdout_head, split_train_test
-from lineforge.operators.skew import HotKeys
 from lineforge.plans.quality import drop_ship_after_arrival
 from lineforge.session import run_dir
 from lineforge.sources.files import write_parquet
@@ -211,23 +210,27 @@ def after_watermark(
 
 
 def new_rows_to_score(
-    fact: DataFrame,
-    scored: DataFrame,
-    bootstrap: bool = False,
-    hot: HotKeys | None = None,
+    fact: DataFrame, scored: DataFrame, bootstrap: bool = False
 ) -> DataFrame:
     """Lines not scored yet and shipped after the last scoring.
 
-    The batch is cut down by the watermark first. The prediction table only grows,
-    so its keys are reduced to those of the batch before the anti join; a batch
-    that is small at run time is broadcast for that, and the prediction table is
-    not shuffled.
+    The batch is cut down by the watermark first; see ``not_scored`` for the rest.
     """
     recent = after_watermark(extract(fact), scored, "shippedPGIDate", SCORED_AT, bootstrap)
+    return not_scored(recent, scored)
+
+
+def not_scored(recent: DataFrame, scored: DataFrame) -> DataFrame:
+    """Lines whose key is not in the prediction table.
+
+    The prediction table only grows, so its keys are reduced to those of the batch before
+    the anti join; a batch that is small at run time is broadcast for that, and the
+    prediction table is not shuffled.
+    """
     batch_keys = recent.select("polExternalID").distinct()
     seen = scored.select("polExternalID")
     relevant = seen.join(batch_keys, "polExternalID", "left_semi")
-    return not_in(recent, relevant, "polExternalID", hot, guard_on=seen)
+    return not_in(recent, relevant, "polExternalID", guard_on=seen)
 
 
 def batch_size(df: DataFrame) -> DataFrame:
@@ -248,12 +251,14 @@ def score_batch(
 ) -> DataFrame:
     """Score what is new and append it; an empty batch appends nothing.
 
-    The scored batch is written aside first: whether it is empty is then known
-    without joining twice, and the append reads files rather than the table it
-    appends to.
+    Lines past the watermark are written aside first, so the fact table is scanned once.
+    So is the scored batch: whether it is empty is then known without joining twice, and
+    the append reads files rather than the table it appends to.
     """
     spark = fact.sparkSession
-    batch = prepare(new_rows_to_score(fact, scored, bootstrap))
+    past = after_watermark(extract(fact), scored, "shippedPGIDate", SCORED_AT, bootstrap)
+    recent = write_parquet(past, run_dir(spark, "recent"))
+    batch = prepare(not_scored(recent, scored))
     fresh = write_parquet(predictions(batch, model, as_of), run_dir(spark, "scored"))
     if fresh.isEmpty():
         return scored

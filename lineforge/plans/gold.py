@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from lineforge.operators.skew import HotKeys, find_hot_keys, join_by_key
-from lineforge.plans.columns import BRONZE_COLUMNS
-from lineforge.plans.silver import RENAMED
+from lineforge.operators.joins import join_on
+from lineforge.plans.columns import FACT_COLUMNS
 
-LOOKUP_ROWS = 10_000
 REPORT_ROWS = 10
 
 
-def is_small(df: DataFrame, rows: int = LOOKUP_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than that many."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def dim_carrier(parts: DataFrame) -> DataFrame:
     """Distinct code and name pairs, the pair of nulls included."""
     return parts.select("CARRIERCODE", "CARRIERNAME").distinct()
@@ -26,23 +19,16 @@ def dim_status(status: DataFrame) -> DataFrame:
     return status.select("*")
 
 
-def fact_parts(parts: DataFrame, status: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+def fact_parts(parts: DataFrame, status: DataFrame) -> DataFrame:
     """Order lines with the code of their status; no carrier name.
 
     A status that is null or not in the lookup gives a null code; a status that is
-    in the lookup twice gives two rows. The lookup is broadcast only when counted
-    to be small. A larger one is joined by shuffling, with the rows of frequent
-    statuses spread, for there are few statuses and many lines.
+    in the lookup twice gives two rows. The join carries no hint: Spark broadcasts the
+    lookup while its measured size allows, and otherwise splits frequent statuses.
     """
     codes = status.select(F.col("status").alias("STATUS"), F.col("sequence").alias("status_code"))
-    if is_small(codes):
-        joined = parts.join(F.broadcast(codes), "STATUS", "left")
-    else:
-        hot = find_hot_keys(parts, ["STATUS"]) if hot is None else hot
-        joined = join_by_key(parts, codes, ["STATUS"], "left", hot)
-    silver = [RENAMED.get(name, name).lower() for name in BRONZE_COLUMNS]
-    kept = ["status_code" if n == "status" else n for n in silver if n != "carriername"]
-    return joined.select(*(F.col(n).alias(n) for n in kept))
+    joined = join_on(parts, codes, ["STATUS"], "left")
+    return joined.select(*(F.col(n).alias(n) for n in FACT_COLUMNS))
 
 
 def fact_emergency_order(parts: DataFrame, rows: int = REPORT_ROWS) -> DataFrame:

@@ -38,14 +38,14 @@ def read_delimited(
     header: bool = True,
     sep: str = "|",
     escape: str = "\\",
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text, all columns string unless a schema is given.
 
     ``escape`` can be set to a character the data never holds, for sources whose
     fields end in a backslash. Fields with line breaks need ``multi_line``, which
-    makes Spark read each file in one task; without such fields switch it off so
-    that large files are split. ``infer`` costs a pass over the data.
+    makes Spark read each file in one task; without it large files are split. ``infer``
+    costs a pass over the data.
     """
     reader = spark.read.options(
         header=header, sep=sep, escape=escape, multiLine=multi_line, inferSchema=infer

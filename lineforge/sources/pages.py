@@ -16,61 +16,110 @@ from lineforge.operators.increments import DAYS_BACK, within_windows
 LINES = "partOrderLines"
 CURSOR = "lastRecordID"
 BAD_PAGE = "_corrupt_record"
+UNKNOWN = "otherFields"
 STATUS_DIRECTORY = "orderStatus"
 DAY_DIRECTORY = "fromDate"
+PAGE_TEXT = "value"
 
-
-def page_schema(line: T.StructType) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField(CURSOR, T.StringType()),
-            T.StructField(LINES, T.ArrayType(line)),
-            T.StructField(BAD_PAGE, T.StringType()),
-            T.StructField(STATUS_DIRECTORY, T.StringType()),
-            T.StructField(DAY_DIRECTORY, T.DateType()),
-        ]
-    )
+# A whole object without deeper nesting than one level, strings read as strings.
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+_INNER = rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}'
+_OBJECT = rf'\{{(?:[^{{}}"]++|{_STRING}|{_INNER})*+\}}'
 
 
 def read_pages(
     spark: SparkSession,
     path: str,
-    line: T.StructType,
     as_of: date | None = None,
     days_back: int = DAYS_BACK,
     multi_line: bool = False,
 ) -> DataFrame:
-    """Pages with their status and day; with ``as_of`` only the fetch windows' directories.
+    """Page texts with their status and day; with ``as_of`` only the fetch windows' directories.
 
-    The schema is given, not inferred: fields may come in any order, a missing field
-    is null, and a field without any value is text. Text that is no page ends up in
-    ``_corrupt_record`` instead of failing or vanishing. One page per line is the
-    splittable form; ``multi_line`` reads files holding one page each.
+    Pages stay text, so nothing the source adds is lost to a schema. One page per line is
+    the splittable form; ``multi_line`` reads files holding one page each.
     """
-    pages = spark.read.schema(page_schema(line)).json(
-        path, multiLine=multi_line, columnNameOfCorruptRecord=BAD_PAGE
+    schema = T.StructType(
+        [
+            T.StructField(PAGE_TEXT, T.StringType()),
+            T.StructField(STATUS_DIRECTORY, T.StringType()),
+            T.StructField(DAY_DIRECTORY, T.DateType()),
+        ]
     )
+    pages = spark.read.schema(schema).text(path, wholetext=multi_line)
+    pages = pages.filter(F.length(F.btrim(PAGE_TEXT)) > 0)
     if as_of is None:
         return pages
     return pages.filter(within_windows(F.col(DAY_DIRECTORY), as_of, days_back))
 
 
-def page_lines(pages: DataFrame) -> DataFrame:
-    """One row per order line, nested objects flattened, with status and day."""
-    good = pages.filter(F.col(BAD_PAGE).isNull())
-    return flatten_structs(good.select(F.inline(LINES), STATUS_DIRECTORY, DAY_DIRECTORY))
+def _parsed(pages: DataFrame) -> DataFrame:
+    """Pages with ``texts``, the JSON text of each line, and whether the page is damaged.
+
+    Of a damaged page those lines are taken that are whole: objects below the name of the
+    lines that end where they should and can be read.
+    """
+    outer = f"{CURSOR} string, {LINES} array<string>, {BAD_PAGE} string"
+    page = F.from_json(PAGE_TEXT, outer, {"columnNameOfCorruptRecord": BAD_PAGE})
+    after = F.substring_index(F.col(PAGE_TEXT), f'"{LINES}"', -1)
+    whole = F.filter(
+        F.regexp_extract_all(after, F.lit(_OBJECT), F.lit(0)),
+        lambda t: F.get_json_object(t, "$").isNotNull(),
+    )
+    held = F.col(PAGE_TEXT).contains(f'"{LINES}"')
+    return pages.withColumn("__page", page).select(
+        STATUS_DIRECTORY,
+        DAY_DIRECTORY,
+        PAGE_TEXT,
+        F.coalesce(F.col(f"__page.{BAD_PAGE}").isNotNull(), F.lit(True)).alias("damaged"),
+        F.when(
+            F.col(f"__page.{BAD_PAGE}").isNull() & F.col("__page").isNotNull(), F.col(f"__page.{LINES}")
+        )
+        .when(held, whole)
+        .alias("texts"),
+    )
+
+
+def page_lines(pages: DataFrame, line: T.StructType) -> DataFrame:
+    """One row per order line, nested objects flattened, with status and day.
+
+    Fields may come in any order, a missing field is null. Fields that ``line`` does not
+    name are kept in the map ``UNKNOWN`` with their values as text, objects as JSON.
+    """
+    lines = _parsed(pages).select(
+        F.explode("texts").alias("text"), STATUS_DIRECTORY, DAY_DIRECTORY
+    )
+    fields = F.from_json("text", "map<string,string>")
+    unknown = F.map_filter(fields, lambda name, _: ~name.isin(*line.names))
+    rows = lines.select(
+        F.from_json("text", line).alias("line"),
+        F.when(F.size(unknown) > 0, unknown).alias(UNKNOWN),
+        STATUS_DIRECTORY,
+        DAY_DIRECTORY,
+    )
+    return flatten_structs(rows.select("line.*", UNKNOWN, STATUS_DIRECTORY, DAY_DIRECTORY))
 
 
 def bad_pages(pages: DataFrame) -> DataFrame:
-    """Pages that could not be read, as text, and how many lines were legible.
+    """Damaged pages, as text, and how many whole lines were taken from each."""
+    legible = F.coalesce(F.size("texts"), F.lit(0))
+    return (
+        _parsed(pages)
+        .filter("damaged")
+        .select(
+            STATUS_DIRECTORY,
+            DAY_DIRECTORY,
+            F.col(PAGE_TEXT).alias(BAD_PAGE),
+            F.greatest(legible, F.lit(0)).alias("legible_lines"),
+        )
+    )
 
-    None of their lines are in ``page_lines``, which takes sound pages only.
-    """
-    legible = F.coalesce(F.size(LINES), F.lit(0))
-    # Spark refuses a query, even a count, that needs no column but the corrupt one;
-    # the second condition is always true and makes the filter need another.
-    bad = pages.filter(F.col(BAD_PAGE).isNotNull() & (legible >= 0))
-    return bad.select(STATUS_DIRECTORY, DAY_DIRECTORY, BAD_PAGE, legible.alias("legible_lines"))
+
+def page_counts(pages: DataFrame) -> DataFrame:
+    """Number of pages and of damaged ones."""
+    return _parsed(pages).agg(
+        F.count("*").alias("n_pages"), F.count_if(F.col("damaged")).alias("n_bad")
+    )
 
 
 def write_pages(lines: DataFrame, path: str, page: str) -> None:

@@ -10,13 +10,13 @@ SEED_SCHEMA = "sequence string, status string"
 
 # The status lookup.
 STATUSES = [
-    ("0", "Null"),
     ("1", "Future Dated"),
     ("2", "ESD Needed"),
+    ("6", "Cancelled"),
     ("4", "Sourced"),
     ("5", "Shipped"),
-    ("6", "Cancelled"),
     ("7", "Griefed"),
+    ("0", "Null"),
 ]
 
 

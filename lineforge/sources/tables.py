@@ -3,25 +3,40 @@
 A table's directory holds one sub-directory per written version and the catalog
 points at the current one. A new version is complete before the pointer moves, so
 a job may read the table it replaces, and a job that dies while writing leaves the
-table as it was. With the schema unchanged the move is a single catalog change; a
-changed schema or layout drops the old entry and makes a new one, data untouched.
+table as it was. With the schema unchanged the move is a single catalog change. A
+changed schema or layout renames twice, old table away and new table in; between the
+two the name is missing for a moment, but both tables are there.
+
+A table laid out in buckets is partitioned by the bucket of its key. Rows of some
+buckets can then be replaced without touching the files of the others.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from lineforge.operators.columns import quoted, row_hash
+
+BUCKET = "key_bucket"
+OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
 @dataclass(frozen=True)
 class Buckets:
-    """Hash layout of a table: number of buckets and the column that decides."""
+    """Layout of a table by key: number of buckets and the column that decides."""
 
     number: int
     column: str
 
+    def assign(self, df: DataFrame) -> DataFrame:
+        """Add each row's bucket; rows without a key are spread by their values."""
+        placed = F.when(quoted(self.column).isNull(), row_hash(df)).otherwise(F.xxhash64(self.column))
+        return df.withColumn(BUCKET, F.pmod(placed, F.lit(self.number)).cast("int"))
+
 
 def ensure_database(spark: SparkSession, database: str, location: str | None = None) -> None:
     if not spark.catalog.databaseExists(database):
@@ -49,15 +64,12 @@ def overwrite_table(
     fmt: str = "parquet",
     database_location: str | None = None,
     buckets: Buckets | None = None,
-    arranged: bool = False,
 ) -> DataFrame:
     """Replace a table, its schema included; returns the new content.
 
-    ``buckets`` lays the rows out by hash of a key, so that later joins on the key
-    read the table without shuffling it. Rows are brought together by bucket first,
-    or every task would write a file for every bucket; ``arranged`` says they come
-    from a table of the same layout and already are. ``fmt="delta"`` hands the replacement to
-    that format where its classes are on the classpath.
+    With ``buckets`` rows carry the column ``BUCKET``, a bucket is a directory, and its
+    rows are written by one task. ``fmt="delta"`` hands the replacement to that format
+    where its classes are on the classpath.
     """
     spark = df.sparkSession
     ensure_database(spark, database, database_location)
@@ -72,47 +84,63 @@ def overwrite_table(
         )
         return spark.table(name)
     version = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
+    exists = table_exists(spark, table, database)
     if buckets is None:
         df.write.format(fmt).save(version)
         schema = spark.read.format(fmt).load(version).schema
-    else:
-        staged = f"{table}__{uuid.uuid4().hex}"
-        rows = df if arranged else df.repartition(buckets.number, buckets.column)
-        _write_buckets(rows, buckets, fmt, version, _name(database, staged))
-        schema = spark.table(_name(database, staged)).schema
-    if table_exists(spark, table, database):
-        same = schema.simpleString() == spark.table(name).schema.simpleString()
-        if same and buckets_of(spark, table, database) == buckets:
+        same = exists and schema.simpleString() == spark.table(name).schema.simpleString()
+        if same and not _is_partitioned(spark, table, database):
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{version}'")
             spark.catalog.refreshTable(name)
-            if buckets is not None:
-                spark.sql(f"DROP TABLE {_name(database, staged)}")
             return spark.table(name)
-        spark.sql(f"DROP TABLE {name}")
+    staged, retired = (_name(database, f"{table}__{uuid.uuid4().hex}") for _ in range(2))
     if buckets is None:
-        spark.catalog.createTable(name, path=version, source=fmt)
+        spark.catalog.createTable(staged, path=version, source=fmt)
     else:
-        spark.sql(f"ALTER TABLE {_name(database, staged)} RENAME TO {name}")
+        rows = df if BUCKET in df.columns else buckets.assign(df)
+        rows.repartition(buckets.number, BUCKET).write.format(fmt).partitionBy(BUCKET).option(
+            "path", version
+        ).saveAsTable(staged)
+    if exists:
+        spark.sql(f"ALTER TABLE {name} RENAME TO {retired}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    if exists:
+        spark.sql(f"DROP TABLE {retired}")
     return spark.table(name)
 
 
-def _write_buckets(df: DataFrame, buckets: Buckets, fmt: str, path: str, name: str) -> None:
-    (
-        df.write.format(fmt)
-        .bucketBy(buckets.number, buckets.column)
-        .sortBy(buckets.column)
-        .option("path", path)
-        .saveAsTable(name)
-    )
+def _is_partitioned(spark: SparkSession, table: str, database: str) -> bool:
+    return any(c.isPartition for c in spark.catalog.listColumns(_name(database, table)))
+
 
+def buckets_in(df: DataFrame) -> list[int]:
+    """The buckets that occur in ``df``; never more than the layout has."""
+    return sorted(row[0] for row in df.select(BUCKET).distinct().collect())
 
-def buckets_of(spark: SparkSession, table: str, database: str) -> Buckets | None:
-    """The bucket layout of a table, if it has one."""
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {_name(database, table)}")
-    facts = {r["col_name"]: r["data_type"] for r in described.filter("col_name like '%Bucket%'").collect()}
-    if "Num Buckets" not in facts:
-        return None
-    return Buckets(int(facts["Num Buckets"]), facts["Bucket Columns"].strip("[]`"))
+
+def replace_buckets(df: DataFrame, table: str, database: str, touched: Sequence[int]) -> DataFrame:
+    """Put the rows of ``df`` in place of the buckets they belong to; returns the table.
+
+    Files of other buckets stay as they are. Each bucket is written by one task into one
+    file, so their number does not grow. New files are complete before any old one goes;
+    the exchange itself goes bucket by bucket, so a driver lost in the middle of it leaves
+    some buckets old and some new.
+    """
+    spark = df.sparkSession
+    name = _name(database, table)
+    rows = df.select(*spark.table(name).columns).repartition(max(1, len(touched)), BUCKET)
+    before = spark.conf.get(OVERWRITE_MODE, "static")
+    spark.conf.set(OVERWRITE_MODE, "dynamic")
+    try:
+        rows.write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(OVERWRITE_MODE, before)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
+class SchemaMismatch(ValueError):
+    """Rows to append don't fit the table."""
 
 
 def append_table(
@@ -123,11 +151,41 @@ def append_table(
     fmt: str = "parquet",
     database_location: str | None = None,
 ) -> DataFrame:
-    """Add rows to a table, matched by column name; the first append creates it."""
+    """Add rows to a table, matched by column name; the first append creates it.
+
+    Columns that only one side has are an error, and so is a type the table's can't hold
+    (the write itself says so): nothing is left out or filled with nulls.
+    """
     spark = df.sparkSession
     if not table_exists(spark, table, database):
         return overwrite_table(df, path, table, database, fmt, database_location)
     name = _name(database, table)
-    df.select(*spark.table(name).columns).write.insertInto(name)
+    columns = spark.table(name).columns
+    ours, theirs = ({c.lower() for c in names} for names in (df.columns, columns))
+    if ours != theirs:
+        raise SchemaMismatch(f"only in the rows: {sorted(ours - theirs)}; only in {name}: {sorted(theirs - ours)}")
+    df.select(*map(quoted, columns)).write.insertInto(name)
     spark.catalog.refreshTable(name)
     return spark.table(name)
+
+
+def drop_old_versions(
+    spark: SparkSession, path: str, table: str, database: str, keep: int = 1, older_than_hours: float = 24.0
+) -> list[str]:
+    """Delete versions below ``path`` the table no longer points at; returns their names.
+
+    The current one stays, so do the ``keep`` newest others and all that are younger than
+    ``older_than_hours``, which a job may still be reading.
+    """
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {_name(database, table)}").filter("col_name = 'Location'")
+    current = rows.collect()[0]["data_type"].rstrip("/").rsplit("/", 1)[-1]
+    paths = spark._jvm.org.apache.hadoop.fs
+    root = paths.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [(s.getModificationTime(), s.getPath().getName()) for s in system.listStatus(root) if s.isDirectory()]
+    others = sorted((x for x in found if x[1].startswith("version-") and x[1] != current), reverse=True)
+    limit = spark._jvm.java.lang.System.currentTimeMillis() - older_than_hours * 3_600_000
+    gone = [name for at, name in others[keep:] if at <= limit]
+    for name in gone:
+        system.delete(paths.Path(root, name), True)
+    return gone

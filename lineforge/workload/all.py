@@ -9,4 +9,4 @@ from lineforge.workload import (  # noqa: F401
     relational,
     scans,
 )
-from lineforge.workload.registry import ORACLES, QUERIES  # noqa: F401
+from lineforge.workload.registry import FIXTURES, ORACLES, QUERIES  # noqa: F401

@@ -85,7 +85,8 @@ def rules(dialect: Dialect) -> dict[str, str]:
         "pendingItemQuantity": f"case when k % 19 = 0 then null else {text('k % 7')} end",
         "sourcedItemQuantity": f"{text('k % 12')} || ' '",
         "releaseItemQuantity": text("k % 5"),
-        "materialRequestQuantity": f"case when k % 29 = 0 then 'n/a' else {text('k % 40')} end",
+        "materialRequestQuantity": "case k % 29 when 0 then 'n/a' when 1 then '.5' when 2 then '-.9' "
+        f"when 3 then chr(9) || '1.5' when 4 then '7.' else {text('k % 40')} end",
         "invoicedItemQuantity": f"case when k % 31 = 0 then '' else {text('k % 9')} end",
         "customerSuppliedItemNumber": f"case when k % 2 = 0 then null else {text('k % 100')} end",
         "pso": f"case when k % 5 = 0 then {text('10000000 + k')} else {text('100000000 + k')} end",

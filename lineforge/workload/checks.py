@@ -112,18 +112,30 @@ def _report_sql() -> str:
         ("not_null", "ISPURGED"): "count(*) filter (where ISPURGED is null)",
         ("length", "PSO"): "count(*) filter (where length(PSO) = 8)",
         ("not_null", "POLEXTERNALID"): "count(*) filter (where POLEXTERNALID is null)",
-        ("unique", "POLEXTERNALID"): "count(POLEXTERNALID) - count(distinct POLEXTERNALID)",
-    }
-    counts |= {
-        ("string_type", c): "case when count(*) > 0 then 0 else 1 end"
-        for c in ("CUSTOMERREFERENCE", "CARRIERNAME", "CUSTOMERSTORAGELOCATION")
+        ("string_type", "CUSTOMERREFERENCE"): "count(*) filter (where typeof(CUSTOMERREFERENCE) <> 'VARCHAR')",
+        ("string_type", "CARRIERNAME"): "case when any_value(typeof(CARRIERNAME)) = 'VARCHAR' then 0 else 1 end",
+        ("string_type", "CUSTOMERSTORAGELOCATION"): "count(*) filter (where typeof(CUSTOMERSTORAGELOCATION) <> 'VARCHAR')",
     }
     rows = [
-        f"select '{check}' as check_name, '{column}' as column_name, {n} as failures from silver"
+        f"select '{check}' as check_name, '{column}' as column_name, {n} as failures from broken"
         for (check, column), n in counts.items()
     ]
+    rows.append(
+        "select 'unique', 'POLEXTERNALID', count(*) from (select POLEXTERNALID from broken "
+        "where POLEXTERNALID is not null group by 1 having count(*) > 1)"
+    )
+    broken = """broken as (select * replace (
+        case when k % 5 = 0 then '1/2/2024' else SHIPPEDPGIDATE end as SHIPPEDPGIDATE,
+        case when k % 6 = 0 then '1/2' else ORDERENTRYDATE end as ORDERENTRYDATE,
+        case when k % 7 = 0 then '/' else ESTIMATEDSHIPDATE end as ESTIMATEDSHIPDATE,
+        case when k % 8 = 0 then 'a/b' else SHIPBYDATE end as SHIPBYDATE,
+        case when k % 9 = 0 then '12345678' else PSO end as PSO,
+        case when k % 10 = 0 then null when k % 11 = 0 then cast(k // 33 as varchar)
+          else POLEXTERNALID end as POLEXTERNALID,
+        k as CARRIERNAME)
+      from (select *, cast(POLEXTERNALID as bigint) as k from silver))"""
     return with_(
-        f"{SILVER}, r as ({' union all '.join(rows)})",
+        f"{SILVER}, {broken}, r as ({' union all '.join(rows)})",
         "select check_name, column_name, cast(failures as bigint) as failures, "
         "failures = 0 as passed from r",
     )
@@ -131,4 +143,19 @@ def _report_sql() -> str:
 
 @query("dq_report", _report_sql())
 def dq_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report(silver_of(spark, sf_dir))
+    """The report over lines of which some break each check, with a number for a carrier's name."""
+    k = F.col("POLEXTERNALID").cast("bigint")
+    changes = {
+        "SHIPPEDPGIDATE": F.when(k % 5 == 0, "1/2/2024"),
+        "ORDERENTRYDATE": F.when(k % 6 == 0, "1/2"),
+        "ESTIMATEDSHIPDATE": F.when(k % 7 == 0, "/"),
+        "SHIPBYDATE": F.when(k % 8 == 0, "a/b"),
+        "PSO": F.when(k % 9 == 0, "12345678"),
+    }
+    broken = {name: change.otherwise(F.col(name)) for name, change in changes.items()}
+    repeated = F.floor(k / 33).cast("string")
+    broken["POLEXTERNALID"] = (
+        F.when(k % 10 == 0, None).when(k % 11 == 0, repeated).otherwise(F.col("POLEXTERNALID"))
+    )
+    broken["CARRIERNAME"] = k
+    return quality.report(silver_of(spark, sf_dir).withColumns(broken))

@@ -127,6 +127,7 @@ def ml_score_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Small enough to leave rows on the smallest given tables; the job's own is HOLDOUT_ROWS.
 HELD_OUT = 100
 
 
@@ -241,9 +242,9 @@ def after_first_scoring(spark: SparkSession, sf_dir: str) -> Scoring:
         """select polexternalid as "polExternalID", transportmode as "transportMode",
         ordertype as "orderType", shippedpgidate as "shippedPGIDate" from fresh""",
     ),
+    fixture=after_first_scoring,
 )
-def new_rows_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = after_first_scoring(spark, sf_dir)
+def new_rows_to_score(spark: SparkSession, first: Scoring) -> DataFrame:
     rows = delivery.new_rows_to_score(first.fact, first.scored)
     return rows.select("polExternalID", "transportMode", "orderType", "shippedPGIDate")
 
@@ -251,9 +252,9 @@ def new_rows_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "batch_size",
     with_(_SCORED, "select count(*) as n_rows, count(*) = 0 as is_empty from fresh"),
+    fixture=after_first_scoring,
 )
-def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = after_first_scoring(spark, sf_dir)
+def batch_size(spark: SparkSession, first: Scoring) -> DataFrame:
     return delivery.batch_size(delivery.new_rows_to_score(first.fact, first.scored))
 
 
@@ -266,10 +267,10 @@ def batch_size(spark: SparkSession, sf_dir: str) -> DataFrame:
           '{SECOND_SCORING}'
         from features where polExternalID in (select polexternalid from fresh)""",
     ),
+    fixture=after_first_scoring,
 )
-def score_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+def score_append(spark: SparkSession, first: Scoring) -> DataFrame:
     """The prediction table after a second scoring."""
-    first = after_first_scoring(spark, sf_dir)
     return delivery.score_batch(
         first.fact, first.scored, WEIGHTS, first.path, first.table, first.database, SECOND_SCORING
     )

@@ -14,7 +14,7 @@ from lineforge.plans.delivery import after_watermark
 from lineforge.plans.quality import drop_ship_after_arrival
 from lineforge.workload.bronze import bronze, read
 from lineforge.workload.registry import query
-from lineforge.workload.sql import BRONZE, CAT_STATUS, PSO, PURGED, date_sql, int_sql, with_
+from lineforge.workload.sql import BRONZE, by_age, date_sql, int_sql, with_
 
 
 @query(
@@ -141,12 +141,28 @@ def nan_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "void_to_string",
-    """select o_orderkey, cast(null as varchar) as "relatedCustomer", 'string' as "type_name"
-       from orders""",
+    """select o_orderkey, cast(null as varchar) as "relatedCustomer", 'string' as "type_name",
+       o_orderstatus = 'F' as voided, 'struct<voided:boolean>' as "state_type",
+       'struct<code:string,legs:array<string>>' as "route_type" from orders""",
 )
 def void_to_string(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", F.lit(None).alias("relatedCustomer"))
-    return ops.void_to_string(orders).withColumn("type_name", F.typeof("relatedCustomer"))
+    """A column without a type, a nested one, and one whose field is only called like it."""
+    nothing = F.lit(None)
+    orders = read(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        nothing.alias("relatedCustomer"),
+        F.struct((F.col("o_orderstatus") == "F").alias("voided")).alias("state"),
+        F.struct(nothing.alias("code"), F.array(nothing).alias("legs")).alias("route"),
+    )
+    typed = ops.void_to_string(orders)
+    return typed.select(
+        "o_orderkey",
+        "relatedCustomer",
+        F.typeof("relatedCustomer").alias("type_name"),
+        "state.voided",
+        F.typeof("state").alias("state_type"),
+        F.typeof("route").alias("route_type"),
+    )
 
 
 @query(
@@ -165,17 +181,30 @@ def stamp_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     "cast_int",
     """select l_orderkey, l_linenumber, l_extendedprice,
        cast(trunc(cast(l_extendedprice as decimal(18,2))) as integer) as truncated,
+       case l_linenumber when 1 then 0 when 2 then 0 when 3 then cast(l_quantity as integer)
+         when 4 then cast(-l_quantity as integer) when 5 then null
+         else cast(l_quantity as integer) end as odd,
        cast(l_quantity as integer) as strict from lineitem""",
 )
 def cast_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "lineitem")
     price = F.concat(F.lit(" "), F.col("l_extendedprice").cast("decimal(18,2)").cast("string"))
     quantity = F.col("l_quantity").cast("int").cast("string")
+    line = F.col("l_linenumber")
+    odd = (
+        F.when(line == 1, ".5")
+        .when(line == 2, "-.9")
+        .when(line == 3, F.concat(F.lit("\t"), quantity, F.lit(".5\n")))
+        .when(line == 4, F.concat(F.lit("-"), quantity, F.lit(".")))
+        .when(line == 5, F.concat(quantity, F.lit(",0")))
+        .otherwise(F.concat(F.lit(" +"), quantity))
+    )
     return lines.select(
         "l_orderkey",
         "l_linenumber",
         "l_extendedprice",
         truncated_int(price).alias("truncated"),
+        truncated_int(odd).alias("odd"),
         strict_int(quantity).alias("strict"),
     )
 
@@ -212,7 +241,7 @@ def mixed_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.withColumns({c: mixed_date_text(F.col(c)) for c in DATE_COLUMNS})
 
 
-@query("pso_pad", with_(BRONZE, f'select polExternalID, {PSO} as "pso" from bronze'))
+@query("pso_pad", with_(BRONZE, by_age("PSO", "pso")))
 def pso_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = bronze(spark, sf_dir, "polExternalID", "pso", "insertDateTime")
     return lines.select(
@@ -220,17 +249,14 @@ def pso_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("default_purged", with_(BRONZE, f'select polExternalID, {PURGED} as "isPurged" from bronze'))
+@query("default_purged", with_(BRONZE, by_age("ISPURGED", "isPurged")))
 def default_purged(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = bronze(spark, sf_dir, "polExternalID", "isPurged", "insertDateTime")
     filled = legacy_default(F.col("isPurged"), F.col("insertDateTime"), "false")
     return lines.select("polExternalID", filled.alias("isPurged"))
 
 
-@query(
-    "default_status",
-    with_(BRONZE, f'select polExternalID, {CAT_STATUS} as "catOrderStatus" from bronze'),
-)
+@query("default_status", with_(BRONZE, by_age("CATORDERSTATUS", "catOrderStatus")))
 def default_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = bronze(spark, sf_dir, "polExternalID", "catOrderStatus", "insertDateTime")
     filled = legacy_default(F.col("catOrderStatus"), F.col("insertDateTime"), "Open")

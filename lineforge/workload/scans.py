@@ -17,7 +17,7 @@ from lineforge.sources.files import (
     write_delimited,
     write_parquet,
 )
-from lineforge.sources.pages import page_lines, read_pages, write_pages
+from lineforge.sources.pages import UNKNOWN, page_lines, read_pages, write_pages
 from lineforge.sources.seeds import load_seed, write_status_seed
 from lineforge.sources.tables import append_table, overwrite_table, scan_table
 from lineforge.sources.zones import land_raw, read_raw, stage_table
@@ -33,13 +33,9 @@ def fresh_database(spark: SparkSession, purpose: str) -> tuple[str, str]:
     return f"lineforge_{purpose}_{uuid.uuid4().hex[:12]}", run_dir(spark, purpose)
 
 
-@query(
-    "scan_parquet",
-    "select l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag from lineitem",
-)
+@query("scan_parquet", "select * from lineitem")
 def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = read_parquet(spark, f"{sf_dir}/lineitem.parquet")
-    return lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    return read_parquet(spark, f"{sf_dir}/lineitem.parquet")
 
 
 @query("write_parquet", "select doc_id, text, lang, source, n_chars from documents")
@@ -47,13 +43,10 @@ def write_parquet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_parquet(read(spark, sf_dir, "documents"), run_dir(spark, "write_parquet"))
 
 
-@query(
-    "append_parquet",
-    "select o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority from orders",
-)
+@query("append_parquet", "select * from orders")
 def append_parquet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "append_parquet")
-    orders = read(spark, sf_dir, "orders").drop("o_orderdate")
+    orders = read(spark, sf_dir, "orders")
     finished = F.col("o_orderstatus") == "F"
     write_parquet(orders.filter(finished), path)
     return append_parquet(orders.filter(~finished), path)
@@ -82,7 +75,26 @@ def write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = run_dir(spark, "write_csv")
     parts = read(spark, sf_dir, "part")
     write_delimited(parts, path)
-    return read_delimited(spark, path, schema=parts.schema, multi_line=False)
+    return read_delimited(spark, path, schema=parts.schema)
+
+
+@query(
+    "csv_multi_line",
+    """select doc_id, case doc_id % 3 when 0 then text || chr(92) when 1 then '"' || text || '"|'
+       else text || chr(10) || 'end' end as text, lang from documents""",
+)
+def csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, separators, quotes and a backslash at the end, there and back."""
+    path = run_dir(spark, "csv_multi_line")
+    end = F.pmod("doc_id", F.lit(3))
+    text = (
+        F.when(end == 0, F.concat("text", F.lit("\\")))
+        .when(end == 1, F.concat(F.lit('"'), F.col("text"), F.lit('"|')))
+        .otherwise(F.concat("text", F.lit("\nend")))
+    )
+    docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang")
+    write_delimited(docs, path, escape_quotes=True)
+    return read_delimited(spark, path, schema=docs.schema, multi_line=True)
 
 
 @query(
@@ -100,14 +112,14 @@ def table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overwrite_table(customers, path, "customer", database)
 
 
-@query("table_append", "select o_orderkey, o_orderstatus, o_totalprice from orders")
+@query("table_append", "select * from orders")
 def table_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     database, location = fresh_database(spark, "table_append")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    orders = read(spark, sf_dir, "orders")
     shipped = F.col("o_orderstatus") == "F"
     path = f"{location}/orders"
     append_table(orders.filter(shipped), path, "orders", database, database_location=location)
-    others = orders.filter(~shipped).select("o_totalprice", "o_orderkey", "o_orderstatus")
+    others = orders.filter(~shipped).select(*reversed(orders.columns))
     return append_table(others, path, "orders", database)
 
 
@@ -131,7 +143,7 @@ def table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "raw_landing",
-    """select o_orderkey, o_totalprice, case o_orderstatus when 'F' then date '2024-01-01'
+    """select *, case o_orderstatus when 'F' then date '2024-01-01'
        when 'O' then date '2024-01-02' else date '2024-01-03' end as landing_date from orders""",
 )
 def raw_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +152,7 @@ def raw_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def land(status: str, day: date) -> None:
         part = orders.filter(F.col("o_orderstatus") == status)
-        land_raw(part.select("o_orderkey", "o_totalprice"), "lake", "orders", day, uri)
+        land_raw(part, "lake", "orders", day, uri)
 
     land("F", date(2024, 1, 1))
     land("P", date(2024, 1, 2))
@@ -149,41 +161,79 @@ def raw_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_raw(spark, "lake", "orders", uri=uri)
 
 
-@query("stage_table", "select event_id, user_id, event_type, value, props from events")
+@query("stage_table", "select * from events")
 def stage_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = run_dir(spark, "stage_table") + "/{account}/{zone}"
     day = date(2024, 1, 31)
-    events = read(spark, sf_dir, "events").drop("ts")
+    events = read(spark, sf_dir, "events")
     land_raw(events, "lake", "events", day, uri)
     database, _ = fresh_database(spark, "stage_table")
     return stage_table(spark, "lake", "events", day, "events_tmp", database, uri)
 
 
-def lines_for_pages(lines: DataFrame, first_day: date) -> DataFrame:
+def lines_for_pages(lines: DataFrame, first_day: date, *more: str) -> DataFrame:
     """Bronze lines with page number, status directory and one of three day directories."""
     key = F.col("polExternalID").cast("bigint")
     return lines.select(
         *SOURCE_COLUMNS,
+        *more,
         F.coalesce("catOrderStatus", F.lit("Open")).alias("orderStatus"),
         F.date_add(F.lit(first_day), (key % 3).cast("int")).alias("fromDate"),
         F.floor(key / (PAGE_LINES * 3)).alias("page"),
     )
 
 
-@query(
-    "json_pages",
-    with_(
-        BRONZE,
-        f"""select {', '.join(SOURCE_COLUMNS)}, coalesce(catOrderStatus, 'Open') as "orderStatus",
-        date '2024-01-01' + cast(cast(polExternalID as bigint) % 3 as integer) as "fromDate"
-        from bronze""",
-    ),
-)
-def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+# Every so many lines have a field the schema does not name, a nested object, no carrier name.
+NEW_FIELD, NESTED, MISSING = 7, 5, 11
+
+
+def _pages_sql() -> str:
+    names = [c for c in SOURCE_COLUMNS if c != "carrierName"]
+    broken = ["cast(p_partkey as varchar)" if c == "polExternalID" else "null" for c in names]
+    return with_(
+        f"{BRONZE}, numbered as (select *, cast(polExternalID as bigint) as k from bronze)",
+        f"""select {', '.join(names)}, case when k % {MISSING} <> 0 then carrierName end as carrierName,
+        case when k % {NEW_FIELD} = 0 then 'new ' || polExternalID end as added,
+        case when k % {NESTED} = 0 then '{{"code":"' || carrierCode || '","legs":[1,2]}}' end as route,
+        coalesce(catOrderStatus, 'Open') as "orderStatus",
+        date '2024-01-01' + cast(k % 3 as integer) as "fromDate" from numbered
+        union all
+        select {', '.join(broken)}, 'whole', null, null, 'Open', date '2024-01-02' from part""",
+    )
+
+
+def some_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Sound pages and pages that break off; returns their folder."""
     path = run_dir(spark, "json_pages")
-    lines = bronze_table(spark, sf_dir)
-    write_pages(lines_for_pages(lines, date(2024, 1, 1)), path, "page")
-    return page_lines(read_pages(spark, path, LINE_SCHEMA, as_of=date(2024, 1, 3)))
+    key = F.col("polExternalID").cast("bigint")
+    legs = F.struct(F.col("carrierCode").alias("code"), F.array(F.lit(1), F.lit(2)).alias("legs"))
+    lines = bronze_table(spark, sf_dir).withColumns(
+        {
+            "carrierName": F.when(key % MISSING != 0, F.col("carrierName")),
+            "added": F.when(key % NEW_FIELD == 0, F.concat(F.lit("new "), "polExternalID")),
+            "route": F.when(key % NESTED == 0, legs),
+        }
+    )
+    write_pages(lines_for_pages(lines, date(2024, 1, 1), "added", "route"), path, "page")
+    broken = read(spark, sf_dir, "part").select(
+        F.concat(
+            F.lit('{"partOrderLines":[{"polExternalID":"'),
+            F.col("p_partkey").cast("string"),
+            F.lit('","carrierName":"whole"},{"polExternalID":"cut off","carri'),
+        ).alias("value"),
+        F.lit("Open").alias("orderStatus"),
+        F.lit("2024-01-02").alias("fromDate"),
+    )
+    broken.write.partitionBy("orderStatus", "fromDate").mode("append").text(path)
+    return path
+
+
+@query("json_pages", _pages_sql(), fixture=some_pages)
+def json_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of sound pages with all their fields, and the whole lines of pages that break off."""
+    found = page_lines(read_pages(spark, path, as_of=date(2024, 1, 3)), LINE_SCHEMA)
+    other = F.col(UNKNOWN)
+    return found.withColumns({"added": other["added"], "route": other["route"]}).drop(UNKNOWN)
 
 
 @query(
@@ -229,13 +279,20 @@ def seed_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "dtype_schema",
-    """select event_id, cast(user_id as integer) as user_id, event_type,
-       cast(value as double) as value from events""",
+    """select event_id, ts, cast(user_id as integer) as user_id, event_type,
+       cast(value as double) as value, props from events""",
 )
 def dtype_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events read as text and typed by a mapping of pandas dtypes."""
     schema = schema_from_dtypes(
-        {"event_id": "int64", "user_id": "int32", "event_type": "object", "value": "float64"}
+        {
+            "event_id": "int64",
+            "ts": "datetime64[ns]",
+            "user_id": "int32",
+            "event_type": "object",
+            "value": "float64",
+            "props": "object",
+        }
     )
     text = read(spark, sf_dir, "events").select(
         *(F.col(f.name).cast("string").alias(f.name) for f in schema)

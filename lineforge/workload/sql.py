@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
-from lineforge.plans.columns import BRONZE_COLUMNS
 from lineforge.workload.bronze import bronze_sql
 
+# Written out here so that a column missing from a model is missed by its check.
 INTS = (
     "sourcedItemQuantity releaseItemQuantity pendingItemQuantity orderedQuantity "
     "materialRequestQuantity invoicedItemQuantity customerSuppliedItemNumber"
 ).split()
 SLASHED = "shippedPGIDate orderEntryDate estimatedShipDate shipByDate".split()
+TRIMMED = (
+    "transportMode trackingNumber status sourcedPartNumber sourceCustomerCode shipId reservePrimPSO "
+    "polExternalID partNumber orderType orderlineName modifiedDateTime lastActivityDateTime "
+    "isTransferOrder isTrackingActive invoiceReferenceNumber invoiceNumber huNumber facilityPSO "
+    "facilityName customerReference crmBillNumber createdDateTime containerNumber carrierName "
+    "carrierCode airwayBillNumber customerStorageLocation keyCatCustomerCode profile relatedCustomer "
+    "insertDateTime changedDateTime"
+).split()
 
 
 def int_sql(e: str) -> str:
-    return (
-        f"case when regexp_full_match(trim({e}), '[+-]?[0-9]+([.][0-9]*)?') "
-        f"then try_cast(trunc(try_cast(trim({e}) as decimal(38,6))) as integer) end"
-    )
+    """By decimal arithmetic, after white space of any kind is gone."""
+    bare = f"regexp_replace({e}, '^\\s+|\\s+$', '', 'g')"
+    return f"try_cast(trunc(try_cast({bare} as decimal(38,6))) as integer)"
 
 
 def date_sql(e: str) -> str:
@@ -26,49 +33,58 @@ def date_sql(e: str) -> str:
     )
 
 
-PSO = (
-    "case when length(trim(pso)) = 8 and insertDateTime is null then '0' || pso else trim(pso) end"
-)
-PURGED = (
-    "case when isPurged is null and insertDateTime is null then 'false' else trim(isPurged) end"
-)
-CAT_STATUS = (
-    "case when insertDateTime is null and catOrderStatus is null then 'Open' "
-    "else trim(catOrderStatus) end"
-)
+# What differs between lines without an insert time and all others.
+LEGACY = {
+    "PSO": "regexp_replace(trim(pso), '^(.{8})$', '0\\1')",
+    "ISPURGED": "coalesce(trim(isPurged), 'false')",
+    "CATORDERSTATUS": "coalesce(trim(catOrderStatus), 'Open')",
+}
+CURRENT = {
+    "PSO": "trim(pso)",
+    "ISPURGED": "trim(isPurged)",
+    "CATORDERSTATUS": "trim(catOrderStatus)",
+}
 
 
-def _silver_columns() -> str:
-    special = {"pso": PSO, "isPurged": PURGED, "catOrderStatus": CAT_STATUS}
-    out = []
-    for name in BRONZE_COLUMNS:
-        if name in INTS:
-            e = int_sql(name)
-        elif name in SLASHED:
-            e = date_sql(name)
-        else:
-            e = special.get(name, f"trim({name})")
-        alias = "DEALERCODE" if name == "customerCode" else name.upper()
-        out.append(f"{e} as {alias}")
-    return ",\n  ".join(out)
+def by_age(name: str, alias: str) -> str:
+    """Keys and one such column: legacy lines, then all others."""
+    parts = [
+        f'select polExternalID, {rule[name]} as "{alias}" from bronze where insertDateTime is {age}'
+        for rule, age in ((LEGACY, "null"), (CURRENT, "not null"))
+    ]
+    return " union all ".join(parts)
+
+
+def _silver_columns(special: dict[str, str]) -> str:
+    made = {name.upper(): int_sql(name) for name in INTS}
+    made |= {name.upper(): date_sql(name) for name in SLASHED}
+    made |= {name.upper(): f"trim({name})" for name in TRIMMED}
+    made |= {"DEALERCODE": "trim(customerCode)", **special}
+    return ",\n  ".join(f"{e} as {alias}" for alias, e in made.items())
 
 
 SEED = """select * from (values ('1','Future Dated'), ('2','ESD Needed'), ('6','Cancelled'),
   ('4','Sourced'), ('5','Shipped'), ('7','Griefed'), ('0','Null')) as t(sequence, status)"""
 
-FACT_COLUMNS = [
-    {"customerCode": "dealercode"}.get(name, name.lower())
-    for name in BRONZE_COLUMNS
-    if name not in ("status", "carrierName")
-]
-
 BRONZE = f"bronze as ({bronze_sql()})"
-SILVER = f"{BRONZE},\nsilver as (select {_silver_columns()} from bronze)"
+SILVER = f"""{BRONZE},
+silver as (
+  select {_silver_columns(LEGACY)} from bronze where insertDateTime is null
+  union all by name
+  select {_silver_columns(CURRENT)} from bronze where insertDateTime is not null)"""
+
+
+def _fact_columns() -> str:
+    names = [*INTS, *SLASHED, *TRIMMED, "PSO", "ISPURGED", "CATORDERSTATUS", "DEALERCODE"]
+    kept = [n for n in names if n not in ("status", "carrierName")]
+    return ", ".join(f"kept.{n} as {n.lower()}" for n in kept)
+
+
 STATUS = f"status as (select cast(sequence as integer) as sequence, trim(status) as status from ({SEED}))"
 FACT = f"""{SILVER},
 {STATUS},
-fact as (select s.sequence as status_code, {', '.join(f'p.{c} as {c}' for c in FACT_COLUMNS)}
-  from silver p left join status s on p.status = s.status)"""
+fact as (select coded.sequence as status_code, {_fact_columns()}
+  from silver kept left join status coded on kept.STATUS = coded.status)"""
 
 FEATURES = f"""{FACT},
 extracted as (

@@ -43,9 +43,21 @@ def test_nan_to_null_touches_floats_only(spark):
 
 
 def test_void_to_string(spark):
-    df = spark.range(1).select("id", F.lit(None).alias("v"), F.array(F.lit(None)).alias("w"))
-    types = dict(ops.void_to_string(df).dtypes)
-    assert types == {"id": "bigint", "v": "string", "w": "string"}
+    nothing = F.lit(None)
+    df = spark.range(1).select(
+        "id",
+        nothing.alias("v"),
+        F.array(nothing).alias("w"),
+        F.struct(F.lit(True).alias("voided"), F.struct(nothing.alias("x")).alias("y")).alias("s"),
+        F.struct(F.lit(1).alias("voided")).alias("t"),
+        F.create_map(F.lit("k"), nothing).alias("m"),
+    )
+    done = ops.void_to_string(df)
+    assert dict(done.dtypes) == {
+        "id": "bigint", "v": "string", "w": "array<string>", "m": "map<string,string>",
+        "s": "struct<voided:boolean,y:struct<x:string>>", "t": "struct<voided:int>",
+    }
+    assert done.first()["s"]["voided"] is True
 
 
 def test_flatten_structs(spark):

@@ -1,15 +1,16 @@
 """The daily job over two days."""
 
+import dataclasses
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import bag
-from lineforge.operators.skew import HotKeys
 from lineforge.plans import daily
 from lineforge.sources.pages import write_pages
 from lineforge.sources.seeds import write_status_seed
-from lineforge.sources.tables import buckets_of, scan_table
+from lineforge.sources.tables import BUCKET, buckets_in, scan_table
 from lineforge.workload.sql import WEIGHTS
 
 
@@ -46,7 +47,7 @@ def test_two_days(spark, folder):
     assert bag(tables["bronze.parts"].groupBy("catOrderStatus").count()) == [("Closed", 2), ("Open", 4)]
     assert bag(tables["gold.factEmergencyOrder"]) == [("North", "EMERGENCY", 8)]
     assert tables["gold.deliveryprediction"].count() == 6
-    assert buckets_of(spark, "parts", "two_bronze").number == 4
+    assert set(buckets_in(scan_table(spark, "parts", "two_bronze"))) <= set(range(4))
 
     second = lines(spark, range(5, 9), "Open", "2024-01-11", shippedPGIDate="2024-01-11",
                    estimatedShipDate="2024-01-12", pendingItemQuantity="1")
@@ -71,7 +72,7 @@ def test_two_days(spark, folder):
 
 
 def test_windows_bound_what_is_read(spark, folder):
-    where = lake(spark, folder, "bound")
+    where = lake(spark, folder, "bound", bad_pages=0.5)
     write_pages(
         lines(spark, [1], "Open", "2024-01-07").unionByName(lines(spark, [2], "Open", "2024-01-08")),
         where.pages, "page",
@@ -81,6 +82,9 @@ def test_windows_bound_what_is_read(spark, folder):
     assert bag(scan_table(spark, "parts", "bound_bronze"), "polExternalID") == [("2",)]
     assert daily.unreadable(spark, where, "2024-01-10 01:20:32").count() == 1
     assert daily.unreadable(spark, where, "2024-01-12 01:20:32").count() == 0
+    strict = dataclasses.replace(where, bad_pages=0.01)
+    with pytest.raises(daily.DamagedPages, match="1 of 2"):
+        daily.ingest(spark, strict, "2024-01-10 01:20:32")
 
 
 def test_cold_start_scores_nothing_unless_told(spark, folder):
@@ -92,21 +96,23 @@ def test_cold_start_scores_nothing_unless_told(spark, folder):
     assert [r[0] for r in failed] == ["not_null"]  # the pages hold no isPurged
 
 
-def test_hot_keys_keep_the_snapshot_unbucketed(spark, folder, monkeypatch):
-    where = lake(spark, folder, "hot", snapshot_buckets=4)
-    assert where.layout().number == 4 and where.layout(HotKeys((1,), 2)) is None
-    write_pages(lines(spark, range(40), "Open", "2024-01-10"), where.pages, "page")
-    daily.ingest(spark, where, "2024-01-10 01:20:32")
-    assert buckets_of(spark, "parts", "hot_bronze").number == 4
-    monkeypatch.setattr(daily, "find_hot_keys", lambda df, keys: HotKeys((1,), 2))
-    assert daily.ingest(spark, where, "2024-01-10 01:20:32").count() == 40
-    assert buckets_of(spark, "parts", "hot_bronze") is None
-
-
-def test_buckets_stay_few_files(spark, folder):
-    where = lake(spark, folder, "few", snapshot_buckets=4)
-    write_pages(lines(spark, range(200), "Open", "2024-01-10"), where.pages, "page")
-    for _ in range(3):
-        merged = daily.ingest(spark, where, "2024-01-10 01:20:32")
-        assert len(merged.inputFiles()) <= 2 * 4
-        assert merged.count() == 200
+def test_raw_keeps_fields_the_schema_does_not_name(spark, folder):
+    where = lake(spark, folder, "wide")
+    more = lines(spark, range(3), "Open", "2024-01-10").withColumn("size", F.struct(F.lit(1).alias("w")))
+    write_pages(more, where.pages, "page")
+    merged = daily.ingest(spark, where, "2024-01-10 01:20:32")
+    assert len(merged.columns) == 48
+    raw = spark.read.parquet(folder + "/a/raw/parts/*/parts.snappy.parquet")
+    assert bag(raw.select("otherFields.size")) == [('{"w":1}',)] * 3
+    report = daily.run(spark, where, WEIGHTS, "2024-01-13 01:20:32")["checks"]
+    assert bag(report.filter("check_name = 'freshness'"), "failures", "passed") == [(1, False)]
+
+
+def test_files_per_bucket_stay_one(spark, folder):
+    where = lake(spark, folder, "ten", snapshot_buckets=4)
+    for day in range(10, 20):
+        new = range(day * 10, day * 10 + 30)
+        write_pages(lines(spark, new, "Open", f"2024-01-{day}"), where.pages, "page")
+        merged = daily.ingest(spark, where, f"2024-01-{day} 01:20:32")
+        assert len(merged.inputFiles()) == 4
+    assert merged.count() == 120 and BUCKET not in merged.columns

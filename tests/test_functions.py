@@ -26,12 +26,15 @@ def ansi(spark, request):
 
 def test_truncated_int(spark, ansi):
     texts = [" 12 ", "1.5", "-2.9", "-0.5", "7.", "abc", "", "1e3", "99999999999", None, "+4"]
+    texts += [".5", "-.9", "\t1.5", "\n 8.25\r", ".", "-.", "1.2.3", "+.0"]
     expected = [12, 1, -2, 0, 7, None, None, None, None, None, 4]
+    expected += [0, 0, 1, 8, 0, 0, None, 0]
     assert apply(spark, truncated_int, texts) == expected
 
 
 def test_truncated_int_agrees_with_the_lenient_cast(spark):
     texts = ["12", "1.5", "-2.9", "", "abc", "2147483647", "2147483648", "1.2.3", " 8", "--1", None]
+    texts += [".5", "-.9", "\t1.5", "7.", ".", "-", "\t4\n"]
     mine = apply(spark, truncated_int, texts)
     spark.conf.set("spark.sql.ansi.enabled", "false")
     try:

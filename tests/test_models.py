@@ -54,18 +54,31 @@ def test_fact_status_codes(spark):
     ]
 
 
-def test_fact_fans_out_on_a_repeated_status_and_survives_a_large_lookup(spark, monkeypatch):
+def test_fact_fans_out_on_a_repeated_status(spark):
     rows = [dict(polExternalID=str(i), status="Shipped") for i in range(40)]
     parts, status = parts_and_status(spark, *rows)
     doubled = status.unionByName(status)
-    small = gold.fact_parts(parts, doubled)
-    monkeypatch.setattr(gold, "is_small", lambda df: False)
-    large = gold.fact_parts(parts, doubled)
-    assert small.count() == 80 and bag(small) == bag(large)
-
-
-def test_is_small(spark):
-    assert gold.is_small(spark.range(10), 10) and not gold.is_small(spark.range(11), 10)
+    spread = gold.fact_parts(parts, doubled)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = gold.fact_parts(parts, doubled)
+        assert spread.count() == 80 and bag(spread) == bag(shuffled)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_models_emit_the_contract_s_order(spark):
+    parts, status = parts_and_status(spark, {})
+    assert parts.columns[:9] == [
+        "SOURCEDITEMQUANTITY", "RELEASEITEMQUANTITY", "PENDINGITEMQUANTITY", "ORDEREDQUANTITY",
+        "MATERIALREQUESTQUANTITY", "INVOICEDITEMQUANTITY", "CUSTOMERSUPPLIEDITEMNUMBER",
+        "TRANSPORTMODE", "TRACKINGNUMBER",
+    ]
+    assert parts.columns[-3:] == ["SHIPBYDATE", "INSERTDATETIME", "CHANGEDDATETIME"]
+    fact = gold.fact_parts(parts, status)
+    assert fact.columns[:5] == [
+        "transportmode", "trackingnumber", "sourcedpartnumber", "status_code", "sourceditemquantity",
+    ]
 
 
 def test_dimcarrier_keeps_the_pair_of_nulls(spark):

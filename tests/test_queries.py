@@ -2,15 +2,19 @@
 
 import pytest
 
-from lineforge.operators import antijoin, dedupe, skew, upsert
-from lineforge.plans import gold
+from lineforge.operators.antijoin import not_in
+from lineforge.operators.dedupe import dedupe_max_max
+from lineforge.operators.sampling import holdout_tail
+from lineforge.operators.upsert import upsert
+from lineforge.plans import gold, silver
 from lineforge.workload.all import ORACLES, QUERIES
+from lineforge.workload.bronze import bronze_table
 from lineforge.workload.compare import oracle_connection, verdict
 
 # Operators of the inventory, by the key under which they are registered.
 INVENTORY = """
 scan_parquet write_parquet append_parquet read_csv write_csv table_overwrite table_append
-raw_landing stage_table json_pages flatten_struct seed_status table_scan dtype_schema
+csv_multi_line raw_landing stage_table json_pages flatten_struct seed_status table_scan dtype_schema
 clean_columns add_md apply_schema to_integer to_timestamp mdy_to_date iso_to_date nan_to_null
 void_to_string stamp_provenance silver_parts silver_status gold_dimstatus cast_int trim_all
 mixed_date pso_pad default_purged default_status day_diffs encode_categories filter_not_null
@@ -37,23 +41,21 @@ def test_query(spark, small, duck, name):
     assert verdict(QUERIES[name](spark, small), duck, ORACLES[name]).startswith("ok")
 
 
-@pytest.mark.parametrize(
-    "name",
-    ["dedupe_max_max", "not_in_anti", "merge_upsert", "gold_factparts", "score_append"],
-)
-def test_query_with_spread_keys(spark, small, duck, name, monkeypatch):
-    """The same rows when keys count as hot and the lookup as large."""
-    found = []
-
-    def find(df, keys):
-        found.append(skew.find_hot_keys(df, keys, share=0.0005, min_rows=1, rows_per_salt=1))
-        return found[-1]
-
-    for module in (dedupe, antijoin, upsert, gold):
-        monkeypatch.setattr(module, "find_hot_keys", find)
-    monkeypatch.setattr(gold, "is_small", lambda df: False)
-    assert verdict(QUERIES[name](spark, small), duck, ORACLES[name]).startswith("ok")
-    assert any(found)
+def test_building_an_operator_runs_nothing(spark, small):
+    lines = bronze_table(spark, small)
+    parts = silver.silver_parts(lines)
+    status = spark.createDataFrame([(1, "Shipped")], "sequence int, status string")
+    keyed = lines.selectExpr("polExternalID as k", "insertDateTime as JOTSTP", "pso as JOSEQN")
+    spark.sparkContext.setJobGroup("building", "operators")
+    try:
+        dedupe_max_max(keyed, ["k"])
+        not_in(lines, lines.limit(3), "polExternalID")
+        upsert(lines, lines)
+        gold.fact_parts(parts, status)
+        holdout_tail(lines, ("orderEntryDate", "polExternalID"))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_entry(spark):

@@ -6,11 +6,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import bag
-from lineforge.operators import increments, sampling, skew
+from conftest import bag, plan
+from lineforge.operators import increments, sampling
 from lineforge.operators.antijoin import not_in
 from lineforge.operators.dedupe import dedupe_latest, dedupe_max_max
-from lineforge.operators.upsert import DuplicateKeys, latest_lines, require_unique, upsert
+from lineforge.operators.upsert import DUPLICATE, latest_lines, merge_statement, unique_or_error, upsert
 
 
 def skewed(spark, rows=3000, seed=1):
@@ -25,53 +25,6 @@ def skewed(spark, rows=3000, seed=1):
     ).repartition(8)
 
 
-def find(df, keys):
-    return skew.find_hot_keys(df, keys, share=0.1, min_rows=10, rows_per_salt=100)
-
-
-def test_hot_keys_are_found_and_bounded(spark):
-    _, df = skewed(spark)
-    hot = find(df, ["k"])
-    expected = df.filter("k = 7").select(F.xxhash64("k")).first()[0]
-    assert hot.hashes == (expected,) and hot.salts >= 9
-    assert not skew.find_hot_keys(df, ["k"])  # too few rows to bother
-    assert not find(spark.range(5000), ["id"])
-    assert not find(spark.range(0), ["id"])
-
-
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-@pytest.mark.parametrize("null_safe", [False, True])
-def test_salted_join_equals_plain_join(spark, how, null_safe):
-    _, df = skewed(spark)
-    other = spark.createDataFrame(
-        [(k, f"o{k}") for k in range(0, 400, 2)] + [(7, "seven"), (7, "again"), (None, "none")],
-        "k int, o string",
-    )
-    hot = find(df, ["k"])
-    assert hot
-    salted = skew.join_by_key(df, other, ["k"], how, hot, null_safe)
-    plain = skew.join_by_key(df, other, ["k"], how, skew.NO_HOT_KEYS, null_safe)
-    apart = skew.join_by_key(df, other, ["k"], how, hot, null_safe, unique=True)
-    assert salted.columns == plain.columns == apart.columns
-    assert bag(salted) == bag(plain) == bag(apart)
-
-
-def test_salting_spreads_the_hot_key(spark):
-    _, df = skewed(spark)
-    other = spark.createDataFrame([(7, "seven")], "k int, o string").hint("shuffle_merge")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        joined = skew.join_by_key(df, other, ["k"], "inner", find(df, ["k"]))
-        assert joined.select(F.spark_partition_id()).distinct().count() > 1
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-
-
-def test_salted_join_refuses_full_outer(spark):
-    with pytest.raises(ValueError):
-        skew.join_by_key(spark.range(1), spark.range(1), ["id"], "full", skew.NO_HOT_KEYS)
-
-
 def max_max(data):
     tops = {}
     for k, t, s, _ in data:
@@ -80,12 +33,31 @@ def max_max(data):
     return sorted([r for r in data if (r[1].strip(), r[2].strip()) == tops[r[0]]], key=repr)
 
 
-def test_dedupe_max_max_with_and_without_hot_keys(spark):
+def test_dedupe_max_max_with_a_frequent_key(spark):
     data, df = skewed(spark)
     expected = max_max(data)
     assert {r[0] for r in expected} < {r[0] for r in data}  # some keys keep nothing
-    assert bag(dedupe_max_max(df, ["k"], hot=skew.NO_HOT_KEYS)) == expected
-    assert bag(dedupe_max_max(df, ["k"], hot=find(df, ["k"]))) == expected
+    assert bag(dedupe_max_max(df, ["k"])) == expected
+
+
+@pytest.mark.parametrize("share", [0.005, 0.9])
+def test_no_task_joins_a_whole_frequent_group(spark, share):
+    """Rows of one key arrive in many partitions of the join, whatever its share."""
+    n = 4000
+    rows = [("hot" if i < share * n else f"k{i}", str(i % 97), str(i % 13), i) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, JOTSTP string, JOSEQN string, i int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(dedupe_max_max(df, ["k"]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Window" not in text
+    # Rows are dealt out by key, stamp and sequence; only partial maxima by the key alone.
+    exchanges = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 3 and sum("trim(JOTSTP" in x or "__stamp" in x for x in exchanges) == 2
+    assert bag(dedupe_max_max(df, ["k"])) == max_max(rows)
 
 
 def test_dedupe_max_max_compares_text_and_keeps_ties(spark):
@@ -126,9 +98,23 @@ def test_not_in_matches_sql(spark, excluded):
 
 
 def test_not_in_with_a_hot_key(spark):
-    _, df = skewed(spark)
-    out = spark.range(0, 400, 3).select(F.col("id").cast("int").alias("k"))
-    assert bag(not_in(df, out, "k", hot=find(df, ["k"]))) == bag(not_in(df, out, "k"))
+    data, df = skewed(spark)
+    out = spark.createDataFrame([(k,) for k in [7, 7, *range(0, 400, 3)]], "k int")
+    gone = {7, *range(0, 400, 3)}
+    kept = [r for r in data if r[0] is not None and r[0] not in gone]
+    assert bag(not_in(df, out, "k")) == sorted(kept, key=repr)
+
+
+def test_upsert_spreads_rows_without_a_key(spark):
+    rows = [(None, f"v{i}", "t", None) for i in range(400)]
+    batch = batch_of(spark, [(f"w{i}", "T", None) for i in range(400)])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        merged = upsert(snapshot_of(spark, rows), batch)
+        sizes = merged.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(r["count"] for r in sizes) == 800 and max(r["count"] for r in sizes) < 400
 
 
 COLUMNS = "polExternalID string, v string, insertDateTime string, changedDateTime string"
@@ -184,22 +170,29 @@ def test_upsert_random_with_hot_snapshot_key(spark):
     expected += [(None, "x", "T", None)]
     snapshot = snapshot_of(spark, rows).repartition(8)
     batch = batch_of(spark, [(v, "T", k) for k, v in new.items()] + [("x", "T", None)])
-    hot = find(snapshot, ["polExternalID"])
-    assert hot
-    for keys in (hot, skew.NO_HOT_KEYS):
-        assert bag(upsert(snapshot, batch, hot=keys)) == sorted(expected, key=repr)
+    assert bag(upsert(snapshot, batch)) == sorted(expected, key=repr)
 
 
 def test_upsert_refuses_duplicates_and_missing_columns(spark):
     snapshot = snapshot_of(spark, [("1", "a", "t0", None)])
     twice = batch_of(spark, [("x", "t1", "1"), ("y", "t1", "1")])
-    with pytest.raises(DuplicateKeys):
-        upsert(snapshot, twice)
-    require_unique(batch_of(spark, [("x", "t", None), ("y", "t", None)]), "polExternalID")
+    with pytest.raises(Exception, match=DUPLICATE):
+        upsert(snapshot, twice).collect()
+    nameless = batch_of(spark, [("x", "t", None), ("x", "t", None)])
+    assert unique_or_error(nameless, "polExternalID").count() == 2
     with pytest.raises(ValueError, match="lacks"):
         upsert(snapshot, twice.drop("v"))
 
 
+def test_merge_statement_is_sql_and_says_the_same(spark):
+    text = merge_statement("`db`.`parts`", "batch", ["polExternalID", "v", "insertDateTime", "changedDateTime"])
+    spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    matched, new = text.split("WHEN NOT MATCHED")
+    assert "t.`changedDateTime` = s.`insertDateTime`" in matched and "t.`v` = s.`v`" in matched
+    assert "t.`insertDateTime` =" not in matched
+    assert "NULL" in new
+
+
 def test_latest_lines(spark):
     rows = [
         ("1", "Open", "2024-01-02", "m9"), ("1", "Closed", "2024-01-02", "m1"),
@@ -242,10 +235,24 @@ def test_holdout_parts_are_disjoint_and_complete(spark, n):
     assert bag(head) == sorted(ordered[: max(0, 1000 - n)], key=repr)
 
 
-def test_top_n_equals_order_by_limit(spark):
-    df = spark.range(5000).withColumn("x", F.xxhash64("id")).repartition(16)
-    merged = sampling.top_n(df, [F.col("x").desc()], 37, fan_in=4)
-    assert bag(merged) == bag(df.orderBy(F.col("x").desc()).limit(37))
+def test_holdout_of_one_day_and_of_nulls(spark):
+    df = spark.createDataFrame([(None, i) for i in range(50)] + [("d", i) for i in range(5)], "d string, i int")
+    assert bag(sampling.holdout_tail(df, ["d", "i"], 8)) == sorted(
+        [("d", i) for i in range(5)] + [(None, i) for i in (47, 48, 49)], key=repr
+    )
+    assert sampling.holdout_head(df, ["d", "i"], 8).count() == 47
+    assert sampling.holdout_tail(df.filter("false"), ["d", "i"], 8).count() == 0
+
+
+def test_holdout_sorts_no_whole_partition(spark, folder):
+    df = spark.range(2000).selectExpr("cast(id % 40 as string) as d", "id as i")
+    df.write.parquet(folder + "/h")
+    text = plan(sampling.holdout_tail(spark.read.parquet(folder + "/h"), ["d", "i"], 100))
+    assert "TakeOrderedAndProject(limit=100" in text and "RoundRobin" not in text
+    lines = [line.strip(" :+-*()0123456789") for line in text.splitlines()]
+    # What is sorted in full are the distinct first values, and the last hundred rows.
+    below = {lines[i + 1].split()[0] for i, line in enumerate(lines) if line.startswith("Sort ")}
+    assert below <= {"Exchange", "TakeOrderedAndProject"} and "FileScan" not in below
 
 
 def test_split_is_repeatable_disjoint_and_complete(spark):

@@ -25,7 +25,7 @@ def test_empty_path_raises(spark):
 def test_read_delimited_multi_line_and_escape(spark, folder):
     path = Path(folder) / "a.csv"
     path.write_text('k|v\n1|"two\nlines"\n2|"say \\"hi\\""\n')
-    assert bag(files.read_delimited(spark, str(path))) == [
+    assert bag(files.read_delimited(spark, str(path), multi_line=True)) == [
         ("1", "two\nlines"), ("2", 'say "hi"'),
     ]
 
@@ -49,7 +49,7 @@ def test_write_delimited(spark, folder):
 def test_quotes_survive_only_when_escaped(spark, folder):
     df = spark.createDataFrame([("a", 'say "hi" | ok\nnext')], "k string, v string")
     files.write_delimited(df, folder + "/q", escape_quotes=True)
-    assert bag(files.read_delimited(spark, folder + "/q")) == bag(df)
+    assert bag(files.read_delimited(spark, folder + "/q", multi_line=True)) == bag(df)
 
 
 def test_zone_path():
@@ -90,20 +90,57 @@ def test_append_goes_by_name_and_creates(spark, folder):
     assert bag(done) == [(1, "a"), (2, "b")]
 
 
-def test_bucketed_table_keeps_its_layout(spark, folder):
+def test_append_refuses_other_columns(spark, folder):
+    args = (folder + "/t", "t", "db_strict")
+    tables.append_table(spark.createDataFrame([(1, "a")], "k int, v string"), *args, database_location=folder)
+    with pytest.raises(tables.SchemaMismatch, match="extra"):
+        tables.append_table(spark.createDataFrame([(1, "a", 2)], "k int, v string, extra int"), *args)
+    with pytest.raises(tables.SchemaMismatch, match="'v'"):
+        tables.append_table(spark.createDataFrame([(1,)], "k int"), *args)
+    assert tables.scan_table(spark, "t", "db_strict").count() == 1
+
+
+def bucket_files(df):
+    found = {}
+    for name in df.inputFiles():
+        path = Path(name.removeprefix("file://"))
+        found.setdefault(path.parent.name, {})[path.name] = path.stat().st_mtime_ns
+    return found
+
+
+def test_only_touched_buckets_are_written(spark, folder):
     layout = tables.Buckets(4, "id")
     args = (folder + "/t", "t", "db_buckets")
-    tables.overwrite_table(spark.range(50), *args, database_location=folder, buckets=layout)
-    assert tables.buckets_of(spark, "t", "db_buckets") == layout
-    again = tables.scan_table(spark, "t", "db_buckets").filter("id < 10")
-    assert tables.overwrite_table(again, *args, buckets=layout).count() == 10
-    assert tables.buckets_of(spark, "t", "db_buckets") == layout
-    assert tables.overwrite_table(spark.range(5), *args).count() == 5
-    assert tables.buckets_of(spark, "t", "db_buckets") is None
+    first = tables.overwrite_table(spark.range(200), *args, database_location=folder, buckets=layout)
+    before = bucket_files(first)
+    assert len(before) == 4 and all(len(files_) == 1 for files_ in before.values())
+    rows = first.filter(f"{tables.BUCKET} = 2").filter("id % 2 = 0")
+    kept = first.filter(f"{tables.BUCKET} <> 2 or id % 2 = 0").count()
+    after = tables.replace_buckets(rows, "t", "db_buckets", [2])
+    assert after.count() == kept
+    now = bucket_files(after)
+    same = [name for name in before if before[name] == now[name]]
+    assert sorted(same) == [f"{tables.BUCKET}={n}" for n in (0, 1, 3)]
+    assert tables.overwrite_table(spark.range(5), *args).columns == ["id"]
     left = [t.name for t in spark.catalog.listTables("db_buckets") if not t.isTemporary]
     assert left == ["t"]
 
 
+def test_rows_without_a_key_are_spread_over_buckets(spark):
+    df = spark.range(400).select(F.lit(None).cast("string").alias("k"), "id")
+    assert len(tables.buckets_in(tables.Buckets(8, "k").assign(df))) == 8
+
+
+def test_old_versions_go_when_asked(spark, folder):
+    args = (folder + "/t", "t", "db_old")
+    for n in range(4):
+        table = tables.overwrite_table(spark.range(n + 1), *args, database_location=folder)
+    assert tables.drop_old_versions(spark, *args, keep=1) == []  # all are young
+    gone = tables.drop_old_versions(spark, *args, keep=1, older_than_hours=0)
+    assert len(gone) == 2 and table.count() == 4
+    assert len([p for p in Path(folder, "t").iterdir() if p.name.startswith("version-")]) == 2
+
+
 def test_seed_loses_its_byte_order_mark(spark, folder):
     path = Path(folder) / "s.csv"
     path.write_bytes(b"\xef\xbb\xbfsequence,status\n1,Future Dated\n0,Null\n")
@@ -140,9 +177,11 @@ def test_pages(spark, folder):
     )
     put_page(folder, "Closed", "2024-01-02", '{"partOrderLines":[{"id":3}],"lastRecordID":"3"}')
     put_page(folder, "Closed", "2023-12-31", '{"partOrderLines":[{"id":"old"}],"lastRecordID":""}')
-    read = pages.read_pages(spark, folder, LINE, as_of=date(2024, 1, 2), days_back=1)
-    lines = pages.page_lines(read)
-    assert lines.columns == ["id", "empty", "carrier.code", "carrier.tags", "orderStatus", "fromDate"]
+    read = pages.read_pages(spark, folder, as_of=date(2024, 1, 2), days_back=1)
+    lines = pages.page_lines(read, LINE)
+    assert lines.columns == [
+        "id", "empty", "carrier.code", "carrier.tags", "otherFields", "orderStatus", "fromDate",
+    ]
     assert bag(lines.select("id", "empty", "`carrier.code`", "orderStatus")) == [
         ("1", None, "c", "Open"), ("2", None, "d", "Open"), ("3", None, None, "Closed"),
     ]
@@ -153,8 +192,27 @@ def test_pages(spark, folder):
 
 def test_multi_line_page(spark, folder):
     put_page(folder, "Open", "2024-01-01", '{\n"partOrderLines":\n[{"id":"1"}]\n}')
-    read = pages.read_pages(spark, folder, LINE, multi_line=True)
-    assert pages.page_lines(read).count() == 1
+    read = pages.read_pages(spark, folder, multi_line=True)
+    assert pages.page_lines(read, LINE).count() == 1
+
+
+def test_new_fields_and_whole_lines_of_damaged_pages_are_kept(spark, folder):
+    put_page(
+        folder, "Open", "2024-01-01",
+        '{"partOrderLines":[{"id":"1","size":{"w":1,"h":[2]},"note":"a \\"b\\" } {"},{"id":"2"}]}',
+        '{"lastRecordID":"9","partOrderLines":[{"id":"3","note":"x}"},{"id":"4","carrier":{"code":"c"}},{"id":"5","no',
+        '{"partOrderLines":[',
+        "[]",
+        "",
+    )
+    read = pages.read_pages(spark, folder)
+    rows = {r["id"]: r for r in pages.page_lines(read, LINE).collect()}
+    assert set(rows) == {"1", "2", "3", "4"}
+    assert rows["1"]["otherFields"] == {"size": '{"w":1,"h":[2]}', "note": 'a "b" } {'}
+    assert rows["2"]["otherFields"] is None and rows["3"]["otherFields"] == {"note": "x}"}
+    assert rows["4"]["carrier.code"] == "c"
+    assert sorted(r["legible_lines"] for r in pages.bad_pages(read).collect()) == [0, 0, 2]
+    assert tuple(pages.page_counts(read).first()) == (4, 3)
 
 
 def test_shared_dir_is_the_configured_one(spark):
