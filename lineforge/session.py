@@ -47,6 +47,24 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def drop_runs(spark: SparkSession, older_than_hours: float = 48.0) -> list[str]:
+    """Delete written intermediates older than that; returns their names.
+
+    Frames built on them can't be read afterwards, so this is for a time when no job of
+    that age runs any more.
+    """
+    paths = spark._jvm.org.apache.hadoop.fs
+    root = paths.Path(f"{shared_dir(spark)}/lineforge")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return []
+    limit = spark._jvm.java.lang.System.currentTimeMillis() - older_than_hours * 3_600_000
+    gone = [s.getPath() for s in system.listStatus(root) if s.getModificationTime() <= limit]
+    for path in gone:
+        system.delete(path, True)
+    return sorted(path.getName() for path in gone)
+
+
 def run_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared one; never reused, so nothing is overwritten."""
     return f"{shared_dir(spark)}/lineforge/{purpose}-{uuid.uuid4().hex}"

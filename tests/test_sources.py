@@ -220,6 +220,15 @@ def test_shared_dir_is_the_configured_one(spark):
     assert session.run_dir(spark, "x").startswith(configured + "/lineforge/x-")
 
 
+def test_old_intermediates_go_when_asked(spark, folder, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda _: folder)
+    assert session.drop_runs(spark) == []
+    path = session.run_dir(spark, "kept")
+    spark.range(3).write.parquet(path)
+    assert session.drop_runs(spark) == [] and spark.read.parquet(path).count() == 3
+    assert session.drop_runs(spark, 0) == [Path(path).name] and not Path(path).exists()
+
+
 class Context:
     """Stands in for a Spark context without a configured folder."""
 
