@@ -148,7 +148,7 @@ def _train_sql() -> str:
 
 @query("ml_train_evaluate", _train_sql())
 def ml_train_evaluate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Holdout, split, fit on the train part, error on the test part."""
+    """Holdout of the last ``HELD_OUT`` rows, split, fit on the train part, error on the test part."""
     _, scored = delivery.train_and_evaluate(features_of(spark, sf_dir), HELD_OUT)
     error = F.col(delivery.LABEL).cast("double") - F.col(delivery.PREDICTION).cast("double")
     return scored.agg(

@@ -170,12 +170,12 @@ def fetch_windows_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "window_select",
-    """select event_id, user_id, event_type, value, cast(ts as date) as from_date from events
+    """select *, cast(ts as date) as from_date from events
        where ts >= timestamp '2024-01-13' and ts < timestamp '2024-01-16'""",
 )
 def window_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read(spark, sf_dir, "events")
-    return select_windows(events, "ts", date(2024, 1, 15)).drop("ts", "props")
+    return select_windows(events, "ts", date(2024, 1, 15))
 
 
 HOLDOUT_ORDER = ("o_orderdate", "o_orderkey")

@@ -5,9 +5,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import bag
+from lineforge.operators.sampling import HOLDOUT_ROWS, holdout_head, holdout_tail
 from lineforge.plans import delivery, gold, quality, silver
 from lineforge.plans.columns import BRONZE_COLUMNS, SOURCE_COLUMNS
 from lineforge.sources.seeds import SEED_SCHEMA, STATUSES
+from lineforge.workload.compare import oracle_connection
+from lineforge.workload.learning import features_of
+from lineforge.workload.sql import FEATURES, with_
 
 
 def bronze_rows(spark, *rows):
@@ -226,6 +230,26 @@ def test_moments(spark):
         assert row.sum_ab == gram[names.index(row.term_a), names.index(row.term_b)]
 
 
+def test_the_job_s_holdout_on_a_larger_table(spark):
+    """The last 10,000 feature rows, entry dates tied and missing, against the check engine."""
+    large = "/root/testdata/sf0.1"
+    rows = features_of(spark, large)
+    head = holdout_head(rows, ("orderEntryDate", "polExternalID"), HOLDOUT_ROWS)
+    tail = holdout_tail(rows, ("orderEntryDate", "polExternalID"), HOLDOUT_ROWS)
+    sql = with_(
+        f"""{FEATURES}, numbered as (select *, row_number() over
+        (order by orderEntryDate desc nulls last, polExternalID desc) as n from features)""",
+        """select count(*), sum(cast(polExternalID as bigint)), min(orderEntryDate) from numbered
+        where n <= 10000 union all
+        select count(*), sum(cast(polExternalID as bigint)), min(orderEntryDate) from numbered
+        where n > 10000""",
+    )
+    key = F.sum(F.col("polExternalID").cast("bigint"))
+    mine = [tuple(p.agg(F.count("*"), key, F.min("orderEntryDate")).first()) for p in (tail, head)]
+    assert HOLDOUT_ROWS == mine[0][0] == 10_000
+    assert mine == oracle_connection(large).execute(sql).fetchall()
+
+
 def scored_rows(spark, *rows):
     return spark.createDataFrame(list(rows), "polExternalID string, Prediction_Datetime string")
 
