@@ -1,21 +1,23 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Items are partitioned by the size n of their shingle sets. An item's signature is a bottom-k
+Items are partitioned by the size n of their shingle sets, a class for each power of two.
+Each class is searched on its own, with its own filters. An item's signature is a bottom-k
 MinHash: the k smallest hashes of its shingles, with k = n - ceil(t n) + 1 for the wanted
 containment t. A document that holds t of the shingles lacks at most n - ceil(t n) of them
 and so holds one of the k: the search misses nothing, whatever the document's length, and
-a document smaller than ceil(t n) is never a candidate. Candidates are verified by counting
+a document smaller than the least ceil(t n) of a class is no candidate in it. Candidates are verified by counting
 how many of the item's shingles the whole document has.
 
-Documents are read once. A filter of fixed size over the signatures' hashes decides in the
-tasks which documents can be candidates, and one over all items' hashes which of their
-shingles matter; the joins that follow settle what the filters leave open. A benchmark too
-large for the filters only makes more rows pass them.
+Documents are read once. For each class a filter of fixed size over the signatures' hashes
+decides in the tasks which documents can be candidates, and one over all its items' hashes
+which of their shingles matter; the joins that follow settle what the filters leave open. A
+benchmark too large for the filters only makes more rows pass them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from lineforge.session import run_dir
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-FILTER_BITS = 23  # each filter is a bitmap of 2**23 bits: one megabyte, whatever the benchmark's size
+# Each filter is a bitmap of 2**21 bits, 256 KB, whatever the benchmark's size. A class is a
+# number of bits of an item's size, so there are two filters for each of some twenty at most.
+FILTER_BITS = 21
 
 
 def needed(n: int, containment: float) -> int:
@@ -80,20 +84,41 @@ def signatures(
     return narrow.mapInArrow(run, f"item {kind}, n long, need long, size_class int, hash long, signed boolean")
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of the hashes' low bits, put together from pieces of 4 KB that aggregates make."""
+@dataclass(frozen=True)
+class ClassFilter:
+    """What a task knows of one size class: least shingles, bitmaps of signatures and of all."""
+
+    size_class: int
+    least: int
+    signed: np.ndarray
+    every: np.ndarray
+
+
+def _filters(signed: DataFrame) -> list[ClassFilter]:
+    """The classes' filters, put together from pieces of 4 KB that aggregates make."""
     place = F.col("hash").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    piece = F.shiftrightunsigned(place, 15)
+    spot = place.bitwiseAND(F.lit(0x7FFF))
     rows = (
-        hashes.groupBy(piece.alias("piece"))
-        .agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(0x7FFF))).alias("bits"))
+        signed.groupBy("size_class", F.shiftrightunsigned(place, 15).alias("piece"))
+        .agg(
+            F.min("need").alias("least"),
+            F.bitmap_construct_agg(spot).alias("every"),
+            F.bitmap_construct_agg(F.when(F.col("signed"), spot)).alias("signed"),
+        )
         .collect()
     )
-    out = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8)
+    out = {}
     for row in rows:
-        bits = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
-        out[row["piece"] * 4096 : row["piece"] * 4096 + len(bits)] = bits
-    return out
+        size_class = row["size_class"]
+        if size_class not in out:
+            empty = [np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8) for _ in range(2)]
+            out[size_class] = ClassFilter(size_class, row["least"], *empty)
+        known = out[size_class]
+        for name in ("signed", "every"):
+            bits = np.frombuffer(bytes(row[name]), dtype=np.uint8)
+            getattr(known, name)[row["piece"] * 4096 : row["piece"] * 4096 + len(bits)] = bits
+        out[size_class] = replace(known, least=min(known.least, row["least"]))
+    return [out[c] for c in sorted(out)]
 
 
 def _test(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -123,10 +148,7 @@ def contained(
     path = run_dir(spark, "benchmark-signatures")
     signatures(items.where(col(item_key).isNotNull()), item_text, item_key, size, containment).distinct().write.parquet(path)
     signed = spark.read.parquet(path)
-    context = spark.sparkContext
-    any_filter = context.broadcast(_bitmap(signed))
-    signed_filter = context.broadcast(_bitmap(signed.where("signed")))
-    least = signed.agg(F.min("need").alias("least")).first()["least"] or 0
+    filters = spark.sparkContext.broadcast(_filters(signed))
 
     narrow = docs.where(col(key).isNotNull()).select(col(key).alias("doc"), col(text).alias("body"))
     kind = narrow.schema["doc"].dataType.simpleString()
@@ -136,21 +158,27 @@ def contained(
             for part in by_bytes(batch, "body"):
                 hashes, row = _shingles(part.column("body"), size)
                 counts = np.bincount(row, minlength=part.num_rows)
-                possible = np.zeros(part.num_rows, dtype=bool)
-                possible[row[_test(signed_filter.value, hashes)]] = True
-                possible &= counts >= least
-                chosen = possible[row]
-                hashes, row = hashes[chosen], row[chosen]
-                seen = _test(any_filter.value, hashes)
-                pairs = np.unique(np.stack([row[seen].astype(np.uint64), hashes[seen]]), axis=1)
-                if pairs.shape[1]:
-                    rows = pa.array(pairs[0].astype(np.int64))
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("doc").take(rows), pa.array(pairs[1].view(np.int64))], names=["doc", "shingle"]
-                    )
-
-    shingles = narrow.mapInArrow(probe, f"doc {kind}, shingle long")
-    hits = shingles.join(signed, shingles["shingle"] == signed["hash"])
+                for known in filters.value:
+                    possible = np.zeros(part.num_rows, dtype=bool)
+                    possible[row[_test(known.signed, hashes)]] = True
+                    possible &= counts >= known.least
+                    chosen = np.flatnonzero(possible[row])
+                    chosen = chosen[_test(known.every, hashes[chosen])]
+                    pairs = np.unique(np.stack([row[chosen].astype(np.uint64), hashes[chosen]]), axis=1)
+                    if pairs.shape[1]:
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                part.column("doc").take(pa.array(pairs[0].astype(np.int64))),
+                                pa.array(np.full(pairs.shape[1], known.size_class, dtype=np.int32)),
+                                pa.array(pairs[1].view(np.int64)),
+                            ],
+                            names=["doc", "of_class", "shingle"],
+                        )
+
+    shingles = narrow.mapInArrow(probe, f"doc {kind}, of_class int, shingle long")
+    hits = shingles.join(
+        signed, (shingles["shingle"] == signed["hash"]) & (shingles["of_class"] == signed["size_class"])
+    )
     found = (
         hits.groupBy("doc", "item", "n", "need")
         .agg(F.countDistinct("shingle").alias("n_shared"), F.max("signed").alias("candidate"))

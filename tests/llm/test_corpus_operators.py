@@ -234,7 +234,8 @@ def test_full_filters_change_nothing(spark, monkeypatch):
     )
     expected = {tuple(r) for r in decontaminate.contained(spark, *frames).collect()}
     everything = np.full(1 << (decontaminate.FILTER_BITS - 3), 255, dtype=np.uint8)
-    monkeypatch.setattr(decontaminate, "_bitmap", lambda hashes: everything)
+    classes = [decontaminate.ClassFilter(c, 1, everything, everything) for c in range(1, 20)]
+    monkeypatch.setattr(decontaminate, "_filters", lambda signed: classes)
     assert {tuple(r) for r in decontaminate.contained(spark, *frames).collect()} == expected
 
 
