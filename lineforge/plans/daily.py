@@ -78,6 +78,7 @@ class Lake:
         table: str,
         database: str,
         buckets: Buckets | None = None,
+        partition: str | None = None,
     ) -> DataFrame:
         return overwrite_table(
             df,
@@ -86,6 +87,7 @@ class Lake:
             database,
             database_location=self.path(database),
             buckets=buckets,
+            partition=partition,
         )
 
     @property
@@ -199,10 +201,12 @@ def score(
     table = "deliveryprediction"
     path = lake.path(lake.gold, table)
     if not table_exists(spark, table, lake.gold):
-        lake.store(spark.createDataFrame([], PREDICTION_SCHEMA), table, lake.gold)
+        nothing = delivery.with_day(spark.createDataFrame([], PREDICTION_SCHEMA))
+        lake.store(nothing, table, lake.gold, partition=delivery.SCORED_DAY)
     scored = scan_table(spark, table, lake.gold)
     fact = scan_table(spark, "factparts", lake.gold)
-    return delivery.score_batch(fact, scored, model, path, table, lake.gold, as_of, bootstrap)
+    done = delivery.score_batch(fact, scored, model, path, table, lake.gold, as_of, bootstrap)
+    return done.drop(delivery.SCORED_DAY)
 
 
 def run(

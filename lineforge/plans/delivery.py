@@ -22,6 +22,7 @@ FEATURES = ("transportModeCode", "orderTypeCode", "orderedQuantity", "DaysToShip
 LABEL = "DaysToDelivery"
 PREDICTION = "PredictedDaysForDelivery"
 SCORED_AT = "Prediction_Datetime"
+SCORED_DAY = "scored_day"  # directory of the prediction table; not one of its rows' columns
 OUTPUT = (
     PREDICTION,
     "polExternalID",
@@ -202,8 +203,12 @@ def after_watermark(
     """Rows whose ``moment`` text is above the largest ``watermark`` text.
 
     Texts are compared, so a date is below every time of the same day. While
-    ``scored`` is empty nothing is selected, unless ``bootstrap`` lets all rows pass.
+    ``scored`` is empty nothing is selected, unless ``bootstrap`` lets all rows pass. Of a
+    table laid out by day only the newest day is read.
     """
+    if SCORED_DAY in scored.columns:
+        newest = scored.agg(F.max(SCORED_DAY)).scalar()
+        scored = scored.filter(F.col(SCORED_DAY) == newest)
     latest = scored.agg(F.max(watermark)).scalar()
     newer = F.col(moment) > latest
     return df.filter(newer | latest.isNull() if bootstrap else newer)
@@ -233,6 +238,11 @@ def not_scored(recent: DataFrame, scored: DataFrame) -> DataFrame:
     return not_in(recent, relevant, "polExternalID", guard_on=seen)
 
 
+def with_day(rows: DataFrame) -> DataFrame:
+    """Predictions with the day of their scoring, by which their table is laid out."""
+    return rows.withColumn(SCORED_DAY, F.substring(SCORED_AT, 1, 10))
+
+
 def batch_size(df: DataFrame) -> DataFrame:
     """Number of rows to score and whether there is anything to do."""
     counted = df.agg(F.count("*").alias("n_rows"))
@@ -259,7 +269,9 @@ def score_batch(
     past = after_watermark(extract(fact), scored, "shippedPGIDate", SCORED_AT, bootstrap)
     recent = write_parquet(past, run_dir(spark, "recent"))
     batch = prepare(not_scored(recent, scored))
-    fresh = write_parquet(predictions(batch, model, as_of), run_dir(spark, "scored"))
+    rows = predictions(batch, model, as_of)
+    rows = with_day(rows) if SCORED_DAY in scored.columns else rows
+    fresh = write_parquet(rows, run_dir(spark, "scored"))
     if fresh.isEmpty():
         return scored
     return append_table(fresh, path, table, database)

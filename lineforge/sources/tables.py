@@ -64,11 +64,12 @@ def overwrite_table(
     fmt: str = "parquet",
     database_location: str | None = None,
     buckets: Buckets | None = None,
+    partition: str | None = None,
 ) -> DataFrame:
     """Replace a table, its schema included; returns the new content.
 
     With ``buckets`` rows carry the column ``BUCKET``, a bucket is a directory, and its
-    rows are written by one task. ``fmt="delta"`` hands the replacement to that format
+    rows are written by one task. With ``partition`` each value of that column is one. ``fmt="delta"`` hands the replacement to that format
     where its classes are on the classpath.
     """
     spark = df.sparkSession
@@ -85,7 +86,7 @@ def overwrite_table(
         return spark.table(name)
     version = f"{path.rstrip('/')}/version-{uuid.uuid4().hex}"
     exists = table_exists(spark, table, database)
-    if buckets is None:
+    if buckets is None and partition is None:
         df.write.format(fmt).save(version)
         schema = spark.read.format(fmt).load(version).schema
         same = exists and schema.simpleString() == spark.table(name).schema.simpleString()
@@ -94,13 +95,13 @@ def overwrite_table(
             spark.catalog.refreshTable(name)
             return spark.table(name)
     staged, retired = (_name(database, f"{table}__{uuid.uuid4().hex}") for _ in range(2))
-    if buckets is None:
+    if buckets is not None:
+        rows = df if BUCKET in df.columns else buckets.assign(df)
+        df, partition = rows.repartition(buckets.number, BUCKET), BUCKET
+    if partition is None:
         spark.catalog.createTable(staged, path=version, source=fmt)
     else:
-        rows = df if BUCKET in df.columns else buckets.assign(df)
-        rows.repartition(buckets.number, BUCKET).write.format(fmt).partitionBy(BUCKET).option(
-            "path", version
-        ).saveAsTable(staged)
+        df.write.format(fmt).partitionBy(partition).option("path", version).saveAsTable(staged)
     if exists:
         spark.sql(f"ALTER TABLE {name} RENAME TO {retired}")
     spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")

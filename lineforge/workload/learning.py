@@ -221,9 +221,14 @@ def after_first_scoring(spark: SparkSession, sf_dir: str) -> Scoring:
     database, location = fresh_database(spark, "scoring")
     table = "deliveryprediction"
 
-    def store(df: DataFrame, name: str) -> DataFrame:
+    def store(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
         return overwrite_table(
-            df, f"{location}/{name}", name, database, database_location=location
+            df,
+            f"{location}/{name}",
+            name,
+            database,
+            database_location=location,
+            partition=partition,
         )
 
     fact = store(fact_of(spark, sf_dir), "factparts")
@@ -231,7 +236,8 @@ def after_first_scoring(spark: SparkSession, sf_dir: str) -> Scoring:
         (F.col("shippedPGIDate") <= F.lit(FIRST_SCORED).cast("date"))
         | (F.col("orderType") == "EMERGENCY")
     )
-    scored = store(delivery.predictions(rows, WEIGHTS, FIRST_SCORING), table)
+    first = delivery.with_day(delivery.predictions(rows, WEIGHTS, FIRST_SCORING))
+    scored = store(first, table, delivery.SCORED_DAY)
     return Scoring(fact, scored, f"{location}/{table}", table, database)
 
 
@@ -271,6 +277,7 @@ def batch_size(spark: SparkSession, first: Scoring) -> DataFrame:
 )
 def score_append(spark: SparkSession, first: Scoring) -> DataFrame:
     """The prediction table after a second scoring."""
-    return delivery.score_batch(
+    done = delivery.score_batch(
         first.fact, first.scored, WEIGHTS, first.path, first.table, first.database, SECOND_SCORING
     )
+    return done.drop(delivery.SCORED_DAY)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import bag
+from conftest import bag, plan
 from lineforge.operators.sampling import HOLDOUT_ROWS, holdout_head, holdout_tail
 from lineforge.plans import delivery, gold, quality, silver
 from lineforge.plans.columns import BRONZE_COLUMNS, SOURCE_COLUMNS
@@ -272,6 +272,22 @@ def test_new_rows(spark):
     assert len(keys(delivery.new_rows_to_score(fact, nothing, bootstrap=True))) == 4
 
 
+def test_the_watermark_reads_the_newest_day_only(spark, folder):
+    fact = fact_rows(spark, line("a", shipped="2024-01-03"), line("b", shipped="2024-01-01"))
+    scored = delivery.with_day(
+        scored_rows(spark, ("x", "2024-01-02 01:20:32"), ("y", "2023-12-01 01:20:32"))
+    )
+    scored.write.partitionBy(delivery.SCORED_DAY).parquet(folder + "/scored")
+    laid_out = spark.read.parquet(folder + "/scored")
+    recent = delivery.after_watermark(
+        delivery.extract(fact), laid_out, "shippedPGIDate", delivery.SCORED_AT
+    )
+    assert keys(recent) == ["a"]
+    text = plan(recent)
+    assert "PartitionFilters: [isnotnull(scored_day" in text and "Subquery" in text
+    assert keys(delivery.new_rows_to_score(fact, laid_out)) == ["a"]
+
+
 def test_empty_batch_appends_nothing(spark, folder):
     fact = fact_rows(spark, line("old", shipped="2024-01-01"))
     scored = scored_rows(spark, ("x", "2024-02-01 00:00:00"))
