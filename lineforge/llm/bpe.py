@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lineforge.llm.arrow import by_bytes, mix, text_bytes
 from lineforge.llm.names import narrowed
-from lineforge.llm.tokens import Encoder, Memory, cuts, encoder
+from lineforge.llm.tokens import BATCH_BYTES, Encoder, Memory, cuts, encoder
 
 WINDOW = 32  # bytes under the rolling hash
 AVERAGE = 1024  # a cut every so many bytes, a power of two
@@ -96,8 +96,8 @@ class ChunkEncoder:
                 self._known.put(chunk, ("".join(parts),))
             else:
                 split.append((chunk, parts))
-                wanted += [parts[1], "".join(parts[2:-2]), parts[-2]]
-        ids = self._pieces.ids(wanted)
+                wanted += [parts[1:2], parts[2:-2], parts[-2:-1]]
+        ids = self._pieces.ids_of_parts(wanted)
         for k, (chunk, parts) in enumerate(split):
             left, middle, right = ids[3 * k : 3 * k + 3]
             self._known.put(chunk, (parts[0], parts[1], left, middle, parts[-2], right, parts[-1]))
@@ -167,7 +167,7 @@ def _through(docs: DataFrame, read: str, keep: tuple[str, ...], results: str, va
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(batch, body):
+            for part in by_bytes(batch, body, BATCH_BYTES):
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), *values(part.column(body))], names=schema.names
                 )

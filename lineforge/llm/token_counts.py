@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lineforge.llm.arrow import by_bytes
 from lineforge.llm.names import narrowed
-from lineforge.llm.tokens import encoder
+from lineforge.llm.tokens import BATCH_BYTES, encoder
 
 LIMIT = 512
 
@@ -31,7 +31,7 @@ def count_tokens(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(vocabulary)
         for batch in batches:
-            for part in by_bytes(batch, body):
+            for part in by_bytes(batch, body, BATCH_BYTES):
                 texts = part.column(body).fill_null("")
                 n = pa.array(tokens.counts(texts.to_pylist()), type=pa.int64())
                 yield pa.RecordBatch.from_arrays(

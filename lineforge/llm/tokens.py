@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -18,8 +20,9 @@ from lineforge.llm.arrow import quiet_threads
 
 # Pieces remembered by a worker in each of two generations; when the younger is full it
 # replaces the older one. Forgetting a piece costs its encoding anew, nothing else.
-KNOWN_PIECES = 300_000
+KNOWN_PIECES = 500_000
 KNOWN_CHARS = 64  # longer pieces seldom come again
+BATCH_BYTES = 4 << 20  # bytes encoded at once: the more, the fewer pieces are looked up twice
 
 _CUT = re.compile(r"(?<=[\w!-~])(?=[ \t\r\n])")
 _PIECE = re.compile(r"[ \t\r\n]*[^ \t\r\n]+|[ \t\r\n]+")
@@ -45,12 +48,30 @@ class Memory:
             self.put(key, value)
         return value
 
+    def known(self, keys) -> tuple[dict, list]:
+        """What is remembered of several keys, and the others."""
+        found, new = {}, []
+        young, old = self._young, self._old
+        for key in keys:
+            if (value := young.get(key)) is not None:
+                found[key] = value
+            elif (value := old.get(key)) is not None:
+                found[key] = value
+                self.put(key, value)
+            else:
+                new.append(key)
+        return found, new
+
     def put(self, key, value) -> None:
         if len(self._young) >= self._size:
             self._old, self._young = self._young, {}
         self._young[key] = value
 
 
+def _packed(tokens) -> bytes:
+    return array("I", tokens.ids).tobytes()
+
+
 class Encoder:
     """Tokens of whole texts as the library gives them."""
 
@@ -63,29 +84,28 @@ class Encoder:
         self.tokenizer.no_padding()
         self._ids, self._counts = Memory(KNOWN_PIECES), Memory(KNOWN_PIECES)
 
-    def _look_up(self, texts: list[str], memory: Memory, value) -> tuple[list[list[str]], dict]:
-        parts = [cuts(t) for t in texts]
-        found, new = {}, []
-        for piece in {p for part in parts for p in part}:
-            if (known := memory.get(piece)) is None:
-                new.append(piece)
-            else:
-                found[piece] = known
+    def _look_up(self, parts: list[list[str]], memory: Memory, value) -> dict:
+        found, new = memory.known(set(chain.from_iterable(parts)))
         encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         for piece, tokens in zip(new, encoded, strict=True):
             found[piece] = value(tokens)
             if len(piece) <= KNOWN_CHARS:
                 memory.put(piece, found[piece])
-        return parts, found
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        parts, found = self._look_up(texts, self._ids, lambda t: np.array(t.ids, dtype="<u4").tobytes())
+        return self.ids_of_parts([cuts(t) for t in texts])
+
+    def ids_of_parts(self, parts: list[list[str]]) -> list[bytes]:
+        """Ids of texts that are cut already."""
+        found = self._look_up(parts, self._ids, _packed)
         return [b"".join([found[p] for p in part]) for part in parts]
 
     def counts(self, texts: list[str]) -> list[int]:
         """Number of tokens of each text."""
-        parts, found = self._look_up(texts, self._counts, len)
+        parts = [cuts(t) for t in texts]
+        found = self._look_up(parts, self._counts, len)
         return [sum([found[p] for p in part]) for part in parts]
 
     def decode(self, ids: list[bytes]) -> list[str]:
