@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes handled at once inside a task; numpy needs some fifty times as much for a moment.
-SLICE_BYTES = 1 << 20
+# Bytes handled at once inside a task; numpy needs some hundred times as much for a moment.
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15
 _VALUES = np.random.default_rng(20240131).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
