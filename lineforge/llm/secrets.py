@@ -29,11 +29,11 @@ TREES, DEPTH, SEED = 20, 6, 17
 COMMON = 5  # times a word must occur to count for the dictionary
 MASK = "[SECRET]"
 
-_RUN = r"A-Za-z0-9+/_.=\-"
-# A run that has a digit, or one that is assigned to something.
+_RUN = r"A-Za-z0-9+/_.\-"
+# A run that has a digit, or one that is assigned to something; padding may follow it.
 CANDIDATE = (
-    rf"(?<![{_RUN}])(?:(?=[A-Za-z+/_.=\-]*[0-9])|(?<=[=:][\"'])|(?<=[=:] [\"']))"
-    rf"[A-Za-z0-9+/_.\-]{{{LEAST},}}={{0,2}}"
+    rf"(?<![{_RUN}])(?:(?=[A-Za-z+/_.\-]*[0-9])|(?<=[=:][\"'])|(?<=[=:] [\"']))"
+    rf"[{_RUN}]{{{LEAST},}}={{0,2}}"
 )
 # Nouns that name a credential, and published prefixes of keys. Fixed values.
 NOUN = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)\W*$"
@@ -187,16 +187,16 @@ def describe(findings: DataFrame, words: DataFrame, transitions: Transitions) ->
 def label_by_format() -> Column:
     """1 or 0 where the format of a finding and its neighbours leave no doubt, else null.
 
-    Secrets: a published key prefix, or a quoted value without words assigned to a
-    credential's name. Others: digits alone, host names after an at sign, values that words
+    Secrets: a published key prefix, or a value without words that has a digit and is
+    assigned to a credential's name. Others: digits alone, host names after an at sign, values that words
     cover, and paths or dotted names that words cover by half.
     """
-    quoted = (F.col("noun_before") == 1) & (F.col("assigned") == 1) & (F.col("quoted") == 1)
+    assigned = (F.col("noun_before") == 1) & (F.col("assigned") == 1)
     plain = (F.col("digits") == 1) | F.col("before").endswith("@") | (F.col("coverage") >= 0.8)
     named = (F.col("path_parts") + F.col("dots") > 0) & (F.col("coverage") >= 0.5)
     return (
         F.when(F.col("value").rlike(PREFIXED), 1.0)
-        .when(quoted & (F.col("coverage") < 0.3) & (F.col("digits") > 0), 1.0)
+        .when(assigned & (F.col("coverage") < 0.3) & F.col("digits").between(0.01, 0.99), 1.0)
         .when(plain | named, 0.0)
     )
 

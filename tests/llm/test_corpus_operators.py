@@ -280,10 +280,10 @@ def secret_documents(n=60):
 def test_secrets_are_found_and_the_rest_is_not(spark):
     docs, with_secret = secret_documents()
     held_out = "".join(reversed(next(iter(with_secret.values()))))
-    docs += [(900, f'see api_key: "{held_out}" there'), (901, None), (902, ""), (903, "9" * 50_000), (903, "9" * 50_000)]
+    docs += [(900, f'see api_key: "{held_out}" there'), (904, f"export SECRET_KEY={held_out}\nmore"), (901, None), (902, ""), (903, "9" * 50_000), (903, "9" * 50_000)]
     frame = spark.createDataFrame([(i, t, 1.0) for i, t in docs], "doc_id long, text string, score double")
     found = secrets.scan(spark, frame).collect()
-    assert {(r["doc_id"], r["value"]) for r in found if r["is_secret"]} == set(with_secret.items()) | {(900, held_out)}
+    assert {(r["doc_id"], r["value"]) for r in found if r["is_secret"]} == set(with_secret.items()) | {(900, held_out), (904, held_out)}
     assert sum(r["doc_id"] == 903 for r in found) == 2
     assert {r["doc_id"] for r in found if not r["is_secret"]} >= {1, 2}
     assert all(0 <= r["score"] <= 1 for r in found)
