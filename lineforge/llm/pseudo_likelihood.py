@@ -1,8 +1,8 @@
 """LM scoring by masked pseudo-likelihood.
 
-A small network predicts every word from the two words on either side of it: position-wise
-embeddings of the neighbours are added, go through tanh, and a two-level softmax gives the
-class of the word and the word within the class. A document's score is the sum of its
+A small network predicts every word from the two words on either side of it: embeddings of
+the neighbours, weighted by position, are added, go through tanh, and a two-level softmax
+gives the class of the word and the word within the class. A document's score is the sum of its
 words' conditional log probabilities.
 
 The vocabulary comes from counts over the whole corpus: the most frequent words have ids of
@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import SpanHashes, by_bytes, lower, text_bytes, words
 from lineforge.llm.names import col, narrowed
+from lineforge.session import run_dir
 
-CLASSES, PER_CLASS = 64, 64
+CLASSES, PER_CLASS = 32, 64
 VOCABULARY = CLASSES * PER_CLASS
 BUCKETS = PER_CLASS  # ids of words that aren't among the most frequent: the last class
 WIDTH = 16
 SIDES = (-2, -1, 1, 2)
+REACH = max(SIDES)
 ROUNDS = 3
 BATCH = 1024  # words in a training step
 SCORED = 512  # words scored at once
@@ -37,7 +39,8 @@ RATE = 0.15
 BLOCK = 4096  # parameters in a block
 
 _SHAPES = {
-    "embedding": (len(SIDES), VOCABULARY + 1, WIDTH),  # the last row is the text's end
+    "embedding": (VOCABULARY + 1, WIDTH),  # the last row stands for what lies beyond a text's ends
+    "position": (len(SIDES), WIDTH),
     "bias": (WIDTH,),
     "classes": (WIDTH, CLASSES),
     "class_bias": (CLASSES,),
@@ -47,6 +50,19 @@ _SHAPES = {
 }
 
 
+@dataclass(frozen=True)
+class Block:
+    """Consecutive words of some texts.
+
+    ``target``: their ids; ``ids``: the same with ``REACH`` words more on either side;
+    ``outside``: for each of ``SIDES`` the words whose neighbour there is another text's.
+    """
+
+    ids: np.ndarray
+    target: np.ndarray
+    outside: list[np.ndarray]
+
+
 @dataclass
 class Network:
     """Parameters by name, all single precision."""
@@ -62,6 +78,7 @@ class Network:
         parts["class_bias"] = np.log(table.sum(axis=1) / table.sum()).astype(np.float32)
         parts["word_bias"] = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
         parts["gate"] = np.ones(_SHAPES["gate"], dtype=np.float32)
+        parts["position"] += 1
         parts["bias"] = np.zeros(_SHAPES["bias"], dtype=np.float32)
         return cls(parts)
 
@@ -77,10 +94,16 @@ class Network:
     def pack(self) -> np.ndarray:
         return np.concatenate([self.parts[name].ravel() for name in _SHAPES])
 
-    def forward(self, around: np.ndarray, target: np.ndarray):
-        """Log probabilities of the targets, and what the gradient needs."""
-        p = self.parts
-        hidden = p["bias"] + sum(p["embedding"][k][around[:, k]] for k in range(len(SIDES)))
+    def forward(self, block: Block):
+        """Log probabilities of the block's words, and what the gradient needs."""
+        p, n, target = self.parts, len(block.target), block.target
+        near = p["embedding"][block.ids]
+        inputs = [near[REACH + side : REACH + side + n] for side in SIDES]
+        for k, rows_out in enumerate(block.outside):
+            if len(rows_out):
+                inputs[k] = inputs[k].copy()
+                inputs[k][rows_out] = p["embedding"][VOCABULARY]
+        hidden = p["bias"] + sum(x * c for x, c in zip(inputs, p["position"], strict=True))
         hidden = np.tanh(hidden)
         group, member = target // PER_CLASS, target % PER_CLASS
         rows = np.arange(len(target))
@@ -96,7 +119,7 @@ class Network:
             total = logits.sum(axis=1)
             log_p += at - np.log(total)
             weights.append((logits, total))
-        return log_p, (hidden, gated, group, member, rows, *weights)
+        return log_p, (inputs, hidden, gated, group, member, rows, *weights)
 
 
 class Trainer:
@@ -111,10 +134,10 @@ class Trainer:
         self._squares[name][rows] = squares
         self.network.parts[name][rows] -= self.rate * gradient / np.sqrt(squares)
 
-    def learn(self, around: np.ndarray, target: np.ndarray) -> float:
+    def learn(self, block: Block) -> float:
         """One step; the mean log probability before it."""
-        p, n = self.network.parts, np.float32(len(target))
-        log_p, (hidden, gated, group, member, rows, *weights) = self.network.forward(around, target)
+        p, n = self.network.parts, np.float32(len(block.target))
+        log_p, (inputs, hidden, gated, group, member, rows, *weights) = self.network.forward(block)
         (first, first_total), (second, second_total) = weights
         first *= (1 / (n * first_total))[:, None]
         second *= (1 / (n * second_total))[:, None]
@@ -131,10 +154,20 @@ class Trainer:
         self._step("gate", np.add.reduceat((to_gated * hidden)[order], begins, axis=0), groups)
         self._step("word_bias", np.add.reduceat(second[order], begins, axis=0), groups)
         self._step("bias", to_hidden.sum(axis=0))
-        for k in range(len(SIDES)):
-            order = np.argsort(around[:, k], kind="stable")
-            ids, begins = np.unique(around[order, k], return_index=True)
-            self._step("embedding", np.add.reduceat(to_hidden[order], begins, axis=0), (k, ids))
+        to_near = np.zeros((len(block.ids) + 1, WIDTH), dtype=np.float32)
+        to_position = np.empty_like(p["position"])
+        for k, side in enumerate(SIDES):
+            to_position[k] = (to_hidden * inputs[k]).sum(axis=0)
+            to_input = to_hidden * p["position"][k]
+            if len(block.outside[k]):
+                to_near[-1] += to_input[block.outside[k]].sum(axis=0)
+                to_input[block.outside[k]] = 0
+            to_near[REACH + side : REACH + side + len(hidden)] += to_input
+        self._step("position", to_position)
+        every = np.append(block.ids, VOCABULARY)
+        order = np.argsort(every, kind="stable")
+        ids, begins = np.unique(every[order], return_index=True)
+        self._step("embedding", np.add.reduceat(to_near[order], begins, axis=0), ids)
         return float(log_p.mean())
 
 
@@ -162,21 +195,22 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return SpanHashes(data).of(found.starts, found.ends), found.first
 
 
-def neighbours(ids: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Ids at ``SIDES`` of each word; beyond a text's ends the id after the last."""
+def blocks(ids: np.ndarray, first: np.ndarray, size: int) -> Iterator[Block]:
+    """The words of a slice in text order, ``size`` at a time, each with its neighbours."""
+    padded = np.concatenate(([VOCABULARY] * REACH, ids, [VOCABULARY] * REACH)).astype(np.int32)
     at = np.arange(len(ids))
     begin, end = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
-    out = np.full((len(ids), len(SIDES)), VOCABULARY, dtype=np.int32)
-    for k, side in enumerate(SIDES):
-        inside = (at + side >= begin) & (at + side < end)
-        out[inside, k] = ids[at[inside] + side]
-    return out
+    beyond = [np.flatnonzero((at + side < begin) | (at + side >= end)) for side in SIDES]
+    for k in range(0, len(ids), size):
+        n = min(size, len(ids) - k)
+        outside = [x[np.searchsorted(x, k) : np.searchsorted(x, k + n)] - k for x in beyond]
+        yield Block(padded[k : k + n + 2 * REACH], padded[k + REACH : k + REACH + n], outside)
 
 
 _MERGE_AT = 500_000
 
 
-def learn_vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
+def learn_vocabulary(spark: SparkSession, docs: DataFrame, text: str = "text") -> Vocabulary:
     """Counts of all words of all texts; the most frequent come to the driver, as many as the model has ids."""
     narrow = docs.select(col(text).alias("body"))
 
@@ -201,10 +235,11 @@ def learn_vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
         if pending:
             yield batch_of(*merged())
 
-    counted = narrow.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    path = run_dir(spark, "word-counts")
+    narrow.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
+    counted = spark.read.parquet(path)
     own = VOCABULARY - BUCKETS
-    top = counted.orderBy(F.desc("n"), "word").limit(own).collect()
-    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 0
+    top, total = _most_frequent(counted, own)
     hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
     counts = np.zeros(VOCABULARY)
     counts[: len(top)] = [r["n"] for r in top]
@@ -213,6 +248,29 @@ def learn_vocabulary(docs: DataFrame, text: str = "text") -> Vocabulary:
     return Vocabulary(hashes[order], np.arange(len(top), dtype=np.int32)[order], counts)
 
 
+def _most_frequent(counted: DataFrame, most: int) -> tuple[list, int]:
+    """The ``most`` rows of the greatest n, equal ones by word, and the sum of n.
+
+    A histogram over steps of n tells in which step the last of them lies. All rows above
+    it come to the driver, fewer than ``most``; only its own rows are put in order.
+    """
+    step = F.floor(F.log2("n") * 16)
+    histogram = counted.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    last, above = None, 0
+    for row in sorted(histogram, key=lambda r: -r["step"]):
+        if above + row["words"] > most:
+            last = row["step"]
+            break
+        above += row["words"]
+    if last is None:
+        top = counted.collect()  # no more rows than wanted
+    else:
+        order = [F.desc("n"), F.asc("word")]
+        rest = counted.where(step == F.lit(last)).orderBy(*order).limit(most - above)
+        top = counted.where(step > F.lit(last)).collect() + (rest.collect() if above < most else [])
+    return sorted(top, key=lambda r: (-r["n"], r["word"])), sum(r["n"] for r in histogram)
+
+
 def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     """Vocabulary and network learned from all texts.
 
@@ -220,7 +278,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int
     words the network stays as it begins. The result depends, in small measure, on how the
     files are split into tasks.
     """
-    vocabulary = learn_vocabulary(docs, text)
+    vocabulary = learn_vocabulary(spark, docs, text)
     network = Network.fresh(vocabulary.counts)
     narrow = docs.select(col(text).alias("body")).where(F.length("body") > 0)
 
@@ -232,20 +290,18 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int
                 for part in by_bytes(batch, "body"):
                     hashes, first = _word_hashes(part.column("body"))
                     ids = vocabulary.lookup(hashes)
-                    around = neighbours(ids, first)
-                    order = random.permutation(len(ids))
-                    for k in range(0, len(order), BATCH):
-                        chosen = order[k : k + BATCH]
-                        trainer.learn(around[chosen], ids[chosen])
+                    steps = list(blocks(ids, first, BATCH))
+                    for k in random.permutation(len(steps)):
+                        trainer.learn(steps[k])
                     seen += len(ids)
             if seen:
                 flat = trainer.network.pack()
-                blocks = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
+                pieces = [flat[k : k + BLOCK].tobytes() for k in range(0, len(flat), BLOCK)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(range(len(blocks)), type=pa.int32()),
-                        pa.array([float(seen)] * len(blocks)),
-                        pa.array(blocks, type=pa.binary()),
+                        pa.array(range(len(pieces)), type=pa.int32()),
+                        pa.array([float(seen)] * len(pieces)),
+                        pa.array(pieces, type=pa.binary()),
                     ],
                     names=["block", "weight", "values"],
                 )
@@ -297,10 +353,7 @@ def score(
             for part in by_bytes(batch, body):
                 hashes, first = _word_hashes(part.column(body))
                 ids = vocabulary.lookup(hashes)
-                around = neighbours(ids, first)
-                log_p = [
-                    network.forward(around[k : k + SCORED], ids[k : k + SCORED])[0] for k in range(0, len(ids), SCORED)
-                ]
+                log_p = [network.forward(b)[0] for b in blocks(ids, first, SCORED)]
                 sums = np.concatenate([[0.0], np.cumsum(np.concatenate(log_p or [np.zeros(0)]))])
                 total, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)

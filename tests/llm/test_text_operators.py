@@ -295,49 +295,74 @@ def test_classifier_on_odd_rows(spark, odd, empty, tmp_path):
     assert quality_model.fit(quality_model.featurise(empty), labels).prior == 0.5
 
 
-def test_neighbours_stop_at_text_ends():
-    ids = np.array([10, 11, 12, 20, 21], dtype=np.int32)
-    end = pseudo_likelihood.VOCABULARY
-    got = pseudo_likelihood.neighbours(ids, np.array([0, 3, 3, 5]))
-    assert got.tolist() == [
-        [end, end, 11, 12],
-        [end, 10, 12, end],
-        [10, 11, end, end],
-        [end, end, 21, end],
-        [end, 20, end, end],
-    ]
+def test_blocks_stop_at_text_ends():
+    ids = np.arange(10, 19, dtype=np.int32)
+    first = np.array([0, 3, 3, 5, 9])
+    for size in (1, 2, 4, 100):
+        seen = []
+        for block in pseudo_likelihood.blocks(ids, first, size):
+            for i, target in enumerate(block.target):
+                around = [
+                    None if i in block.outside[k] else int(block.ids[i + pseudo_likelihood.REACH + side])
+                    for k, side in enumerate(pseudo_likelihood.SIDES)
+                ]
+                seen.append((int(target), around))
+        expected = []
+        for a, b in zip(first[:-1], first[1:]):
+            own = list(range(10 + a, 10 + b))
+            for i, w in enumerate(own):
+                sides = [i + s for s in pseudo_likelihood.SIDES]
+                expected.append((w, [own[j] if 0 <= j < len(own) else None for j in sides]))
+        assert seen == expected
 
 
 def test_gradients_by_differences():
     random_ = np.random.default_rng(1)
     network = pseudo_likelihood.Network.fresh(np.ones(pseudo_likelihood.VOCABULARY))
-    around = random_.integers(0, pseudo_likelihood.VOCABULARY + 1, (40, 4)).astype(np.int32)
-    target = random_.integers(0, pseudo_likelihood.VOCABULARY, 40).astype(np.int32)
+    ids = random_.integers(0, pseudo_likelihood.VOCABULARY, 40).astype(np.int32)
+    (block,) = pseudo_likelihood.blocks(ids, np.array([0, 9, 9, 10, 40]), 64)
     taken = {}
 
     class Recorder(pseudo_likelihood.Trainer):
         def _step(self, name, gradient, rows=slice(None)):
             taken.setdefault(name, np.zeros(self.network.parts[name].shape))[rows] += gradient
 
-    Recorder(network).learn(around, target)
+    Recorder(network).learn(block)
+    assert set(taken) == set(network.parts)
     for name, gradient in taken.items():
         place = np.unravel_index(np.argmax(np.abs(gradient)), gradient.shape)
         value, losses = network.parts[name][place], []
         for step in (1e-2, -1e-2):
             network.parts[name][place] = value + step
-            losses.append(-network.forward(around, target)[0].mean())
+            losses.append(-network.forward(block)[0].mean())
         network.parts[name][place] = value
         assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(gradient[place], rel=0.05, abs=1e-4), name
 
 
 def test_probabilities_of_all_words_add_up_to_one():
     network = pseudo_likelihood.Network.fresh(np.arange(pseudo_likelihood.VOCABULARY))
-    every = np.arange(pseudo_likelihood.VOCABULARY, dtype=np.int32)
-    around = np.tile(np.array([[1, 2, 3, 4]], dtype=np.int32), (len(every), 1))
-    assert np.exp(network.forward(around, every)[0]).sum() == pytest.approx(1, abs=1e-3)
+    n = pseudo_likelihood.VOCABULARY
+    total = 0.0
+    for word in range(0, n, 500):
+        ids = np.tile(np.array([1, 2, 0, 3, 4], dtype=np.int32), min(500, n - word))
+        ids[2::5] = np.arange(word, min(word + 500, n))
+        (block,) = pseudo_likelihood.blocks(ids, np.arange(0, len(ids) + 1, 5), len(ids))
+        total += np.exp(network.forward(block)[0][2::5]).sum()
+    assert total == pytest.approx(1, abs=1e-3)
     assert (pseudo_likelihood.Network.unpack(network.pack()).pack() == network.pack()).all()
 
 
+@pytest.mark.parametrize("most", [1, 7, 40, 99, 100, 101, 5000])
+def test_most_frequent_words_as_by_sorting(spark, most):
+    draw = random.Random(most)
+    rows = [(w, draw.choice([1, 1, 1, 2, 3, 50, 51, 52, 10_000])) for w in range(-50, 50)]
+    frame = spark.createDataFrame(rows, "word long, n long")
+    top, total = pseudo_likelihood._most_frequent(frame, most)
+    assert [tuple(r) for r in top] == sorted(rows, key=lambda r: (-r[1], r[0]))[:most]
+    assert total == sum(n for _, n in rows)
+    assert pseudo_likelihood._most_frequent(frame.limit(0), most) == ([], 0)
+
+
 def test_training_prefers_the_language_it_saw(spark):
     random_ = random.Random(5)
     steps = {"a": "b", "b": "c", "c": "d", "d": "a"}
