@@ -30,14 +30,16 @@ COMMON = 5  # times a word must occur to count for the dictionary
 MASK = "[SECRET]"
 
 _RUN = r"A-Za-z0-9+/_.\-"
-# A run that has a digit, or one that is assigned to something; padding may follow it.
+# A run that has a digit, is assigned to something, or begins as published keys do. It ends
+# in a letter, digit or padding, so a full stop after it is not part of it.
 CANDIDATE = (
-    rf"(?<![{_RUN}])(?:(?=[A-Za-z+/_.\-]*[0-9])|(?<=[=:][\"'])|(?<=[=:] [\"']))"
-    rf"[{_RUN}]{{{LEAST},}}={{0,2}}"
+    rf"(?<![{_RUN}])(?:(?=[A-Za-z+/_.\-]*[0-9])|(?<=[=:][\"'])|(?<=[=:] [\"'])"
+    rf"|(?=A[KS]IA[A-Z]{{12}}|gh[pousr]_|xox[abprs]-|sk-))"
+    rf"[{_RUN}]{{{LEAST - 1},}}[A-Za-z0-9+/_]={{0,2}}"
 )
 # Nouns that name a credential, and published prefixes of keys. Fixed values.
 NOUN = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)\W*$"
-PREFIXED = r"^(AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})$"
+PREFIXED = r"^(A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})$"
 
 FINDING = ("finding_no", "value", "before", "after")
 FEATURES = (
