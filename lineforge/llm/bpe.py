@@ -29,7 +29,7 @@ from lineforge.llm.tokens import BATCH_BYTES, Encoder, Memory, cuts, encoder
 WINDOW = 32  # bytes under the rolling hash
 AVERAGE = 1024  # a cut every so many bytes, a power of two
 SMALLEST, LARGEST = 256, 8192
-KNOWN_CHUNKS = 20_000  # in each of two generations
+KNOWN_CHUNKS = 8_000  # in each of two generations
 
 _VALUES = np.random.default_rng(7).integers(0, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -20,7 +20,7 @@ from lineforge.llm.arrow import quiet_threads
 
 # Pieces remembered by a worker in each of two generations; when the younger is full it
 # replaces the older one. Forgetting a piece costs its encoding anew, nothing else.
-KNOWN_PIECES = 500_000
+KNOWN_PIECES = 250_000
 KNOWN_CHARS = 64  # longer pieces seldom come again
 BATCH_BYTES = 4 << 20  # bytes encoded at once: the more, the fewer pieces are looked up twice
 
