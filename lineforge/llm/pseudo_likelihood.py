@@ -1,8 +1,8 @@
 """LM scoring by masked pseudo-likelihood.
 
-A small network predicts every word from the two words on either side of it: embeddings of
-the neighbours, weighted by position, are added, go through tanh, and a two-level softmax
-gives the class of the word and the word within the class. A document's score is the sum of its
+A small network predicts every word from the two words on either side of it: position-wise
+embeddings of the neighbours are added, go through tanh, and a two-level softmax gives the
+class of the word and the word within the class. A document's score is the sum of its
 words' conditional log probabilities.
 
 The vocabulary comes from counts over the whole corpus: the most frequent words have ids of
@@ -26,7 +26,7 @@ from lineforge.llm.arrow import SpanHashes, by_bytes, lower, text_bytes, words
 from lineforge.llm.names import col, narrowed
 from lineforge.session import run_dir
 
-CLASSES, PER_CLASS = 32, 64
+CLASSES, PER_CLASS = 64, 64
 VOCABULARY = CLASSES * PER_CLASS
 BUCKETS = PER_CLASS  # ids of words that aren't among the most frequent: the last class
 WIDTH = 16
@@ -39,8 +39,8 @@ RATE = 0.15
 BLOCK = 4096  # parameters in a block
 
 _SHAPES = {
-    "embedding": (VOCABULARY + 1, WIDTH),  # the last row stands for what lies beyond a text's ends
-    "position": (len(SIDES), WIDTH),
+    # A row holds a word's embeddings at all of SIDES; the last stands for what lies beyond a text's ends.
+    "embedding": (VOCABULARY + 1, len(SIDES) * WIDTH),
     "bias": (WIDTH,),
     "classes": (WIDTH, CLASSES),
     "class_bias": (CLASSES,),
@@ -50,6 +50,11 @@ _SHAPES = {
 }
 
 
+def _columns(k: int) -> slice:
+    """Where the embeddings at the ``k``-th of ``SIDES`` are."""
+    return slice(k * WIDTH, (k + 1) * WIDTH)
+
+
 @dataclass(frozen=True)
 class Block:
     """Consecutive words of some texts.
@@ -78,7 +83,6 @@ class Network:
         parts["class_bias"] = np.log(table.sum(axis=1) / table.sum()).astype(np.float32)
         parts["word_bias"] = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
         parts["gate"] = np.ones(_SHAPES["gate"], dtype=np.float32)
-        parts["position"] += 1
         parts["bias"] = np.zeros(_SHAPES["bias"], dtype=np.float32)
         return cls(parts)
 
@@ -98,12 +102,12 @@ class Network:
         """Log probabilities of the block's words, and what the gradient needs."""
         p, n, target = self.parts, len(block.target), block.target
         near = p["embedding"][block.ids]
-        inputs = [near[REACH + side : REACH + side + n] for side in SIDES]
-        for k, rows_out in enumerate(block.outside):
+        hidden = np.tile(p["bias"], (n, 1))
+        for k, (side, rows_out) in enumerate(zip(SIDES, block.outside, strict=True)):
+            own = _columns(k)
+            hidden += near[REACH + side : REACH + side + n, own]
             if len(rows_out):
-                inputs[k] = inputs[k].copy()
-                inputs[k][rows_out] = p["embedding"][VOCABULARY]
-        hidden = p["bias"] + sum(x * c for x, c in zip(inputs, p["position"], strict=True))
+                hidden[rows_out] += p["embedding"][-1, own] - near[REACH + side + rows_out, own]
         hidden = np.tanh(hidden)
         group, member = target // PER_CLASS, target % PER_CLASS
         rows = np.arange(len(target))
@@ -119,7 +123,7 @@ class Network:
             total = logits.sum(axis=1)
             log_p += at - np.log(total)
             weights.append((logits, total))
-        return log_p, (inputs, hidden, gated, group, member, rows, *weights)
+        return log_p, (hidden, gated, group, member, rows, *weights)
 
 
 class Trainer:
@@ -137,7 +141,7 @@ class Trainer:
     def learn(self, block: Block) -> float:
         """One step; the mean log probability before it."""
         p, n = self.network.parts, np.float32(len(block.target))
-        log_p, (inputs, hidden, gated, group, member, rows, *weights) = self.network.forward(block)
+        log_p, (hidden, gated, group, member, rows, *weights) = self.network.forward(block)
         (first, first_total), (second, second_total) = weights
         first *= (1 / (n * first_total))[:, None]
         second *= (1 / (n * second_total))[:, None]
@@ -154,16 +158,13 @@ class Trainer:
         self._step("gate", np.add.reduceat((to_gated * hidden)[order], begins, axis=0), groups)
         self._step("word_bias", np.add.reduceat(second[order], begins, axis=0), groups)
         self._step("bias", to_hidden.sum(axis=0))
-        to_near = np.zeros((len(block.ids) + 1, WIDTH), dtype=np.float32)
-        to_position = np.empty_like(p["position"])
-        for k, side in enumerate(SIDES):
-            to_position[k] = (to_hidden * inputs[k]).sum(axis=0)
-            to_input = to_hidden * p["position"][k]
-            if len(block.outside[k]):
-                to_near[-1] += to_input[block.outside[k]].sum(axis=0)
-                to_input[block.outside[k]] = 0
-            to_near[REACH + side : REACH + side + len(hidden)] += to_input
-        self._step("position", to_position)
+        to_near = np.zeros((len(block.ids) + 1, len(SIDES) * WIDTH), dtype=np.float32)
+        for k, (side, rows_out) in enumerate(zip(SIDES, block.outside, strict=True)):
+            own = _columns(k)
+            to_near[REACH + side : REACH + side + len(hidden), own] = to_hidden
+            if len(rows_out):
+                to_near[REACH + side + rows_out, own] = 0
+                to_near[-1, own] = to_hidden[rows_out].sum(axis=0)
         every = np.append(block.ids, VOCABULARY)
         order = np.argsort(every, kind="stable")
         ids, begins = np.unique(every[order], return_index=True)

@@ -339,6 +339,20 @@ def test_gradients_by_differences():
         assert (losses[0] - losses[1]) / 2e-2 == pytest.approx(gradient[place], rel=0.05, abs=1e-4), name
 
 
+def test_each_position_has_embeddings_of_its_own():
+    assert pseudo_likelihood.VOCABULARY >= 4096
+    network = pseudo_likelihood.Network.fresh(np.ones(pseudo_likelihood.VOCABULARY))
+    tables = len(pseudo_likelihood.SIDES) * (pseudo_likelihood.VOCABULARY + 1) * pseudo_likelihood.WIDTH
+    assert network.parts["embedding"].size == tables
+    ids = np.arange(100, 109, dtype=np.int32)
+    (block,) = pseudo_likelihood.blocks(ids, np.array([0, len(ids)]), 64)
+    before = network.forward(block)[0]
+    for k, side in enumerate(pseudo_likelihood.SIDES):  # word 104 as a neighbour at one side only
+        changed = pseudo_likelihood.Network.unpack(network.pack())
+        changed.parts["embedding"].reshape(-1, len(pseudo_likelihood.SIDES), pseudo_likelihood.WIDTH)[104, k] += 1
+        assert np.flatnonzero(changed.forward(block)[0] != before).tolist() == [4 - side]
+
+
 def test_probabilities_of_all_words_add_up_to_one():
     network = pseudo_likelihood.Network.fresh(np.arange(pseudo_likelihood.VOCABULARY))
     n = pseudo_likelihood.VOCABULARY
