@@ -6,29 +6,39 @@ class of the word and the word within the class. A document's score is the sum o
 words' conditional log probabilities.
 
 The vocabulary comes from counts over the whole corpus: the most frequent words have ids of
-their own, others share buckets. Training goes over all documents once, in rounds: in each,
-every task starts from the common parameters, trains on its part of the round's documents
-and sends its parameters, block by block; the blocks are averaged by number of words.
-Parameters are of fixed size, so they may come to the driver and go to every task.
+their own, others share buckets. The number of ids grows with the square root of the number
+of distinct words. A word in a bucket has the bucket's probability times its share of the
+bucket's occurrences. The tasks know the counts of the ``KNOWN`` most frequent words; counts
+of others come by a join with the written counts, so every word has its own.
+
+Training goes over all documents once, in rounds: in each, every task starts from the common
+parameters, trains on its part of the round's documents and sends its parameters, block by
+block; the blocks are averaged by number of words. Parameters grow as the ids do, far slower
+than the corpus, so they may come to the driver and go to every task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lineforge.llm.arrow import SpanHashes, by_bytes, lower, text_bytes, words
-from lineforge.llm.names import col, narrowed
+from lineforge.llm.names import col, free_names, narrowed
 from lineforge.session import run_dir
 
-CLASSES, PER_CLASS = 64, 64
-VOCABULARY = CLASSES * PER_CLASS
-BUCKETS = PER_CLASS  # ids of words that aren't among the most frequent: the last class
+LEAST_SIDE = 64  # classes, and ids in a class, of the smallest model
+VOCABULARY = LEAST_SIDE**2  # its ids; the last class is for words that aren't among the most frequent
+IDS_BY_ROOT = 8  # ids for each unit of the root of the number of distinct words
+KNOWN = 1 << 18  # words whose counts the tasks have, at least all with ids of their own
+UNSEEN = 0.5  # occurrences a word counts for that the corpus doesn't have
 WIDTH = 16
 SIDES = (-2, -1, 1, 2)
 REACH = max(SIDES)
@@ -38,16 +48,23 @@ SCORED = 512  # words scored at once
 RATE = 0.15
 BLOCK = 4096  # parameters in a block
 
-_SHAPES = {
-    # A row holds a word's embeddings at all of SIDES; the last stands for what lies beyond a text's ends.
-    "embedding": (VOCABULARY + 1, len(SIDES) * WIDTH),
-    "bias": (WIDTH,),
-    "classes": (WIDTH, CLASSES),
-    "class_bias": (CLASSES,),
-    "gate": (CLASSES, WIDTH),
-    "words": (WIDTH, PER_CLASS),
-    "word_bias": (CLASSES, PER_CLASS),
-}
+
+def side_of(distinct: int) -> int:
+    """Number of classes, and of ids in each, for a corpus with that many distinct words."""
+    return max(LEAST_SIDE, math.ceil(math.sqrt(IDS_BY_ROOT * math.sqrt(distinct))))
+
+
+def _shapes(side: int) -> dict[str, tuple[int, ...]]:
+    return {
+        # A row holds a word's embeddings at all of SIDES; the last stands for what lies beyond a text's ends.
+        "embedding": (side * side + 1, len(SIDES) * WIDTH),
+        "bias": (WIDTH,),
+        "classes": (WIDTH, side),
+        "class_bias": (side,),
+        "gate": (side, WIDTH),
+        "words": (WIDTH, side),
+        "word_bias": (side, side),
+    }
 
 
 def _columns(k: int) -> slice:
@@ -76,27 +93,30 @@ class Network:
 
     @classmethod
     def fresh(cls, counts: np.ndarray) -> Network:
-        """Random small weights, and biases that give each id its frequency."""
+        """Random small weights, and biases that give each id its frequency; as many ids as counts."""
         random = np.random.default_rng(5)
-        parts = {k: (random.standard_normal(s) * 0.1).astype(np.float32) for k, s in _SHAPES.items()}
-        table = (counts + 1.0).reshape(CLASSES, PER_CLASS)
+        shapes = _shapes(math.isqrt(len(counts)))
+        parts = {k: (random.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes.items()}
+        table = (counts + 1.0).reshape(shapes["word_bias"])
         parts["class_bias"] = np.log(table.sum(axis=1) / table.sum()).astype(np.float32)
         parts["word_bias"] = np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
-        parts["gate"] = np.ones(_SHAPES["gate"], dtype=np.float32)
-        parts["bias"] = np.zeros(_SHAPES["bias"], dtype=np.float32)
+        parts["gate"] = np.ones(shapes["gate"], dtype=np.float32)
+        parts["bias"] = np.zeros(shapes["bias"], dtype=np.float32)
         return cls(parts)
 
     @classmethod
     def unpack(cls, flat: np.ndarray) -> Network:
         parts, at = {}, 0
-        for name, shape in _SHAPES.items():
+        # Nearly all are embeddings and word biases; the rest is less than one more class would add.
+        side = math.isqrt(len(flat) // (len(SIDES) * WIDTH + 1))
+        for name, shape in _shapes(side).items():
             size = int(np.prod(shape))
             parts[name] = flat[at : at + size].reshape(shape).astype(np.float32)
             at += size
         return cls(parts)
 
     def pack(self) -> np.ndarray:
-        return np.concatenate([self.parts[name].ravel() for name in _SHAPES])
+        return np.concatenate([part.ravel() for part in self.parts.values()])
 
     def forward(self, block: Block):
         """Log probabilities of the block's words, and what the gradient needs."""
@@ -109,7 +129,7 @@ class Network:
             if len(rows_out):
                 hidden[rows_out] += p["embedding"][-1, own] - near[REACH + side + rows_out, own]
         hidden = np.tanh(hidden)
-        group, member = target // PER_CLASS, target % PER_CLASS
+        group, member = np.divmod(target, len(p["class_bias"]))
         rows = np.arange(len(target))
         first = hidden @ p["classes"] + p["class_bias"]
         gated = hidden * p["gate"][group]
@@ -117,7 +137,7 @@ class Network:
         log_p = np.zeros(len(target))
         weights = []
         for logits, chosen in ((first, group), (second, member)):
-            np.minimum(logits, 60, out=logits)  # exp of it stays finite, sums of 64 too
+            np.minimum(logits, 60, out=logits)  # exp of it stays finite, sums too
             at = logits[rows, chosen]
             np.exp(logits, out=logits)
             total = logits.sum(axis=1)
@@ -165,7 +185,7 @@ class Trainer:
             if len(rows_out):
                 to_near[REACH + side + rows_out, own] = 0
                 to_near[-1, own] = to_hidden[rows_out].sum(axis=0)
-        every = np.append(block.ids, VOCABULARY)
+        every = np.append(block.ids, len(p["embedding"]) - 1)
         order = np.argsort(every, kind="stable")
         ids, begins = np.unique(every[order], return_index=True)
         self._step("embedding", np.add.reduceat(to_near[order], begins, axis=0), ids)
@@ -174,19 +194,32 @@ class Trainer:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Hashes of the most frequent words in order, their ids, and how often each id occurs."""
+    """Hashes of the ``KNOWN`` most frequent words in order, their ids and log shares of them.
+
+    ``counts``: how often each id occurs; ``path``: the written counts of all words.
+    ``least``: no word that is not known occurs more often.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
+    shares: np.ndarray
     counts: np.ndarray
+    path: str
+    least: int
 
-    def lookup(self, hashes: np.ndarray) -> np.ndarray:
-        out = (VOCABULARY - BUCKETS + hashes % np.uint64(BUCKETS)).astype(np.int32)
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, log shares of them, and which words are known.
+
+        Of an unknown word the share lacks the log of its count.
+        """
+        side = math.isqrt(len(self.counts))
+        out = (len(self.counts) - side + (hashes % np.uint64(side)).astype(np.int64)).astype(np.int32)
+        shares, known = -np.log(self.counts[out] + 1), np.zeros(len(hashes), dtype=bool)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             known = self.hashes[at] == hashes
-            out[known] = self.ids[at[known]]
-        return out
+            out[known], shares[known] = self.ids[at[known]], self.shares[at[known]]
+        return out, shares, known
 
 
 def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -198,7 +231,7 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def blocks(ids: np.ndarray, first: np.ndarray, size: int) -> Iterator[Block]:
     """The words of a slice in text order, ``size`` at a time, each with its neighbours."""
-    padded = np.concatenate(([VOCABULARY] * REACH, ids, [VOCABULARY] * REACH)).astype(np.int32)
+    padded = np.pad(ids, REACH).astype(np.int32)  # what is put there is outside of every text
     at = np.arange(len(ids))
     begin, end = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
     beyond = [np.flatnonzero((at + side < begin) | (at + side >= end)) for side in SIDES]
@@ -212,7 +245,10 @@ _MERGE_AT = 500_000
 
 
 def learn_vocabulary(spark: SparkSession, docs: DataFrame, text: str = "text") -> Vocabulary:
-    """Counts of all words of all texts; the most frequent come to the driver, as many as the model has ids."""
+    """Counts of all words of all texts, written; the most frequent come to the driver.
+
+    Of each bucket one occurrence more is kept for words the corpus doesn't have.
+    """
     narrow = docs.select(col(text).alias("body"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,14 +275,24 @@ def learn_vocabulary(spark: SparkSession, docs: DataFrame, text: str = "text") -
     path = run_dir(spark, "word-counts")
     narrow.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(path)
     counted = spark.read.parquet(path)
-    own = VOCABULARY - BUCKETS
-    top, total = _most_frequent(counted, own)
+    distinct = counted.count()
+    side = side_of(distinct)
+    own = side * side - side
+    top, _ = _most_frequent(counted, max(KNOWN, own))
     hashes = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
-    counts = np.zeros(VOCABULARY)
-    counts[: len(top)] = [r["n"] for r in top]
-    counts[own:] = (total - counts.sum()) / BUCKETS
+    n = np.array([r["n"] for r in top], dtype=np.float64)
+    ids = np.arange(len(top), dtype=np.int64)
+    ids[own:] = own + (hashes[own:] % np.uint64(side)).astype(np.int64)
+    counts = np.zeros(side * side)
+    counts[: min(own, len(top))] = n[:own]
+    unsigned = F.pmod("word", F.lit(side)) + F.when(F.col("word") < 0, F.lit(2**64 % side)).otherwise(F.lit(0))
+    for row in counted.groupBy(F.pmod(unsigned, F.lit(side)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        counts[own + row["bucket"]] = row["n"]
+    np.subtract.at(counts, own + (hashes[:own] % np.uint64(side)).astype(np.int64), n[:own])
+    shares = np.where(np.arange(len(top)) < own, 0.0, np.log(n) - np.log(counts[ids] + 1))
     order = np.argsort(hashes)
-    return Vocabulary(hashes[order], np.arange(len(top), dtype=np.int32)[order], counts)
+    least = int(n[-1]) if len(top) else 0
+    return Vocabulary(hashes[order], ids[order].astype(np.int32), shares[order], counts, path, least)
 
 
 def _most_frequent(counted: DataFrame, most: int) -> tuple[list, int]:
@@ -290,7 +336,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int
             for batch in batches:
                 for part in by_bytes(batch, "body"):
                     hashes, first = _word_hashes(part.column("body"))
-                    ids = vocabulary.lookup(hashes)
+                    ids, _, _ = vocabulary.lookup(hashes)
                     steps = list(blocks(ids, first, BATCH))
                     for k in random.permutation(len(steps)):
                         trainer.learn(steps[k])
@@ -344,26 +390,53 @@ def score(
 ) -> DataFrame:
     """Kept columns, n_words, ``log_likelihood`` (summed over the words) and ``mean_log_likelihood``.
 
-    Whole texts are scored. A null or empty text has no words, the sum 0 and no mean.
+    Whole texts are scored. A null or empty text has no words, the sum 0 and no mean. What the
+    tasks can tell is written; counts of words they don't know are joined to it.
     """
+    spark = docs.sparkSession
     results = "n_words long, log_likelihood double, mean_log_likelihood double"
     narrow, kept, body, schema = narrowed(docs, keep, text, results)
+    row, rest, of, added = free_names(schema.names, "row", "rest", "of", "added")
+    more = [T.StructField(row, T.LongType()), T.StructField(rest, T.ArrayType(T.LongType()))]
+    partial = T.StructType([*schema.fields[:-1], *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in by_bytes(batch, body):
                 hashes, first = _word_hashes(part.column(body))
-                ids = vocabulary.lookup(hashes)
+                ids, shares, known = vocabulary.lookup(hashes)
                 log_p = [network.forward(b)[0] for b in blocks(ids, first, SCORED)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(log_p or [np.zeros(0)]))])
+                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(log_p or [np.zeros(0)]) + shares)])
                 total, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+                unknown = np.flatnonzero(~known)
+                words_left = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(unknown, first), type=pa.int32()), pa.array(hashes[unknown].view(np.int64))
+                )
+                rows = pa.array(number + np.arange(len(n), dtype=np.int64))
+                number += len(n)
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(n.astype(np.int64)), pa.array(total), mean],
-                    names=schema.names,
+                    [*(part.column(c) for c in kept), pa.array(n.astype(np.int64)), pa.array(total), rows, words_left],
+                    names=partial.names,
                 )
 
-    return narrow.mapInArrow(run, schema)
+    path = run_dir(spark, "word-scores")
+    narrow.mapInArrow(run, partial).write.parquet(path)
+    scored = spark.read.schema(partial).parquet(path)
+    counted = spark.read.parquet(vocabulary.path).where(F.col("n") <= vocabulary.least)
+    left = scored.select(col(row).alias(of), F.explode(col(rest)).alias("left"))
+    logs = (
+        left.join(counted, F.col("left") == F.col("word"), "left")
+        .groupBy(col(of))
+        .agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias(added))
+    )
+    total = col("log_likelihood") + F.coalesce(col(added), F.lit(0.0))
+    return scored.join(logs, col(row) == col(of), "left").select(
+        *map(col, kept),
+        "n_words",
+        total.alias("log_likelihood"),
+        F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood"),
+    )
 
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -408,6 +408,76 @@ def test_scores_of_odd_and_no_rows(spark, odd, empty):
     assert pseudo_likelihood.score(total, vocabulary, network).first()["log_likelihood"] < 0
 
 
+@pytest.fixture(scope="module")
+def rare():
+    """Texts most of whose words are rare, and how often each word occurs."""
+    draw = random.Random(21)
+    words_ = ["".join(draw.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(20_000)]
+    weights = [1 / (k + 50) for k in range(len(words_))]
+    texts = [draw.choices(words_, weights, k=200) for _ in range(300)]
+    counts = {}
+    for word in (w for t in texts for w in t):
+        counts[word] = counts.get(word, 0) + 1
+    return texts, counts
+
+
+def test_invented_and_shuffled_words_score_below_prose(spark, rare):
+    texts, counts = rare
+    assert len(counts) > 2 * pseudo_likelihood.VOCABULARY
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    vocabulary, network = pseudo_likelihood.train(spark, docs)
+    draw = random.Random(4)
+    shuffled = [["".join(draw.sample(w, len(w))) for w in t] for t in texts[:10]]
+    invented = [["".join(draw.choice("qrstuvwxyz") for _ in range(9)) for _ in t] for t in texts[:10]]
+    rows = [(k, " ".join(t)) for k, ts in enumerate((texts[:10], shuffled, invented)) for t in ts]
+    scored = pseudo_likelihood.score(spark.createDataFrame(rows, "doc_id long, text string"), vocabulary, network)
+    means = {k: [r["mean_log_likelihood"] for r in scored.collect() if r["doc_id"] == k] for k in range(3)}
+    assert min(means[0]) > max(means[1] + means[2])
+
+
+def test_each_rest_word_has_its_share_of_a_bucket(spark, rare, monkeypatch):
+    texts, counts = rare
+    docs = spark.createDataFrame([(" ".join(t),) for t in texts], "text string")
+    rows = [(w, w) for w in counts] + [("never", "never"), ("none", ""), ("null", None)]
+    single = spark.createDataFrame(rows, "row string, text string")
+    got = {}
+    for known in (1, 6_000, 1 << 18):  # all rest words by the join, some, none
+        monkeypatch.setattr(pseudo_likelihood, "KNOWN", known)
+        vocabulary = pseudo_likelihood.learn_vocabulary(spark, docs)
+        network = pseudo_likelihood.Network.fresh(vocabulary.counts)
+        result = pseudo_likelihood.score(single, vocabulary, network, keep=("row",))
+        assert result.columns == ["row", "n_words", "log_likelihood", "mean_log_likelihood"]
+        got[known] = {r["row"]: r["log_likelihood"] for r in result.collect()}
+    assert got[1] == pytest.approx(got[6_000]) and got[1] == pytest.approx(got[1 << 18])
+    assert got[1]["none"] == got[1]["null"] == 0
+    hashes = pseudo_likelihood._word_hashes(pa.array(list(counts) + ["never"]))[0]
+    ids, _, _ = vocabulary.lookup(hashes)
+    side = pseudo_likelihood.side_of(len(counts))
+    own = side * side - side
+    assert len(vocabulary.counts) == side * side
+    totals = {}
+    for (word, n), i in zip(counts.items(), ids):
+        totals[i] = totals.get(i, 0) + n
+    assert vocabulary.counts.tolist() == [totals.get(i, 0) for i in range(side * side)]
+    # Alone in a text each word has the same neighbours, so one id has one probability.
+    bare = {}
+    for word, i in zip([*counts, "never"], ids):
+        share = counts.get(word, 0.5) / (totals[i] + 1) if i >= own else 1
+        bare.setdefault(int(i), []).append(got[1][word] - np.log(share))
+    assert all(max(x) == pytest.approx(min(x), abs=1e-5) for x in bare.values())
+    assert sum(np.exp(x[0]) for x in bare.values()) == pytest.approx(1, abs=1e-3)
+
+
+def test_ids_follow_the_corpus():
+    sides = [pseudo_likelihood.side_of(n) for n in (0, 1000, 404_216, 10**8, 10**10)]
+    assert sides[0] == sides[1] == 64 < sides[2] < sides[3] < sides[4]
+    for side in (1, 2, 64, 65, 72, 283):
+        network = pseudo_likelihood.Network.fresh(np.ones(side * side))
+        assert all(
+            (x == y).all() for x, y in zip(network.parts.values(), pseudo_likelihood.Network.unpack(network.pack()).parts.values())
+        )
+
+
 CHAT = "conv_id long, turn long, role string, text string, turns string, n_turns int"
 
 
