@@ -1,7 +1,9 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
 DataFrame functions and Spark's own forest only. A candidate is a long run of the
-characters that keys and tokens are made of. Its features are its length, how usual its
+characters that keys and tokens are made of, or any value, however short and of whatever
+characters but white space, that is assigned to a credential's name or follows the user in
+an address. Its features are its length, how usual its
 character transitions are in the corpus's words, how much of it words of the corpus cover,
 whether it reads like a path, and the words beside it. The forest learns from labelled
 findings; where no one has labelled any, ``label_by_format`` does it for formats that leave
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 from lineforge.llm.names import col, free_names, without
 from lineforge.session import run_dir
 
-LEAST = 16  # characters of a candidate
+LEAST = 16  # characters of a candidate that nothing assigns
+CERTAIN = 8  # characters of a value that its assignment alone labels a secret, and that is masked wherever it occurs
 THRESHOLD = 0.5
 TRAINING_ROWS = 20_000  # labelled findings the forest learns from at most, chosen by hash
 TREES, DEPTH, SEED = 20, 6, 17
@@ -38,9 +41,24 @@ CANDIDATE = (
     rf"[{_RUN}]{{{LEAST - 1},}}[A-Za-z0-9+/_]={{0,2}}"
 )
 # Nouns that name a credential, and published prefixes of keys. Fixed values.
-NOUN = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)\W*$"
+_NOUNS = "(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)"
+NOUN = rf"(?i){_NOUNS}\W*$"
 PREFIXED = r"^(A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})$"
 
+_TO_NOUN = rf"(?i:{_NOUNS})[\"']?[ \t]{{0,4}}[=:]{{1,2}}>?[ \t]{{0,4}}"
+# A value assigned to a noun: in quotes, or else up to white space, a quote or the next
+# setting, without punctuation at its end. Or what stands between ://user: and @. Short
+# looks behind come first, so that the long ones are rarely taken.
+ASSIGNED = "|".join(
+    (
+        *(rf"(?<=[=:> \t]{q})(?<={_TO_NOUN}{q})[^\s{q}]+(?={q})" for q in "\"'"),
+        rf"(?<=[=:> \t])(?=[^\s\"'=:>])(?<=[=:>][ \t]{{0,4}})(?<={_TO_NOUN})"
+        r"[^\s\"']*?[^\s\"'.,;:)\]}>](?=[.,;:)\]}>]*(?:[\s\"']|$)|[&;,]\w{1,64}=)",
+        r"(?<=:)(?<=://[^\s/:@\"']{1,64}:)[^\s/@\"']+(?=@)",
+    )
+)
+FOUND = f"{ASSIGNED}|{CANDIDATE}"  # a whole assigned value rather than a run inside it
+
 FINDING = ("finding_no", "value", "before", "after")
 FEATURES = (
     "length",
@@ -122,10 +140,10 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     body, values, around = free_names([*keep, *FINDING], "body", "values", "around")
     found = (
         docs.select(*kept, col(text).alias(body))
-        .withColumn(values, F.regexp_extract_all(col(body), F.lit(CANDIDATE), F.lit(0)))
+        .withColumn(values, F.regexp_extract_all(col(body), F.lit(FOUND), F.lit(0)))
         .where(F.size(values) > 0)
     )
-    between = F.split(col(body), CANDIDATE, -1)
+    between = F.split(col(body), FOUND, -1)
     cut = F.transform(
         between,
         lambda s: F.struct(
@@ -189,11 +207,11 @@ def describe(findings: DataFrame, words: DataFrame, transitions: Transitions) ->
 def label_by_format() -> Column:
     """1 or 0 where the format of a finding and its neighbours leave no doubt, else null.
 
-    Secrets: a published key prefix, or a value without words that has a digit and is
-    assigned to a credential's name. Others: digits alone, host names after an at sign, values that words
+    Secrets: a published key prefix, or a value without words that has a digit, is not too
+    short and is assigned to a credential's name. Others: digits alone, host names after an at sign, values that words
     cover, and paths or dotted names that words cover by half.
     """
-    assigned = (F.col("noun_before") == 1) & (F.col("assigned") == 1)
+    assigned = (F.col("noun_before") == 1) & (F.col("assigned") == 1) & (F.col("length") >= CERTAIN)
     plain = (F.col("digits") == 1) | F.col("before").endswith("@") | (F.col("coverage") >= 0.8)
     named = (F.col("path_parts") + F.col("dots") > 0) & (F.col("coverage") >= 0.5)
     return (
@@ -286,23 +304,33 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets in texts are replaced by a mask, n_chars follows.
 
-    Texts meet their secrets by a hash of the text, so repeated and null ids do no harm.
+    A secret is masked where it was found; one of ``CERTAIN`` characters or more also wherever
+    else its text has it, which a shorter one may by chance. Texts meet their secrets by a
+    hash of the text, so repeated and null ids do no harm.
     """
-    hash_, of, found_, clean_ = free_names(docs.columns, "hash", "of", "found", "clean")
+    hash_, of, found_, places_, clean_ = free_names(docs.columns, "hash", "of", "found", "places", "clean")
     hashed = docs.withColumn(hash_, F.xxhash64("text"))
     found = scan(spark, hashed.select(col(hash_).alias("text_hash"), "text"), keep=("text_hash",))
     values = (
         found.where("is_secret")
-        .select(F.col("text_hash").alias(of), "value")
-        .distinct()
-        .groupBy(of)
-        .agg(F.collect_list("value").alias(found_))
+        .groupBy(F.col("text_hash").alias(of))
+        .agg(
+            F.collect_set(F.when(F.length("value") >= CERTAIN, F.col("value"))).alias(found_),
+            F.collect_set("finding_no").alias(places_),
+        )
+    )
+    numbered = F.transform(
+        F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)),
+        lambda v, k: F.when(F.array_contains(places_, k), F.lit(MASK)).otherwise(v),
+    )
+    pieces = F.zip_with(
+        F.split("text", FOUND, -1), numbered, lambda s, v: F.concat(s, F.coalesce(v, F.lit("")))
     )
     # Longer values first, so that none is broken by another inside it.
     ordered = F.transform(
         F.sort_array(F.transform(found_, lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))), lambda s: s["v"]
     )
-    clean = F.aggregate(ordered, F.col("text"), lambda t, v: F.replace(t, v, F.lit(MASK)))
+    clean = F.aggregate(ordered, F.array_join(pieces, ""), lambda t, v: F.replace(t, v, F.lit(MASK)))
     joined = hashed.join(values, F.col(hash_) == F.col(of), "left").withColumn(
         clean_, F.when(F.col(found_).isNotNull(), clean)
     )
