@@ -162,6 +162,16 @@ def _encode(column: pa.Array, vocabulary: str) -> list[bytes]:
     return chunk_encoder(vocabulary).ids([(s.tobytes(), chunks(s)) for s in spans])
 
 
+def _reversible(column: pa.Array, vocabulary: str) -> list[bytes]:
+    """The texts' ids, of which each must give its text again; a null text is an empty one."""
+    ids = _encode(column, vocabulary)
+    decoded = encoder(vocabulary).decode(ids)
+    wrong = sum(a != (b or "") for a, b in zip(decoded, column.to_pylist(), strict=True))
+    if wrong:
+        raise ValueError(f"{wrong} of {len(ids)} texts differ from what their ids decode to")
+    return ids
+
+
 def _through(docs: DataFrame, read: str, keep: tuple[str, ...], results: str, values) -> DataFrame:
     narrow, kept, body, schema = narrowed(docs, keep, read, results)
 
@@ -226,5 +236,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the ids of each document's whole text beside its other columns."""
-    return encode(docs, _vocabulary(), keep=tuple(c for c in docs.columns if c != "text"))
+    """Pipeline stage: the ids of each document's whole text beside its other columns.
+
+    The ids are decoded before they leave the task; the job fails if a text doesn't come back.
+    """
+    vocabulary = _vocabulary()
+
+    def values(texts: pa.Array) -> list[pa.Array]:
+        ids = _reversible(texts, vocabulary)
+        return [pa.array(ids, type=pa.binary()), pa.array([len(x) // 4 for x in ids], type=pa.int64())]
+
+    return _through(docs, "text", tuple(c for c in docs.columns if c != "text"), "ids binary, n_tokens long", values)

@@ -183,6 +183,17 @@ def test_bpe_round_trip_and_digests(spark, odd, empty, library):
     assert bpe.digests(empty, VOCABULARY).count() == 0
 
 
+def test_the_pipeline_s_ids_give_the_texts_again(spark, odd, monkeypatch):
+    staged = bpe.tokenize(spark, odd, None)
+    texts = pa.array(["some text", None, "", "日本 é\n"])
+    assert staged.count() == odd.count()
+    assert bpe._reversible(texts, VOCABULARY) == bpe._encode(texts, VOCABULARY)
+    right = bpe._encode
+    monkeypatch.setattr(bpe, "_encode", lambda column, vocabulary: [x[:-4] for x in right(column, vocabulary)])
+    with pytest.raises(ValueError, match="2 of 4 texts"):
+        bpe._reversible(texts, VOCABULARY)
+
+
 def _brute_measures(text):
     text = text or ""
     ws = re.findall(r"[^\x20\x09-\x0D]+", text)
