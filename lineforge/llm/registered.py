@@ -10,13 +10,16 @@ from lineforge.llm import (
     bpe,
     chat,
     decontaminate,
+    importance,
     pseudo_likelihood,
     quality_model,
     quality_rules,
     secrets,
     simhash,
+    source_mix,
     token_counts,
     url_filter,
+    whitening,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +33,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_importance_resample": importance.op11_importance_resample,
+    "op12_embedding_whitening": whitening.op12_embedding_whitening,
+    "op13_source_mix": source_mix.op13_source_mix,
 }
 ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
