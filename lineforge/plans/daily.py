@@ -12,16 +12,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lineforge.operators.columns import LOCAL_OFFSET_HOURS, stamp_provenance, void_to_string
 from lineforge.operators.unions import union_pages
 from lineforge.operators.upsert import latest_lines, upsert
-from lineforge.plans import delivery, gold, quality, silver
+from lineforge.plans import delivery, gold, quality, silver, upkeep
 from lineforge.plans.columns import BRONZE_COLUMNS, KEY, LINE_SCHEMA
+from lineforge.session import run_dir
+from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import (
     DAY_DIRECTORY,
     STATUS_DIRECTORY,
     bad_pages,
+    cut_pages,
     page_counts,
     page_lines,
     read_pages,
 )
+from lineforge.sources.runs import RunTable
 from lineforge.sources.seeds import load_seed
 from lineforge.sources.tables import (
     BUCKET,
@@ -34,6 +38,9 @@ from lineforge.sources.tables import (
 )
 from lineforge.sources.zones import ZONE_URI, land_raw, stage_table, zone_path
 
+# The bronze key as it came, kept beside silver and fact rows: trimmed, two keys may be one.
+LINE_KEY = "line_key"
+CARRIER_COUNTS, CENTER_SUMS, BUILT_FROM = "carrier_counts", "center_sums", "built_from"
 BRONZE_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in BRONZE_COLUMNS])
 PREDICTION_SCHEMA = T.StructType(
     [
@@ -52,10 +59,12 @@ PREDICTION_SCHEMA = T.StructType(
 class Lake:
     """Where the job reads and writes.
 
-    The bronze snapshot is laid out in ``snapshot_buckets`` buckets of its key. A day's
-    upsert reads and writes only those that hold keys of the batch. Pick a number that
-    keeps a bucket within what one task handles. A run fails if more than ``bad_pages`` of
-    the pages are damaged.
+    The bronze snapshot is a base, laid out in ``snapshot_buckets`` buckets of its key, and
+    runs of changed rows, see ``sources.runs``; so are silver lines and the fact table. A day
+    writes one run to each. They are folded once there are ``most_runs`` runs or these hold a
+    quarter of the base's rows. With ``most_runs`` 0 there are no runs: a day reads and
+    writes the buckets that hold keys of its batch, and all that follows is built anew. A
+    run of the job fails if more than ``bad_pages`` of the pages are damaged.
     """
 
     account: str
@@ -68,6 +77,7 @@ class Lake:
     gold: str = "gold"
     snapshot_buckets: int = 16
     bad_pages: float = 0.01
+    most_runs: int = 30
 
     def path(self, database: str, table: str = "") -> str:
         return zone_path(self.account, "tables", database, table, self.uri)
@@ -94,6 +104,30 @@ class Lake:
     def layout(self) -> Buckets:
         return Buckets(self.snapshot_buckets, KEY)
 
+    def _keyed(self, table: str, database: str, key: str, buckets: Buckets | None = None) -> RunTable:
+        return RunTable(table, database, self.path(database, table), key, self.path(database), buckets)
+
+    @property
+    def snapshot(self) -> RunTable:
+        return self._keyed("parts", self.bronze, KEY, self.layout)
+
+    @property
+    def silver_lines(self) -> RunTable:
+        return self._keyed("parts", self.silver, LINE_KEY)
+
+    @property
+    def fact_lines(self) -> RunTable:
+        return self._keyed("factparts", self.gold, LINE_KEY)
+
+    def bronze_parts(self, spark: SparkSession) -> DataFrame:
+        return self.snapshot.content(spark)
+
+    def silver_parts(self, spark: SparkSession) -> DataFrame:
+        return self.silver_lines.content(spark).drop(LINE_KEY)
+
+    def fact(self, spark: SparkSession) -> DataFrame:
+        return self.fact_lines.content(spark).drop(LINE_KEY)
+
 
 def run_day(as_of: str) -> date:
     return date.fromisoformat(as_of[:10])
@@ -103,9 +137,14 @@ class DamagedPages(ValueError):
     """Too many of a run's pages are damaged."""
 
 
-def unreadable(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
+def fetch(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
+    """The pages of the fetch windows cut into lines and written, so that they are parsed once."""
+    return write_parquet(cut_pages(read_pages(spark, lake.pages, run_day(as_of))), run_dir(spark, "pages"))
+
+
+def unreadable(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None = None) -> DataFrame:
     """Damaged pages of the fetch windows, with how many whole lines they gave."""
-    return bad_pages(read_pages(spark, lake.pages, run_day(as_of)))
+    return bad_pages(pages if pages is not None else read_pages(spark, lake.pages, run_day(as_of)))
 
 
 def require_sound_pages(pages: DataFrame, share: float) -> None:
@@ -115,15 +154,10 @@ def require_sound_pages(pages: DataFrame, share: float) -> None:
         raise DamagedPages(f"{counted['n_bad']} of {counted['n_pages']} pages are damaged")
 
 
-def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
-    """Pages of the fetch windows to raw, to staging, to the bronze snapshot.
-
-    Raw and staging keep fields the line schema does not name; the snapshot has its 48
-    columns. The batch, one row per key, is written first: its buckets tell which part
-    of the snapshot is read, merged and written anew. Returns the snapshot's rows.
-    """
+def _batch(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None) -> DataFrame:
+    """The day's lines by way of raw and staging, one row per key, with the snapshot's columns."""
     day = run_day(as_of)
-    pages = read_pages(spark, lake.pages, day)
+    pages = fetch(spark, lake, as_of) if pages is None else pages
     require_sound_pages(pages, lake.bad_pages)
     stamped = stamp_provenance(page_lines(pages, LINE_SCHEMA), F.col(STATUS_DIRECTORY), as_of)
     fetched = void_to_string(stamped.drop(STATUS_DIRECTORY, DAY_DIRECTORY))
@@ -131,15 +165,31 @@ def ingest(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     staged = stage_table(
         spark, lake.account, lake.entity, day, "parts_tmp", lake.bronze, lake.uri
     )
-    layout = lake.layout
     latest = latest_lines(staged).withColumn("changedDateTime", F.lit(None).cast("string"))
-    batch = lake.store(layout.assign(latest.select(*BRONZE_COLUMNS)), "parts_batch", lake.bronze)
+    return latest.select(*BRONZE_COLUMNS)
+
+
+def ingest(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None = None) -> DataFrame | None:
+    """Pages of the fetch windows to raw, to staging, to the bronze snapshot.
+
+    Raw and staging keep fields the line schema does not name; the snapshot has its 48
+    columns. Returns the changed rows with what they were before (``runs.BEFORE``), or null
+    if the snapshot is new or has no runs.
+    """
+    layout, batch = lake.layout, _batch(spark, lake, as_of, pages)
+    if lake.most_runs:
+        if lake.snapshot.exists(spark):
+            return lake.snapshot.upsert(batch, remember=upkeep.REMEMBERED, checked=True)
+        lake.snapshot.create(batch)
+        return None
+    batch = lake.store(layout.assign(batch), "parts_batch", lake.bronze)
     if not table_exists(spark, "parts", lake.bronze):
-        return lake.store(batch, "parts", lake.bronze, layout).drop(BUCKET)
+        lake.store(batch, "parts", lake.bronze, layout)
+        return None
     touched = buckets_in(batch)
     snapshot = scan_table(spark, "parts", lake.bronze).filter(F.col(BUCKET).isin(*touched))
-    merged = upsert(snapshot, batch, checked=True)
-    return replace_buckets(merged, "parts", lake.bronze, touched).drop(BUCKET)
+    replace_buckets(upsert(snapshot, batch, checked=True), "parts", lake.bronze, touched)
+    return None
 
 
 def seed(spark: SparkSession, lake: Lake) -> DataFrame:
@@ -153,28 +203,73 @@ def seed(spark: SparkSession, lake: Lake) -> DataFrame:
     )
 
 
-def build(spark: SparkSession, lake: Lake) -> dict[str, DataFrame]:
-    """Silver tables, then the gold tables from what was written, not recomputed."""
-    bronze = scan_table(spark, "parts", lake.bronze).drop(BUCKET)
-    statuses = scan_table(spark, "statuses", lake.bronze)
-    parts = lake.store(silver.silver_parts(bronze), "parts", lake.silver)
-    status = lake.store(silver.silver_status(statuses), "status", lake.silver)
+def _same_rows(a: DataFrame, b: DataFrame) -> bool:
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def _silver_with_key(bronze: DataFrame) -> DataFrame:
+    return bronze.select(*map(silver.silver_column, BRONZE_COLUMNS), F.col(KEY).alias(LINE_KEY))
+
+
+def _fact_with_key(parts: DataFrame, status: DataFrame) -> DataFrame:
+    return gold.fact_parts(parts, status, keep=(LINE_KEY,))
+
+
+def build(spark: SparkSession, lake: Lake, changes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Silver tables, then the gold tables from what was written, not recomputed.
+
+    With ``changes``, the day's changed bronze rows, what was built before is kept up from
+    these alone; otherwise, or if the status lookup changed, all is built from bronze.
+    """
+    new_status = silver.silver_status(scan_table(spark, "statuses", lake.bronze))
+    had = table_exists(spark, "status", lake.silver)
+    same = had and _same_rows(scan_table(spark, "status", lake.silver), new_status)
+    status = lake.store(new_status, "status", lake.silver)
+    if changes is not None and same:
+        lines = write_parquet(_silver_with_key(changes), run_dir(spark, "silver"))
+        lake.silver_lines.append_run(lines)
+        lake.fact_lines.append_run(_fact_with_key(lines, status))
+        carriers = upkeep.carriers_after(scan_table(spark, CARRIER_COUNTS, lake.gold), changes)
+        centers = upkeep.centers_after(scan_table(spark, CENTER_SUMS, lake.gold), changes)
+    else:
+        lines = lake.silver_lines.create(_silver_with_key(lake.bronze_parts(spark)))
+        lake.fact_lines.create(_fact_with_key(lines, status))
+        carriers, centers = upkeep.carrier_counts(lines), upkeep.center_sums(lines)
+    carriers = lake.store(carriers, CARRIER_COUNTS, lake.gold)
+    centers = lake.store(centers, CENTER_SUMS, lake.gold)
     return {
-        "silver.parts": parts,
+        "silver.parts": lake.silver_parts(spark),
         "silver.status": status,
-        "gold.dimcarrier": lake.store(gold.dim_carrier(parts), "dimcarrier", lake.gold),
+        "gold.dimcarrier": lake.store(upkeep.dim_carrier(carriers), "dimcarrier", lake.gold),
         "gold.dimstatus": lake.store(gold.dim_status(status), "dimstatus", lake.gold),
-        "gold.factparts": lake.store(gold.fact_parts(parts, status), "factparts", lake.gold),
+        "gold.factparts": lake.fact(spark),
         "gold.factEmergencyOrder": lake.store(
-            gold.fact_emergency_order(parts), "factEmergencyOrder", lake.gold
+            upkeep.fact_emergency_order(centers), "factEmergencyOrder", lake.gold
         ),
     }
 
 
+def built_from(spark: SparkSession, lake: Lake) -> str:
+    """The version of the snapshot that silver and gold were last built from."""
+    if not table_exists(spark, BUILT_FROM, lake.gold):
+        return ""
+    return scan_table(spark, BUILT_FROM, lake.gold).first()["version"]
+
+
+def fold_runs(spark: SparkSession, lake: Lake) -> None:
+    """Compact the tables whose runs have become many or large.
+
+    Frames over them that were made before can't be read afterwards, so a day begins with it.
+    """
+    for table in (lake.snapshot, lake.silver_lines, lake.fact_lines):
+        if table.exists(spark) and table.crowded(spark, max(1, lake.most_runs)):
+            table.compact(spark)
+
+
 def check(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     """The check report over the silver tables as they are, and the freshness of bronze."""
     loaded = quality.freshness(
-        scan_table(spark, "parts", lake.bronze), "insertDateTime", as_of, LOCAL_OFFSET_HOURS
+        lake.bronze_parts(spark), "insertDateTime", as_of, LOCAL_OFFSET_HOURS
     )
     fresh = loaded.select(
         F.lit("freshness").alias("check_name"),
@@ -184,7 +279,7 @@ def check(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
     )
     return union_pages(
         [
-            quality.report(scan_table(spark, "parts", lake.silver), quality.PARTS_CHECKS),
+            quality.report(lake.silver_parts(spark), quality.PARTS_CHECKS),
             quality.report(scan_table(spark, "status", lake.silver), quality.STATUS_CHECKS),
             fresh,
         ]
@@ -204,7 +299,7 @@ def score(
         nothing = delivery.with_day(spark.createDataFrame([], PREDICTION_SCHEMA))
         lake.store(nothing, table, lake.gold, partition=delivery.SCORED_DAY)
     scored = scan_table(spark, table, lake.gold)
-    fact = scan_table(spark, "factparts", lake.gold)
+    fact = lake.fact(spark)
     done = delivery.score_batch(fact, scored, model, path, table, lake.gold, as_of, bootstrap)
     return done.drop(delivery.SCORED_DAY)
 
@@ -217,17 +312,28 @@ def run(
     bootstrap: bool = False,
     tests_first: bool = False,
 ) -> dict[str, DataFrame]:
-    """One day's run. ``tests_first`` checks the tables of the day before."""
+    """One day's run. ``tests_first`` checks the tables of the day before.
+
+    Silver and gold are kept up from the day's changes if they were built from the snapshot
+    as the day found it; after a run that broke off they are built anew.
+    """
+    pages = fetch(spark, lake, as_of)
+    found = lake.snapshot.version(spark)
+    current = found != "" and built_from(spark, lake) == found
+    fold_runs(spark, lake)
+    changes = ingest(spark, lake, as_of, pages)
     tables = {
-        "raw.unreadable": unreadable(spark, lake, as_of),
-        "bronze.parts": ingest(spark, lake, as_of),
+        "raw.unreadable": unreadable(spark, lake, as_of, pages),
+        "bronze.parts": lake.bronze_parts(spark),
         "bronze.statuses": seed(spark, lake),
     }
     ready = tests_first and table_exists(spark, "parts", lake.silver)
     first = check(spark, lake, as_of) if ready else None
-    tables |= build(spark, lake)
+    tables |= build(spark, lake, changes if current else None)
     tables["checks"] = first if first is not None else check(spark, lake, as_of)
     tables["gold.deliveryprediction"] = score(spark, lake, model, as_of, bootstrap)
+    now = spark.createDataFrame([(lake.snapshot.version(spark),)], "version string")
+    lake.store(now, BUILT_FROM, lake.gold)
     return tables
 
 

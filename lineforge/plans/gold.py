@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from lineforge.operators.joins import join_on
@@ -19,8 +21,8 @@ def dim_status(status: DataFrame) -> DataFrame:
     return status.select("*")
 
 
-def fact_parts(parts: DataFrame, status: DataFrame) -> DataFrame:
-    """Order lines with the code of their status; no carrier name.
+def fact_parts(parts: DataFrame, status: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Order lines with the code of their status; no carrier name. ``keep`` names more columns to keep.
 
     A status that is null or not in the lookup gives a null code; a status that is
     in the lookup twice gives two rows. The join carries no hint: Spark broadcasts the
@@ -28,7 +30,7 @@ def fact_parts(parts: DataFrame, status: DataFrame) -> DataFrame:
     """
     codes = status.select(F.col("status").alias("STATUS"), F.col("sequence").alias("status_code"))
     joined = join_on(parts, codes, ["STATUS"], "left")
-    return joined.select(*(F.col(n).alias(n) for n in FACT_COLUMNS))
+    return joined.select(*(F.col(n).alias(n) for n in (*FACT_COLUMNS, *keep)))
 
 
 def fact_emergency_order(parts: DataFrame, rows: int = REPORT_ROWS) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from lineforge.operators.columns import flatten_structs
 from lineforge.operators.increments import DAYS_BACK, within_windows
@@ -20,11 +20,12 @@ UNKNOWN = "otherFields"
 STATUS_DIRECTORY = "orderStatus"
 DAY_DIRECTORY = "fromDate"
 PAGE_TEXT = "value"
+TEXTS = "texts"
+DAMAGED = "damaged"
 
-# A whole object without deeper nesting than one level, strings read as strings.
-_STRING = r'"(?:[^"\\]|\\.)*+"'
-_INNER = rf'\{{(?:[^{{}}"]++|{_STRING})*+\}}'
-_OBJECT = rf'\{{(?:[^{{}}"]++|{_STRING}|{_INNER})*+\}}'
+# What a page's text is cut into: strings, which may be cut off at the page's end, brackets, and all between.
+_PIECE = r'"(?:[^"\\]++|\\[\s\S])*+(?:"|\\?\z)|[{}\[\]]|[^"{}\[\]]++'
+_CURSOR_VALUE = rf'"{CURSOR}"\s*:\s*"([^"]*)"'
 
 
 def read_pages(
@@ -53,42 +54,87 @@ def read_pages(
     return pages.filter(within_windows(F.col(DAY_DIRECTORY), as_of, days_back))
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """Pages with ``texts``, the JSON text of each line, and whether the page is damaged.
+def whole_lines(text: Column) -> Column:
+    """The line objects of a page's text that are whole, as an array of JSON texts.
 
-    Of a damaged page those lines are taken that are whole: objects below the name of the
-    lines that end where they should and can be read.
+    One pass over the text's pieces keeps the nesting depth, strings being pieces of their
+    own. The array after the first ``"partOrderLines":`` is where lines begin; an object that
+    opens at that array's own level is a line if it closes there, whatever it nests, and can
+    be read. So neither a line that breaks off nor an object inside one counts as a line.
+    """
+    opening, closing = ("{", "["), ("}", "]")
+    start = F.struct(
+        F.lit(0).alias("name"),  # 1 after the array's name, 2 after its colon
+        F.lit(-1).alias("depth"),  # -1 before the array and after it
+        F.lit("").alias("line"),
+        F.array().cast("array<string>").alias("lines"),
+    )
+
+    def step(seen: Column, piece: Column) -> Column:
+        name, depth = seen["name"], seen["depth"]
+        outside = depth == -1
+        entered = outside & (name == 2) & (piece == "[")
+        after = (
+            F.when(entered, 0)
+            .when(outside, -1)
+            .when(piece.isin(*opening), depth + 1)
+            .when(piece.isin(*closing), depth - 1)
+            .otherwise(depth)
+        )
+        line = F.when((depth > 0) | (~outside & (piece == "{")), F.concat(seen["line"], piece)).otherwise("")
+        complete = (depth == 1) & (after == 0) & (piece == "}")
+        return F.struct(
+            # Once the array was entered no other is.
+            F.when(entered, 3)
+            .when(name == 3, 3)
+            .when(piece == f'"{LINES}"', 1)
+            .when((name == 1) & (F.trim(piece) == ":"), 2)
+            .otherwise(0)
+            .alias("name"),
+            after.alias("depth"),
+            line.alias("line"),
+            F.when(complete, F.array_append(seen["lines"], line)).otherwise(seen["lines"]).alias("lines"),
+        )
+
+    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
+    found = F.aggregate(pieces, start, step, lambda seen: seen["lines"])
+    return F.filter(found, lambda t: F.get_json_object(t, "$").isNotNull())
+
+
+def cut_pages(pages: DataFrame) -> DataFrame:
+    """Pages with ``texts``, the JSON text of each line, their cursor, and whether they are damaged.
+
+    Of a damaged page the whole lines are taken, see ``whole_lines``, and its text is kept.
+    What follows may read this frame, once written, in place of the pages.
     """
     outer = f"{CURSOR} string, {LINES} array<string>, {BAD_PAGE} string"
     page = F.from_json(PAGE_TEXT, outer, {"columnNameOfCorruptRecord": BAD_PAGE})
-    after = F.substring_index(F.col(PAGE_TEXT), f'"{LINES}"', -1)
-    whole = F.filter(
-        F.regexp_extract_all(after, F.lit(_OBJECT), F.lit(0)),
-        lambda t: F.get_json_object(t, "$").isNotNull(),
-    )
-    held = F.col(PAGE_TEXT).contains(f'"{LINES}"')
-    return pages.withColumn("__page", page).select(
+    sound = F.col("__page").isNotNull() & F.col(f"__page.{BAD_PAGE}").isNull()
+    cut = pages.withColumn("__page", page).withColumn(DAMAGED, ~sound)
+    return cut.select(
         STATUS_DIRECTORY,
         DAY_DIRECTORY,
-        PAGE_TEXT,
-        F.coalesce(F.col(f"__page.{BAD_PAGE}").isNotNull(), F.lit(True)).alias("damaged"),
-        F.when(
-            F.col(f"__page.{BAD_PAGE}").isNull() & F.col("__page").isNotNull(), F.col(f"__page.{LINES}")
-        )
-        .when(held, whole)
-        .alias("texts"),
+        DAMAGED,
+        F.when(F.col(DAMAGED), F.col(PAGE_TEXT)).alias(PAGE_TEXT),
+        F.when(F.col(DAMAGED), F.regexp_extract(PAGE_TEXT, _CURSOR_VALUE, 1))
+        .otherwise(F.col(f"__page.{CURSOR}"))
+        .alias(CURSOR),
+        F.when(F.col(DAMAGED), whole_lines(F.col(PAGE_TEXT))).otherwise(F.col(f"__page.{LINES}")).alias(TEXTS),
     )
 
 
+def _cut(pages: DataFrame) -> DataFrame:
+    return pages if TEXTS in pages.columns else cut_pages(pages)
+
+
 def page_lines(pages: DataFrame, line: T.StructType) -> DataFrame:
     """One row per order line, nested objects flattened, with status and day.
 
-    Fields may come in any order, a missing field is null. Fields that ``line`` does not
+    ``pages`` are page texts or what ``cut_pages`` made of them, here and below. Fields may
+    come in any order, a missing field is null. Fields that ``line`` does not
     name are kept in the map ``UNKNOWN`` with their values as text, objects as JSON.
     """
-    lines = _parsed(pages).select(
-        F.explode("texts").alias("text"), STATUS_DIRECTORY, DAY_DIRECTORY
-    )
+    lines = _cut(pages).select(F.explode(TEXTS).alias("text"), STATUS_DIRECTORY, DAY_DIRECTORY)
     fields = F.from_json("text", "map<string,string>")
     unknown = F.map_filter(fields, lambda name, _: ~name.isin(*line.names))
     rows = lines.select(
@@ -102,10 +148,10 @@ def page_lines(pages: DataFrame, line: T.StructType) -> DataFrame:
 
 def bad_pages(pages: DataFrame) -> DataFrame:
     """Damaged pages, as text, and how many whole lines were taken from each."""
-    legible = F.coalesce(F.size("texts"), F.lit(0))
+    legible = F.coalesce(F.size(TEXTS), F.lit(0))
     return (
-        _parsed(pages)
-        .filter("damaged")
+        _cut(pages)
+        .filter(DAMAGED)
         .select(
             STATUS_DIRECTORY,
             DAY_DIRECTORY,
@@ -117,9 +163,7 @@ def bad_pages(pages: DataFrame) -> DataFrame:
 
 def page_counts(pages: DataFrame) -> DataFrame:
     """Number of pages and of damaged ones."""
-    return _parsed(pages).agg(
-        F.count("*").alias("n_pages"), F.count_if(F.col("damaged")).alias("n_bad")
-    )
+    return _cut(pages).agg(F.count("*").alias("n_pages"), F.count_if(F.col(DAMAGED)).alias("n_bad"))
 
 
 def write_pages(lines: DataFrame, path: str, page: str) -> None:

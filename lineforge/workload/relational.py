@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,10 +12,15 @@ from lineforge.operators.dedupe import dedupe_latest, dedupe_max_max
 from lineforge.operators.increments import fetch_windows, select_windows
 from lineforge.operators.sampling import holdout_head, holdout_tail, is_test_row
 from lineforge.operators.upsert import latest_lines, upsert
-from lineforge.plans.columns import ADDED_COLUMNS, BRONZE_COLUMNS, SOURCE_COLUMNS
+from lineforge.plans import silver, upkeep
+from lineforge.plans.columns import ADDED_COLUMNS, BRONZE_COLUMNS, KEY, SOURCE_COLUMNS
+from lineforge.session import run_dir
+from lineforge.sources.files import write_parquet
+from lineforge.sources.runs import RunTable
+from lineforge.sources.tables import Buckets
 from lineforge.workload.bronze import bronze, bronze_sql, bronze_table, read
 from lineforge.workload.registry import query
-from lineforge.workload.sql import with_
+from lineforge.workload.sql import BRONZE, SILVER, with_
 
 LINE_KEY = ("l_orderkey", "l_linenumber")
 
@@ -86,24 +92,87 @@ _UPSERTED = ", ".join(
 )
 
 
-@query(
-    "merge_upsert",
-    f"""with lines as ({bronze_sql(extra="d")}),
-    snapshot as (select * exclude (d) from lines where d < date '{SNAPSHOT_END}'),
-    batch as (select * exclude (d) replace ({', '.join(f'{v} as {k}' for k, v in _batch_values().items())})
-      from lines where d >= date '{BATCH_START}')
-    select {_UPSERTED},
-      case when t.polExternalID is not null then t.insertDateTime else s.insertDateTime end
-        as insertDateTime,
-      case when t.polExternalID is not null and s.polExternalID is not null then s.insertDateTime
-        else t.changedDateTime end as changedDateTime
-    from snapshot t full join batch s on t.polExternalID = s.polExternalID""",
-)
+_MERGED = f"""with lines as ({bronze_sql(extra="d")}),
+snapshot as (select * exclude (d) from lines where d < date '{SNAPSHOT_END}'),
+batch as (select * exclude (d) replace ({', '.join(f'{v} as {k}' for k, v in _batch_values().items())})
+  from lines where d >= date '{BATCH_START}')
+select {_UPSERTED},
+  case when t.polExternalID is not null then t.insertDateTime else s.insertDateTime end
+    as insertDateTime,
+  case when t.polExternalID is not null and s.polExternalID is not null then s.insertDateTime
+    else t.changedDateTime end as changedDateTime
+from snapshot t full join batch s on t.polExternalID = s.polExternalID"""
+
+
+@query("merge_upsert", _MERGED)
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapshot, batch = upsert_inputs(spark, sf_dir)
     return upsert(snapshot, batch)
 
 
+def snapshot_and_batch(spark: SparkSession, sf_dir: str) -> tuple[RunTable, DataFrame]:
+    """The snapshot as a table of base and runs, with earlier values of half the batch in a first run."""
+    mark = uuid.uuid4().hex[:12]
+    location = run_dir(spark, "merge_by_runs")
+    table = RunTable("parts", f"merge_{mark}", f"{location}/parts", KEY, location, Buckets(8, KEY))
+    snapshot, batch = upsert_inputs(spark, sf_dir)
+    table.create(snapshot)
+    # A first run of lines the snapshot holds; the batch replaces them all again.
+    held = batch.filter(F.col("createdDateTime") < F.lit(f"{SNAPSHOT_END}"))
+    table.upsert(held.withColumn("status", F.lit("Superseded")))
+    return table, write_parquet(batch, f"{location}/batch")
+
+
+@query("merge_by_runs", _MERGED, fixture=snapshot_and_batch)
+def merge_by_runs(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataFrame:
+    """The upsert as a run beside the base, and the table's content after it."""
+    table, batch = given
+    table.upsert(batch)
+    return table.content(spark)
+
+
+@query("merge_by_runs_compacted", _MERGED, fixture=snapshot_and_batch)
+def merge_by_runs_compacted(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataFrame:
+    """The same after the runs were folded into a new base."""
+    table, batch = given
+    table.upsert(batch)
+    return table.compact(spark)
+
+
+_KEPT_UP = f"""{SILVER.replace(BRONZE, "bronze as (" + _MERGED + ")")},
+emergency as (select FACILITYNAME as center, cast(sum(PENDINGITEMQUANTITY) as bigint) as items,
+  row_number() over (order by sum(PENDINGITEMQUANTITY) desc nulls last, FACILITYNAME) as place
+  from silver where ORDERTYPE = 'EMERGENCY' and FACILITYNAME is not null group by 1)"""
+
+
+@query(
+    "gold_upkeep",
+    with_(
+        _KEPT_UP,
+        """select 'dimcarrier' as table_name, CARRIERCODE as code, CARRIERNAME as name, count(*) as n
+        from silver group by all
+        union all select 'factEmergencyOrder', center, 'EMERGENCY', items from emergency where place <= 10""",
+    ),
+    fixture=snapshot_and_batch,
+)
+def gold_upkeep(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataFrame:
+    """Carrier pairs with their lines, and the report, from the state before a batch and its changes."""
+    table, batch = given
+    parts = silver.silver_parts(table.content(spark))
+    folder = run_dir(spark, "gold_upkeep")
+    carriers = write_parquet(upkeep.carrier_counts(parts), f"{folder}/carriers")
+    centers = write_parquet(upkeep.center_sums(parts), f"{folder}/centers")
+    changes = table.upsert(batch, remember=upkeep.REMEMBERED)
+    report = upkeep.fact_emergency_order(upkeep.centers_after(centers, changes))
+    return (
+        upkeep.carriers_after(carriers, changes)
+        .select(F.lit("dimcarrier").alias("table_name"), F.col("CARRIERCODE").alias("code"), F.col("CARRIERNAME").alias("name"), F.col(upkeep.ROWS).alias("n"))
+        .unionByName(
+            report.select(F.lit("factEmergencyOrder").alias("table_name"), F.col("DISTRIBUTION_CENTER").alias("code"), F.col("ORDERTYPE").alias("name"), F.col("COUNT_OF_ITEMS").alias("n"))
+        )
+    )
+
+
 assert set(BRONZE_COLUMNS) == {*SOURCE_COLUMNS, *ADDED_COLUMNS}
 
 

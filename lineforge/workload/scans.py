@@ -198,7 +198,8 @@ def _pages_sql() -> str:
         coalesce(catOrderStatus, 'Open') as "orderStatus",
         date '2024-01-01' + cast(k % 3 as integer) as "fromDate" from numbered
         union all
-        select {', '.join(broken)}, 'whole', null, null, 'Open', date '2024-01-02' from part""",
+        select {', '.join(broken)}, 'whole', null, '{{"code":"a","at":{{"z":[1]}}}}', 'Open',
+        date '2024-01-02' from part""",
     )
 
 
@@ -219,7 +220,10 @@ def some_pages(spark: SparkSession, sf_dir: str) -> str:
         F.concat(
             F.lit('{"partOrderLines":[{"polExternalID":"'),
             F.col("p_partkey").cast("string"),
-            F.lit('","carrierName":"whole"},{"polExternalID":"cut off","carri'),
+            F.lit('","carrierName":"whole","route":{"code":"a","at":{"z":[1]}}},{"polExternalID":"cut off",'),
+            # Inside a nested object, and after one.
+            F.when(F.col("p_partkey") % 2 == 0, '"route":{"code":"x","at":{"z":[{"polExternalID":"inner"},')
+            .otherwise('"route":{"code":"x"},"carri'),
         ).alias("value"),
         F.lit("Open").alias("orderStatus"),
         F.lit("2024-01-02").alias("fromDate"),

@@ -1,20 +1,23 @@
 """The daily job over two days."""
 
 import dataclasses
+import random
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import bag
-from lineforge.plans import daily
+from conftest import bag, plan
+from lineforge.plans import daily, gold, silver, upkeep
+from lineforge.plans.columns import BRONZE_COLUMNS
+from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import write_pages
 from lineforge.sources.seeds import write_status_seed
 from lineforge.sources.tables import BUCKET, buckets_in, scan_table
 from lineforge.workload.sql import WEIGHTS
 
 
-def lines(spark, ids, status, day, **values):
+def lines(spark, ids, status, day, page=0, **values):
     base = {
         "transportMode": "AIR", "orderType": "EMERGENCY", "orderEntryDate": "01/02/2024",
         "shippedPGIDate": "2024-01-05", "estimatedShipDate": "2024-01-09", "status": "Shipped",
@@ -25,7 +28,7 @@ def lines(spark, ids, status, day, **values):
         *(F.lit(v).alias(k) for k, v in base.items()),
         F.lit(status).alias("orderStatus"),
         F.lit(day).alias("fromDate"),
-        F.lit(0).alias("page"),
+        F.lit(page).alias("page"),
     )
 
 
@@ -53,7 +56,7 @@ def test_two_days(spark, folder):
                    estimatedShipDate="2024-01-12", pendingItemQuantity="1")
     write_pages(second, where.pages, "page")
     tables = daily.run(spark, where, WEIGHTS, "2024-01-11 01:20:32", tests_first=True)
-    rows = {r.polExternalID: r for r in scan_table(spark, "parts", "two_bronze").collect()}
+    rows = {r.polExternalID: r for r in where.bronze_parts(spark).collect()}
     assert len(rows) == 9
     assert rows["5"].insertDateTime == "2024-01-10T09:20:32"
     assert rows["5"].changedDateTime == "2024-01-11T09:20:32"
@@ -100,8 +103,8 @@ def test_raw_keeps_fields_the_schema_does_not_name(spark, folder):
     where = lake(spark, folder, "wide")
     more = lines(spark, range(3), "Open", "2024-01-10").withColumn("size", F.struct(F.lit(1).alias("w")))
     write_pages(more, where.pages, "page")
-    merged = daily.ingest(spark, where, "2024-01-10 01:20:32")
-    assert len(merged.columns) == 48
+    daily.ingest(spark, where, "2024-01-10 01:20:32")
+    assert len(where.bronze_parts(spark).columns) == 48
     raw = spark.read.parquet(folder + "/a/raw/parts/*/parts.snappy.parquet")
     assert bag(raw.select("otherFields.size")) == [('{"w":1}',)] * 3
     report = daily.run(spark, where, WEIGHTS, "2024-01-13 01:20:32")["checks"]
@@ -109,10 +112,75 @@ def test_raw_keeps_fields_the_schema_does_not_name(spark, folder):
 
 
 def test_files_per_bucket_stay_one(spark, folder):
-    where = lake(spark, folder, "ten", snapshot_buckets=4)
+    where = lake(spark, folder, "ten", snapshot_buckets=4, most_runs=0)
     for day in range(10, 20):
         new = range(day * 10, day * 10 + 30)
         write_pages(lines(spark, new, "Open", f"2024-01-{day}"), where.pages, "page")
-        merged = daily.ingest(spark, where, f"2024-01-{day} 01:20:32")
+        daily.ingest(spark, where, f"2024-01-{day} 01:20:32")
+        merged = where.bronze_parts(spark)
         assert len(merged.inputFiles()) == 4
     assert merged.count() == 120 and BUCKET not in merged.columns
+
+
+def changed_lines(spark, rng, day):
+    """A batch of a third of 60 keys, and a row without a key, with values that move between groups."""
+    rows = []
+    for key in [*map(str, rng.sample(range(60), 20)), " 7", None]:
+        rows.append(
+            {c: None for c in BRONZE_COLUMNS}
+            | {
+                "polExternalID": key, "facilityName": rng.choice(["North", "South", " East", None]),
+                "carrierCode": rng.choice(["c1", " c1 ", "c2", None]), "carrierName": rng.choice(["A", "B", None]),
+                "orderType": rng.choice(["EMERGENCY", "STOCK"]), "pendingItemQuantity": rng.choice(["1", "2.5", "x", None]),
+                "status": rng.choice(["Shipped", "Sourced", "?"]), "insertDateTime": f"2024-01-{day}",
+            }
+        )
+    return spark.createDataFrame(rows, daily.BRONZE_SCHEMA)
+
+
+def test_ten_days_of_upkeep_equal_full_builds(spark, folder):
+    where = lake(spark, folder, "upkeep", snapshot_buckets=2)
+    rng, status = random.Random(11), spark.createDataFrame([(5, "Shipped"), (4, "Sourced")], "sequence int, status string")
+
+    def kept(name, frame):
+        return write_parquet(frame, f"{folder}/{name}")
+
+    where.snapshot.create(changed_lines(spark, rng, 10))
+    parts = silver.silver_parts(where.bronze_parts(spark))
+    where.fact_lines.create(daily._fact_with_key(daily._silver_with_key(where.bronze_parts(spark)), status))
+    carriers, centers = kept("carriers10", upkeep.carrier_counts(parts)), kept("centers10", upkeep.center_sums(parts))
+    files = set(where.snapshot.base(spark).inputFiles())
+    for day in range(11, 21):
+        changes = where.snapshot.upsert(changed_lines(spark, rng, day), remember=upkeep.REMEMBERED)
+        where.fact_lines.append_run(daily._fact_with_key(daily._silver_with_key(changes), status))
+        carriers = kept(f"carriers{day}", upkeep.carriers_after(carriers, changes))
+        centers = kept(f"centers{day}", upkeep.centers_after(centers, changes))
+        parts = silver.silver_parts(where.bronze_parts(spark))
+        assert bag(upkeep.dim_carrier(carriers)) == bag(gold.dim_carrier(parts))
+        assert bag(upkeep.fact_emergency_order(centers)) == bag(gold.fact_emergency_order(parts))
+        assert bag(where.fact(spark)) == bag(gold.fact_parts(parts, status))
+        assert "parts/version" not in plan(upkeep.carriers_after(carriers, changes))
+    assert set(where.snapshot.base(spark).inputFiles()) == files
+
+
+def test_after_a_run_that_broke_off_all_is_built_anew(spark, folder):
+    where = lake(spark, folder, "broke")
+    write_pages(lines(spark, range(4), "Open", "2024-01-10"), where.pages, "page")
+    daily.run(spark, where, WEIGHTS, "2024-01-10 01:20:32")
+    write_pages(lines(spark, [2], "Closed", "2024-01-11", facilityName="South"), where.pages, "page")
+    daily.ingest(spark, where, "2024-01-11 01:20:32")  # and no more of that day
+    write_pages(lines(spark, [3], "Closed", "2024-01-12", pendingItemQuantity="9"), where.pages, "page")
+    assert daily.built_from(spark, where) != where.snapshot.version(spark)
+    tables = daily.run(spark, where, WEIGHTS, "2024-01-12 01:20:32")
+    assert bag(tables["gold.factEmergencyOrder"]) == [("North", "EMERGENCY", 13), ("South", "EMERGENCY", 2)]
+
+
+def test_a_changed_lookup_builds_the_fact_anew(spark, folder):
+    where = lake(spark, folder, "lookup")
+    write_pages(lines(spark, range(4), "Open", "2024-01-10"), where.pages, "page")
+    daily.run(spark, where, WEIGHTS, "2024-01-10 01:20:32")
+    spark.createDataFrame([("9", "Shipped")], "sequence string, status string").coalesce(1).write.mode(
+        "overwrite").option("header", True).csv(where.seed)
+    write_pages(lines(spark, [3], "Closed", "2024-01-11"), where.pages, "page")
+    tables = daily.run(spark, where, WEIGHTS, "2024-01-11 01:20:32")
+    assert bag(tables["gold.factparts"], "status_code") == [(9,)] * 4

@@ -10,6 +10,8 @@ from conftest import bag, plan
 from lineforge.operators import increments, sampling
 from lineforge.operators.antijoin import not_in
 from lineforge.operators.dedupe import dedupe_latest, dedupe_max_max
+from lineforge.sources.runs import BEFORE, RunTable
+from lineforge.sources.tables import Buckets, overwrite_table
 from lineforge.operators.upsert import DUPLICATE, latest_lines, merge_statement, unique_or_error, upsert
 
 
@@ -263,3 +265,71 @@ def test_split_is_repeatable_disjoint_and_complete(spark):
     assert 0.30 < len(b) / 4000 < 0.36
     assert bag(sampling.split_train_test(df.repartition(5), "k")[1]) == b
     assert bag(sampling.split_train_test(df, "k", seed=1)[1]) != b
+
+
+def run_table(folder, name, buckets=None):
+    return RunTable("lines", name, f"{folder}/{name}/lines", "polExternalID", f"{folder}/{name}", buckets)
+
+
+def keyed(spark, rows):
+    return spark.createDataFrame(rows, "polExternalID string, v int, insertDateTime string, changedDateTime string")
+
+
+def test_runs_give_what_upserts_give(spark, folder):
+    """A dozen batches over all buckets, with compactions between them; rows without a key always stay."""
+    table = run_table(folder, "by_runs", Buckets(4, "polExternalID"))
+    rng = random.Random(3)
+    expected = keyed(spark, [(str(i), i, None if i % 3 else "d0", None) for i in range(80)] + [(None, -1, "d0", None)])
+    table.create(expected)
+    rows = {}
+    for r in expected.collect():
+        rows.setdefault(r[0], []).append(tuple(r))
+    for day in range(1, 9):
+        batch = [(str(k), rng.randrange(99), f"d{day}", "ignored") for k in rng.sample(range(120), 30)]
+        batch.append((None, day, f"d{day}", "ignored"))
+        files = set(table.base(spark).inputFiles())
+        changes = table.upsert(keyed(spark, batch), remember=["v"])
+        assert set(table.base(spark).inputFiles()) == files
+        seen = {r["polExternalID"]: r[BEFORE] and r[BEFORE]["v"] for r in changes.collect()}
+        for key, value, at, _ in batch:
+            old = rows.get(key) if key is not None else None
+            assert seen[key] == (old[0][1] if old else None)
+            if key is None:
+                rows[key].append((None, value, at, None))
+            else:
+                rows[key] = [(key, value, old[0][2], at) if old else (key, value, at, None)]
+        assert bag(table.content(spark)) == sorted((r for some in rows.values() for r in some), key=repr)
+        if table.crowded(spark, 4, 9.0):
+            before = bag(table.content(spark))
+            assert table.numbers(spark) == [1, 2, 3, 4]
+            assert bag(table.compact(spark)) == before and table.numbers(spark) == []
+
+
+def test_a_run_is_as_large_as_its_batch(spark, folder):
+    table = run_table(folder, "small", Buckets(4, "polExternalID"))
+    table.create(keyed(spark, [(str(i), i, "d0", None) for i in range(20_000)]))
+    table.upsert(keyed(spark, [(str(i * 500), 0, "d1", None) for i in range(40)]))
+    assert table.runs(spark).count() == 40 and table.content(spark).count() == 20_000
+    # The base is neither shuffled nor sorted to be read.
+    text = plan(table.content(spark))
+    assert "BroadcastHashJoin" in text or "isFinalPlan=false" in text
+    assert not table.crowded(spark, 4) and table.crowded(spark, 1)
+
+
+def test_runs_refuse_repeated_keys_and_missing_columns(spark, folder):
+    table = run_table(folder, "strict")
+    table.create(keyed(spark, [("1", 1, "d0", None)]))
+    with pytest.raises(Exception, match=DUPLICATE):
+        table.upsert(keyed(spark, [("1", 1, "d1", None), ("1", 2, "d1", None)]))
+    with pytest.raises(ValueError, match="lacks"):
+        table.upsert(spark.createDataFrame([("1",)], "polExternalID string"))
+    assert table.numbers(spark) == [] and bag(table.content(spark)) == [("1", 1, "d0", None)]
+
+
+def test_a_base_folded_by_a_job_that_died_reads_the_same(spark, folder):
+    table = run_table(folder, "died")
+    table.create(keyed(spark, [("1", 1, "d0", None), ("2", 2, "d0", None)]))
+    table.upsert(keyed(spark, [("1", 5, "d1", None), ("3", 3, "d1", None)]))
+    before = bag(table.content(spark))
+    overwrite_table(table.content(spark), table.path, table.table, table.database)
+    assert table.numbers(spark) == [1] and bag(table.content(spark)) == before

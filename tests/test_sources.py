@@ -1,3 +1,4 @@
+import json
 from datetime import date
 from pathlib import Path
 
@@ -215,6 +216,54 @@ def test_new_fields_and_whole_lines_of_damaged_pages_are_kept(spark, folder):
     assert tuple(pages.page_counts(read).first()) == (4, 3)
 
 
+LINES_OF_A_PAGE = (
+    {"id": "1", "route": {"code": "a", "at": {"z": 1, "legs": [[1, {"q": "}]"}], []]}}},
+    {"id": "2", "note": 'a "quoted" } { ] [ \\\\'},
+    {},
+    {"route": {"partOrderLines": [{"id": "inner"}]}, "id": "4"},
+    {"id": "5", "tags": ["x", {"id": "no line"}]},
+)
+
+
+def test_a_page_may_break_off_anywhere(spark):
+    """Exactly the lines whose text is complete are taken, at every length of the page."""
+    texts = [json.dumps(line) for line in LINES_OF_A_PAGE]
+    head = '{"note":"partOrderLines","lastRecordID":"7", "partOrderLines" : ['
+    page = head + ", ".join(texts) + "]"
+    ends, at = [], len(head)
+    for text in texts:
+        ends.append(at + len(text))
+        at += len(text) + 2
+    cuts = spark.createDataFrame([(n, page[:n]) for n in range(1, len(page) + 1)], "n int, value string")
+    found = cuts.select("n", pages.whole_lines(F.col("value")).alias("lines")).collect()
+    for row in found:
+        whole = sum(end <= row["n"] for end in ends)
+        assert [json.loads(x) for x in row["lines"]] == list(LINES_OF_A_PAGE[:whole]), page[: row["n"]]
+
+
+def test_what_is_not_a_line_is_not_taken(spark):
+    odd = [
+        "", "oops", '{"other":[{"id":"1"}]}', '{"partOrderLines":{"id":"1"}', '["partOrderLines",[{"id":"1"}]',
+        '{"partOrderLines":[{"id":"1"}],"more":[{"id":"2"}],"cut', '{"partOrderLines":[[{"id":"1"}],{"id":"2"},',
+        '{"partOrderLines":[{"id":"1" "broken"},{"id":"3"},{"x', '{"partOrderLines":[{"id":"1"]},{"id":"3"},',
+    ]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, value string")
+    found = {r["i"]: r["lines"] for r in frame.select("i", pages.whole_lines(F.col("value")).alias("lines")).collect()}
+    assert [found[i] for i in range(7)] == [[], [], [], [], [], ['{"id":"1"}'], ['{"id":"2"}']]
+    assert found[7] == ['{"id":"3"}'] and '{"id":"1"]}' not in found[8]
+
+
+def test_written_cuts_serve_in_place_of_pages(spark, folder):
+    put_page(folder, "Open", "2024-01-01", '{"partOrderLines":[{"id":"1"}],"lastRecordID":"1"}', '{"partOrderLines":[{"id":"2"},{"i')
+    read = pages.read_pages(spark, folder)
+    path = folder + "-cut"
+    pages.cut_pages(read).write.parquet(path)
+    cut = spark.read.parquet(path)
+    assert bag(pages.page_lines(cut, LINE), "id") == bag(pages.page_lines(read, LINE), "id") == [("1",), ("2",)]
+    assert tuple(pages.page_counts(cut).first()) == (2, 1)
+    assert pages.bad_pages(cut).first()["legible_lines"] == 1
+
+
 def test_shared_dir_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert session.run_dir(spark, "x").startswith(configured + "/lineforge/x-")
