@@ -99,6 +99,38 @@ def ml_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rounded, "term string, weight double")
 
 
+def _rounds_sql() -> str:
+    """The rounds as a recursive query over one row of state, sums taken from the features."""
+    terms = ("intercept", *delivery.FEATURES)
+    value = {t: f"coalesce(cast({t} as double), 0)" for t in (*delivery.FEATURES, delivery.LABEL)} | {"intercept": "1.0"}
+    n = range(len(terms))
+    sums = [f"coalesce(sum({value[terms[i]]} * {value[terms[j]]}), 0) as s{i}{j}" for i in n for j in n]
+    sums += [f"coalesce(sum({value[terms[i]]} * {value[delivery.LABEL]}), 0) as y{i}" for i in n]
+    steps = []
+    for i in n:
+        # Weights before i were moved in this round already.
+        now = " + ".join(f"{f'v{j}' if j < i else f'w{j}'} * s{i}{j}" for j in n)
+        steps.append(f"case when s{i}{i} < 0.00001 then w{i} else w{i} - 0.5 * ({now} - y{i}) / s{i}{i} end as v{i}")
+    start = ", ".join(f"cast({0.5 if i == 0 else 0} as double) as w{i}" for i in n)
+    body = f"{FEATURES}, sums as (select {', '.join(sums)} from features where {delivery.LABEL} is not null)"
+    rows = " union all ".join(f"select '{t}' as term, round(w{i}, 6) as weight from r where k = 20" for i, t in enumerate(terms))
+    moved = "(select r.*, s.* from r, sums s where k < 20) as state"
+    for i in n:
+        moved = f"(select *, {steps[i]} from {moved}) as moved{i}"
+    return f"""with recursive {body},
+r as (select 0 as k, {start} union all
+  select k + 1, {', '.join(f'v{i}' for i in n)} from {moved})
+{rows}"""
+
+
+@query("ml_fit_rounds", _rounds_sql())
+def ml_fit_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights after twenty rounds of coordinate updates on all rows with a label."""
+    weights = delivery.fit_rounds(features_of(spark, sf_dir))
+    rounded = [(term, round(weight, 6)) for term, weight in weights.items()]
+    return spark.createDataFrame(rounded, "term string, weight double")
+
+
 def _fitted() -> str:
     return " + ".join(
         ["w", *(f"w{k} * coalesce({name}, 0)" for k, name in enumerate(delivery.FEATURES))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lineforge.operators.columns import flatten_structs, schema_from_dtypes
 from lineforge.plans.columns import LINE_SCHEMA, SOURCE_COLUMNS
@@ -14,6 +14,7 @@ from lineforge.sources.files import (
     append_parquet,
     read_delimited,
     read_parquet,
+    read_records,
     write_delimited,
     write_parquet,
 )
@@ -78,14 +79,12 @@ def write_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, path, schema=parts.schema)
 
 
-@query(
-    "csv_multi_line",
-    """select doc_id, case doc_id % 3 when 0 then text || chr(92) when 1 then '"' || text || '"|'
-       else text || chr(10) || 'end' end as text, lang from documents""",
-)
-def csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with line breaks, separators, quotes and a backslash at the end, there and back."""
-    path = run_dir(spark, "csv_multi_line")
+_ODD_TEXTS = """select doc_id, case doc_id % 3 when 0 then text || chr(92) when 1 then '"' || text || '"|'
+  else text || chr(10) || 'end' end as text, lang from documents"""
+
+
+def odd_texts(spark: SparkSession, sf_dir: str, path: str, single_file: bool = False) -> T.StructType:
+    """Write texts with line breaks, separators, quotes and a backslash at the end; returns their schema."""
     end = F.pmod("doc_id", F.lit(3))
     text = (
         F.when(end == 0, F.concat("text", F.lit("\\")))
@@ -93,8 +92,28 @@ def csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat("text", F.lit("\nend")))
     )
     docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang")
-    write_delimited(docs, path, escape_quotes=True)
-    return read_delimited(spark, path, schema=docs.schema, multi_line=True)
+    write_delimited(docs, path, escape_quotes=True, single_file=single_file)
+    return docs.schema
+
+
+@query("csv_multi_line", _ODD_TEXTS)
+def csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such texts there and back, a task for each file."""
+    path = run_dir(spark, "csv_multi_line")
+    schema = odd_texts(spark, sf_dir, path)
+    return read_delimited(spark, path, schema=schema, multi_line=True)
+
+
+def one_file_of_odd_texts(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
+    path = run_dir(spark, "csv_records")
+    return path, odd_texts(spark, sf_dir, path, single_file=True)
+
+
+@query("csv_records", _ODD_TEXTS, fixture=one_file_of_odd_texts)
+def csv_records(spark: SparkSession, written: tuple[str, T.StructType]) -> DataFrame:
+    """Such texts from one file that many tasks read."""
+    path, schema = written
+    return read_records(spark, path, schema)
 
 
 @query(

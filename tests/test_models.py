@@ -1,5 +1,7 @@
 """Silver, gold, quality, delivery model."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +298,23 @@ def test_empty_batch_appends_nothing(spark, folder):
     assert done is scored and not spark.catalog.databaseExists("no_database")
     size = delivery.batch_size(delivery.new_rows_to_score(fact, scored)).first()
     assert tuple(size) == (0, True)
+
+
+def test_rounds_come_near_least_squares_and_penalties_shrink(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        mode, kind, quantity, days = rng.choice([1, 2, None]), rng.randrange(1, 9), rng.randrange(1, 9), rng.randrange(10)
+        label = 2 + 3 * (mode or 0) - kind + days
+        rows.append((mode, kind, quantity, days, label if rng.random() < 0.9 else None))
+    columns = "transportModeCode int, orderTypeCode int, orderedQuantity int, DaysToShip int, DaysToDelivery int"
+    frame = spark.createDataFrame(rows, columns)
+    exact = {"intercept": 2, "transportModeCode": 3, "orderTypeCode": -1, "orderedQuantity": 0, "DaysToShip": 1}
+    near = delivery.fit_rounds(frame, rounds=3000)
+    assert all(abs(near[k] - v) < 1e-6 for k, v in exact.items())
+    few = delivery.fit_rounds(frame)
+    assert 0.001 < max(abs(few[k] - v) for k, v in exact.items())
+    assert abs(delivery.fit_rounds(frame, l2=10.0)["DaysToShip"]) < abs(few["DaysToShip"])
+    assert delivery.fit_rounds(frame, rounds=400, l1=1e6)["orderTypeCode"] == pytest.approx(0)
+    nothing = delivery.fit_rounds(frame.limit(0))
+    assert nothing["intercept"] == delivery.BASE_SCORE and nothing["DaysToShip"] == 0

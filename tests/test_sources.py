@@ -1,4 +1,5 @@
 import json
+import random
 from datetime import date
 from pathlib import Path
 
@@ -216,6 +217,34 @@ def test_new_fields_and_whole_lines_of_damaged_pages_are_kept(spark, folder):
     assert tuple(pages.page_counts(read).first()) == (4, 3)
 
 
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_records_are_cut_right_wherever_blocks_begin(spark, folder, block):
+    """One file read in blocks of few bytes, some without any line, some inside a long field."""
+    rng = random.Random(block)
+    pieces = ["a", "b|c", '"', "\n", "\\", "é", " ", "\n\n", '\\"', "\r\n", ""]
+    rows = [(i, "".join(rng.choices(pieces, k=rng.randrange(1, 12))) + "x", str(i)) for i in range(60)]
+    rows[7] = (7, "long\n" * 60 + '"', "7")
+
+    def quote(value):
+        return '"' + str(value).replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+    text = '"id"|"te\nxt"|"n"\n' + "\n".join("|".join(map(quote, row)) for row in rows) + "\n"
+    Path(folder, "one.csv").write_bytes(text.encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(block))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        frame = files.read_records(spark, folder + "/one.csv", "id int, text string, n string")
+        tasks = spark.read.text(folder + "/one.csv").rdd.getNumPartitions()
+        found = bag(frame)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert tasks > 1
+    assert found == sorted(rows, key=repr)
+    named = files.read_records(spark, folder + "/one.csv")
+    assert named.columns == ["id", "te\nxt", "n"] and named.count() == 60
+
+
 LINES_OF_A_PAGE = (
     {"id": "1", "route": {"code": "a", "at": {"z": 1, "legs": [[1, {"q": "}]"}], []]}}},
     {"id": "2", "note": 'a "quoted" } { ] [ \\\\'},
