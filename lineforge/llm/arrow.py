@@ -138,8 +138,31 @@ def shingle_hashes(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np
 
 
 
+def _same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> bool:
+    """Whether spans that begin at ``a`` equal those that begin at ``b``, all of them."""
+    if not len(a):
+        return True
+    ends = np.cumsum(lengths)
+    within = np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)
+    return bool(np.array_equal(data[np.repeat(a, lengths) + within], data[np.repeat(b, lengths) + within]))
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A number for each span, the same for two spans exactly if their bytes are the same.
+
+    Hashes bring equal spans together and bytes are compared; where two different spans
+    share a hash, the bytes themselves are the keys.
+    """
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths, like = ends - starts, first[number]
+    again = np.flatnonzero(like != np.arange(len(starts)))
+    same = np.array_equal(lengths[again], lengths[like[again]])
+    if same and _same_bytes(data, starts[again], starts[like[again]], lengths[again]):
+        return number
+    known: dict[bytes, int] = {}
+    spans = (data[a:b].tobytes() for a, b in zip(starts, ends, strict=True))
+    return np.fromiter((known.setdefault(span, len(known)) for span in spans), dtype=np.int64, count=len(starts))
+
 
 def quiet_threads() -> None:
     """One thread for each task: Spark deals out the cores."""

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineforge.llm.arrow import SpanHashes, by_bytes, text_bytes, words
+from lineforge.llm.arrow import SpanHashes, by_bytes, equal_spans, text_bytes, words
 from lineforge.llm.names import narrowed
+from lineforge.session import run_dir
 
 WINDOW = 5
 MEASURES = (
@@ -47,10 +48,6 @@ class Rule:
         right = F.lit(self.limit) if self.against is None else F.col(self.against) * self.limit
         return left < right if self.below else left > right
 
-    def sql(self) -> str:
-        right = str(self.limit) if self.against is None else f"{self.limit} * {self.against}"
-        return f"{self.weight} * {self.measure} {'<' if self.below else '>'} {right}"
-
 
 # Bits never change their meaning: a new limit is a new rule with a new bit.
 RULES = (
@@ -84,6 +81,11 @@ STRICT = Policy(
 )
 
 
+def _numbered_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair, the same exactly for equal pairs; numbers are below 2**32."""
+    return np.unique((a.astype(np.int64) << 32) | b, return_inverse=True)[1]
+
+
 def _measure(column: pa.Array) -> list[np.ndarray]:
     data, offsets = text_bytes(column)
     n = len(offsets) - 1
@@ -100,13 +102,13 @@ def _measure(column: pa.Array) -> list[np.ndarray]:
     last = len(row) - WINDOW + 1
     repeated = np.zeros(len(row) + 1, dtype=np.int64)
     if last > 0:
-        word = hashes.of(found.starts, found.ends)
-        window = np.zeros(last, dtype=np.uint64)
-        for k in range(WINDOW):
-            window = window * np.uint64(0x9E3779B97F4A7C15) + word[k : k + last]
-            window ^= window >> np.uint64(29)
+        # Numbers of equal words, of equal pairs, of equal runs of four, of equal windows.
+        word = equal_spans(data, found.starts, found.ends, hashes.of(found.starts, found.ends))
+        pair = _numbered_pairs(word[:-1], word[1:])
+        four = _numbered_pairs(pair[:-2], pair[2:])
+        window = _numbered_pairs(four[:-1], word[4:])
         at = np.flatnonzero(row[:last] == row[WINDOW - 1 :])
-        key = window[at] * np.uint64(0xD6E8FEB86659FD93) + row[at].astype(np.uint64)
+        key = (row[at].astype(np.int64) << 32) | window[at]
         _, group, count = np.unique(key, return_inverse=True, return_counts=True)
         again = at[count[group] > 1]
         np.add.at(repeated, again, 1)
@@ -128,8 +130,8 @@ def _measure(column: pa.Array) -> list[np.ndarray]:
     ends = np.where(same, ends, offsets[1:][line_row])
     worded = np.searchsorted(found.starts, ends) > np.searchsorted(found.starts, begins)
     begins, ends, line_row = begins[worded], ends[worded], line_row[worded]
-    key = hashes.of(begins, ends) * np.uint64(0xD6E8FEB86659FD93) + line_row.astype(np.uint64)
-    _, first_line = np.unique(key, return_index=True)
+    line = equal_spans(data, begins, ends, hashes.of(begins, ends))
+    _, first_line = np.unique((line_row.astype(np.int64) << 32) | line, return_index=True)
     duplicate = np.ones(len(begins), dtype=bool)
     duplicate[first_line] = False
 
@@ -160,7 +162,7 @@ def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     at line feeds, with a word), n_dup_lines (of them equal to an earlier one),
     n_repeat_words (words in windows of five that come twice or more in the text),
     n_upper and n_letters (A-Z, a-z). Null and empty texts measure 0 throughout.
-    Equality of windows and lines is taken from 64-bit hashes.
+    Windows and lines are equal where their bytes are.
     """
     narrow, kept, body, schema = narrowed(docs, keep, text, ", ".join(f"{m} long" for m in MEASURES))
 
@@ -226,9 +228,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("base_failed", ~base).withColumn("kept", base & passes(STRICT))
 
 
-def _oracle() -> str:
-    bits = " + ".join(f"CASE WHEN {r.sql()} THEN {1 << r.bit} ELSE 0 END" for r in RULES)
-    return f"""
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of both policies costs over all documents, from one ledger."""
+    path = run_dir(spark, "quality-ledger")
+    ledger(measure(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("fail_bits").write.parquet(path)
+    rows = spark.read.parquet(path)
+    return ablations(rows, BASE).unionByName(ablations(rows, STRICT))
+
+
+# Measurements and rules written out for the check engine; limits are those of the contract
+# and of the first versions of the policies.
+_MEASURED = """
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
@@ -249,11 +259,40 @@ WITH d AS (
          len(ls) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
          length(regexp_replace(t, '[^A-Za-z]', '', 'g')) AS n_letters
   FROM d JOIN w USING (rid) LEFT JOIN rep USING (rid)
-), b AS (SELECT *, CAST({bits} AS BIGINT) AS fail_bits FROM m)
-SELECT *, (fail_bits & {BASE.mask()}) <> 0 AS base_failed,
-       (fail_bits & {BASE.mask()}) = 0 AND (fail_bits & {STRICT.mask()}) = 0 AS kept
-FROM b
+), f AS (
+  SELECT *, n_words < 10 AS few_words, 100 * n_repeat_words > 20 * n_words AS repeated_windows,
+         100 * n_symbols > 10 * n_words AS symbols, 100 * n_dup_lines > 50 * n_lines AS repeated_lines,
+         100 * word_chars < 200 * n_words AS short_words, 100 * word_chars > 1400 * n_words AS long_words,
+         100 * n_upper > 40 * n_letters AS shouting, n_words > 1000000 AS many_words
+  FROM m
+)"""
+
+OP10_SQL = f"""{_MEASURED}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_letters,
+       CAST(few_words::INT + 2 * repeated_windows::INT + 4 * symbols::INT + 8 * repeated_lines::INT
+            + 16 * short_words::INT + 32 * long_words::INT + 64 * shouting::INT + 128 * many_words::INT AS BIGINT)
+         AS fail_bits,
+       few_words OR repeated_windows AS base_failed,
+       NOT (few_words OR repeated_windows OR symbols OR repeated_lines OR short_words OR long_words OR shouting)
+         AS kept
+FROM f
 """
 
 
-OP10_SQL = _oracle()
+def _ablations_sql() -> str:
+    policies = {
+        ("base", 1): "few_words repeated_windows".split(),
+        ("strict", 2): "few_words repeated_windows symbols repeated_lines short_words long_words shouting".split(),
+    }
+    rows = []
+    for (policy, version), names in policies.items():
+        for name in names:
+            alone = " AND ".join([name, *(f"NOT {other}" for other in names if other != name)])
+            rows.append(
+                f"SELECT '{policy}' AS policy, {version} AS version, '{name}' AS rule, "
+                f"count(*) FILTER (WHERE {name}) AS n_failed, count(*) FILTER (WHERE {alone}) AS n_only_this FROM f"
+            )
+    return _MEASURED + "\n" + " UNION ALL ".join(rows)
+
+
+ABLATIONS_SQL = _ablations_sql()

@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_pseudo_likelihood": pseudo_likelihood.op9_pseudo_likelihood,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "quality_ablations": quality_rules.quality_ablations,
     "op11_importance_resample": importance.op11_importance_resample,
     "op12_embedding_whitening": whitening.op12_embedding_whitening,
     "op13_source_mix": source_mix.op13_source_mix,
@@ -41,4 +42,5 @@ ORACLES: dict[str, str] = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op6_chat_format": chat.OP6_SQL,
     "op10_quality_rules": quality_rules.OP10_SQL,
+    "quality_ablations": quality_rules.ABLATIONS_SQL,
 }

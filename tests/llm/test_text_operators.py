@@ -220,6 +220,15 @@ def test_measures_by_brute_force(texts):
         assert dict(zip(quality_rules.MEASURES, (int(m[i]) for m in got))) == _brute_measures(text)
 
 
+def test_lines_and_windows_that_share_a_hash_are_told_apart():
+    """Sums over powers of two to the 64 can't tell these two words apart; their bytes can."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    text = f"w x y z {one}\nw x y z {other}\n{one}\n{other}\n{one}"
+    dup, repeat = (quality_rules._measure(pa.array([text, text, "a"]))[k].tolist() for k in (3, 4))
+    assert dup == [1, 1, 0] and repeat == [0, 0, 0]
+
+
 def test_ledger_policies_and_ablations(spark, odd, empty):
     rows = quality_rules.ledger(quality_rules.measure(odd.where(F.length("text") < 1000), keep=("doc_id", "text")))
     found = rows.withColumn("ok", quality_rules.passes(quality_rules.STRICT)).collect()
