@@ -1,8 +1,9 @@
 """URL filter: explicit rules, and for other urls a tree of path templates per host.
 
 Segments of a path first take their shape: runs of digits and long hexadecimal runs become
-placeholders. The tree is then built level by level. Below one node, segments that hardly
-ever repeat become one wildcard, and branches whose labelled share of good pages doesn't
+placeholders. The tree is then built level by level, as deep as shapes share a node. Below one
+node with many segments, those that hold no more than a usual share of its pages become one
+wildcard, however many pages that is. Branches whose labelled share of good pages doesn't
 differ from that of their siblings together are merged. Each path ends in one template. A
 template is rejected when its smoothed labelled purity is too low: its good pages against
 its labelled ones, drawn towards the purity of its host, and that towards the average.
@@ -17,9 +18,8 @@ from pyspark.sql import functions as F
 
 from lineforge.session import run_dir
 
-MAX_DEPTH = 8  # deeper segments are one last segment
 MANY = 20  # children of a node, ...
-UNIQUE = 0.5  # ... and their share of its pages, from which on they are a wildcard
+SMALL = 2.0  # ... from which on those of at most so many times the mean number of pages are a wildcard
 Z_MERGE = 1.96  # standard errors by which a branch may differ from its siblings and be merged
 PRIOR = 10.0  # pages that a host's purity counts as in its templates, and the average in it
 PURITY = 0.7
@@ -70,13 +70,11 @@ def _by_rule(rules: tuple[Rule, ...], host: Column, path: Column, value) -> Colu
 
 
 def shape(path: Column) -> Column:
-    """Segments of a path with digits and long hexadecimal runs replaced, at most ``MAX_DEPTH`` of them."""
+    """Segments of a path with digits and long hexadecimal runs replaced."""
     shaped = F.regexp_replace(F.regexp_replace(path, "[0-9a-fA-F]{12,}", "<x>"), "[0-9]+", "<n>")
     # The part before the first slash is empty.
     parts = F.split(shaped, "/")
-    parts = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    deep = F.concat(F.slice(parts, 1, MAX_DEPTH - 1), F.array(F.lit("**")))
-    return F.when(F.size(parts) > MAX_DEPTH, deep).otherwise(parts)
+    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
 def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -97,13 +95,15 @@ def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
         pages.groupBy("host", "shape").agg(F.count("*").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad")),
         "shapes",
     )
-    depth = shapes.agg(F.max(F.size("shape")).alias("depth")).first()["depth"] or 0
-    rows = shapes.withColumn("prefix", F.lit(""))
-    for level in range(depth):
-        here = rows.withColumn("segment", F.get("shape", F.lit(level)))
-        branches = here.where(F.col("segment").isNotNull()).groupBy("host", "prefix", "segment").agg(*sums)
+    rows, level, growing = shapes.withColumn("prefix", F.lit("")).withColumn("ended", F.lit(False)), 0, True
+    while growing:
+        here = rows.withColumn("segment", F.when(~F.col("ended"), F.get("shape", F.lit(level))))
+        branches = here.where(F.col("segment").isNotNull()).groupBy("host", "prefix", "segment").agg(
+            *sums, F.count("*").alias("shapes")
+        )
         nodes = branches.groupBy("host", "prefix").agg(
             F.count("*").alias("children"),
+            F.sum("shapes").alias("all_shapes"),
             F.sum("n").alias("all_n"),
             F.sum("good").alias("all_good"),
             F.sum("bad").alias("all_bad"),
@@ -112,22 +112,34 @@ def templates(spark: SparkSession, pages: DataFrame) -> DataFrame:
         pooled = (F.col("all_good") + 1) / (F.col("all_good") + F.col("all_bad") + 2)
         away = F.abs(F.col("good") - labelled * pooled)
         similar = away * away <= Z_MERGE**2 * labelled * pooled * (1 - pooled)
-        variable = (F.col("children") > MANY) & (F.col("children") > UNIQUE * F.col("all_n"))
+        # A share of the node's pages: more pages of every child leave it as it is.
+        variable = (F.col("children") > MANY) & (F.col("n") * F.col("children") <= SMALL * F.col("all_n"))
         named = branches.join(nodes, ["host", "prefix"]).select(
             F.col("host").alias("_host"),
             F.col("prefix").alias("_prefix"),
             F.col("segment").alias("_segment"),
+            (F.col("all_shapes") == 1).alias("alone"),
             F.when(variable, WILDCARD)
             .when((F.col("children") > 1) & similar, MERGED)
             .otherwise(F.col("segment"))
             .alias("name"),
         )
         same = (here["host"] == named["_host"]) & (here["prefix"] == named["_prefix"]) & (here["segment"] == named["_segment"])
-        prefix = F.when(F.col("name").isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), "name"))
+        # The only shape below its node meets no others further down: its other segments stay as they are.
+        rest = F.array_join(F.slice("shape", level + 1, F.greatest(F.size("shape"), F.lit(1))), "/")
+        prefix = (
+            F.when(F.col("name").isNull(), F.col("prefix"))
+            .when(F.col("alone"), F.concat("prefix", F.lit("/"), rest))
+            .otherwise(F.concat("prefix", F.lit("/"), "name"))
+        )
+        ended = F.col("ended") | F.col("name").isNull() | F.col("alone")
         rows = kept(
-            here.join(named, same, "left").select("host", "shape", "n", "good", "bad", prefix.alias("prefix")),
+            here.join(named, same, "left").select(
+                "host", "shape", "n", "good", "bad", prefix.alias("prefix"), ended.alias("ended")
+            ),
             f"level-{level}",
         )
+        growing, level = bool(rows.where(~F.col("ended")).take(1)), level + 1
     hosts = rows.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("bad").alias("host_bad"))
     total = hosts.agg(F.sum("host_good").alias("good"), F.sum("host_bad").alias("bad")).first()
     good, bad = total["good"] or 0, total["bad"] or 0
@@ -202,3 +214,26 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, with the quality labels of their ids as labelled pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(spark, pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+# Host, path, rule and what the rule says, for every page; the rules written out, the longest first.
+RULES_SQL = r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
+  FROM cut
+), ruled AS (
+  SELECT *, '.' || host AS h FROM parsed
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NULL THEN NULL WHEN rule IN ('com/', 'www.example.com/en/')
+  THEN 'allow' ELSE 'block' END AS told
+FROM (SELECT *, CASE
+  WHEN ends_with(h, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN ends_with(h, '.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN ends_with(h, '.net') AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN ends_with(h, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN ends_with(h, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM ruled)
+"""
