@@ -33,31 +33,40 @@ COMMON = 5  # times a word must occur to count for the dictionary
 MASK = "[SECRET]"
 
 _RUN = r"A-Za-z0-9+/_.\-"
-# A run that has a digit, is assigned to something, or begins as published keys do. It ends
-# in a letter, digit or padding, so a full stop after it is not part of it.
+# A run that has a digit or 32 letters in a row, is assigned to something, or begins as
+# published keys do. It ends in a letter, digit or padding, so a full stop after it is not
+# part of it.
 CANDIDATE = (
-    rf"(?<![{_RUN}])(?:(?=[A-Za-z+/_.\-]*[0-9])|(?<=[=:][\"'])|(?<=[=:] [\"'])"
+    rf"(?<![{_RUN}])(?:(?=[A-Za-z+/_.\-]*[0-9])|(?=[A-Za-z]{{32}})|(?<=[=:][\"'])|(?<=[=:] [\"'])"
     rf"|(?=A[KS]IA[A-Z]{{12}}|gh[pousr]_|xox[abprs]-|sk-))"
     rf"[{_RUN}]{{{LEAST - 1},}}[A-Za-z0-9+/_]={{0,2}}"
 )
 # Nouns that name a credential, and published prefixes of keys. Fixed values.
-_NOUNS = "(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)"
+_NOUNS = "(?:token|secret(?:_?key)?|passw(?:or)?d|passphrase|pwd|api_?key|access_?key|auth|credential|bearer|private_?key)"
 NOUN = rf"(?i){_NOUNS}\W*$"
-PREFIXED = r"^(A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})$"
-
-_TO_NOUN = rf"(?i:{_NOUNS})[\"']?[ \t]{{0,4}}[=:]{{1,2}}>?[ \t]{{0,4}}"
-# A value assigned to a noun: in quotes, or else up to white space, a quote or the next
-# setting, without punctuation at its end. Or what stands between ://user: and @. Short
-# looks behind come first, so that the long ones are rarely taken.
+PREFIXED = r"^(?:-----BEGIN |(A[KS]IA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,})$)"
+
+# Blanks on either side of a sign; Java's look-behind needs a bound.
+_BLANKS = r"[ \t]{0,16}"
+_TO_NOUN = rf"(?i:{_NOUNS})[\"']?{_BLANKS}[=:]{{1,2}}>?{_BLANKS}"
+# A value assigned to a noun: in quotes, up to one without a backslash before it, or else up
+# to white space, a quote or the next setting, without punctuation at its end. Or what stands
+# between ://user: and @, or inside an element with a noun's name. Short looks behind come
+# first, so that the long ones are rarely taken.
 ASSIGNED = "|".join(
     (
-        *(rf"(?<=[=:> \t]{q})(?<={_TO_NOUN}{q})[^\s{q}]+(?={q})" for q in "\"'"),
-        rf"(?<=[=:> \t])(?=[^\s\"'=:>])(?<=[=:>][ \t]{{0,4}})(?<={_TO_NOUN})"
+        *(rf"(?<=[=:> \t]{q})(?<={_TO_NOUN}{q})(?!{q})\S+?(?<!\\)(?={q})" for q in "\"'"),
+        rf"(?<=[=:> \t])(?=[^\s\"'=:>])(?<=[=:>]{_BLANKS})(?<={_TO_NOUN})"
         r"[^\s\"']*?[^\s\"'.,;:)\]}>](?=[.,;:)\]}>]*(?:[\s\"']|$)|[&;,]\w{1,64}=)",
-        r"(?<=:)(?<=://[^\s/:@\"']{1,64}:)[^\s/@\"']+(?=@)",
+        r"(?<=:)(?<=://[^\s/:@\"']{1,255}:)[^\s/@\"']+(?=@)",
+        rf"(?<=>)(?<=(?i:{_NOUNS})>)[^\s<>]+(?=</)",
     )
 )
-FOUND = f"{ASSIGNED}|{CANDIDATE}"  # a whole assigned value rather than a run inside it
+# A private key in its armour, over several lines.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,\-]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
+)
+FOUND = f"{PEM}|{ASSIGNED}|{CANDIDATE}"  # a whole assigned value rather than a run inside it
 
 FINDING = ("finding_no", "value", "before", "after")
 FEATURES = (
@@ -197,7 +206,7 @@ def describe(findings: DataFrame, words: DataFrame, transitions: Transitions) ->
     return joined.select(
         "*",
         F.col("before").rlike(NOUN).cast("double").alias("noun_before"),
-        F.col("before").rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
+        F.col("before").rlike(r"(?:[=:]>?|<\w{1,64}>)\s*[\"']?$").cast("double").alias("assigned"),
         (F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")).cast("double").alias("quoted"),
         F.col("before").rlike(r"\p{L}{2,}[.,;]?\s*$").cast("double").alias("word_before"),
         F.col("after").rlike(r"^[\"'.,;]?\s*\p{L}{2,}").cast("double").alias("word_after"),
@@ -283,7 +292,9 @@ def scan(
 
 
 def masked(value: Column) -> Column:
-    return F.concat(F.left(value, F.lit(2)), F.lit("***"), F.right(value, F.lit(2)))
+    """The ends of a value; a short one shows nothing."""
+    short = F.length(value) < CERTAIN
+    return F.when(short, F.lit("***")).otherwise(F.concat(F.left(value, F.lit(2)), F.lit("***"), F.right(value, F.lit(2))))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
