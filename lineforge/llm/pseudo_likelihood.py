@@ -11,10 +11,12 @@ of distinct words. A word in a bucket has the bucket's probability times its sha
 bucket's occurrences. The tasks know the counts of the ``KNOWN`` most frequent words; counts
 of others come by a join with the written counts, so every word has its own.
 
-Training goes over all documents once, in rounds: in each, every task starts from the common
+Words are cut and looked up once; rounds and scoring read the written ids. Training goes
+over all documents once, in rounds: in each, every learner starts from the common
 parameters, trains on its part of the round's documents and sends its parameters, block by
-block; the blocks are averaged by number of words. Parameters grow as the ids do, far slower
-than the corpus, so they may come to the driver and go to every task.
+block; the blocks are averaged by number of words. There are as many learners as cores, not
+as files. Parameters grow as the ids do, far slower than the corpus, so they may come to the
+driver and go to every task.
 """
 
 from __future__ import annotations
@@ -146,6 +148,12 @@ class Network:
         return log_p, (hidden, gated, group, member, rows, *weights)
 
 
+def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of a sorted array, and where each begins."""
+    begins = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    return ordered[begins], begins
+
+
 class Trainer:
     """Adagrad on mini-batches; sums of squares start anew with every task."""
 
@@ -171,7 +179,7 @@ class Trainer:
         to_hidden = first @ p["classes"].T + to_gated * p["gate"][group]
         to_hidden *= 1 - hidden * hidden
         order = np.argsort(group, kind="stable")
-        groups, begins = np.unique(group[order], return_index=True)
+        groups, begins = _runs(group[order])
         self._step("classes", hidden.T @ first)
         self._step("class_bias", first.sum(axis=0))
         self._step("words", gated.T @ second)
@@ -187,7 +195,7 @@ class Trainer:
                 to_near[-1, own] = to_hidden[rows_out].sum(axis=0)
         every = np.append(block.ids, len(p["embedding"]) - 1)
         order = np.argsort(every, kind="stable")
-        ids, begins = np.unique(every[order], return_index=True)
+        ids, begins = _runs(every[order])
         self._step("embedding", np.add.reduceat(to_near[order], begins, axis=0), ids)
         return float(log_p.mean())
 
@@ -318,25 +326,106 @@ def _most_frequent(counted: DataFrame, most: int) -> tuple[list, int]:
     return sorted(top, key=lambda r: (-r["n"], r["word"])), sum(r["n"] for r in histogram)
 
 
-def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network learned from all texts.
+@dataclass(frozen=True)
+class Encoded:
+    """Written texts as ids: one row each, read by all rounds and by scoring.
+
+    Columns under names that none of ``kept`` has: the text's number, its round (null where
+    the text is), its ids as bytes, the sum of its words' known log shares, and the hashes of
+    the words whose counts the tasks don't know.
+    """
+
+    frame: DataFrame
+    kept: list[str]
+    names: tuple[str, str, str, str, str]
+
+
+def encode(
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    text: str = "text",
+    keep: tuple[str, ...] = (),
+    rounds: int = ROUNDS,
+) -> Encoded:
+    """Cut and look up all words of all texts once."""
+    spark = docs.sparkSession
+    frame, kept, body, schema = narrowed(docs, keep, text, "n_words long, log_likelihood double, mean_log_likelihood double")
+    row, turn, ids_, shares_, rest = free_names(schema.names, "row", "round", "ids", "shares", "rest")
+    frame = frame.withColumn(turn, F.pmod(F.xxhash64(col(body)), F.lit(rounds)).cast("int"))
+    fields = T.StructType.fromDDL("row long, round int, ids binary, shares double, rest array<bigint>").fields
+    named = [T.StructField(n, f.dataType) for n, f in zip((row, turn, ids_, shares_, rest), fields, strict=True)]
+    written = T.StructType([*schema.fields[: len(kept)], *named])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in by_bytes(batch, body):
+                hashes, first = _word_hashes(part.column(body))
+                ids, shares, known = vocabulary.lookup(hashes)
+                sums = np.concatenate(([0.0], np.cumsum(shares)))
+                unknown = np.flatnonzero(~known)
+                words_left = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(unknown, first), type=pa.int32()), pa.array(hashes[unknown].view(np.int64))
+                )
+                n = part.num_rows
+                packed = pa.Array.from_buffers(
+                    pa.large_binary(), n, [None, pa.py_buffer((first * 4).astype(np.int64)), pa.py_buffer(ids.astype(np.int32))]
+                )
+                columns = [
+                    pa.array(number + np.arange(n, dtype=np.int64)),
+                    part.column(turn),
+                    packed.cast(pa.binary()),
+                    pa.array(sums[first[1:]] - sums[first[:-1]]),
+                    words_left,
+                ]
+                number += n
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns], names=written.names)
+
+    path = run_dir(spark, "word-ids")
+    frame.mapInArrow(run, written).write.parquet(path)
+    return Encoded(spark.read.schema(written).parquet(path), kept, (row, turn, ids_, shares_, rest))
+
+
+def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some texts one after the other, and where each text begins."""
+    data, offsets = text_bytes(column)
+    return data.view(np.int32), offsets // 4
+
+
+def train(
+    spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int = ROUNDS
+) -> tuple[Vocabulary, Network]:
+    """Vocabulary and network learned from all texts; see ``fit``."""
+    vocabulary = learn_vocabulary(spark, docs, text)
+    return vocabulary, fit(spark, encode(docs, vocabulary, text, rounds=rounds), vocabulary, rounds)
+
+
+def learners(spark: SparkSession) -> int:
+    """How many tasks learn at once: as many as there are cores, however many files there are.
+
+    Each sends a whole model in each round, so their number must not grow with the corpus.
+    """
+    return max(1, spark.sparkContext.defaultParallelism)
+
+
+def fit(spark: SparkSession, encoded: Encoded, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Network:
+    """The network learned from all texts.
 
     A text belongs to one round by its hash, so each is learned from once. Without any
     words the network stays as it begins. The result depends, in small measure, on how the
-    files are split into tasks.
+    files are dealt out to the learners.
     """
-    vocabulary = learn_vocabulary(spark, docs, text)
     network = Network.fresh(vocabulary.counts)
-    narrow = docs.select(col(text).alias("body")).where(F.length("body") > 0)
+    _, turn, ids_, _, _ = encoded.names
+    narrow = encoded.frame.where(F.length(col(ids_)) > 0)
 
     def learn(start: np.ndarray, number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             random = np.random.default_rng(number)
             trainer, seen = Trainer(Network.unpack(start)), 0
             for batch in batches:
-                for part in by_bytes(batch, "body"):
-                    hashes, first = _word_hashes(part.column("body"))
-                    ids, _, _ = vocabulary.lookup(hashes)
+                for part in by_bytes(batch, "ids"):
+                    ids, first = _ids_of(part.column("ids"))
                     steps = list(blocks(ids, first, BATCH))
                     for k in random.permutation(len(steps)):
                         trainer.learn(steps[k])
@@ -374,7 +463,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int
             )
 
     for number in range(rounds):
-        part = narrow.where(F.pmod(F.xxhash64("body"), F.lit(rounds)) == number)
+        part = narrow.where(col(turn) == number).select(col(ids_).alias("ids")).coalesce(learners(spark))
         models = part.mapInArrow(learn(network.pack(), number), "block int, weight double, values binary")
         rows = models.repartition("block").mapInArrow(average, "block int, values binary").collect()
         if rows:
@@ -382,7 +471,7 @@ def train(spark: SparkSession, docs: DataFrame, text: str = "text", rounds: int
                 [np.frombuffer(bytes(r["values"]), dtype=np.float32) for r in sorted(rows, key=lambda r: r["block"])]
             )
             network = Network.unpack(flat)
-    return vocabulary, network
+    return network
 
 
 def score(
@@ -390,38 +479,35 @@ def score(
 ) -> DataFrame:
     """Kept columns, n_words, ``log_likelihood`` (summed over the words) and ``mean_log_likelihood``.
 
-    Whole texts are scored. A null or empty text has no words, the sum 0 and no mean. What the
-    tasks can tell is written; counts of words they don't know are joined to it.
+    Whole texts are scored. A null or empty text has no words, the sum 0 and no mean.
     """
-    spark = docs.sparkSession
-    results = "n_words long, log_likelihood double, mean_log_likelihood double"
-    narrow, kept, body, schema = narrowed(docs, keep, text, results)
-    row, rest, of, added = free_names(schema.names, "row", "rest", "of", "added")
-    more = [T.StructField(row, T.LongType()), T.StructField(rest, T.ArrayType(T.LongType()))]
-    partial = T.StructType([*schema.fields[:-1], *more])
+    return score_encoded(encode(docs, vocabulary, text, keep), vocabulary, network)
+
+
+def score_encoded(encoded: Encoded, vocabulary: Vocabulary, network: Network) -> DataFrame:
+    """The same from ids. What the tasks can tell is written; counts of words they don't know are joined to it."""
+    frame, kept = encoded.frame, encoded.kept
+    spark = frame.sparkSession
+    row, _, ids_, shares_, rest = encoded.names
+    of, added, total_ = free_names([*frame.columns, "n_words", "log_likelihood", "mean_log_likelihood"], "of", "added", "total")
+    fields = [f for f in frame.schema if f.name in (*kept, row, rest)]
+    partial = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField(total_, T.DoubleType())])
+    passed = [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in by_bytes(batch, body):
-                hashes, first = _word_hashes(part.column(body))
-                ids, shares, known = vocabulary.lookup(hashes)
+            for part in by_bytes(batch, ids_):
+                ids, first = _ids_of(part.column(ids_))
                 log_p = [network.forward(b)[0] for b in blocks(ids, first, SCORED)]
-                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(log_p or [np.zeros(0)]) + shares)])
-                total, n = sums[first[1:]] - sums[first[:-1]], np.diff(first)
-                unknown = np.flatnonzero(~known)
-                words_left = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(unknown, first), type=pa.int32()), pa.array(hashes[unknown].view(np.int64))
-                )
-                rows = pa.array(number + np.arange(len(n), dtype=np.int64))
-                number += len(n)
+                sums = np.concatenate([[0.0], np.cumsum(np.concatenate(log_p or [np.zeros(0)]))])
+                total = sums[first[1:]] - sums[first[:-1]] + np.asarray(part.column(shares_))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array(n.astype(np.int64)), pa.array(total), rows, words_left],
+                    [*(part.column(c) for c in passed), pa.array(np.diff(first).astype(np.int64)), pa.array(total)],
                     names=partial.names,
                 )
 
     path = run_dir(spark, "word-scores")
-    narrow.mapInArrow(run, partial).write.parquet(path)
+    frame.mapInArrow(run, partial).write.parquet(path)
     scored = spark.read.schema(partial).parquet(path)
     counted = spark.read.parquet(vocabulary.path).where(F.col("n") <= vocabulary.least)
     left = scored.select(col(row).alias(of), F.explode(col(rest)).alias("left"))
@@ -430,7 +516,7 @@ def score(
         .groupBy(col(of))
         .agg(F.sum(F.log(F.coalesce(F.col("n").cast("double"), F.lit(UNSEEN)))).alias(added))
     )
-    total = col("log_likelihood") + F.coalesce(col(added), F.lit(0.0))
+    total = col(total_) + F.coalesce(col(added), F.lit(0.0))
     return scored.join(logs, col(row) == col(of), "left").select(
         *map(col, kept),
         "n_words",
@@ -441,4 +527,6 @@ def score(
 
 def op9_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return score(docs, *train(spark, docs))
+    vocabulary = learn_vocabulary(spark, docs)
+    encoded = encode(docs, vocabulary, keep=("doc_id",))
+    return score_encoded(encoded, vocabulary, fit(spark, encoded, vocabulary))
