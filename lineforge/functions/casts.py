@@ -15,12 +15,12 @@ def truncated_int(text: Column, dtype: T.DataType | None = None) -> Column:
     ``' 12 '`` gives 12, ``'1.5'`` gives 1, ``'-2.9'`` gives -2, ``'.5'`` gives 0
     and so does a lone point; ``''``, ``'abc'`` and values outside the type give null. White space and
     control characters around the number don't count. Clean integers take the first
-    branch and never reach the pattern.
+    branch and never reach the pattern; others are matched once.
     """
     dtype = dtype or T.IntegerType()
-    whole = F.concat(F.regexp_extract(text, _DECIMAL, 1), F.lit("0"), F.regexp_extract(text, _DECIMAL, 2))
-    fraction = F.when(text.rlike(_DECIMAL), whole.try_cast(dtype))
-    return F.coalesce(text.try_cast(dtype), fraction)
+    # The sign, a zero for digits that may be missing, the whole digits; other text stays and is refused again.
+    whole = F.regexp_replace(text, _DECIMAL, "$10$2")
+    return F.coalesce(text.try_cast(dtype), whole.try_cast(dtype))
 
 
 def strict_int(text: Column) -> Column:

@@ -92,18 +92,22 @@ class Check:
     column: str
     value: int | None = None
 
-    def failures(self) -> Column:
-        """Number of failures as an aggregate, for the kinds that need no grouping."""
+    def broken(self) -> Column:
+        """Whether a row breaks it, for the kinds that look at one row."""
         column = F.col(self.column)
         if self.kind == "date_format":
-            return F.count_if(has_slash(column))
+            return has_slash(column)
         if self.kind == "length":
-            return F.count_if(F.length(column) == self.value)
+            return F.length(column) == self.value
         if self.kind == "not_null":
-            return F.count_if(column.isNull())
+            return column.isNull()
+        raise ValueError(f"check {self.kind} doesn't look at rows one by one")
+
+    def failures(self) -> Column:
+        """Number of failures as an aggregate, for the kinds that need no grouping."""
         if self.kind == "string_type":
-            return (F.count_if(F.typeof(column) == "string") == 0).cast("bigint")
-        raise ValueError(f"unknown check {self.kind}")
+            return (F.count_if(F.typeof(F.col(self.column)) == "string") == 0).cast("bigint")
+        return F.count_if(self.broken())
 
 
 # Which check applies to which silver column.

@@ -173,6 +173,42 @@ def gold_upkeep(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataF
     )
 
 
+_CHECKS = {
+    **{("date_format", c): f"{c} like '%/%'" for c in ("SHIPPEDPGIDATE", "ORDERENTRYDATE", "ESTIMATEDSHIPDATE", "SHIPBYDATE")},
+    **{("not_null", c): f"{c} is null" for c in ("ISPURGED", "POLEXTERNALID")},
+    ("length", "PSO"): "length(PSO) = 8",
+    **{("string_type", c): "false" for c in ("CUSTOMERREFERENCE", "CARRIERNAME", "CUSTOMERSTORAGELOCATION")},
+}
+
+
+@query(
+    "dq_report_upkeep",
+    with_(
+        f"""{SILVER.replace(BRONZE, "bronze as (" + _MERGED + ")")}, r as ("""
+        + " union all ".join(
+            f"select '{kind}' as check_name, '{column}' as column_name, count(*) filter (where {test}) as failures from silver"
+            for (kind, column), test in _CHECKS.items()
+        )
+        + """ union all select 'unique', 'POLEXTERNALID', count(*) from (select POLEXTERNALID from silver
+        where POLEXTERNALID is not null group by 1 having count(*) > 1))""",
+        "select *, failures = 0 as passed from r",
+    ),
+    fixture=snapshot_and_batch,
+)
+def dq_report_upkeep(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataFrame:
+    """The check report after a batch, from the counts before it and its changes."""
+    table, batch = given
+    parts = silver.silver_parts(table.content(spark))
+    folder = run_dir(spark, "dq_upkeep")
+    counts = write_parquet(upkeep.check_counts(parts), f"{folder}/counts")
+    repeated = write_parquet(upkeep.repeated_keys(parts), f"{folder}/repeated")
+    changes = table.upsert(batch, remember=upkeep.CHECKED)
+    now = silver.silver_parts(table.content(spark))
+    return upkeep.check_report(
+        upkeep.check_counts_after(counts, changes), upkeep.repeated_keys_after(repeated, now, changes)
+    )
+
+
 assert set(BRONZE_COLUMNS) == {*SOURCE_COLUMNS, *ADDED_COLUMNS}
 
 

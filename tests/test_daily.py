@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import bag, plan
-from lineforge.plans import daily, gold, silver, upkeep
+from lineforge.plans import daily, gold, quality, silver, upkeep
 from lineforge.plans.columns import BRONZE_COLUMNS
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import write_pages
@@ -133,6 +133,7 @@ def changed_lines(spark, rng, day):
                 "carrierCode": rng.choice(["c1", " c1 ", "c2", None]), "carrierName": rng.choice(["A", "B", None]),
                 "orderType": rng.choice(["EMERGENCY", "STOCK"]), "pendingItemQuantity": rng.choice(["1", "2.5", "x", None]),
                 "status": rng.choice(["Shipped", "Sourced", "?"]), "insertDateTime": f"2024-01-{day}",
+                "isPurged": rng.choice(["true", None]), "pso": rng.choice(["12345678", "1"]), "shipByDate": rng.choice(["1/2/2024", None]),
             }
         )
     return spark.createDataFrame(rows, daily.BRONZE_SCHEMA)
@@ -149,15 +150,21 @@ def test_ten_days_of_upkeep_equal_full_builds(spark, folder):
     parts = silver.silver_parts(where.bronze_parts(spark))
     where.fact_lines.create(daily._fact_with_key(daily._silver_with_key(where.bronze_parts(spark)), status))
     carriers, centers = kept("carriers10", upkeep.carrier_counts(parts)), kept("centers10", upkeep.center_sums(parts))
+    counts, repeated = kept("counts10", upkeep.check_counts(parts)), kept("repeated10", upkeep.repeated_keys(parts))
     files = set(where.snapshot.base(spark).inputFiles())
     for day in range(11, 21):
-        changes = where.snapshot.upsert(changed_lines(spark, rng, day), remember=upkeep.REMEMBERED)
+        remembered = (*upkeep.REMEMBERED, *upkeep.CHECKED)
+        changes = where.snapshot.upsert(changed_lines(spark, rng, day), remember=remembered)
         where.fact_lines.append_run(daily._fact_with_key(daily._silver_with_key(changes), status))
         carriers = kept(f"carriers{day}", upkeep.carriers_after(carriers, changes))
         centers = kept(f"centers{day}", upkeep.centers_after(centers, changes))
         parts = silver.silver_parts(where.bronze_parts(spark))
         assert bag(upkeep.dim_carrier(carriers)) == bag(gold.dim_carrier(parts))
         assert bag(upkeep.fact_emergency_order(centers)) == bag(gold.fact_emergency_order(parts))
+        counts = kept(f"counts{day}", upkeep.check_counts_after(counts, changes))
+        repeated = kept(f"repeated{day}", upkeep.repeated_keys_after(repeated, parts, changes))
+        found = upkeep.check_report(counts, repeated)
+        assert bag(found, *found.columns) == bag(quality.report(parts), *found.columns)
         assert bag(where.fact(spark)) == bag(gold.fact_parts(parts, status))
         assert "parts/version" not in plan(upkeep.carriers_after(carriers, changes))
     assert set(where.snapshot.base(spark).inputFiles()) == files
