@@ -131,8 +131,9 @@ class Network:
             if len(rows_out):
                 hidden[rows_out] += p["embedding"][-1, own] - near[REACH + side + rows_out, own]
         hidden = np.tanh(hidden)
-        group, member = np.divmod(target, len(p["class_bias"]))
-        rows = np.arange(len(target))
+        side = len(p["class_bias"])
+        group, member = np.divmod(target, side)
+        rows, ones = np.arange(len(target)), np.ones(side, dtype=np.float32)
         first = hidden @ p["classes"] + p["class_bias"]
         gated = hidden * p["gate"][group]
         second = gated @ p["words"] + p["word_bias"][group]
@@ -142,7 +143,7 @@ class Network:
             np.minimum(logits, 60, out=logits)  # exp of it stays finite, sums too
             at = logits[rows, chosen]
             np.exp(logits, out=logits)
-            total = logits.sum(axis=1)
+            total = logits @ ones
             log_p += at - np.log(total)
             weights.append((logits, total))
         return log_p, (hidden, gated, group, member, rows, *weights)
@@ -154,6 +155,19 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[begins], begins
 
 
+def _sums(rows: np.ndarray, order: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the rows in ``order`` from each of ``begins`` to the next; rows by themselves are only copied."""
+    out = rows[order[begins]]
+    several = np.flatnonzero(np.diff(begins, append=len(order)) > 1)
+    if len(several):
+        ends = np.append(begins, len(order))[several + 1]
+        counts = ends - begins[several]
+        starts = np.cumsum(counts) - counts
+        at = np.arange(counts.sum()) + np.repeat(begins[several] - starts, counts)
+        out[several] = np.add.reduceat(rows[order[at]], starts, axis=0)
+    return out
+
+
 class Trainer:
     """Adagrad on mini-batches; sums of squares start anew with every task."""
 
@@ -196,7 +210,7 @@ class Trainer:
         every = np.append(block.ids, len(p["embedding"]) - 1)
         order = np.argsort(every, kind="stable")
         ids, begins = _runs(every[order])
-        self._step("embedding", np.add.reduceat(to_near[order], begins, axis=0), ids)
+        self._step("embedding", _sums(to_near, order, begins), ids)
         return float(log_p.mean())
 
 
