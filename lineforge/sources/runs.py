@@ -18,7 +18,14 @@ from lineforge.operators.columns import quoted
 from lineforge.operators.upsert import CHANGED_AT, INSERTED_AT, unique_or_error
 from lineforge.session import run_dir
 from lineforge.sources.files import write_parquet
-from lineforge.sources.tables import BUCKET, Buckets, overwrite_table, scan_table, table_exists
+from lineforge.sources.tables import (
+    BUCKET,
+    Buckets,
+    overwrite_table,
+    partition_values,
+    scan_table,
+    table_exists,
+)
 
 RUN = "run"
 BEFORE = "__before"
@@ -75,8 +82,7 @@ class RunTable:
         """Numbers of the runs, from the catalog."""
         if not table_exists(spark, self.runs_table, self.database):
             return []
-        listed = spark.sql(f"SHOW PARTITIONS `{self.database}`.`{self.runs_table}`").collect()
-        return sorted(int(row[0].split("=", 1)[1]) for row in listed)
+        return sorted(map(int, partition_values(spark, self.runs_table, self.database)))
 
     def version(self, spark: SparkSession) -> str:
         """A text that changes with every change of the table."""

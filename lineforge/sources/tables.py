@@ -114,6 +114,12 @@ def _is_partitioned(spark: SparkSession, table: str, database: str) -> bool:
     return any(c.isPartition for c in spark.catalog.listColumns(_name(database, table)))
 
 
+def partition_values(spark: SparkSession, table: str, database: str) -> list[str]:
+    """The values of a table's one partition column, as the catalog lists them."""
+    listed = spark.sql(f"SHOW PARTITIONS {_name(database, table)}").collect()
+    return [row[0].split("=", 1)[1] for row in listed]
+
+
 def buckets_in(df: DataFrame) -> list[int]:
     """The buckets that occur in ``df``; never more than the layout has."""
     return sorted(row[0] for row in df.select(BUCKET).distinct().collect())
