@@ -279,6 +279,28 @@ def test_discriminant_is_the_textbook_one():
     assert np.allclose(model.score(x, temperature=1.0), 1 / (1 + np.exp(-odds)), atol=1e-6)
 
 
+def test_shrinkage_pulls_each_covariance_to_the_pooled_one_and_its_diagonal():
+    random_ = np.random.default_rng(4)
+    a = random_.multivariate_normal([0, 1, 0], np.diag([1, 3, 0.5]) + 0.2, 40)
+    b = random_.multivariate_normal([1, 0, 2], np.diag([2, 1, 4]) - 0.1, 60)
+    moments = {c: (float(len(x)), x.sum(axis=0), x.T @ x) for c, x in enumerate((a, b))}
+    x = random_.normal(size=(30, 3))
+    own = [np.cov(s.T, bias=True) for s in (a, b)]
+    pooled = (40 * own[0] + 60 * own[1]) / 100
+    for to_pooled, to_identity in ((0.5, 0.0), (0.0, 0.3), (0.3, 0.2), (1.0, 1.0)):
+        shrunk = [
+            (1 - to_identity) * ((1 - to_pooled) * c + to_pooled * pooled) + to_identity * np.diag(np.diag(pooled))
+            for c in own
+        ]
+        density = []
+        for sample, cov in zip((a, b), shrunk):
+            away = x - sample.mean(axis=0)
+            density.append(-0.5 * (away @ np.linalg.inv(cov) * away).sum(axis=1) - 0.5 * np.linalg.slogdet(cov)[1])
+        odds = (density[1] - density[0]) / 2.5 + np.log(61 / 41)
+        model = quality_model.Discriminant.fit(moments, to_pooled=to_pooled, to_identity=to_identity)
+        assert np.allclose(model.score(x, temperature=2.5), 1 / (1 + np.exp(-odds)), atol=1e-9)
+
+
 def test_a_missing_class_gives_the_smoothed_share():
     model = quality_model.Discriminant.fit({1: (3.0, np.zeros(2), np.eye(2))})
     assert np.allclose(model.score(np.zeros((2, 2))), 4 / 5)
