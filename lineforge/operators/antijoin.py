@@ -20,6 +20,17 @@ def null_aware_guard(excluded: DataFrame, key: str):
     return (total == 0) | ((nulls == 0) & quoted(key).isNotNull())
 
 
+def stored_guard(table: DataFrame, key: str):
+    """The same for a stored table, whose keys are not read for it.
+
+    A row of each split tells whether there are any. Whether a key is null is a filter
+    that the files' own statistics answer: blocks without nulls are passed over.
+    """
+    some = table.select(F.lit(1).alias("__one")).limit(1).agg(F.count("*")).scalar()
+    nulls = table.filter(quoted(key).isNull()).select(quoted(key)).limit(1).agg(F.count("*")).scalar()
+    return (some == 0) | ((nulls == 0) & quoted(key).isNotNull())
+
+
 def not_in(
     df: DataFrame, excluded: DataFrame, key: str, guard_on: DataFrame | None = None
 ) -> DataFrame:
@@ -32,9 +43,9 @@ def not_in(
     so adaptive execution can split the rows of a frequent key.
 
     When ``excluded`` has already been reduced to keys that can match, the whole
-    set goes in ``guard_on``, for the guard depends on all of it.
+    set goes in ``guard_on``, for the guard depends on all of it; that is a stored table.
     """
     keys = excluded.select(quoted(key)).filter(quoted(key).isNotNull())
-    whole = excluded if guard_on is None else guard_on
-    guarded = df.filter(null_aware_guard(whole, key))
+    guard = null_aware_guard(excluded, key) if guard_on is None else stored_guard(guard_on, key)
+    guarded = df.filter(guard)
     return join_on(guarded, keys, [key], "left_anti")

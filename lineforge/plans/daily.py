@@ -10,6 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lineforge.operators.columns import LOCAL_OFFSET_HOURS, stamp_provenance, void_to_string
+from lineforge.operators.increments import fetch_windows
 from lineforge.operators.unions import union_pages
 from lineforge.operators.upsert import latest_lines, upsert
 from lineforge.plans import delivery, gold, quality, silver, upkeep
@@ -18,8 +19,11 @@ from lineforge.session import run_dir
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import (
     DAY_DIRECTORY,
+    FAULT,
+    HARMLESS,
     STATUS_DIRECTORY,
     bad_pages,
+    chain_faults,
     cut_pages,
     page_counts,
     page_lines,
@@ -64,7 +68,9 @@ class Lake:
     writes one run to each. They are folded once there are ``most_runs`` runs or these hold a
     quarter of the base's rows. With ``most_runs`` 0 there are no runs: a day reads and
     writes the buckets that hold keys of its batch, and all that follows is built anew. A
-    run of the job fails if more than ``bad_pages`` of the pages are damaged.
+    run of the job fails if more than ``bad_pages`` of the pages are damaged, and with
+    ``whole_chains`` also if the pages' cursors don't link them to one chain for each status
+    and day of the fetch windows.
     """
 
     account: str
@@ -77,6 +83,7 @@ class Lake:
     gold: str = "gold"
     snapshot_buckets: int = 16
     bad_pages: float = 0.01
+    whole_chains: bool = False
     most_runs: int = 30
 
     def path(self, database: str, table: str = "") -> str:
@@ -154,11 +161,34 @@ def require_sound_pages(pages: DataFrame, share: float) -> None:
         raise DamagedPages(f"{counted['n_bad']} of {counted['n_pages']} pages are damaged")
 
 
+class MissingPages(ValueError):
+    """The pages of a status and day don't make one chain."""
+
+
+def incomplete(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None = None) -> DataFrame:
+    """Faults of the chains that the fetch windows' pages make, see ``pages.chain_faults``."""
+    pages = pages if pages is not None else read_pages(spark, lake.pages, run_day(as_of))
+    anchor = spark.range(1).select(F.lit(run_day(as_of)).alias("as_of"))
+    expected = fetch_windows(anchor).select(
+        F.col("order_status").alias(STATUS_DIRECTORY), F.col("from_date").alias(DAY_DIRECTORY)
+    )
+    return chain_faults(pages, expected)
+
+
+def require_whole_chains(faults: DataFrame) -> None:
+    """Raise if there are any faults but pages that came twice."""
+    first = faults.filter(F.col(FAULT) != HARMLESS).orderBy(*faults.columns).first()
+    if first is not None:
+        raise MissingPages(", ".join(f"{name} {value!s}" for name, value in first.asDict().items()))
+
+
 def _batch(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None) -> DataFrame:
     """The day's lines by way of raw and staging, one row per key, with the snapshot's columns."""
     day = run_day(as_of)
     pages = fetch(spark, lake, as_of) if pages is None else pages
     require_sound_pages(pages, lake.bad_pages)
+    if lake.whole_chains:
+        require_whole_chains(incomplete(spark, lake, as_of, pages))
     stamped = stamp_provenance(page_lines(pages, LINE_SCHEMA), F.col(STATUS_DIRECTORY), as_of)
     fetched = void_to_string(stamped.drop(STATUS_DIRECTORY, DAY_DIRECTORY))
     land_raw(fetched, lake.account, lake.entity, day, lake.uri)

@@ -274,17 +274,21 @@ def new_rows_to_score(
     return not_scored(recent, scored)
 
 
-def not_scored(recent: DataFrame, scored: DataFrame) -> DataFrame:
+def not_scored(
+    recent: DataFrame, scored: DataFrame, between: tuple[str | None, str | None] | None = None
+) -> DataFrame:
     """Lines whose key is not in the prediction table.
 
     The prediction table only grows, so its keys are reduced to those of the batch before
     the anti join; a batch that is small at run time is broadcast for that, and the
-    prediction table is not shuffled.
+    prediction table is not shuffled. With the batch's least and greatest key in
+    ``between``, files of days whose keys all lie outside are passed over by their statistics.
     """
     batch_keys = recent.select("polExternalID").distinct()
     seen = scored.select("polExternalID")
-    relevant = seen.join(batch_keys, "polExternalID", "left_semi")
-    return not_in(recent, relevant, "polExternalID", guard_on=seen)
+    near = seen if between is None else seen.filter(F.col("polExternalID").between(*map(F.lit, between)))
+    relevant = near.join(batch_keys, "polExternalID", "left_semi")
+    return not_in(recent, relevant, "polExternalID", guard_on=scored)
 
 
 def with_day(rows: DataFrame) -> DataFrame:
@@ -317,7 +321,8 @@ def score_batch(
     spark = fact.sparkSession
     past = after_watermark(extract(fact), scored, "shippedPGIDate", SCORED_AT, bootstrap)
     recent = write_parquet(past, run_dir(spark, "recent"))
-    batch = prepare(not_scored(recent, scored))
+    ends = recent.agg(F.min("polExternalID"), F.max("polExternalID")).first()
+    batch = prepare(not_scored(recent, scored, tuple(ends)))
     rows = predictions(batch, model, as_of)
     rows = with_day(rows) if SCORED_DAY in scored.columns else rows
     fresh = write_parquet(rows, run_dir(spark, "scored"))

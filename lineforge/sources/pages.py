@@ -1,20 +1,25 @@
 """JSON response pages kept as files: ``{"lastRecordID": .., "partOrderLines": [..]}``.
 
 Pages lie below ``orderStatus=<status>/fromDate=<day>/``, so the fetch windows
-select directories. All pages are read in one scan; there is no loop over pages.
+select directories. All pages are read in one scan; there is no loop over pages. A page
+may also say after which record it was asked for, ``"afterRecordID"``, empty for the first
+one; ``chain_faults`` then finds what is missing between pages.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lineforge.operators.columns import flatten_structs
 from lineforge.operators.increments import DAYS_BACK, within_windows
 
 LINES = "partOrderLines"
 CURSOR = "lastRecordID"
+ASKED = "afterRecordID"
+FAULT = "fault"
+HARMLESS = "repeated"
 BAD_PAGE = "_corrupt_record"
 UNKNOWN = "otherFields"
 STATUS_DIRECTORY = "orderStatus"
@@ -25,7 +30,6 @@ DAMAGED = "damaged"
 
 # What a page's text is cut into: strings, which may be cut off at the page's end, brackets, and all between.
 _PIECE = r'"(?:[^"\\]++|\\[\s\S])*+(?:"|\\?\z)|[{}\[\]]|[^"{}\[\]]++'
-_CURSOR_VALUE = rf'"{CURSOR}"\s*:\s*"([^"]*)"'
 
 
 def read_pages(
@@ -101,13 +105,19 @@ def whole_lines(text: Column) -> Column:
     return F.filter(found, lambda t: F.get_json_object(t, "$").isNotNull())
 
 
+def _legible(name: str) -> Column:
+    """A text field of a damaged page, null if it is not there or cut off."""
+    found = F.regexp_extract_all(PAGE_TEXT, F.lit(rf'"{name}"\s*:\s*"([^"]*)"'), F.lit(1))
+    return F.get(found, F.lit(0))
+
+
 def cut_pages(pages: DataFrame) -> DataFrame:
-    """Pages with ``texts``, the JSON text of each line, their cursor, and whether they are damaged.
+    """Pages with ``texts``, the JSON text of each line, their cursors, and whether they are damaged.
 
     Of a damaged page the whole lines are taken, see ``whole_lines``, and its text is kept.
     What follows may read this frame, once written, in place of the pages.
     """
-    outer = f"{CURSOR} string, {LINES} array<string>, {BAD_PAGE} string"
+    outer = f"{ASKED} string, {CURSOR} string, {LINES} array<string>, {BAD_PAGE} string"
     page = F.from_json(PAGE_TEXT, outer, {"columnNameOfCorruptRecord": BAD_PAGE})
     sound = F.col("__page").isNotNull() & F.col(f"__page.{BAD_PAGE}").isNull()
     cut = pages.withColumn("__page", page).withColumn(DAMAGED, ~sound)
@@ -116,9 +126,7 @@ def cut_pages(pages: DataFrame) -> DataFrame:
         DAY_DIRECTORY,
         DAMAGED,
         F.when(F.col(DAMAGED), F.col(PAGE_TEXT)).alias(PAGE_TEXT),
-        F.when(F.col(DAMAGED), F.regexp_extract(PAGE_TEXT, _CURSOR_VALUE, 1))
-        .otherwise(F.col(f"__page.{CURSOR}"))
-        .alias(CURSOR),
+        *(F.when(F.col(DAMAGED), _legible(c)).otherwise(F.col(f"__page.{c}")).alias(c) for c in (ASKED, CURSOR)),
         F.when(F.col(DAMAGED), whole_lines(F.col(PAGE_TEXT))).otherwise(F.col(f"__page.{LINES}")).alias(TEXTS),
     )
 
@@ -166,19 +174,110 @@ def page_counts(pages: DataFrame) -> DataFrame:
     return _cut(pages).agg(F.count("*").alias("n_pages"), F.count_if(F.col(DAMAGED)).alias("n_bad"))
 
 
-def write_pages(lines: DataFrame, path: str, page: str) -> None:
+def chain_faults(pages: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """Where the pages of a status and day don't make one chain: (status, day, fault, cursor, n_pages).
+
+    A page is asked for with a cursor, empty for the first one, and gives the cursor of the
+    next; the last page gives none, or the one it was asked with. Faults, and the cursor
+    they are reported at:
+
+    * ``missing start``: no page was asked for with the empty cursor
+    * ``missing before``: pages were asked for with this cursor, which no page gives
+    * ``missing after``: pages give this cursor, with which no page was asked for
+    * ``fork``: pages asked for with this cursor give different ones
+    * ``merge``: pages asked for with different cursors give this one
+    * ``broken``: damaged pages asked for with this cursor, their own being lost
+    * ``repeated``: the same link more than once, which harms nothing
+    * ``unlinked``: pages that don't say what they were asked for with; the cursor is null
+
+    A fetch begins at the empty cursor, so whatever it lost or got twice shows as one of
+    them. ``expected`` names statuses and days that must have pages: without any they are
+    a missing start. All is counted by cursor, pages are never put in order, and no day's
+    pages meet in one task.
+    """
+    group = (STATUS_DIRECTORY, DAY_DIRECTORY)
+    last = F.when(F.col(DAMAGED) & F.col(CURSOR).isNull(), None).when(
+        F.col(CURSOR).isNull() | (F.col(CURSOR) == F.col(ASKED)), ""
+    )
+    links = (
+        _cut(pages)
+        .select(*group, F.col(ASKED).alias("asked"), last.otherwise(F.col(CURSOR)).alias("given"))
+        .groupBy(*group, "asked", "given")
+        .agg(F.count("*").alias("n"))
+    )
+
+    def end(role: str, cursor: Column, when: Column) -> Column:
+        return F.when(when, F.struct(F.lit(role).alias("role"), cursor.alias("cursor")))
+
+    linked = F.col("asked").isNotNull()
+    ends = F.array(
+        end("asked", F.col("asked"), F.lit(True)),
+        end("given", F.col("given"), linked & (F.col("given") != "")),
+        end("day", F.lit(""), linked),
+    )
+    seen = links.withColumn("end", F.explode(F.array_compact(ends))).select(*group, "end.*", "given", "n")
+    if expected is not None:
+        days = expected.select(*(F.col(c) for c in group), F.lit("day").alias("role"), F.lit("").alias("cursor"))
+        seen = seen.unionByName(days.distinct(), allowMissingColumns=True)
+
+    asked, gives = F.col("role") == "asked", F.col("role") == "given"
+    whole = asked & F.col("given").isNotNull()
+
+    def pages_of(rows: Column) -> Column:
+        return F.coalesce(F.sum(F.when(rows, F.col("n"))), F.lit(0))
+
+    counted = seen.groupBy(*group, "cursor").agg(
+        F.count_if(whole).alias("next"),
+        F.count_if(gives).alias("before"),
+        pages_of(asked).alias("n_asked"),
+        pages_of(gives).alias("n_given"),
+        pages_of(asked & F.col("given").isNull()).alias("n_broken"),
+        pages_of(whole & (F.col("n") > 1)).alias("n_repeated"),
+    )
+    first, unlinked = F.col("cursor") == "", F.col("cursor").isNull()
+    found = {
+        "missing start": (first & (F.col("n_asked") == 0), F.lit(0)),
+        "missing before": (~first & (F.col("n_asked") > 0) & (F.col("n_given") == 0), F.col("n_asked")),
+        "missing after": ((F.col("n_given") > 0) & (F.col("n_asked") == 0), F.col("n_given")),
+        "fork": (~unlinked & (F.col("next") > 1), F.col("n_asked")),
+        "merge": (F.col("before") > 1, F.col("n_given")),
+        "broken": (~unlinked & (F.col("n_broken") > 0), F.col("n_broken")),
+        HARMLESS: (~unlinked & (F.col("n_repeated") > 0), F.col("n_repeated")),
+        "unlinked": (unlinked, F.col("n_asked")),
+    }
+    faults = F.array_compact(
+        F.array(
+            *(
+                F.when(when, F.struct(F.lit(name).alias(FAULT), n.cast("bigint").alias("n_pages")))
+                for name, (when, n) in found.items()
+            )
+        )
+    )
+    return counted.select(*group, F.col("cursor").alias(CURSOR), F.inline(faults)).select(
+        *group, FAULT, CURSOR, "n_pages"
+    )
+
+
+def write_pages(lines: DataFrame, path: str, page: str, linked: bool = False) -> None:
     """Write lines as page files; ``page`` names the column with the page number.
 
     ``lines`` also holds the two directory columns. The caller numbers pages so that
-    each stays small, as a page is one JSON text.
+    each stays small, as a page is one JSON text. With ``linked`` a page says after which
+    it was asked for, and the last of a status and day gives no cursor.
     """
     outer = (STATUS_DIRECTORY, DAY_DIRECTORY, page)
     fields = [c for c in lines.columns if c not in outer]
+    pages = lines.groupBy(*outer).agg(F.collect_list(F.struct(*fields)).alias(LINES))
+    cursor = F.col(page).cast("string")
+    if linked:
+        order = Window.partitionBy(*outer[:2]).orderBy(page)
+        before = F.coalesce(F.lag(cursor).over(order), F.lit(""))
+        cursor = F.when(F.lead(page).over(order).isNull(), "").otherwise(cursor)
+        pages = pages.withColumns({ASKED: before, CURSOR: cursor})
+    else:
+        pages = pages.withColumn(CURSOR, cursor)
     (
-        lines.groupBy(*outer)
-        .agg(F.collect_list(F.struct(*fields)).alias(LINES))
-        .withColumn(CURSOR, F.col(page).cast("string"))
-        .drop(page)
+        pages.drop(page)
         .write.partitionBy(STATUS_DIRECTORY, DAY_DIRECTORY)
         .mode("overwrite")
         .json(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from lineforge.operators.columns import flatten_structs, schema_from_dtypes
 from lineforge.plans.columns import LINE_SCHEMA, SOURCE_COLUMNS
@@ -18,7 +18,7 @@ from lineforge.sources.files import (
     write_delimited,
     write_parquet,
 )
-from lineforge.sources.pages import UNKNOWN, page_lines, read_pages, write_pages
+from lineforge.sources.pages import UNKNOWN, chain_faults, page_lines, read_pages, write_pages
 from lineforge.sources.seeds import load_seed, write_status_seed
 from lineforge.sources.tables import append_table, overwrite_table, scan_table
 from lineforge.sources.zones import land_raw, read_raw, stage_table
@@ -259,6 +259,103 @@ def json_pages(spark: SparkSession, path: str) -> DataFrame:
     return found.withColumns({"added": other["added"], "route": other["route"]}).drop(UNKNOWN)
 
 
+# Lines of a day on a page; every so many pages (by number, remainder) have the fault.
+CHAINED_LINES = 20
+LOST, TWICE, FORKED, CUT_OFF, WITHOUT, MERGED = (7, 3), (7, 5), (11, 4), (13, 6), (17, 8), (19, 9)
+
+
+def _chains_sql() -> str:
+    def hit(fault: tuple[int, int]) -> str:
+        return f"page % {fault[0]} = {fault[1]}"
+
+    each = "s, d"
+    return with_(
+        f"""{BRONZE}, numbered as (
+        select coalesce(catOrderStatus, 'Open') as s, date '2024-01-01' + cast(k % 3 as integer) as d,
+          k // {CHAINED_LINES * 3} as page
+        from (select catOrderStatus, cast(polExternalID as bigint) as k from bronze)),
+        ordered as (select distinct s, d, page from numbered),
+        chained as (select {each}, page,
+          coalesce('r' || lag(page) over (partition by {each} order by page), '') as a,
+          case when lead(page) over (partition by {each} order by page) is null then '' else 'r' || page end as g
+          from ordered),
+        kept as (select * from chained where not {hit(LOST)}),
+        pages as (
+          select {each}, case when {hit(WITHOUT)} then null else a end as a, case when {hit(CUT_OFF)} then null else g end as g
+            from kept
+          union all select {each}, a, g from kept where {hit(TWICE)} and not {hit(CUT_OFF)} and not {hit(WITHOUT)}
+          union all select {each}, a, 'x' || page from kept where {hit(FORKED)}
+          union all select {each}, 'y' || page, 'r' || page from kept where {hit(MERGED)}),
+        linked as (select * from pages where a is not null)""",
+        """select s as "orderStatus", d as "fromDate", fault, cursor as "lastRecordID", n_pages from (
+        select s, d, 'unlinked' as fault, null as cursor, count(*) as n_pages from pages where a is null group by s, d
+        union all
+        select s, d, 'missing start', '', 0 from linked group by s, d having count(*) filter (where a = '') = 0
+        union all
+        select s, d, 'missing before', a, count(*) from linked p where a <> '' and not exists
+          (select 1 from linked q where q.s = p.s and q.d = p.d and q.g = p.a) group by s, d, a
+        union all
+        select s, d, 'missing after', g, count(*) from linked p where g <> '' and not exists
+          (select 1 from linked q where q.s = p.s and q.d = p.d and q.a = p.g) group by s, d, g
+        union all
+        select s, d, 'fork', a, count(*) from linked group by s, d, a having count(distinct g) > 1
+        union all
+        select s, d, 'merge', g, count(*) from linked where g <> '' group by s, d, g having count(distinct a) > 1
+        union all
+        select s, d, 'broken', a, count(*) from linked where g is null group by s, d, a
+        union all
+        select s, d, 'repeated', a, cast(sum(n) as bigint) from (select s, d, a, g, count(*) as n from linked
+          where g is not null group by s, d, a, g having count(*) > 1) group by s, d, a)""",
+    )
+
+
+def chained_pages(spark: SparkSession, sf_dir: str) -> str:
+    """Pages linked by cursors, with pages lost, repeated, forked, merged, cut off and unlinked."""
+    path = run_dir(spark, "chained_pages")
+    key, group = F.col("polExternalID").cast("bigint"), ("orderStatus", "fromDate")
+    lines = lines_for_pages(bronze_table(spark, sf_dir), date(2024, 1, 1)).withColumn(
+        "page", F.floor(key / (CHAINED_LINES * 3))
+    )
+    order = Window.partitionBy(*group).orderBy("page")
+    pages = lines.groupBy(*group, "page").agg(F.collect_list(F.struct("polExternalID")).alias("partOrderLines"))
+
+    def record(mark: str, page: Column) -> Column:
+        return F.concat(F.lit(mark), page.cast("string"))
+
+    def hit(fault: tuple[int, int]) -> Column:
+        return F.col("page") % fault[0] == fault[1]
+
+    kept = pages.withColumns(
+        {
+            "asked": F.coalesce(record("r", F.lag("page").over(order)), F.lit("")),
+            "given": F.when(F.lead("page").over(order).isNull(), "").otherwise(record("r", F.col("page"))),
+        }
+    ).filter(~hit(LOST))
+
+    def text(asked: Column, given: Column) -> Column:
+        return F.to_json(F.struct(asked.alias("afterRecordID"), "partOrderLines", given.alias("lastRecordID")))
+
+    asked, given = F.col("asked"), F.col("given")
+    own = text(F.when(~hit(WITHOUT), asked), given)
+    # Broken off inside the lines, before the page's own cursor.
+    own = F.when(hit(CUT_OFF), F.regexp_extract(own, '^(.*"polExternalID":")', 1)).otherwise(own)
+    written = F.array(
+        own,
+        F.when(hit(TWICE) & ~hit(CUT_OFF) & ~hit(WITHOUT), own),
+        F.when(hit(FORKED), text(asked, record("x", F.col("page")))),
+        F.when(hit(MERGED), text(record("y", F.col("page")), record("r", F.col("page")))),
+    )
+    texts = kept.select(*group, F.explode(F.array_compact(written)).alias("value"))
+    texts.write.partitionBy(*group).text(path)
+    return path
+
+
+@query("page_gaps", _chains_sql(), fixture=chained_pages)
+def page_gaps(spark: SparkSession, path: str) -> DataFrame:
+    """Where the pages of a status and day, linked by their cursors, don't make one chain."""
+    return chain_faults(read_pages(spark, path))
+
+
 @query(
     "flatten_struct",
     """select l_orderkey, l_quantity as item_quantity, l_extendedprice as item_price_gross,

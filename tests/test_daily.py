@@ -2,10 +2,11 @@
 
 import dataclasses
 import random
+from functools import reduce
 from pathlib import Path
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from conftest import bag, plan
 from lineforge.plans import daily, gold, quality, silver, upkeep
@@ -90,6 +91,27 @@ def test_windows_bound_what_is_read(spark, folder):
         daily.ingest(spark, strict, "2024-01-10 01:20:32")
 
 
+def test_missing_pages_stop_the_run_where_chains_must_be_whole(spark, folder):
+    where = lake(spark, folder, "chains", whole_chains=True)
+    fetched = [
+        lines(spark, range(9 * i + 3 * p, 9 * i + 3 * p + 3), status, f"2024-01-{day:02d}", page=p)
+        for i, (status, day) in enumerate((s, d) for s in ("Open", "Closed") for d in (8, 9, 10))
+        for p in range(3)
+    ]
+    write_pages(reduce(DataFrame.unionByName, fetched), where.pages, "page", linked=True)
+    assert daily.incomplete(spark, where, "2024-01-10 01:20:32").count() == 0
+    daily.ingest(spark, where, "2024-01-10 01:20:32")
+    assert where.bronze_parts(spark).count() == 54
+    assert bag(daily.incomplete(spark, where, "2024-01-11 01:20:32"), "orderStatus", "fault") == [
+        ("Closed", "missing start"), ("Open", "missing start"),
+    ]
+    write_pages(
+        fetched[0].unionByName(fetched[2]).withColumn("fromDate", F.lit("2024-01-10")), where.pages, "page", linked=True
+    )
+    with pytest.raises(daily.MissingPages, match="missing start"):
+        daily.ingest(spark, where, "2024-01-11 01:20:32")
+
+
 def test_cold_start_scores_nothing_unless_told(spark, folder):
     where = lake(spark, folder, "cold")
     write_pages(lines(spark, range(3), "Open", "2024-01-10"), where.pages, "page")

@@ -290,6 +290,28 @@ def test_the_watermark_reads_the_newest_day_only(spark, folder):
     assert keys(delivery.new_rows_to_score(fact, laid_out)) == ["a"]
 
 
+def test_scored_keys_outside_the_batch_are_passed_over(spark, folder):
+    """The guard's search and the batch's ends reach the files of the prediction table."""
+    scored = delivery.with_day(
+        scored_rows(spark, ("a1", "2024-01-01 01:20:32"), ("b1", "2024-01-02 01:20:32"), ("c1", "2024-01-03 01:20:32"))
+    )
+    scored.write.partitionBy(delivery.SCORED_DAY).parquet(folder + "/scored")
+    laid_out = spark.read.parquet(folder + "/scored")
+    recent = spark.createDataFrame([("b0",), ("b1",), ("b2",), (None,)], "polExternalID string")
+    fresh = delivery.not_scored(recent, laid_out, ("b0", "b2"))
+    assert keys(fresh) == keys(delivery.not_scored(recent, laid_out)) == ["b0", "b2"]
+    text = plan(fresh)
+    assert "GreaterThanOrEqual(polExternalID,b0), LessThanOrEqual(polExternalID,b2)" in text
+    assert "PushedFilters: [IsNull(polExternalID)]" in text
+    # No other scan of the table names the key.
+    scans = [line for line in text.splitlines() if "FileScan parquet" in line and "polExternalID" in line.split("Batched")[0]]
+    assert all("GreaterThanOrEqual" in line or "IsNull" in line for line in scans)
+    # A batch of null keys alone has no ends, and no row of it is new.
+    nameless = recent.filter("polExternalID is null")
+    assert delivery.not_scored(nameless, laid_out, (None, None)).count() == 0
+    assert delivery.not_scored(nameless, laid_out.filter("false"), (None, None)).count() == 1
+
+
 def test_empty_batch_appends_nothing(spark, folder):
     fact = fact_rows(spark, line("old", shipped="2024-01-01"))
     scored = scored_rows(spark, ("x", "2024-02-01 00:00:00"))

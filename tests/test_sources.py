@@ -293,6 +293,78 @@ def test_written_cuts_serve_in_place_of_pages(spark, folder):
     assert pages.bad_pages(cut).first()["legible_lines"] == 1
 
 
+def page_text(asked, given, lines=1):
+    page = {"partOrderLines": [{"id": str(i)} for i in range(lines)]}
+    page |= {} if asked is None else {"afterRecordID": asked}
+    return json.dumps(page | ({} if given is None else {"lastRecordID": given}))
+
+
+def chain_report(spark, folder, **options):
+    return bag(pages.chain_faults(pages.read_pages(spark, folder), **options).drop("fromDate"))
+
+
+def test_a_whole_chain_has_no_faults(spark, folder):
+    texts = [page_text("", "a"), page_text("a", "b"), page_text("b", "", 0)]
+    put_page(folder, "Open", "2024-01-01", *texts)
+    put_page(folder, "Closed", "2024-01-01", page_text("", None, 0))
+    # The server may also repeat the cursor it was asked with.
+    put_page(folder, "Closed", "2024-01-02", page_text("", "a"), page_text("a", "a", 0))
+    assert chain_report(spark, folder) == []
+    assert chain_report(spark, folder, expected=spark.createDataFrame(
+        [("Open", date(2024, 1, 1)), ("Open", date(2024, 1, 2))], "orderStatus string, fromDate date"
+    )) == [("Open", "missing start", "", 0)]
+
+
+def test_chain_faults_are_named_where_they_are(spark, folder):
+    put_page(folder, "Lost", "2024-01-01", page_text("", "a"), page_text("b", ""))
+    put_page(folder, "NoStart", "2024-01-01", page_text("a", ""))
+    put_page(folder, "Twice", "2024-01-01", page_text("", "a"), page_text("", "a"), page_text("a", ""))
+    put_page(folder, "Fork", "2024-01-01", page_text("", "a"), page_text("", "b"), page_text("a", ""), page_text("b", ""))
+    put_page(folder, "Loop", "2024-01-01", page_text("", "a"), page_text("a", "b"), page_text("b", "a"))
+    put_page(folder, "Bare", "2024-01-01", page_text(None, "a"), page_text(None, ""))
+    put_page(folder, "Cut", "2024-01-01", page_text("", "a"), '{"afterRecordID":"a","partOrderLines":[{"id', page_text("b", ""))
+    put_page(folder, "CutAfter", "2024-01-01", '{"afterRecordID":"","lastRecordID":"a","partOrderLines":[{', page_text("a", ""))
+    assert chain_report(spark, folder) == sorted([
+        ("Lost", "missing after", "a", 1), ("Lost", "missing before", "b", 1),
+        ("NoStart", "missing before", "a", 1), ("NoStart", "missing start", "", 0),
+        ("Twice", "repeated", "", 2), ("Fork", "fork", "", 2), ("Loop", "merge", "a", 2),
+        ("Bare", "unlinked", None, 2), ("Cut", "broken", "a", 1), ("Cut", "missing before", "b", 1),
+    ], key=repr)
+
+
+def test_any_change_of_a_chain_is_a_fault(spark, folder):
+    """Chains of up to six pages with one page lost, sent elsewhere or asked for otherwise."""
+    whole = {}
+    for n in range(2, 7):
+        links = [("" if i == 0 else f"r{i}", "" if i == n - 1 else f"r{i + 1}") for i in range(n)]
+        for i in range(n):
+            changes = [links[:i] + links[i + 1 :]]
+            changes += [links[:i] + [(links[i][0], g)] + links[i + 1 :] for _, g in links if g != links[i][1]]
+            changes += [links[:i] + [(a, links[i][1])] + links[i + 1 :] for a, _ in links if a != links[i][0]]
+            for change in changes:
+                whole[f"s{len(whole)}"] = change
+    rows = [(s, a, g) for s, links in whole.items() for a, g in links]
+    cut = spark.createDataFrame(rows, "orderStatus string, afterRecordID string, lastRecordID string").selectExpr(
+        "*", "date'2024-01-01' as fromDate", "false as damaged", "array('{}') as texts", "'' as value"
+    )
+    found = {r[0] for r in pages.chain_faults(cut).select("orderStatus").distinct().collect()}
+
+    def walks(links):
+        """Whether following the cursors from the empty one uses each page once and ends."""
+        at, used = "", 0
+        while used <= len(links):
+            ways = {(a, "" if g == a else g) for a, g in links if a == at}
+            if len(ways) != 1:
+                return False
+            used, at = used + 1, ways.pop()[1]
+            if at == "":
+                return used == len(links)
+        return False
+
+    assert found == {s for s, links in whole.items() if not walks(links)}
+    assert len(found) > 100
+
+
 def test_shared_dir_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert session.run_dir(spark, "x").startswith(configured + "/lineforge/x-")
