@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lineforge.llm.components import split_join
 from lineforge.llm.names import col, free_names, without
 from lineforge.session import run_dir
 
@@ -173,7 +174,8 @@ def candidates(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
 def describe(findings: DataFrame, words: DataFrame, transitions: Transitions) -> DataFrame:
     """The findings with ``FEATURES``.
 
-    What depends on the value alone is computed once for each distinct value.
+    What depends on the value alone is computed once for each distinct value; the findings
+    of a frequent value may be split by adaptive execution.
     """
     values = findings.select("value").distinct()
     runs = values.select(
@@ -202,7 +204,7 @@ def describe(findings: DataFrame, words: DataFrame, transitions: Transitions) ->
         (F.size(F.split("value", "/")) - 1).cast("double").alias("path_parts"),
         (F.size(F.split("value", "[.]")) - 1).cast("double").alias("dots"),
     )
-    joined = findings.join(described, findings["value"] == described["_value"]).drop("_value")
+    joined = split_join(findings, "value", described, "_value").drop(described["_value"])
     return joined.select(
         "*",
         F.col("before").rlike(NOUN).cast("double").alias("noun_before"),

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import by_bytes, lower, text_bytes, words
-from lineforge.llm.components import components
+from lineforge.llm.components import components, split_join
 from lineforge.llm.names import col, free_names, narrowed
 from lineforge.session import run_dir
 
@@ -194,8 +194,8 @@ def groups(spark: SparkSession, prints: DataFrame, key: str = "doc_id") -> DataF
     placed = nodes.join(roots, nodes["print"] == roots["node"], "left").select(
         "print", "first", F.coalesce("root", "print").alias("root")
     )
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.select("print", "root").join(least, "root").select("print", "component_id")
+    least = placed.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("component_id"))
+    return split_join(placed.select("print", "root"), "root", least, "_root").select("print", "component_id")
 
 
 def hex_print(column: str = "print") -> Column:

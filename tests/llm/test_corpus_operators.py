@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from conftest import plan
 from lineforge.llm import (
     bpe,
     components,
@@ -125,6 +126,61 @@ def test_components_by_brute_force(spark):
     assert components.components(spark, frame.limit(0)).count() == 0
 
 
+SPLIT_EARLY = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    "spark.sql.shuffle.partitions": "8",
+}
+
+
+@pytest.fixture
+def early(spark):
+    """A session that splits partitions of a few KB, as it does with large ones at scale."""
+    before = {name: spark.conf.get(name, None) for name in SPLIT_EARLY}
+    for name, value in SPLIT_EARLY.items():
+        spark.conf.set(name, value)
+    yield spark
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def split_joins(frame):
+    """Joins of the plan that ran, and how many of them were split."""
+    frame.collect()
+    text = plan(frame).split("+- == Initial Plan ==")[0]
+    return text.count("SortMergeJoin"), text.count("SortMergeJoin(skew=true)")
+
+
+def test_a_hub_with_most_edges_is_split(early, folder):
+    """A component's steps: the hub has nine tenths of the edges, from every file."""
+    hub = early.range(0, 40_000, 1, 8).selectExpr("id + 100000 as u", "if(id % 10 = 0, id, 7) as v")
+    hub.write.parquet(folder + "/low")
+    low = early.read.parquet(folder + "/low")
+    low.selectExpr("200000 + v as u", "u as v").where("u = 200007").write.parquet(folder + "/high")
+    high = early.read.parquet(folder + "/high")
+    assert split_joins(components.large_star(low)) == (1, 1)
+    assert split_joins(components.small_star(high)) == (1, 1)
+    least = high.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
+    assert split_joins(high.join(least, high["u"] == least["w"])) == (1, 0)  # what it would be otherwise
+
+
+def test_a_frequent_value_s_findings_are_split(early, folder):
+    found = early.range(0, 40_000, 1, 8).selectExpr(
+        "id as doc_id", "0 as finding_no", "if(id % 10 = 0, 'v' || id, 'changeme') as value",
+        "'password = ' as before", "'' as after",
+    )
+    found.write.parquet(folder + "/found")
+    found = early.read.parquet(folder + "/found")
+    known = early.createDataFrame([("changeme",)], "word string")
+    described = secrets.describe(found, known, secrets.learn_transitions(known))
+    assert split_joins(described)[1] >= 1
+    assert described.count() == 40_000
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, print string, row long, hash string, leak int"
 BASE = "the quick brown fox jumps over the lazy dog and then it sleeps all day long under a big tree near the river"
 
