@@ -1,8 +1,11 @@
 """Operators on single documents: tokens, rules, classifier, pseudo-likelihood, chat."""
 
 import hashlib
+import math
 import random
 import re
+import string
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -307,6 +310,54 @@ def test_a_missing_class_gives_the_smoothed_share():
     assert np.allclose(quality_model.Discriminant.fit({}).score(np.zeros((1, 2))), 0.5)
 
 
+def plain_statistics(text):
+    """The sixteen statistics from their definitions, text by text."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    lines = [line for line in (text or "").encode().split(b"\n") if line.strip(b" \t\n\r\x0b\x0c")]
+    sizes = [len(w) for w in words]
+    mean = sum(sizes) / max(len(words), 1)
+    spread = max(sum(x * x for x in sizes) / max(len(words), 1) - mean * mean, 0) ** 0.5
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    joined = b"".join(words)
+
+    def share(part, whole):
+        return math.log((min(part, whole) + 0.5) / (whole - min(part, whole) + 20.0))
+
+    def among(chars):
+        return sum(byte in chars for byte in joined)
+
+    marks, upper = b"#*$%&|<>@^~=+_{}[]\\/", string.ascii_uppercase.encode()
+    return [
+        math.log1p(len(words)),
+        math.log1p(mean),
+        math.log1p(spread),
+        share(len(set(words)), len(words)),
+        share(max(Counter(words).values(), default=0), len(words)),
+        share(len(windows) - len(set(windows)), len(words)),
+        share(len(lines) - len(set(lines)), len(lines)),
+        math.log1p(len(words) / max(len(lines), 1)),
+        share(among(marks), len(joined)),
+        share(among(b"!?"), len(joined)),
+        share(among(b"."), len(joined)),
+        share(among(b",;:"), len(joined)),
+        share(among(b"0123456789"), len(joined)),
+        share(among(upper), among(string.ascii_letters.encode())),
+        share(sum(byte >= 128 for byte in joined), len(joined)),
+        share(sum(w[-1] in marks + b"!?" for w in words), len(words)),
+    ]
+
+
+def test_statistics_by_their_definitions():
+    rng = random.Random(12)
+    parts = ["the", "the", "Große", "x1", "a,b;", "end.", "what?!", "#tag", "C:\\x/", "名前", "é\u00a0b", "{}", "\n", "\n\n", " \t", "\r"]
+    texts = [None, "", " \n\t ", "one", "\n\n", "a b c d e a b c d e\na b c d e\na b c d e"]
+    texts += [" ".join(rng.choices(parts, k=rng.randrange(1, 120))) for _ in range(150)]
+    texts.append("long word " * 3000 + "y" * 70_000)
+    found = quality_model.statistics(pa.array(texts, type=pa.string()))
+    assert found.shape == (len(texts), len(quality_model.FEATURES))
+    assert np.allclose(found, [plain_statistics(t) for t in texts], atol=1e-6)
+
+
 def test_statistics_don_t_depend_on_neighbouring_rows():
     texts = [t for t in ODD if t is None or len(t) < 1000]
     together = quality_model.statistics(pa.array(texts))
