@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lineforge.operators.antijoin import not_in
 from lineforge.operators.dedupe import dedupe_latest, dedupe_max_max
 from lineforge.operators.increments import fetch_windows, select_windows
-from lineforge.operators.sampling import holdout_head, holdout_tail, is_test_row
+from lineforge.operators.sampling import holdout_head, holdout_parts, holdout_tail, is_test_row
 from lineforge.operators.upsert import latest_lines, upsert
 from lineforge.plans import silver, upkeep
 from lineforge.plans.columns import ADDED_COLUMNS, BRONZE_COLUMNS, KEY, SOURCE_COLUMNS
@@ -302,6 +302,30 @@ def holdout_head_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holdout_head(_ordered(spark, sf_dir), HOLDOUT_ORDER)
 
 
+@query(
+    "holdout_unique",
+    """select event_id, ts, row_number() over (order by ts desc, event_id desc) <= 5000 as held_out
+       from events""",
+)
+def holdout_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order whose first column has about as many values as there are rows."""
+    events = read(spark, sf_dir, "events").select("event_id", "ts")
+    tail, head = holdout_parts(events, ("ts", "event_id"), 5000)
+    return tail.withColumn("held_out", F.lit(True)).unionByName(head.withColumn("held_out", F.lit(False)))
+
+
+@query(
+    "holdout_text",
+    """select cast(o_orderkey as varchar) as order_key, o_custkey,
+       row_number() over (order by cast(o_orderkey as varchar) desc) <= 5000 as held_out from orders""",
+)
+def holdout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order by a text that is unique per row."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("order_key"), "o_custkey")
+    tail, head = holdout_parts(orders, ("order_key",), 5000)
+    return tail.withColumn("held_out", F.lit(True)).unionByName(head.withColumn("held_out", F.lit(False)))
+
+
 @query(
     "split_train_test",
     """select o_orderkey, cast('0x' || substr(md5('42:' || cast(o_orderkey as varchar)), 1, 8)

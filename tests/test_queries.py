@@ -20,7 +20,7 @@ void_to_string stamp_provenance silver_parts silver_status gold_dimstatus cast_i
 mixed_date pso_pad default_purged default_status day_diffs encode_categories filter_not_null
 gold_emergency filter_keep_unknown after_watermark_row rmse gold_factparts not_in_anti
 merge_upsert align_predictions gold_dimcarrier batch_size dq_unique dq_freshness dedupe_max_max
-dedupe_latest holdout_tail holdout_head split_train_test union_pages fetch_windows window_select
+dedupe_latest holdout_tail holdout_head holdout_unique holdout_text split_train_test union_pages fetch_windows window_select
 new_rows_to_score score_append dq_date_format dq_length dq_string_type dq_not_null
 dq_entry_after_ship dq_report ml_features ml_fit ml_moments ml_train_evaluate ml_score daily_run_end_to_end
 """.split()

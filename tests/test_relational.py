@@ -1,7 +1,7 @@
 """Skewed joins, dedupe, anti join, upsert, windows, holdout: against brute force."""
 
 import random
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,6 +257,59 @@ def test_holdout_sorts_no_whole_partition(spark, folder):
     assert below <= {"Exchange", "TakeOrderedAndProject"} and "FileScan" not in below
 
 
+def orders_of(kind, rng):
+    """Values of one type in their order's own terms, nulls as None."""
+    text = {
+        "prefix": lambda i: f"order-line-of-2024-{rng.randrange(10**6):07d}-{i}",
+        "odd": lambda i: rng.choice(["", "\0", "a", "a\0", "a\0\0", "é", "😀", "zzzzzzz", "zzzzzzz\0", "zzzzzzza"]),
+    }
+    if kind in text:
+        return "string", text[kind]
+    if kind in ("timestamp", "timestamp_ntz"):
+        start = datetime(1969, 12, 28)
+        return kind, lambda i: start + timedelta(microseconds=rng.randrange(10**12))
+    if kind == "date":
+        return "date", lambda i: date(1960, 1, 1) + timedelta(days=rng.randrange(40_000))
+    if kind == "hot":
+        return "long", lambda i: 7 if rng.random() < 0.7 else rng.randrange(-(2**63), 2**63)
+    return "long", lambda i: rng.choice([-1, 1]) * int(10 ** (18 * rng.random()))
+
+
+@pytest.mark.parametrize("kind", ["prefix", "odd", "timestamp", "timestamp_ntz", "date", "hot", "skewed"])
+def test_holdout_by_sketches_against_sorting(spark, kind):
+    rng = random.Random(kind)
+    dtype, value = orders_of(kind, rng)
+    data = [(value(i) if rng.random() < 0.9 else None, i) for i in range(2000)]
+    df = spark.createDataFrame(data, f"`a.b` {dtype}, i int").repartition(5).cache()
+    bytes_of = (lambda v: v.encode()) if dtype == "string" else (lambda v: v)
+    ordered = sorted(data, key=lambda r: (r[0] is not None, bytes_of(r[0]) if r[0] is not None else 0, r[1]))
+    for n in (1, 1000, 1900, 2001):
+        tail, head = sampling.holdout_parts(df, ["a.b", "i"], n, at_once=16)
+        assert sorted(r.i for r in tail.collect()) == sorted(r[1] for r in ordered[-n:])
+        assert sorted(r.i for r in head.collect()) == sorted(r[1] for r in ordered[: max(0, 2000 - n)])
+
+
+def test_holdout_by_sketches_of_few_equal_or_no_rows(spark):
+    df = spark.createDataFrame([(5,)] * 40, "k int")
+    assert sampling.find_cut(df, ["k"], 3, at_once=4) == (5,)
+    tail, head = sampling.holdout_parts(df.filter("false"), ["k"], 3)
+    assert (tail.count(), head.count()) == (0, 0)
+    for order, n in ((["k"], 0), (["x"], 3)):
+        with pytest.raises(ValueError):
+            sampling.find_cut(df.selectExpr("k", "cast(k as double) as x"), order, n)
+
+
+def test_holdout_by_sketches_leaves_no_window_and_reaches_the_scan(spark, folder):
+    spark.range(20_000).selectExpr("id * 7919 % 20011 as k", "id as v").write.parquet(folder + "/u")
+    seen = spark.read.parquet(folder + "/u")
+    tail, head = sampling.holdout_parts(seen, ["k"], 5000, at_once=100)
+    cut = sampling.find_cut(seen, ["k"], 5000, at_once=100)[0]
+    for part in (tail, head):
+        text = plan(part)
+        assert not any(word in text for word in ("Window", "Sort", "Exchange")) and f"(k,{cut})" in text
+    assert (tail.count(), head.count()) == (5000, 15_000)
+
+
 def test_split_is_repeatable_disjoint_and_complete(spark):
     df = spark.range(4000).select(F.col("id").cast("string").alias("k"))
     train, test = sampling.split_train_test(df, "k")
