@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lineforge.llm.arrow import SpanHashes, by_bytes, text_bytes, words
-from lineforge.llm.names import col, narrowed
+from lineforge.llm.names import col, free_names, narrowed
 from lineforge.session import run_dir
 
 TO_POOLED = 0.2  # share of the pooled covariance in that of a class
@@ -247,18 +247,25 @@ def score(stats: Column, model: Discriminant) -> Column:
     return of(stats)
 
 
-def score_text(text: Column, model: Discriminant) -> Column:
-    """Score of a text column, so that other columns need not pass through Python."""
+def stats_of(text: Column) -> Column:
+    """Statistics of a text column, so that other columns need not pass through Python."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("array<double>")
     def of(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["body"])
-        parts = [model.score(statistics(p.column(0))) for p in by_bytes(batch, "body")]
-        return pa.array(np.concatenate(parts) if parts else np.zeros(0))
+        parts = [statistics(p.column(0)) for p in by_bytes(batch, "body")]
+        found = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
+        ends = np.arange(len(found) + 1, dtype=np.int32) * np.int32(len(FEATURES))
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
 
     return of(text)
 
 
+def score_text(text: Column, model: Discriminant) -> Column:
+    """Score of a text column."""
+    return score(stats_of(text), model)
+
+
 def learnable(key: str = "doc_id") -> Column:
     """Rows the classifier may learn from: those whose id doesn't fall into the held-out quarter."""
     return F.crc32(F.col(key).cast("string")) % 4 != 2
@@ -284,6 +291,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored below the threshold go."""
-    _, model = trained(spark, docs, sf_dir)
-    return docs.where(score_text(docs["text"], model) >= THRESHOLD)
+    """Pipeline stage: documents scored below the threshold go.
+
+    Every text is measured once: documents are written with their statistics, from which
+    the model is learned and each is scored. Null and empty texts are scored like others,
+    repeated rows each by themselves, a null id is never learned from, an empty table gives
+    no rows. Columns of any name come back as they were.
+    """
+    path = run_dir(spark, "quality-measured")
+    (stats,) = free_names(docs.columns, "stats")
+    docs.withColumn(stats, stats_of(docs["text"])).write.parquet(path)
+    measured = spark.read.parquet(path)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learnable())
+    model = fit(measured.select("doc_id", col(stats).alias("stats")), labels)
+    return measured.where(score(col(stats), model) >= THRESHOLD).drop(stats)
