@@ -96,15 +96,17 @@ class RunTable:
 
         The base is not shuffled while the runs' keys are small enough to be broadcast. Of the
         runs' rows a task passes on only the newest of each key; there are at most as many of
-        a key as there are runs.
+        a key as there are runs, and a single run is not shuffled.
         """
-        base = self.base(spark)
-        if not self.numbers(spark):
+        base, numbers = self.base(spark), self.numbers(spark)
+        if not numbers:
             return base
         runs = self.runs(spark)
         key = quoted(self.key)
-        newest = F.rank().over(Window.partitionBy(key).orderBy(F.col(RUN).desc()))
-        keyed = runs.filter(key.isNotNull()).withColumn("__newest", newest).filter("__newest = 1")
+        keyed = runs.filter(key.isNotNull())
+        if len(numbers) > 1:
+            newest = F.rank().over(Window.partitionBy(key).orderBy(F.col(RUN).desc()))
+            keyed = keyed.withColumn("__newest", newest).filter("__newest = 1")
         changed = runs.select(key.alias("__changed")).filter("__changed is not null").distinct()
         rest = base.join(changed, base[f"`{self.key}`"] == F.col("__changed"), "left_anti")
         names = [quoted(c) for c in base.columns]
@@ -150,9 +152,11 @@ class RunTable:
         if missing:
             raise ValueError(f"the batch lacks columns of the table: {missing}")
         batch = batch.select(*(quoted(by_name[n.lower()]).alias(n) for n in values))
-        if not checked:
-            batch = unique_or_error(batch, self.key)
         batch = write_parquet(batch, run_dir(spark, "batch"))
+        if not checked:
+            # Only keys are shuffled for it; the table is not written to before.
+            known_keys = batch.select(quoted(self.key)).filter(quoted(self.key).isNotNull())
+            unique_or_error(known_keys, self.key).count()
         keys = batch.select(quoted(self.key).alias("__wanted")).filter("__wanted is not null")
         names = list(dict.fromkeys([inserted_at, *remember]))
         kept = self.content(spark).select(

@@ -128,6 +128,23 @@ def test_only_touched_buckets_are_written(spark, folder):
     assert left == ["t"]
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, folder):
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    layout, args = tables.Buckets(2, "id"), (folder + "/t", "t", "db_large_buckets")
+    spark.conf.set(size, "4k")
+    try:
+        first = tables.overwrite_table(
+            spark.range(0, 40_000, 1, 8), *args, database_location=folder, buckets=layout
+        )
+        written = bucket_files(first)
+        after = tables.replace_buckets(first.filter("id < 30000"), "t", "db_large_buckets", [0, 1])
+    finally:
+        spark.conf.unset(size)
+    assert len(written) == 2 and all(len(files_) > 2 for files_ in written.values())
+    assert all(len(files_) > 2 for files_ in bucket_files(after).values())
+    assert after.select("id").distinct().count() == after.count() == 30_000
+
+
 def test_rows_without_a_key_are_spread_over_buckets(spark):
     df = spark.range(400).select(F.lit(None).cast("string").alias("k"), "id")
     assert len(tables.buckets_in(tables.Buckets(8, "k").assign(df))) == 8
