@@ -117,8 +117,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bronze(spark: SparkSession, sf_dir: str, *columns: str, extra: str = "") -> DataFrame:
-    """Bronze lines of all orders; the customer is joined only for ``facilityName``."""
+def bronze(
+    spark: SparkSession, sf_dir: str, *columns: str, extra: str = "", dealt: bool = False
+) -> DataFrame:
+    """Bronze lines of all orders; the customer is joined only for ``facilityName``.
+
+    With ``dealt`` orders are dealt out evenly by their key before the columns are made, so
+    that a few narrow columns are shuffled and not the many wide ones.
+    """
     wanted = columns or BRONZE_COLUMNS
     made = rules(SPARK)
     orders = read(spark, sf_dir, "orders").selectExpr(
@@ -133,6 +139,8 @@ def bronze(spark: SparkSession, sf_dir: str, *columns: str, extra: str = "") ->
         nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
         orders = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
         orders = orders.join(nation, orders.c_nationkey == nation.n_nationkey, "left")
+    if dealt:
+        orders = orders.repartition("k")
     more = [extra] if extra else []
     return orders.selectExpr(*(f"{made[c]} as {c}" for c in wanted), *more)
 
@@ -148,7 +156,7 @@ def bronze_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = (spark.sparkContext.applicationId, sf_dir)
     if made not in _written:
         path = run_dir(spark, "bronze")
-        bronze(spark, sf_dir).repartition("polExternalID").write.parquet(path)
+        bronze(spark, sf_dir, dealt=True).write.parquet(path)
         _written[made] = path
     return spark.read.parquet(_written[made])
 

@@ -7,12 +7,14 @@ from pathlib import Path
 from pyspark.sql import types as T
 
 import lineforge
-from conftest import plan
+from conftest import bag, plan
 from lineforge.plans.delivery import features
 from lineforge.plans.gold import fact_emergency_order
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import page_lines, read_pages
+from lineforge.sources.runs import RunTable
 from lineforge.workload.all import QUERIES
+from lineforge.workload.bronze import bronze
 from lineforge.workload.learning import fact_of
 from lineforge.workload.models import silver_of
 
@@ -93,6 +95,23 @@ def test_latest_row_is_limited_before_the_shuffle(spark, small):
     assert text.index("Exchange") < text.index("Partial")
 
 
+def test_bronze_is_dealt_out_before_its_columns_are_made(spark, small):
+    text = plan(bronze(spark, small, "polExternalID", "carrierName", "facilityName", dealt=True))
+    made, dealt = text.index("CARRIER "), text.index("REPARTITION_BY_COL")
+    assert made < dealt and "CARRIER " not in text[dealt:]
+
+
+def test_a_single_run_is_not_shuffled(spark, folder):
+    columns = "polExternalID string, v int, insertDateTime string, changedDateTime string"
+    table = RunTable("lines", "single_run", f"{folder}/lines", "polExternalID", folder)
+    table.create(spark.createDataFrame([(str(i), i, "d0", None) for i in range(20)], columns))
+    table.upsert(spark.createDataFrame([("3", -1, "d1", None)], columns))
+    assert "Window" not in plan(table.content(spark))
+    table.upsert(spark.createDataFrame([("3", -2, "d2", None)], columns))
+    assert "Window" in plan(table.content(spark))
+    assert bag(table.content(spark).filter("v < 0"), "polExternalID", "v") == [("3", -2)]
+
+
 def test_report_is_one_pass_plus_unique(spark, small):
     assert plan(QUERIES["dq_report"](spark, small)).count("FileScan") == 2
 
