@@ -139,14 +139,17 @@ def write_delimited(
     sep: str = "|",
     escape_quotes: bool = False,
     single_file: bool = False,
+    most_files: int | None = None,
 ) -> None:
     """Delimited text with every field quoted.
 
     Quotes inside a field are written as they are, which a reader cannot undo;
-    ``escape_quotes`` makes the file readable again. Files are written in parallel;
+    ``escape_quotes`` makes the file readable again. Files are written in parallel, a task
+    for each, and no more than ``most_files`` of them where that is given;
     ``single_file`` sends everything through one task and is for small extracts.
     """
-    out = df.coalesce(1) if single_file else df
+    most = 1 if single_file else most_files
+    out = df.coalesce(most) if most else df
     out.write.mode("overwrite").options(
         header=header, sep=sep, quoteAll=True, escapeQuotes=escape_quotes, escape="\\"
     ).csv(_given(path))

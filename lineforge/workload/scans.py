@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from datetime import date
 
@@ -83,8 +84,15 @@ _ODD_TEXTS = """select doc_id, case doc_id % 3 when 0 then text || chr(92) when
   else text || chr(10) || 'end' end as text, lang from documents"""
 
 
-def odd_texts(spark: SparkSession, sf_dir: str, path: str, single_file: bool = False) -> T.StructType:
-    """Write texts with line breaks, separators, quotes and a backslash at the end; returns their schema."""
+# Bytes of text that one file of a few takes: more than a task reads of it.
+FILE_BYTES = 256 * 1024 * 1024
+
+
+def odd_texts(spark: SparkSession, sf_dir: str, path: str, file_bytes: int | None = None) -> T.StructType:
+    """Write texts with line breaks, separators, quotes and a backslash at the end; returns their schema.
+
+    With ``file_bytes`` they go to as few files as hold about so many bytes of text each.
+    """
     end = F.pmod("doc_id", F.lit(3))
     text = (
         F.when(end == 0, F.concat("text", F.lit("\\")))
@@ -92,7 +100,11 @@ def odd_texts(spark: SparkSession, sf_dir: str, path: str, single_file: bool = F
         .otherwise(F.concat("text", F.lit("\nend")))
     )
     docs = read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), "lang")
-    write_delimited(docs, path, escape_quotes=True, single_file=single_file)
+    most_files = None
+    if file_bytes is not None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        most_files = max(1, math.ceil(size / file_bytes))
+    write_delimited(docs, path, escape_quotes=True, most_files=most_files)
     return docs.schema
 
 
@@ -104,14 +116,15 @@ def csv_multi_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_delimited(spark, path, schema=schema, multi_line=True)
 
 
-def one_file_of_odd_texts(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
+def large_files_of_odd_texts(spark: SparkSession, sf_dir: str) -> tuple[str, T.StructType]:
+    """Such texts in one file, or in several once they are more than a task should write."""
     path = run_dir(spark, "csv_records")
-    return path, odd_texts(spark, sf_dir, path, single_file=True)
+    return path, odd_texts(spark, sf_dir, path, file_bytes=FILE_BYTES)
 
 
-@query("csv_records", _ODD_TEXTS, fixture=one_file_of_odd_texts)
+@query("csv_records", _ODD_TEXTS, fixture=large_files_of_odd_texts)
 def csv_records(spark: SparkSession, written: tuple[str, T.StructType]) -> DataFrame:
-    """Such texts from one file that many tasks read."""
+    """Such texts from large files that many tasks read."""
     path, schema = written
     return read_records(spark, path, schema)
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F, types as T
 from conftest import bag
 from lineforge import session
 from lineforge.sources import files, pages, seeds, tables, zones
+from lineforge.workload import scans
+from lineforge.workload.all import QUERIES
 
 
 def test_empty_path_raises(spark):
@@ -262,6 +264,21 @@ def test_records_are_cut_right_wherever_blocks_begin(spark, folder, block):
     assert named.columns == ["id", "te\nxt", "n"] and named.count() == 60
 
 
+def test_large_texts_go_to_several_files(spark, small, folder, monkeypatch):
+    """No task writes much more than the bytes a file should take; the records are the same."""
+    docs = spark.read.parquet(small + "/documents.parquet").repartition(8)
+    docs.write.parquet(folder + "/in/documents.parquet")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    monkeypatch.setattr(scans, "FILE_BYTES", size // 3)
+    path, schema = scans.large_files_of_odd_texts(spark, folder + "/in")
+    assert 3 <= len(list(Path(path.removeprefix("file://")).glob("*.csv"))) <= 4
+    wanted = bag(QUERIES["csv_multi_line"](spark, folder + "/in"))
+    assert bag(files.read_records(spark, path, schema)) == wanted
+    monkeypatch.setattr(scans, "FILE_BYTES", size * 2)
+    path, _ = scans.large_files_of_odd_texts(spark, folder + "/in")
+    assert len(list(Path(path.removeprefix("file://")).glob("*.csv"))) == 1
+
+
 LINES_OF_A_PAGE = (
     {"id": "1", "route": {"code": "a", "at": {"z": 1, "legs": [[1, {"q": "}]"}], []]}}},
     {"id": "2", "note": 'a "quoted" } { ] [ \\\\'},
