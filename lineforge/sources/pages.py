@@ -8,6 +8,7 @@ one; ``chain_faults`` then finds what is missing between pages.
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -29,7 +30,7 @@ TEXTS = "texts"
 DAMAGED = "damaged"
 
 # What a page's text is cut into: strings, which may be cut off at the page's end, brackets, and all between.
-_PIECE = r'"(?:[^"\\]++|\\[\s\S])*+(?:"|\\?\z)|[{}\[\]]|[^"{}\[\]]++'
+_PIECE = r'"(?:[^"\\]++|\\[\s\S])*+(?:"|\\?\Z)|[{}\[\]]|[^"{}\[\]]++'
 
 
 def read_pages(
@@ -58,6 +59,39 @@ def read_pages(
     return pages.filter(within_windows(F.col(DAY_DIRECTORY), as_of, days_back))
 
 
+def _cutter():
+    """A function from a page's text to its whole line objects, see ``whole_lines``.
+
+    Made anew for each use, so that it is sent to the tasks by its code.
+    """
+    pattern, name = _PIECE, f'"{LINES}"'
+
+    def cut(text: str | None) -> list[str] | None:
+        if text is None:
+            return None
+        found, seen, depth, begin = [], 0, -1, 0  # seen: 1 after the array's name, 2 after its colon
+        for match in re.finditer(pattern, text):
+            piece = match.group()
+            if depth < 0:
+                if seen == 2 and piece == "[":
+                    depth = 0
+                else:
+                    seen = 1 if piece == name else 2 if seen == 1 and piece.strip(" ") == ":" else 0
+            elif piece in ("{", "["):
+                if depth == 0:
+                    begin = match.start()
+                depth += 1
+            elif piece in ("}", "]"):
+                depth -= 1
+                if depth < 0:  # the array's end; no other is entered
+                    break
+                if depth == 0 and piece == "}" and text[begin] == "{":
+                    found.append(text[begin : match.end()])
+        return found
+
+    return cut
+
+
 def whole_lines(text: Column) -> Column:
     """The line objects of a page's text that are whole, as an array of JSON texts.
 
@@ -65,43 +99,10 @@ def whole_lines(text: Column) -> Column:
     own. The array after the first ``"partOrderLines":`` is where lines begin; an object that
     opens at that array's own level is a line if it closes there, whatever it nests, and can
     be read. So neither a line that breaks off nor an object inside one counts as a line.
+    The pass is a small function in Python; null texts cost nothing there. A character that
+    the page's end cuts in two becomes the replacement character.
     """
-    opening, closing = ("{", "["), ("}", "]")
-    start = F.struct(
-        F.lit(0).alias("name"),  # 1 after the array's name, 2 after its colon
-        F.lit(-1).alias("depth"),  # -1 before the array and after it
-        F.lit("").alias("line"),
-        F.array().cast("array<string>").alias("lines"),
-    )
-
-    def step(seen: Column, piece: Column) -> Column:
-        name, depth = seen["name"], seen["depth"]
-        outside = depth == -1
-        entered = outside & (name == 2) & (piece == "[")
-        after = (
-            F.when(entered, 0)
-            .when(outside, -1)
-            .when(piece.isin(*opening), depth + 1)
-            .when(piece.isin(*closing), depth - 1)
-            .otherwise(depth)
-        )
-        line = F.when((depth > 0) | (~outside & (piece == "{")), F.concat(seen["line"], piece)).otherwise("")
-        complete = (depth == 1) & (after == 0) & (piece == "}")
-        return F.struct(
-            # Once the array was entered no other is.
-            F.when(entered, 3)
-            .when(name == 3, 3)
-            .when(piece == f'"{LINES}"', 1)
-            .when((name == 1) & (F.trim(piece) == ":"), 2)
-            .otherwise(0)
-            .alias("name"),
-            after.alias("depth"),
-            line.alias("line"),
-            F.when(complete, F.array_append(seen["lines"], line)).otherwise(seen["lines"]).alias("lines"),
-        )
-
-    pieces = F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
-    found = F.aggregate(pieces, start, step, lambda seen: seen["lines"])
+    found = F.udf(_cutter(), "array<string>", useArrow=True)(F.make_valid_utf8(text))
     return F.filter(found, lambda t: F.get_json_object(t, "$").isNotNull())
 
 
@@ -127,7 +128,9 @@ def cut_pages(pages: DataFrame) -> DataFrame:
         DAMAGED,
         F.when(F.col(DAMAGED), F.col(PAGE_TEXT)).alias(PAGE_TEXT),
         *(F.when(F.col(DAMAGED), _legible(c)).otherwise(F.col(f"__page.{c}")).alias(c) for c in (ASKED, CURSOR)),
-        F.when(F.col(DAMAGED), whole_lines(F.col(PAGE_TEXT))).otherwise(F.col(f"__page.{LINES}")).alias(TEXTS),
+        F.when(F.col(DAMAGED), whole_lines(F.when(F.col(DAMAGED), F.col(PAGE_TEXT))))
+        .otherwise(F.col(f"__page.{LINES}"))
+        .alias(TEXTS),
     )
 
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F, types as T
 
-from conftest import bag
+from conftest import bag, plan
 from lineforge import session
 from lineforge.sources import files, pages, seeds, tables, zones
 from lineforge.workload import scans
@@ -264,6 +264,25 @@ def test_records_are_cut_right_wherever_blocks_begin(spark, folder, block):
     assert named.columns == ["id", "te\nxt", "n"] and named.count() == 60
 
 
+def test_a_page_may_break_off_inside_a_character(spark, folder):
+    """The whole lines before it are taken, also beside a sound page and fields no schema names."""
+    head = '{"partOrderLines":[{"polExternalID":"1","new":{"a":[1]}},{"polExternalID":"2"},{"status":"'.encode()
+    Path(folder, "orderStatus=Open/fromDate=2024-01-01").mkdir(parents=True)
+    sound = b'{"partOrderLines":[{"polExternalID":"3","new":null},{"polExternalID":"4"}]}'
+    Path(folder, "orderStatus=Open/fromDate=2024-01-01/a.txt").write_bytes(head + "é".encode()[:1] + b"\n" + sound)
+    line = T.StructType([T.StructField(c, T.StringType()) for c in ("polExternalID", "status")])
+    found = pages.page_lines(pages.read_pages(spark, folder), line)
+    rows = bag(found, "polExternalID", "status", F.to_json(pages.UNKNOWN))
+    assert rows == [
+        ("1", None, '{"new":"{\\"a\\":[1]}"}'), ("2", None, None), ("3", None, '{"new":null}'), ("4", None, None),
+    ]
+
+
+def test_damaged_pages_are_cut_by_a_function_not_by_nested_expressions(spark, small):
+    text = plan(pages.cut_pages(pages.read_pages(spark, scans.some_pages(spark, small))))
+    assert "ArrowEvalPython" in text and "aggregate(" not in text
+
+
 def test_large_texts_go_to_several_files(spark, small, folder, monkeypatch):
     """No task writes much more than the bytes a file should take; the records are the same."""
     docs = spark.read.parquet(small + "/documents.parquet").repartition(8)
