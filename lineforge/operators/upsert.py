@@ -14,12 +14,19 @@ INSERTED_AT = "insertDateTime"
 CHANGED_AT = "changedDateTime"
 
 
+def repeated_keys(batch: DataFrame, key: str = KEY) -> DataFrame:
+    """The keys that occur more than once."""
+    counted = batch.filter(quoted(key).isNotNull()).groupBy(quoted(key)).agg(F.count("*").alias("__n"))
+    return counted.filter("__n > 1").drop("__n")
+
+
 def latest_lines(
-    batch: DataFrame, key: str = KEY, tiebreak: Sequence[Column] = ()
+    batch: DataFrame, key: str = KEY, tiebreak: Sequence[Column] = (), repeated: DataFrame | None = None
 ) -> DataFrame:
     """One row per key of a batch: newest fetch, Closed before Open, last modified.
 
-    Rows without a key are all kept; they never match anything.
+    Rows without a key are all kept; they never match anything. ``repeated`` are the keys
+    that occur more than once, few enough for every task; only their rows are shuffled then.
     """
     order = [
         F.col(INSERTED_AT).desc_nulls_last(),
@@ -27,7 +34,12 @@ def latest_lines(
         F.col("modifiedDateTime").desc_nulls_last(),
         *tiebreak,
     ]
-    return dedupe_latest(batch, [key], order, keep_null_keys=True)
+    if repeated is None:
+        return dedupe_latest(batch, [key], order, keep_null_keys=True)
+    again = F.broadcast(repeated.select(quoted(key).alias("__again")))
+    same = quoted(key) == F.col("__again")
+    several = dedupe_latest(batch.join(again, same, "left_semi"), [key], order)
+    return batch.join(again, same, "left_anti").unionByName(several)
 
 
 DUPLICATE = "the batch holds several rows for one key; dedupe it first"

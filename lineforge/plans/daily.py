@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from lineforge.operators.columns import LOCAL_OFFSET_HOURS, stamp_provenance, void_to_string
 from lineforge.operators.increments import fetch_windows
 from lineforge.operators.unions import union_pages
-from lineforge.operators.upsert import latest_lines, upsert
+from lineforge.operators.upsert import latest_lines, repeated_keys, upsert
 from lineforge.plans import delivery, gold, quality, silver, upkeep
 from lineforge.plans.columns import BRONZE_COLUMNS, KEY, LINE_SCHEMA
 from lineforge.session import run_dir
@@ -29,7 +29,7 @@ from lineforge.sources.pages import (
     page_lines,
     read_pages,
 )
-from lineforge.sources.runs import RunTable
+from lineforge.sources.runs import MOST_SENT, RunTable
 from lineforge.sources.seeds import load_seed
 from lineforge.sources.tables import (
     BUCKET,
@@ -96,6 +96,7 @@ class Lake:
         database: str,
         buckets: Buckets | None = None,
         partition: str | None = None,
+        dealt: bool = False,
     ) -> DataFrame:
         return overwrite_table(
             df,
@@ -105,6 +106,7 @@ class Lake:
             database_location=self.path(database),
             buckets=buckets,
             partition=partition,
+            dealt=dealt,
         )
 
     @property
@@ -182,8 +184,11 @@ def require_whole_chains(faults: DataFrame) -> None:
         raise MissingPages(", ".join(f"{name} {value!s}" for name, value in first.asDict().items()))
 
 
-def _batch(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None) -> DataFrame:
-    """The day's lines by way of raw and staging, one row per key, with the snapshot's columns."""
+def _batch(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None) -> tuple[DataFrame, bool]:
+    """The day's lines by way of raw and staging, one row per key, with the snapshot's columns.
+
+    Also whether they are hardly more than a scan of staging, few keys being there twice.
+    """
     day = run_day(as_of)
     pages = fetch(spark, lake, as_of) if pages is None else pages
     require_sound_pages(pages, lake.bad_pages)
@@ -195,8 +200,10 @@ def _batch(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None)
     staged = stage_table(
         spark, lake.account, lake.entity, day, "parts_tmp", lake.bronze, lake.uri
     )
-    latest = latest_lines(staged).withColumn("changedDateTime", F.lit(None).cast("string"))
-    return latest.select(*BRONZE_COLUMNS)
+    repeated = write_parquet(repeated_keys(staged), run_dir(spark, "repeated"))
+    few = repeated.count() <= MOST_SENT
+    latest = latest_lines(staged, repeated=repeated if few else None)
+    return latest.withColumn("changedDateTime", F.lit(None).cast("string")).select(*BRONZE_COLUMNS), few
 
 
 def ingest(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None = None) -> DataFrame | None:
@@ -206,10 +213,10 @@ def ingest(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None
     columns. Returns the changed rows with what they were before (``runs.BEFORE``), or null
     if the snapshot is new or has no runs.
     """
-    layout, batch = lake.layout, _batch(spark, lake, as_of, pages)
+    layout, (batch, few) = lake.layout, _batch(spark, lake, as_of, pages)
     if lake.most_runs:
         if lake.snapshot.exists(spark):
-            return lake.snapshot.upsert(batch, remember=upkeep.REMEMBERED, checked=True)
+            return lake.snapshot.upsert(batch, remember=upkeep.REMEMBERED, checked=True, stored=few)
         lake.snapshot.create(batch)
         return None
     batch = lake.store(layout.assign(batch), "parts_batch", lake.bronze)

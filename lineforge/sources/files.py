@@ -21,9 +21,9 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
     return spark.read.parquet(*map(_given, paths))
 
 
-def write_parquet(df: DataFrame, path: str) -> DataFrame:
+def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Overwrite a directory; returns its content as read back."""
-    df.write.mode("overwrite").parquet(_given(path))
+    df.write.mode("overwrite").parquet(_given(path), compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

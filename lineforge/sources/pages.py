@@ -266,7 +266,8 @@ def write_pages(lines: DataFrame, path: str, page: str, linked: bool = False) ->
 
     ``lines`` also holds the two directory columns. The caller numbers pages so that
     each stays small, as a page is one JSON text. With ``linked`` a page says after which
-    it was asked for, and the last of a status and day gives no cursor.
+    it was asked for, and the last of a status and day gives no cursor. Files are compressed
+    as a whole, and so not split when they are read: a task should write few lines.
     """
     outer = (STATUS_DIRECTORY, DAY_DIRECTORY, page)
     fields = [c for c in lines.columns if c not in outer]
@@ -283,5 +284,5 @@ def write_pages(lines: DataFrame, path: str, page: str, linked: bool = False) ->
         pages.drop(page)
         .write.partitionBy(STATUS_DIRECTORY, DAY_DIRECTORY)
         .mode("overwrite")
-        .json(path)
+        .json(path, compression="gzip")
     )

@@ -29,6 +29,8 @@ from lineforge.sources.tables import (
 
 RUN = "run"
 BEFORE = "__before"
+MOST_SENT = 250_000  # changed keys that every task may get
+MOST_MARKED = 1 << 30  # base rows of which every task may get a bit each
 
 
 @dataclass(frozen=True)
@@ -94,9 +96,9 @@ class RunTable:
     def content(self, spark: SparkSession) -> DataFrame:
         """The table's rows.
 
-        The base is not shuffled while the runs' keys are small enough to be broadcast. Of the
-        runs' rows a task passes on only the newest of each key; there are at most as many of
-        a key as there are runs, and a single run is not shuffled.
+        The base's rows are not shuffled, see ``_unchanged``. Of the runs' rows a task passes on
+        only the newest of each key; there are at most as many of a key as there are runs, and
+        a single run is not shuffled.
         """
         base, numbers = self.base(spark), self.numbers(spark)
         if not numbers:
@@ -107,25 +109,65 @@ class RunTable:
         if len(numbers) > 1:
             newest = F.rank().over(Window.partitionBy(key).orderBy(F.col(RUN).desc()))
             keyed = keyed.withColumn("__newest", newest).filter("__newest = 1")
-        changed = runs.select(key.alias("__changed")).filter("__changed is not null").distinct()
-        rest = base.join(changed, base[f"`{self.key}`"] == F.col("__changed"), "left_anti")
         names = [quoted(c) for c in base.columns]
         return (
-            rest.select(*names)
+            self._unchanged(spark, runs)
+            .select(*names)
             .unionByName(keyed.select(*names))
             .unionByName(runs.filter(key.isNull()).select(*names))
         )
 
-    def append_run(self, rows: DataFrame) -> None:
-        """Add rows as a new run, sorted by key; they must replace all rows of their keys."""
+    def _unchanged(self, spark: SparkSession, runs: DataFrame) -> DataFrame:
+        """The base's rows whose key no run holds.
+
+        Up to ``MOST_SENT`` changed keys go to every task. Of more, only the base's keys meet
+        them, each with its file and its place there; a changed row is then one bit, and the
+        bits go to every task, an eighth of a byte for each row of the base. Above
+        ``MOST_MARKED`` rows both sides are shuffled by key.
+        """
+        key = quoted(self.key)
+        changed = runs.select(key.alias("__changed")).filter("__changed is not null").distinct()
+        same = key == F.col("__changed")
+        if runs.count() <= MOST_SENT:
+            return self.base(spark).join(F.broadcast(changed), same, "left_anti")
+        if self.base(spark).count() > MOST_MARKED:
+            return self.base(spark).join(changed, same, "left_anti")
+        # Blocks and bits are counted from 1 by the bitmap functions.
+        at = F.col("_metadata.row_index") + 1
+        place = [
+            F.col("_metadata.file_path").alias("__file"),
+            F.bitmap_bucket_number(at).alias("__block"),
+            F.bitmap_bit_position(at).alias("__bit"),
+        ]
+        table = scan_table(spark, self.table, self.database)
+        marks = (
+            table.select(key, *place)
+            .join(changed, same, "left_semi")
+            .groupBy(F.col("__file").alias("__in"), F.col("__block").alias("__of"))
+            .agg(F.bitmap_construct_agg("__bit").alias("__marks"))
+        )
+        byte = F.expr("ascii(decode(substring(__marks, cast(__bit div 8 as int) + 1, 1), 'ISO-8859-1'))")
+        marked = F.expr("cast(__bit % 8 as int)")
+        return (
+            table.select("*", *place)
+            .join(F.broadcast(marks), (F.col("__file") == F.col("__in")) & (F.col("__block") == F.col("__of")), "left")
+            .filter(F.col("__marks").isNull() | (F.call_function("shiftright", byte, marked) % 2 == 0))
+        )
+
+    def append_run(self, rows: DataFrame, ordered: bool = False) -> None:
+        """Add rows as a new run, each file sorted by key; they must replace all rows of their keys.
+
+        With ``ordered`` they are read from files that are.
+        """
         spark = rows.sparkSession
         if not table_exists(spark, self.runs_table, self.database):
             self._clear_runs(spark)
         number = max(self.numbers(spark), default=0) + 1
         names = [quoted(c) for c in self.base(spark).columns]
-        ordered = rows.select(*names).repartitionByRange(quoted(self.key)).sortWithinPartitions(quoted(self.key))
+        rows = rows.select(*names)
+        rows = rows if ordered else rows.sortWithinPartitions(quoted(self.key))
         name = f"`{self.database}`.`{self.runs_table}`"
-        ordered.withColumn(RUN, F.lit(number)).write.insertInto(name)
+        rows.withColumn(RUN, F.lit(number)).write.insertInto(name)
         spark.catalog.refreshTable(name)
 
     def upsert(
@@ -135,6 +177,7 @@ class RunTable:
         changed_at: str = CHANGED_AT,
         remember: Sequence[str] = (),
         checked: bool = False,
+        stored: bool = False,
     ) -> DataFrame:
         """Write the batch as a run; returns its rows as they are now.
 
@@ -142,7 +185,8 @@ class RunTable:
         gets the batch's as ``changed_at``, a new one has no ``changed_at``, null keys never
         match, batch keys must be unique. Of the table only the key, ``inserted_at`` and the
         columns in ``remember`` are read. The result has one more column, ``BEFORE``: the
-        struct of the remembered columns before the batch, null where the row is new.
+        struct of the remembered columns before the batch, null where the row is new. A batch
+        that is ``stored``, hardly more than a scan of files, is not written for it again.
         """
         spark = batch.sparkSession
         columns = self.base(spark).columns
@@ -152,7 +196,7 @@ class RunTable:
         if missing:
             raise ValueError(f"the batch lacks columns of the table: {missing}")
         batch = batch.select(*(quoted(by_name[n.lower()]).alias(n) for n in values))
-        batch = write_parquet(batch, run_dir(spark, "batch"))
+        batch = batch if stored else write_parquet(batch, run_dir(spark, "batch"))
         if not checked:
             # Only keys are shuffled for it; the table is not written to before.
             known_keys = batch.select(quoted(self.key)).filter(quoted(self.key).isNotNull())
@@ -174,8 +218,10 @@ class RunTable:
             return quoted(name)
 
         rows = joined.select(*map(after, columns), F.when(matched, F.col(BEFORE)).alias(BEFORE))
+        # The join leaves them in this order, unless the snapshot's side was broadcast.
+        rows = rows.sortWithinPartitions(quoted(self.key))
         changes = write_parquet(rows, run_dir(spark, "changes"))
-        self.append_run(changes.drop(BEFORE))
+        self.append_run(changes.drop(BEFORE), ordered=True)
         return changes
 
     def crowded(self, spark: SparkSession, most_runs: int, share: float = 0.25) -> bool:

@@ -34,7 +34,7 @@ def land_raw(
 ) -> DataFrame:
     """Write the day's landing directory, replacing an earlier run of that day."""
     path = zone_path(account, RAW_ZONE, entity, landing_dataset(entity, day), uri)
-    return write_parquet(df, path)
+    return write_parquet(df, path, "snappy")
 
 
 def read_raw(

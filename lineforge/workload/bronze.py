@@ -7,6 +7,7 @@ they differ only in how dates are written as text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -118,12 +119,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bronze(
-    spark: SparkSession, sf_dir: str, *columns: str, extra: str = "", dealt: bool = False
+    spark: SparkSession,
+    sf_dir: str,
+    *columns: str,
+    extra: str = "",
+    dealt: bool | Callable[[DataFrame], DataFrame] = False,
+    where: str = "true",
 ) -> DataFrame:
     """Bronze lines of all orders; the customer is joined only for ``facilityName``.
 
     With ``dealt`` orders are dealt out evenly by their key before the columns are made, so
-    that a few narrow columns are shuffled and not the many wide ones.
+    that a few narrow columns are shuffled and not the many wide ones; a function deals them
+    out in its own way, and columns it adds are kept. ``where`` chooses orders by key ``k`` and
+    date ``d``.
     """
     wanted = columns or BRONZE_COLUMNS
     made = rules(SPARK)
@@ -133,15 +141,19 @@ def bronze(
         "o_orderpriority",
         "o_orderstatus",
         "o_custkey",
-    )
+    ).where(where)
     if "facilityName" in wanted:
         customer = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
         nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
         orders = orders.join(customer, orders.o_custkey == customer.c_custkey, "left")
         orders = orders.join(nation, orders.c_nationkey == nation.n_nationkey, "left")
-    if dealt:
-        orders = orders.repartition("k")
     more = [extra] if extra else []
+    if callable(dealt):
+        given = orders.columns
+        orders = dealt(orders)
+        more += [c for c in orders.columns if c not in given]
+    elif dealt:
+        orders = orders.repartition("k")
     return orders.selectExpr(*(f"{made[c]} as {c}" for c in wanted), *more)
 
 

@@ -203,16 +203,19 @@ def stage_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stage_table(spark, "lake", "events", day, "events_tmp", database, uri)
 
 
+def page_of(key: Column, status: Column, first_day: date) -> dict[str, Column]:
+    """Page number, status directory and one of three day directories."""
+    return {
+        "orderStatus": F.coalesce(status, F.lit("Open")),
+        "fromDate": F.date_add(F.lit(first_day), (key % 3).cast("int")),
+        "page": F.floor(key / (PAGE_LINES * 3)),
+    }
+
+
 def lines_for_pages(lines: DataFrame, first_day: date, *more: str) -> DataFrame:
-    """Bronze lines with page number, status directory and one of three day directories."""
-    key = F.col("polExternalID").cast("bigint")
-    return lines.select(
-        *SOURCE_COLUMNS,
-        *more,
-        F.coalesce("catOrderStatus", F.lit("Open")).alias("orderStatus"),
-        F.date_add(F.lit(first_day), (key % 3).cast("int")).alias("fromDate"),
-        F.floor(key / (PAGE_LINES * 3)).alias("page"),
-    )
+    """Bronze lines with what ``page_of`` says."""
+    place = page_of(F.col("polExternalID").cast("bigint"), F.col("catOrderStatus"), first_day)
+    return lines.select(*SOURCE_COLUMNS, *more, *(c.alias(name) for name, c in place.items()))
 
 
 # Every so many lines have a field the schema does not name, a nested object, no carrier name.

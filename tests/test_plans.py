@@ -4,17 +4,20 @@ import re
 from datetime import date
 from pathlib import Path
 
-from pyspark.sql import types as T
+from pyspark.sql import functions as F, types as T
 
 import lineforge
 from conftest import bag, plan
+from lineforge.plans.columns import LINE_SCHEMA
 from lineforge.plans.delivery import features
 from lineforge.plans.gold import fact_emergency_order
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import page_lines, read_pages
 from lineforge.sources.runs import RunTable
+from lineforge.sources.tables import BUCKET, scan_table
 from lineforge.workload.all import QUERIES
 from lineforge.workload.bronze import bronze
+from lineforge.workload.jobs import prepare_lake
 from lineforge.workload.learning import fact_of
 from lineforge.workload.models import silver_of
 
@@ -101,6 +104,29 @@ def test_bronze_is_dealt_out_before_its_columns_are_made(spark, small):
     assert made < dealt and "CARRIER " not in text[dealt:]
 
 
+def test_bronze_is_dealt_out_as_asked_before_its_columns_are_made(spark, small):
+    def deal(orders):
+        return orders.withColumn("part", F.col("k") % 4).repartition(6, "part")
+
+    lines = bronze(spark, small, "polExternalID", "carrierName", dealt=deal, where="d < date '2000-01-01'")
+    text = plan(lines)
+    assert text.index("CARRIER ") < text.index("REPARTITION_BY_NUM") and lines.columns[-1] == "part"
+    every = bronze(spark, small, "polExternalID", "carrierName", "createdDateTime").filter("createdDateTime < '2000-01-01'")
+    assert bag(lines, "polExternalID", "carrierName") == bag(every, "polExternalID", "carrierName")
+
+
+def test_the_lake_is_prepared_from_narrow_shuffles(spark, small):
+    lake = prepare_lake(spark, small)
+    later = bronze(spark, small).filter("createdDateTime >= '1999-01-01'")
+    found = page_lines(read_pages(spark, lake.pages), LINE_SCHEMA)
+    assert bag(found, "polExternalID", "shipId", "carrierName") == bag(later, "polExternalID", "shipId", "carrierName")
+    assert all(name.endswith(".json.gz") for name in read_pages(spark, lake.pages).inputFiles())
+    earlier = bronze(spark, small).filter("createdDateTime < '2000-01-01'")
+    kept = scan_table(spark, "parts", lake.bronze)
+    assert bag(kept.drop(BUCKET)) == bag(earlier)
+    assert bag(lake.layout.assign(kept.drop(BUCKET)), "polExternalID", BUCKET) == bag(kept, "polExternalID", BUCKET)
+
+
 def test_a_single_run_is_not_shuffled(spark, folder):
     columns = "polExternalID string, v int, insertDateTime string, changedDateTime string"
     table = RunTable("lines", "single_run", f"{folder}/lines", "polExternalID", folder)

@@ -10,9 +10,10 @@ from conftest import bag, plan
 from lineforge.operators import increments, sampling
 from lineforge.operators.antijoin import not_in
 from lineforge.operators.dedupe import dedupe_latest, dedupe_max_max
+from lineforge.sources import runs
 from lineforge.sources.runs import BEFORE, RunTable
 from lineforge.sources.tables import Buckets, overwrite_table
-from lineforge.operators.upsert import DUPLICATE, latest_lines, merge_statement, unique_or_error, upsert
+from lineforge.operators.upsert import DUPLICATE, latest_lines, merge_statement, repeated_keys, unique_or_error, upsert
 
 
 def skewed(spark, rows=3000, seed=1):
@@ -369,6 +370,29 @@ def test_a_run_is_as_large_as_its_batch(spark, folder):
     assert not table.crowded(spark, 4) and table.crowded(spark, 1)
 
 
+@pytest.mark.parametrize("sent, marked", [(250_000, 1 << 30), (10, 1 << 30), (10, 10)])
+def test_changed_rows_of_the_base_go_without_shuffling_the_others(spark, folder, monkeypatch, sent, marked):
+    monkeypatch.setattr(runs, "MOST_SENT", sent)
+    monkeypatch.setattr(runs, "MOST_MARKED", marked)
+    table = run_table(folder, f"marked_{sent}_{marked}", Buckets(2, "polExternalID"))
+    n = 150_000  # more rows in a bucket than one bitmap has bits
+    base = spark.range(n).selectExpr(
+        "nullif(cast(id as string), '9') as polExternalID", "cast(id as int) as v",
+        "'d0' as insertDateTime", "cast(null as string) as changedDateTime",
+    ).coalesce(2)
+    table.create(base)
+    for day, divisor in ((1, 3), (2, 7)):
+        batch = base.filter(f"v % {divisor} = 0 and v <> 9").withColumn("v", -F.col("v") - day)
+        table.upsert(batch.withColumn("insertDateTime", F.lit(f"d{day}")))
+    found = table.content(spark)
+    text = plan(found)
+    assert ("LeftAnti, BuildRight" in text) == (sent > 10)
+    assert ("LeftOuter, BuildRight" in text) == (sent == 10 and marked > 10)
+    got = {r.v for r in found.collect()}
+    assert got == {-i - 2 if i % 7 == 0 else -i - 1 if i % 3 == 0 and i != 9 else i for i in range(n)}
+    assert found.count() == n and found.filter("polExternalID is null").count() == 1
+
+
 def test_runs_refuse_repeated_keys_and_missing_columns(spark, folder):
     table = run_table(folder, "strict")
     table.create(keyed(spark, [("1", 1, "d0", None)]))
@@ -386,3 +410,20 @@ def test_a_base_folded_by_a_job_that_died_reads_the_same(spark, folder):
     before = bag(table.content(spark))
     overwrite_table(table.content(spark), table.path, table.table, table.database)
     assert table.numbers(spark) == [1] and bag(table.content(spark)) == before
+
+
+def test_latest_lines_shuffles_only_the_rows_of_repeated_keys(spark):
+    rng = random.Random(4)
+    rows = [
+        (None if i % 40 == 0 else str(rng.randrange(300)), f"d{rng.randrange(3)}", rng.choice(["Open", "Closed"]), f"m{i}")
+        for i in range(400)
+    ]
+    names = "polExternalID string, insertDateTime string, catOrderStatus string, modifiedDateTime string"
+    batch = spark.createDataFrame(rows, names)
+    again = repeated_keys(batch)
+    keys = [r[0] for r in rows if r[0] is not None]
+    assert bag(again) == sorted((k,) for k in set(keys) if keys.count(k) > 1)
+    latest = latest_lines(batch, repeated=again)
+    assert bag(latest) == bag(latest_lines(batch))
+    text = plan(latest)
+    assert text.index("Window") < text.index("LeftSemi") and "LeftAnti, BuildRight" in text
