@@ -46,9 +46,10 @@ SIDES = (-2, -1, 1, 2)
 REACH = max(SIDES)
 ROUNDS = 3
 BATCH = 1024  # words in a training step
-SCORED = 512  # words scored at once
+SCORED = 1024  # words scored at once
 RATE = 0.15
 BLOCK = 4096  # parameters in a block
+MANY = 24  # rows that are summed by a product of their own
 
 
 def side_of(distinct: int) -> int:
@@ -123,24 +124,28 @@ class Network:
     def forward(self, block: Block):
         """Log probabilities of the block's words, and what the gradient needs."""
         p, n, target = self.parts, len(block.target), block.target
-        near = p["embedding"][block.ids]
-        hidden = np.tile(p["bias"], (n, 1))
+        near = p["embedding"].take(block.ids, axis=0)
+        hidden = near[REACH + SIDES[0] : REACH + SIDES[0] + n, _columns(0)] + p["bias"]
+        for k, side in enumerate(SIDES[1:], 1):
+            hidden += near[REACH + side : REACH + side + n, _columns(k)]
         for k, (side, rows_out) in enumerate(zip(SIDES, block.outside, strict=True)):
-            own = _columns(k)
-            hidden += near[REACH + side : REACH + side + n, own]
             if len(rows_out):
+                own = _columns(k)
                 hidden[rows_out] += p["embedding"][-1, own] - near[REACH + side + rows_out, own]
-        hidden = np.tanh(hidden)
+        np.tanh(hidden, out=hidden)
         side = len(p["class_bias"])
         group, member = np.divmod(target, side)
         rows, ones = np.arange(len(target)), np.ones(side, dtype=np.float32)
-        first = hidden @ p["classes"] + p["class_bias"]
-        gated = hidden * p["gate"][group]
-        second = gated @ p["words"] + p["word_bias"][group]
+        first = hidden @ p["classes"]
+        first += p["class_bias"]
+        gated = hidden * p["gate"].take(group, axis=0)
+        second = gated @ p["words"]
+        second += p["word_bias"].take(group, axis=0)
         log_p = np.zeros(len(target))
         weights = []
         for logits, chosen in ((first, group), (second, member)):
-            np.minimum(logits, 60, out=logits)  # exp of it stays finite, sums too
+            if logits.max(initial=0) > 60:
+                np.minimum(logits, 60, out=logits)  # exp of it stays finite, sums too
             at = logits[rows, chosen]
             np.exp(logits, out=logits)
             total = logits @ ones
@@ -151,20 +156,38 @@ class Network:
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of a sorted array, and where each begins."""
-    begins = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+    new = np.empty(len(ordered), dtype=bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    begins = np.flatnonzero(new)
     return ordered[begins], begins
 
 
-def _sums(rows: np.ndarray, order: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Sums of the rows in ``order`` from each of ``begins`` to the next; rows by themselves are only copied."""
-    out = rows[order[begins]]
-    several = np.flatnonzero(np.diff(begins, append=len(order)) > 1)
+def _order(values: np.ndarray, below: int) -> np.ndarray:
+    """Where the values, all in ``range(below)``, are in rising order; equal ones as they come."""
+    return np.argsort(values.astype(np.uint16) if below <= 1 << 16 else values, kind="stable")
+
+
+def _sums(rows: np.ndarray, order: np.ndarray, begins: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sums of the rows in ``order`` from each of ``begins`` to the next.
+
+    Rows by themselves are only copied, ``MANY`` or more are summed by a product.
+    """
+    weights = weights.take(order)
+    counts = np.append(begins[1:], len(order)) - begins
+    out = rows.take(order[begins], axis=0)
+    out *= weights[begins][:, None]
+    several = np.flatnonzero((counts > 1) & (counts < MANY))
     if len(several):
-        ends = np.append(begins, len(order))[several + 1]
-        counts = ends - begins[several]
-        starts = np.cumsum(counts) - counts
-        at = np.arange(counts.sum()) + np.repeat(begins[several] - starts, counts)
-        out[several] = np.add.reduceat(rows[order[at]], starts, axis=0)
+        sizes = counts[several]
+        starts = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(begins[several] - starts, sizes)
+        some = rows.take(order[at], axis=0)
+        some *= weights[at][:, None]
+        out[several] = np.add.reduceat(some, starts, axis=0)
+    for k in np.flatnonzero(counts >= MANY):
+        part = slice(begins[k], begins[k] + counts[k])
+        out[k] = weights[part] @ rows.take(order[part], axis=0)
     return out
 
 
@@ -176,30 +199,37 @@ class Trainer:
         self._squares = {k: np.full(v.shape, 1e-3, dtype=np.float32) for k, v in network.parts.items()}
 
     def _step(self, name: str, gradient: np.ndarray, rows=slice(None)) -> None:
-        squares = self._squares[name][rows] + gradient * gradient
+        squares = self._squares[name][rows]
+        squares += gradient * gradient
         self._squares[name][rows] = squares
-        self.network.parts[name][rows] -= self.rate * gradient / np.sqrt(squares)
+        change = self.rate * gradient
+        change /= np.sqrt(squares)
+        self.network.parts[name][rows] -= change
 
     def learn(self, block: Block) -> float:
         """One step; the mean log probability before it."""
         p, n = self.network.parts, np.float32(len(block.target))
         log_p, (hidden, gated, group, member, rows, *weights) = self.network.forward(block)
         (first, first_total), (second, second_total) = weights
-        first *= (1 / (n * first_total))[:, None]
-        second *= (1 / (n * second_total))[:, None]
-        first[rows, group] -= 1 / n
-        second[rows, member] -= 1 / n
+        # The wide rows stay as they are; their scales go to the narrow ones they are multiplied with.
+        first_scale, second_scale = 1 / (n * first_total), 1 / (n * second_total)
+        first[rows, group] -= first_total
+        second[rows, member] -= second_total
         to_gated = second @ p["words"].T
-        to_hidden = first @ p["classes"].T + to_gated * p["gate"][group]
+        to_gated *= second_scale[:, None]
+        to_hidden = first @ p["classes"].T
+        to_hidden *= first_scale[:, None]
+        to_hidden += to_gated * p["gate"].take(group, axis=0)
         to_hidden *= 1 - hidden * hidden
-        order = np.argsort(group, kind="stable")
+        order = _order(group, len(p["gate"]))
         groups, begins = _runs(group[order])
-        self._step("classes", hidden.T @ first)
-        self._step("class_bias", first.sum(axis=0))
-        self._step("words", gated.T @ second)
-        self._step("gate", np.add.reduceat((to_gated * hidden)[order], begins, axis=0), groups)
-        self._step("word_bias", np.add.reduceat(second[order], begins, axis=0), groups)
-        self._step("bias", to_hidden.sum(axis=0))
+        ones = np.ones(len(block.ids) + 1, dtype=np.float32)
+        self._step("classes", (first.T @ (hidden * first_scale[:, None])).T)
+        self._step("class_bias", first_scale @ first)
+        self._step("words", (second.T @ (gated * second_scale[:, None])).T)
+        self._step("gate", np.add.reduceat((to_gated * hidden).take(order, axis=0), begins, axis=0), groups)
+        self._step("word_bias", _sums(second, order, begins, second_scale), groups)
+        self._step("bias", ones[: len(group)] @ to_hidden)
         to_near = np.zeros((len(block.ids) + 1, len(SIDES) * WIDTH), dtype=np.float32)
         for k, (side, rows_out) in enumerate(zip(SIDES, block.outside, strict=True)):
             own = _columns(k)
@@ -208,9 +238,9 @@ class Trainer:
                 to_near[REACH + side + rows_out, own] = 0
                 to_near[-1, own] = to_hidden[rows_out].sum(axis=0)
         every = np.append(block.ids, len(p["embedding"]) - 1)
-        order = np.argsort(every, kind="stable")
+        order = _order(every, len(p["embedding"]))
         ids, begins = _runs(every[order])
-        self._step("embedding", _sums(to_near, order, begins), ids)
+        self._step("embedding", _sums(to_near, order, begins, ones), ids)
         return float(log_p.mean())
 
 

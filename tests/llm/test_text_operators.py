@@ -409,6 +409,23 @@ def test_blocks_stop_at_text_ends():
         assert seen == expected
 
 
+def test_weighted_sums_of_rows_of_equal_values():
+    random_ = np.random.default_rng(2)
+    many = pseudo_likelihood.MANY
+    values = np.repeat([5, 0, 70_000, 9, 3], [1, many - 1, many, 3 * many, 2])
+    random_.shuffle(values)
+    rows = random_.standard_normal((len(values), 7)).astype(np.float32)
+    weights = random_.random(len(values)).astype(np.float32)
+    for below, kept in ((70_001, values), (1 << 16, values[values < 1 << 16])):
+        mine, own = rows[: len(kept)], weights[: len(kept)]
+        order = pseudo_likelihood._order(kept, below)
+        found, begins = pseudo_likelihood._runs(kept[order])
+        sums = pseudo_likelihood._sums(mine, order, begins, own)
+        assert found.tolist() == sorted(set(kept.tolist()))
+        expected = [(mine * own[:, None])[kept == v].sum(axis=0) for v in found]
+        assert np.allclose(sums, expected, rtol=1e-4, atol=1e-5)
+
+
 def test_gradients_by_differences():
     random_ = np.random.default_rng(1)
     network = pseudo_likelihood.Network.fresh(np.ones(pseudo_likelihood.VOCABULARY))
