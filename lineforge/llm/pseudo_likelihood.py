@@ -24,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,16 +41,18 @@ LEAST_SIDE = 64  # classes, and ids in a class, of the smallest model
 VOCABULARY = LEAST_SIDE**2  # its ids; the last class is for words that aren't among the most frequent
 IDS_BY_ROOT = 8  # ids for each unit of the root of the number of distinct words
 KNOWN = 1 << 18  # words whose counts the tasks have, at least all with ids of their own
+BITS = 19  # leading bits of a hash by which it is looked up
+STEPS = 8  # hashes that are passed one by one before the rest are searched for
 UNSEEN = 0.5  # occurrences a word counts for that the corpus doesn't have
 WIDTH = 16
 SIDES = (-2, -1, 1, 2)
 REACH = max(SIDES)
 ROUNDS = 3
 BATCH = 1024  # words in a training step
-SCORED = 1024  # words scored at once
+SCORED = 2048  # words scored at once
 RATE = 0.15
 BLOCK = 4096  # parameters in a block
-MANY = 24  # rows that are summed by a product of their own
+MANY = 11  # rows that are summed by a product of their own
 
 
 def side_of(distinct: int) -> int:
@@ -80,12 +83,15 @@ class Block:
     """Consecutive words of some texts.
 
     ``target``: their ids; ``ids``: the same with ``REACH`` words more on either side;
-    ``outside``: for each of ``SIDES`` the words whose neighbour there is another text's.
+    ``outside``: for each of ``SIDES`` the words whose neighbour there is another text's;
+    ``near``: for each of ``SIDES`` the rows of ``WIDTH`` columns that hold the neighbours'
+    embeddings, counted from the end for what is outside.
     """
 
     ids: np.ndarray
     target: np.ndarray
     outside: list[np.ndarray]
+    near: np.ndarray
 
 
 @dataclass
@@ -123,35 +129,32 @@ class Network:
 
     def forward(self, block: Block):
         """Log probabilities of the block's words, and what the gradient needs."""
-        p, n, target = self.parts, len(block.target), block.target
-        near = p["embedding"].take(block.ids, axis=0)
-        hidden = near[REACH + SIDES[0] : REACH + SIDES[0] + n, _columns(0)] + p["bias"]
-        for k, side in enumerate(SIDES[1:], 1):
-            hidden += near[REACH + side : REACH + side + n, _columns(k)]
-        for k, (side, rows_out) in enumerate(zip(SIDES, block.outside, strict=True)):
-            if len(rows_out):
-                own = _columns(k)
-                hidden[rows_out] += p["embedding"][-1, own] - near[REACH + side + rows_out, own]
+        p, target = self.parts, block.target
+        near = p["embedding"].reshape(-1, WIDTH).take(block.near, axis=0)
+        hidden = near[0] + p["bias"]
+        for k in range(1, len(SIDES)):
+            hidden += near[k]
         np.tanh(hidden, out=hidden)
         side = len(p["class_bias"])
         group, member = np.divmod(target, side)
-        rows, ones = np.arange(len(target)), np.ones(side, dtype=np.float32)
+        gate = p["gate"].take(group, axis=0)
+        row, ones = np.arange(0, side * len(target), side), np.ones(side, dtype=np.float32)
         first = hidden @ p["classes"]
         first += p["class_bias"]
-        gated = hidden * p["gate"].take(group, axis=0)
+        gated = hidden * gate
         second = gated @ p["words"]
         second += p["word_bias"].take(group, axis=0)
         log_p = np.zeros(len(target))
         weights = []
-        for logits, chosen in ((first, group), (second, member)):
+        for logits, chosen in ((first, row + group), (second, row + member)):
             if logits.max(initial=0) > 60:
                 np.minimum(logits, 60, out=logits)  # exp of it stays finite, sums too
-            at = logits[rows, chosen]
+            at = logits.ravel().take(chosen)
             np.exp(logits, out=logits)
             total = logits @ ones
             log_p += at - np.log(total)
-            weights.append((logits, total))
-        return log_p, (hidden, gated, group, member, rows, *weights)
+            weights.append((logits, total, chosen))
+        return log_p, (hidden, gate, gated, group, *weights)
 
 
 def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -171,26 +174,33 @@ def _order(values: np.ndarray, below: int) -> np.ndarray:
 def _sums(rows: np.ndarray, order: np.ndarray, begins: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted sums of the rows in ``order`` from each of ``begins`` to the next.
 
-    Rows by themselves are only copied, ``MANY`` or more are summed by a product.
+    Rows by themselves are only copied, ``MANY`` or more are summed by a product. Groups in
+    between are padded to one size, so that one stack of products sums them all.
     """
-    weights = weights.take(order)
     counts = np.append(begins[1:], len(order)) - begins
-    out = rows.take(order[begins], axis=0)
-    out *= weights[begins][:, None]
+    first = order.take(begins)
+    out = rows.take(first, axis=0)
+    out *= weights.take(first)[:, None]
     several = np.flatnonzero((counts > 1) & (counts < MANY))
     if len(several):
-        sizes = counts[several]
-        starts = np.cumsum(sizes) - sizes
-        at = np.arange(sizes.sum()) + np.repeat(begins[several] - starts, sizes)
-        some = rows.take(order[at], axis=0)
-        some *= weights[at][:, None]
-        out[several] = np.add.reduceat(some, starts, axis=0)
-    for k in np.flatnonzero(counts >= MANY):
-        part = slice(begins[k], begins[k] + counts[k])
-        out[k] = weights[part] @ rows.take(order[part], axis=0)
+        step = np.arange(MANY - 1)
+        there = step < counts.take(several)[:, None]
+        at = order.take(begins.take(several)[:, None] + step * there)  # padding: the group's first row, weighted by 0
+        out[several] = np.matmul((weights.take(at) * there)[:, None], rows.take(at, axis=0))[:, 0]
+    many = np.flatnonzero(counts >= MANY)
+    for k, begin, count in zip(many.tolist(), begins.take(many).tolist(), counts.take(many).tolist(), strict=True):
+        at = order[begin : begin + count]
+        out[k] = weights.take(at) @ rows.take(at, axis=0)
     return out
 
 
+@lru_cache(maxsize=4)
+def _neighbour_of(n: int) -> np.ndarray:
+    """Of ``n`` words with ``REACH`` more on either side: for each and each of ``SIDES`` the word that has it there, else ``n``."""
+    out = np.arange(n + 2 * REACH)[:, None] - REACH - np.array(SIDES)
+    return np.where((out >= 0) & (out < n), out, n)
+
+
 class Trainer:
     """Adagrad on mini-batches; sums of squares start anew with every task."""
 
@@ -209,38 +219,38 @@ class Trainer:
     def learn(self, block: Block) -> float:
         """One step; the mean log probability before it."""
         p, n = self.network.parts, np.float32(len(block.target))
-        log_p, (hidden, gated, group, member, rows, *weights) = self.network.forward(block)
-        (first, first_total), (second, second_total) = weights
+        log_p, (hidden, gate, gated, group, *weights) = self.network.forward(block)
+        (first, first_total, first_chosen), (second, second_total, second_chosen) = weights
         # The wide rows stay as they are; their scales go to the narrow ones they are multiplied with.
         first_scale, second_scale = 1 / (n * first_total), 1 / (n * second_total)
-        first[rows, group] -= first_total
-        second[rows, member] -= second_total
+        first.reshape(-1)[first_chosen] -= first_total
+        second.reshape(-1)[second_chosen] -= second_total
         to_gated = second @ p["words"].T
         to_gated *= second_scale[:, None]
-        to_hidden = first @ p["classes"].T
+        # One more row of zeros is for what is no word's neighbour.
+        to_words = np.zeros((len(group) + 1, WIDTH), dtype=np.float32)
+        to_hidden = np.matmul(first, p["classes"].T, out=to_words[:-1])
         to_hidden *= first_scale[:, None]
-        to_hidden += to_gated * p["gate"].take(group, axis=0)
+        to_hidden += to_gated * gate
         to_hidden *= 1 - hidden * hidden
         order = _order(group, len(p["gate"]))
         groups, begins = _runs(group[order])
-        ones = np.ones(len(block.ids) + 1, dtype=np.float32)
+        ones = np.ones(len(block.ids), dtype=np.float32)
         self._step("classes", (first.T @ (hidden * first_scale[:, None])).T)
         self._step("class_bias", first_scale @ first)
         self._step("words", (second.T @ (gated * second_scale[:, None])).T)
         self._step("gate", np.add.reduceat((to_gated * hidden).take(order, axis=0), begins, axis=0), groups)
         self._step("word_bias", _sums(second, order, begins, second_scale), groups)
         self._step("bias", ones[: len(group)] @ to_hidden)
-        to_near = np.zeros((len(block.ids) + 1, len(SIDES) * WIDTH), dtype=np.float32)
+        of = _neighbour_of(len(group)).copy()
         for k, (side, rows_out) in enumerate(zip(SIDES, block.outside, strict=True)):
-            own = _columns(k)
-            to_near[REACH + side : REACH + side + len(hidden), own] = to_hidden
-            if len(rows_out):
-                to_near[REACH + side + rows_out, own] = 0
-                to_near[-1, own] = to_hidden[rows_out].sum(axis=0)
-        every = np.append(block.ids, len(p["embedding"]) - 1)
-        order = _order(every, len(p["embedding"]))
-        ids, begins = _runs(every[order])
-        self._step("embedding", _sums(to_near, order, begins, ones), ids)
+            of[REACH + side + rows_out, k] = len(group)
+        to_near = to_words.take(of, axis=0).reshape(len(block.ids), -1)
+        order = _order(block.ids, len(p["embedding"]))
+        ids, begins = _runs(block.ids[order])
+        beyond = [to_hidden.take(rows_out, axis=0).sum(axis=0) for rows_out in block.outside]
+        sums = np.concatenate([_sums(to_near, order, begins, ones), np.concatenate(beyond)[None]])
+        self._step("embedding", sums, np.append(ids, len(p["embedding"]) - 1))
         return float(log_p.mean())
 
 
@@ -259,18 +269,40 @@ class Vocabulary:
     path: str
     least: int
 
+    @cached_property
+    def _begins(self) -> np.ndarray:
+        """Where the hashes begin that have each value of the leading bits."""
+        leading = np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS)
+        return np.searchsorted(self.hashes, leading).astype(np.int32)
+
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where each is among the known ones, or the next greater or the last is if it isn't."""
+        last = len(self.hashes) - 1
+        at = np.minimum(self._begins.take(hashes >> np.uint64(64 - BITS)), last)
+        left = np.flatnonzero(self.hashes.take(at) < hashes)
+        for _ in range(STEPS):
+            left = left[at[left] < last]
+            at[left] += 1
+            left = left[self.hashes.take(at[left]) < hashes[left]]
+            if not len(left):
+                return at
+        at[left] = np.minimum(np.searchsorted(self.hashes, hashes[left]), last)
+        return at
+
     def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, log shares of them, and which words are known.
 
         Of an unknown word the share lacks the log of its count.
         """
         side = math.isqrt(len(self.counts))
-        out = (len(self.counts) - side + (hashes % np.uint64(side)).astype(np.int64)).astype(np.int32)
-        shares, known = -np.log(self.counts[out] + 1), np.zeros(len(hashes), dtype=bool)
         if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            known = self.hashes[at] == hashes
-            out[known], shares[known] = self.ids[at[known]], self.shares[at[known]]
+            at = self._places(hashes)
+            out, shares, known = self.ids.take(at), self.shares.take(at), self.hashes.take(at) == hashes
+        else:
+            out, shares, known = (np.zeros(len(hashes), dtype=t) for t in (np.int32, np.float64, bool))
+        unknown = np.flatnonzero(~known)
+        out[unknown] = len(self.counts) - side + (hashes[unknown] % np.uint64(side)).astype(np.int64)
+        shares[unknown] = -np.log(self.counts[out[unknown]] + 1)
         return out, shares, known
 
 
@@ -284,13 +316,22 @@ def _word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(ids: np.ndarray, first: np.ndarray, size: int) -> Iterator[Block]:
     """The words of a slice in text order, ``size`` at a time, each with its neighbours."""
     padded = np.pad(ids, REACH).astype(np.int32)  # what is put there is outside of every text
-    at = np.arange(len(ids))
-    begin, end = np.repeat(first[:-1], np.diff(first)), np.repeat(first[1:], np.diff(first))
-    beyond = [np.flatnonzero((at + side < begin) | (at + side >= end)) for side in SIDES]
-    for k in range(0, len(ids), size):
+    begin, end = first[:-1], first[1:]
+    edges = np.arange(0, len(ids) + size, size)
+    beyond = []
+    for side in SIDES:
+        ends = [begin + k if side < 0 else end - 1 - k for k in range(abs(side))]
+        beyond.append(np.unique(np.concatenate([x[(x >= begin) & (x < end)] for x in ends])))
+    cuts = [np.searchsorted(x, edges) for x in beyond]
+    near = np.empty((len(SIDES), len(ids)), dtype=np.int32)
+    for k, (side, rows_out) in enumerate(zip(SIDES, beyond, strict=True)):
+        np.multiply(padded[REACH + side : REACH + side + len(ids)], len(SIDES), out=near[k])
+        near[k, rows_out] = -len(SIDES)
+        near[k] += k
+    for number, k in enumerate(range(0, len(ids), size)):
         n = min(size, len(ids) - k)
-        outside = [x[np.searchsorted(x, k) : np.searchsorted(x, k + n)] - k for x in beyond]
-        yield Block(padded[k : k + n + 2 * REACH], padded[k + REACH : k + REACH + n], outside)
+        outside = [x[cut[number] : cut[number + 1]] - k for x, cut in zip(beyond, cuts, strict=True)]
+        yield Block(padded[k : k + n + 2 * REACH], padded[k + REACH : k + REACH + n], outside, near[:, k : k + n])
 
 
 _MERGE_AT = 500_000

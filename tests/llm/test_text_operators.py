@@ -426,6 +426,68 @@ def test_weighted_sums_of_rows_of_equal_values():
         assert np.allclose(sums, expected, rtol=1e-4, atol=1e-5)
 
 
+def test_each_neighbour_is_read_and_learned_from_once():
+    random_ = np.random.default_rng(3)
+    sides, width = pseudo_likelihood.SIDES, pseudo_likelihood.WIDTH
+    ids = random_.choice([1, 5, 7, 4000], 60).astype(np.int32)  # some often enough for a product of their own
+    first = np.array([0, 0, 1, 3, 20, 20, 60])
+    for size in (1, 3, 64):
+        network = pseudo_likelihood.Network.fresh(np.ones(pseudo_likelihood.VOCABULARY))
+        table = network.parts["embedding"]
+        for block in pseudo_likelihood.blocks(ids, first, size):
+            n = len(block.target)
+            for k, side in enumerate(sides):
+                around = [-1 if i in block.outside[k] else block.ids[i + pseudo_likelihood.REACH + side] for i in range(n)]
+                own = slice(k * width, (k + 1) * width)
+                assert (table.reshape(-1, width)[block.near[k]] == table[around, own]).all()
+            got = {}
+
+            class Recorder(pseudo_likelihood.Trainer):
+                def _step(self, name, gradient, rows=slice(None)):
+                    got.setdefault(name, np.zeros(self.network.parts[name].shape))[rows] += gradient
+
+            Recorder(network).learn(block)
+            for k, side in enumerate(sides):  # every word has one neighbour at each side, a text's end among them
+                at_side = got["embedding"][:, k * width : (k + 1) * width]
+                assert np.allclose(at_side.sum(axis=0), got["bias"], rtol=1e-3, atol=1e-6)
+                around = [-1 if i in block.outside[k] else block.ids[i + pseudo_likelihood.REACH + side] for i in range(n)]
+                there = np.flatnonzero(np.abs(at_side).sum(axis=1))
+                assert set(there) <= {i % len(table) for i in around}
+
+
+def test_hashes_are_found_without_searching(monkeypatch):
+    random_ = np.random.default_rng(8)
+    spread = random_.integers(0, 2**64, 50_000, dtype=np.uint64)
+    near = np.uint64(77 << 50) + np.arange(40, dtype=np.uint64)  # more than are passed one by one
+    ends = np.array([0, 1, 2**64 - 2, 2**64 - 1], dtype=np.uint64)
+    side = 64
+    searched = []
+    search = np.searchsorted
+
+    def counted(sorted_, values, *rest, **named):
+        searched.append(np.size(values))
+        return search(sorted_, values, *rest, **named)
+
+    for known in (spread[:0], ends[3:], ends[:1], near, np.concatenate([spread[::2], near[1::2], ends[1:3]])):
+        known = np.unique(known)
+        ids, shares = np.arange(len(known), dtype=np.int32), random_.random(len(known))
+        counts = np.arange(side * side, dtype=float)
+        vocabulary = pseudo_likelihood.Vocabulary(known, ids, shares, counts, "", 0)
+        vocabulary.lookup(spread[:1])  # what is made once
+        asked = np.concatenate([spread, near, ends])
+        with monkeypatch.context() as m:
+            m.setattr(np, "searchsorted", counted)
+            got = vocabulary.lookup(asked)
+        place = {int(h): k for k, h in enumerate(known)}
+        at = np.array([place.get(int(h), -1) for h in asked])
+        bucket = len(counts) - side + (asked % np.uint64(side)).astype(np.int64)
+        assert (got[2] == (at >= 0)).all()
+        assert (got[0] == np.where(at >= 0, at, bucket)).all()
+        expected = np.append(shares, 0.0)[at]
+        assert np.allclose(got[1], np.where(at >= 0, expected, -np.log(counts[bucket] + 1)))
+    assert 0 < max(searched) <= len(near)
+
+
 def test_gradients_by_differences():
     random_ = np.random.default_rng(1)
     network = pseudo_likelihood.Network.fresh(np.ones(pseudo_likelihood.VOCABULARY))
