@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lineforge.session import dropping_shuffles
+
 
 def _given(path: str) -> str:
     if not path:
@@ -23,7 +25,8 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Overwrite a directory; returns its content as read back."""
-    df.write.mode("overwrite").parquet(_given(path), compression=compression)
+    with dropping_shuffles(df.sparkSession):
+        df.write.mode("overwrite").parquet(_given(path), compression=compression)
     return df.sparkSession.read.parquet(path)
 
 

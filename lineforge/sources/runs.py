@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lineforge.operators.columns import quoted
 from lineforge.operators.upsert import CHANGED_AT, INSERTED_AT, unique_or_error
-from lineforge.session import run_dir
+from lineforge.session import dropping_shuffles, run_dir
 from lineforge.sources.files import write_parquet
 from lineforge.sources.tables import (
     BUCKET,
@@ -25,12 +25,15 @@ from lineforge.sources.tables import (
     partition_values,
     scan_table,
     table_exists,
+    table_location,
 )
 
 RUN = "run"
 BEFORE = "__before"
 MOST_SENT = 250_000  # changed keys that every task may get
-MOST_MARKED = 1 << 30  # base rows of which every task may get a bit each
+MOST_MARKED = 1 << 30  # rows of which every task may get a bit each
+LEAST_KEPT = 1 << 20  # bytes of a base's file whose rows stay together when runs are folded
+FILE_SIZE = "__size"
 
 
 @dataclass(frozen=True)
@@ -54,12 +57,13 @@ class RunTable:
     def exists(self, spark: SparkSession) -> bool:
         return table_exists(spark, self.table, self.database)
 
-    def create(self, df: DataFrame) -> DataFrame:
-        """Replace base and runs by these rows; returns the content."""
+    def create(self, df: DataFrame, dealt: bool = False) -> DataFrame:
+        """Replace base and runs by these rows, which may come ``dealt`` out by bucket; returns the content."""
         spark = df.sparkSession
         overwrite_table(
-            df, self.path, self.table, self.database, database_location=self.location, buckets=self.buckets
-        )
+            df, self.path, self.table, self.database,
+            database_location=self.location, buckets=self.buckets, dealt=dealt,
+        )
         self._clear_runs(spark)
         return self.content(spark)
 
@@ -90,48 +94,47 @@ class RunTable:
         """A text that changes with every change of the table."""
         if not self.exists(spark):
             return ""
-        rows = spark.sql(f"DESCRIBE TABLE EXTENDED `{self.database}`.`{self.table}`").filter("col_name = 'Location'")
-        return f"{rows.first()['data_type']} {self.numbers(spark)}"
+        return f"{table_location(spark, self.table, self.database)} {self.numbers(spark)}"
 
     def content(self, spark: SparkSession) -> DataFrame:
         """The table's rows.
 
-        The base's rows are not shuffled, see ``_unchanged``. Of the runs' rows a task passes on
-        only the newest of each key; there are at most as many of a key as there are runs, and
-        a single run is not shuffled.
+        The base's rows are not shuffled, see ``_current``. Of runs with few rows a task passes
+        on only the newest row of each key; a single run is not shuffled.
         """
         base, numbers = self.base(spark), self.numbers(spark)
         if not numbers:
             return base
-        runs = self.runs(spark)
-        key = quoted(self.key)
-        keyed = runs.filter(key.isNotNull())
-        if len(numbers) > 1:
-            newest = F.rank().over(Window.partitionBy(key).orderBy(F.col(RUN).desc()))
-            keyed = keyed.withColumn("__newest", newest).filter("__newest = 1")
         names = [quoted(c) for c in base.columns]
-        return (
-            self._unchanged(spark, runs)
-            .select(*names)
-            .unionByName(keyed.select(*names))
-            .unionByName(runs.filter(key.isNull()).select(*names))
-        )
+        unchanged, changed = self._current(spark, numbers)
+        return unchanged.select(*names).unionByName(changed.select(*names))
 
-    def _unchanged(self, spark: SparkSession, runs: DataFrame) -> DataFrame:
-        """The base's rows whose key no run holds.
+    def _current(self, spark: SparkSession, numbers: list[int]) -> tuple[DataFrame, DataFrame]:
+        """The base's rows whose key no run holds, with ``FILE_SIZE``, and the runs' newest rows of their keys.
 
-        Up to ``MOST_SENT`` changed keys go to every task. Of more, only the base's keys meet
-        them, each with its file and its place there; a changed row is then one bit, and the
-        bits go to every task, an eighth of a byte for each row of the base. Above
-        ``MOST_MARKED`` rows both sides are shuffled by key.
+        Up to ``MOST_SENT`` changed keys go to every task. Of more, only keys meet, each with
+        its file and its place there; a row of the base or a run that a later run replaces is
+        then one bit, and the bits go to every task, an eighth of a byte for each row. Above
+        ``MOST_MARKED`` rows the base and the changed keys are shuffled. Rows without a key are all current.
         """
         key = quoted(self.key)
+        base = scan_table(spark, self.table, self.database).select("*", F.col("_metadata.file_size").alias(FILE_SIZE))
+        runs = self.runs(spark)
+        n_changed = runs.count()
+        if MOST_SENT < n_changed and self.base(spark).count() + n_changed <= MOST_MARKED:
+            return self._not_marked(spark, numbers)
         changed = runs.select(key.alias("__changed")).filter("__changed is not null").distinct()
         same = key == F.col("__changed")
-        if runs.count() <= MOST_SENT:
-            return self.base(spark).join(F.broadcast(changed), same, "left_anti")
-        if self.base(spark).count() > MOST_MARKED:
-            return self.base(spark).join(changed, same, "left_anti")
+        unchanged = base.join(F.broadcast(changed) if n_changed <= MOST_SENT else changed, same, "left_anti")
+        keyed = runs.filter(key.isNotNull())
+        if len(numbers) > 1:
+            newest = F.rank().over(Window.partitionBy(key).orderBy(F.col(RUN).desc()))
+            keyed = keyed.withColumn("__newest", newest).filter("__newest = 1").drop("__newest")
+        return unchanged, keyed.unionByName(runs.filter(key.isNull()))
+
+    def _not_marked(self, spark: SparkSession, numbers: list[int]) -> tuple[DataFrame, DataFrame]:
+        """The rows of the base and of the runs without those that a later run replaces."""
+        key = quoted(self.key)
         # Blocks and bits are counted from 1 by the bitmap functions.
         at = F.col("_metadata.row_index") + 1
         place = [
@@ -139,20 +142,30 @@ class RunTable:
             F.bitmap_bucket_number(at).alias("__block"),
             F.bitmap_bit_position(at).alias("__bit"),
         ]
-        table = scan_table(spark, self.table, self.database)
+        size = F.col("_metadata.file_size").alias(FILE_SIZE)
+        base = scan_table(spark, self.table, self.database).select("*", size, *place)
+        runs = self.runs(spark).select("*", *place)
+        replaced = (key == F.col("__changed")) & (F.col("__run") < F.col("__last"))
+        last = runs.filter(key.isNotNull()).groupBy(key.alias("__changed")).agg(F.max(RUN).alias("__last"))
+        spots = ["__file", "__block", "__bit"]
+        earlier = base.select(key, F.lit(0).alias("__run"), *spots)
+        if len(numbers) > 1:
+            older = runs.filter(F.col(RUN) < max(numbers))
+            earlier = earlier.unionByName(older.select(key, F.col(RUN).alias("__run"), *spots))
         marks = (
-            table.select(key, *place)
-            .join(changed, same, "left_semi")
+            earlier.join(last, replaced, "left_semi")
             .groupBy(F.col("__file").alias("__in"), F.col("__block").alias("__of"))
             .agg(F.bitmap_construct_agg("__bit").alias("__marks"))
         )
         byte = F.expr("ascii(decode(substring(__marks, cast(__bit div 8 as int) + 1, 1), 'ISO-8859-1'))")
         marked = F.expr("cast(__bit % 8 as int)")
-        return (
-            table.select("*", *place)
-            .join(F.broadcast(marks), (F.col("__file") == F.col("__in")) & (F.col("__block") == F.col("__of")), "left")
-            .filter(F.col("__marks").isNull() | (F.call_function("shiftright", byte, marked) % 2 == 0))
+        here = (F.col("__file") == F.col("__in")) & (F.col("__block") == F.col("__of"))
+        stays = F.col("__marks").isNull() | (F.call_function("shiftright", byte, marked) % 2 == 0)
+        spare = [*spots, "__in", "__of", "__marks"]
+        unchanged, changed = (
+            rows.join(F.broadcast(marks), here, "left").filter(stays).drop(*spare) for rows in (base, runs)
         )
+        return unchanged, changed
 
     def append_run(self, rows: DataFrame, ordered: bool = False) -> None:
         """Add rows as a new run, each file sorted by key; they must replace all rows of their keys.
@@ -160,16 +173,24 @@ class RunTable:
         With ``ordered`` they are read from files that are.
         """
         spark = rows.sparkSession
-        if not table_exists(spark, self.runs_table, self.database):
-            self._clear_runs(spark)
-        number = max(self.numbers(spark), default=0) + 1
         names = [quoted(c) for c in self.base(spark).columns]
         rows = rows.select(*names)
         rows = rows if ordered else rows.sortWithinPartitions(quoted(self.key))
+        if self._fits(rows):
+            self._add_run(rows)
+            return
+        # The table's own write decides whether it can hold them.
+        number = self._next_run(spark)
         name = f"`{self.database}`.`{self.runs_table}`"
-        rows.withColumn(RUN, F.lit(number)).write.insertInto(name)
+        with dropping_shuffles(spark):
+            rows.withColumn(RUN, F.lit(number)).write.insertInto(name)
         spark.catalog.refreshTable(name)
 
+    def _next_run(self, spark: SparkSession) -> int:
+        if not table_exists(spark, self.runs_table, self.database):
+            self._clear_runs(spark)
+        return max(self.numbers(spark), default=0) + 1
+
     def upsert(
         self,
         batch: DataFrame,
@@ -220,10 +241,31 @@ class RunTable:
         rows = joined.select(*map(after, columns), F.when(matched, F.col(BEFORE)).alias(BEFORE))
         # The join leaves them in this order, unless the snapshot's side was broadcast.
         rows = rows.sortWithinPartitions(quoted(self.key))
+        if self._fits(rows.drop(BEFORE)):
+            return self._add_run(rows)
         changes = write_parquet(rows, run_dir(spark, "changes"))
         self.append_run(changes.drop(BEFORE), ordered=True)
         return changes
 
+    def _fits(self, rows: DataFrame) -> bool:
+        """Whether rows have the table's types, so that their files can be its own."""
+        return [f.dataType for f in rows.schema] == [f.dataType for f in self.base(rows.sparkSession).schema]
+
+    def _add_run(self, rows: DataFrame) -> DataFrame:
+        """Write rows of the table's types as a run, there once all its files are; returns them as written.
+
+        Columns the table doesn't have lie in the run's files too, and are read only from the result.
+        """
+        spark = rows.sparkSession
+        number = self._next_run(spark)
+        path = f"{table_location(spark, self.runs_table, self.database)}/{RUN}={number}"
+        written = write_parquet(rows, path)
+        if not written.isEmpty():
+            name = f"`{self.database}`.`{self.runs_table}`"
+            spark.sql(f"ALTER TABLE {name} ADD PARTITION ({RUN}={number}) LOCATION '{path}'")
+            spark.catalog.refreshTable(name)
+        return written
+
     def crowded(self, spark: SparkSession, most_runs: int, share: float = 0.25) -> bool:
         """Whether there are ``most_runs`` runs, or they hold more than ``share`` of the base's rows.
 
@@ -236,11 +278,33 @@ class RunTable:
 
     def compact(self, spark: SparkSession) -> DataFrame:
         """Fold the runs into a new base; the content stays the same."""
-        if not self.numbers(spark):
+        numbers = self.numbers(spark)
+        if not numbers:
             return self.content(spark)
+        in_place = self.buckets is not None and self._laid_out(spark)
         overwrite_table(
-            self.content(spark), self.path, self.table, self.database,
-            database_location=self.location, buckets=self.buckets,
+            self._folded(spark, numbers) if in_place else self.content(spark),
+            self.path, self.table, self.database,
+            database_location=self.location, buckets=self.buckets, dealt=in_place,
         )
         self._clear_runs(spark)
         return self.content(spark)
+
+    def _laid_out(self, spark: SparkSession) -> bool:
+        """Whether the base's rows lie in the buckets that ``buckets`` gives them; those without a key may lie in any."""
+        base = scan_table(spark, self.table, self.database)
+        if BUCKET not in base.columns:
+            return False
+        keyed = quoted(self.buckets.column).isNotNull()
+        astray = F.when(keyed, F.col(BUCKET) != self.buckets.of_key()).otherwise(F.col(BUCKET) >= self.buckets.number)
+        return base.filter(astray).isEmpty()
+
+    def _folded(self, spark: SparkSession, numbers: list[int]) -> DataFrame:
+        """The content by bucket. Only the runs' rows are shuffled, and those of the base's files below ``LEAST_KEPT``."""
+        names = [*map(quoted, self.base(spark).columns), BUCKET]
+        unchanged, changed = self._current(spark, numbers)
+        large = F.col(FILE_SIZE) >= LEAST_KEPT
+        moved = self.buckets.assign(changed.select(*names[:-1])).select(*names)
+        moved = moved.unionByName(unchanged.filter(~large).select(*names)).hint("rebalance", F.col(BUCKET))
+        rows = unchanged.filter(large).select(*names).unionByName(moved)
+        return rows.sortWithinPartitions(BUCKET, quoted(self.key))

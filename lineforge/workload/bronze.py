@@ -7,13 +7,15 @@ they differ only in how dates are written as text.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lineforge.plans.columns import BRONZE_COLUMNS
 from lineforge.session import run_dir
+from lineforge.sources.tables import BUCKET, Buckets
 
 SPARES = (
     "reservePrimPSO",
@@ -157,6 +159,28 @@ def bronze(
     return orders.selectExpr(*(f"{made[c]} as {c}" for c in wanted), *more)
 
 
+LINES_DEALT = 100_000  # orders that a task makes lines of
+
+
+def dealt_width(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that orders are dealt out to."""
+    width = math.ceil(read(spark, sf_dir, "orders").count() / LINES_DEALT)
+    return max(width, spark.sparkContext.defaultParallelism)
+
+
+def by_bucket(layout: Buckets, width: int) -> Callable[[DataFrame], DataFrame]:
+    """Deals orders out by the bucket of their lines, for ``bronze``."""
+
+    def deal(orders: DataFrame) -> DataFrame:
+        keyed = layout.assign(orders.withColumn(layout.column, F.expr(rules(SPARK)[layout.column])))
+        pieces = math.ceil(width / layout.number)
+        dealt = keyed.drop(layout.column).repartition(width, BUCKET, F.pmod("k", F.lit(pieces)))
+        # Within a task in order of the buckets, so that the wide lines need not be sorted to be written.
+        return dealt.sortWithinPartitions(BUCKET, "k")
+
+    return deal
+
+
 _written: dict[tuple[str, str], str] = {}
 
 

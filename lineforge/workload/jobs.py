@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import uuid
 from datetime import date
 
@@ -15,8 +14,7 @@ from lineforge.plans.quality import PARTS_CHECKS, STATUS_CHECKS
 from lineforge.session import run_dir
 from lineforge.sources.pages import write_pages
 from lineforge.sources.seeds import write_status_seed
-from lineforge.sources.tables import BUCKET
-from lineforge.workload.bronze import SPARK, bronze, bronze_sql, read, rules
+from lineforge.workload.bronze import SPARK, bronze, bronze_sql, by_bucket, dealt_width, rules
 from lineforge.workload.registry import query
 from lineforge.workload.relational import BATCH_START, SNAPSHOT_END
 from lineforge.workload.scans import page_of
@@ -25,7 +23,6 @@ from lineforge.workload.sql import BRONZE, FEATURES, WEIGHTS, with_
 AS_OF = "2024-01-31 01:20:32"
 FIRST_DAY = date(2024, 1, 29)
 SNAPSHOT_BUCKETS = 16
-LINES_DEALT = 100_000  # orders that a task makes lines of
 
 
 def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
@@ -44,21 +41,14 @@ def prepare_lake(spark: SparkSession, sf_dir: str) -> daily.Lake:
         gold=f"gold_{mark}",
         snapshot_buckets=SNAPSHOT_BUCKETS,
     )
-    made, width = rules(SPARK), math.ceil(read(spark, sf_dir, "orders").count() / LINES_DEALT)
-    width = max(width, spark.sparkContext.defaultParallelism)
-
-    def by_bucket(orders: DataFrame) -> DataFrame:
-        keyed = lake.layout.assign(orders.withColumn(lake.layout.column, F.expr(made[lake.layout.column])))
-        # Within a task in order of the buckets, so that the wide lines need not be sorted to be written.
-        pieces = math.ceil(width / SNAPSHOT_BUCKETS)
-        dealt = keyed.drop(lake.layout.column).repartition(width, BUCKET, F.pmod("k", F.lit(pieces)))
-        return dealt.sortWithinPartitions(BUCKET)
+    made, width = rules(SPARK), dealt_width(spark, sf_dir)
 
     def by_page(orders: DataFrame) -> DataFrame:
         placed = orders.withColumns(page_of(F.col("k"), F.expr(made["catOrderStatus"]), FIRST_DAY))
         return placed.repartition(width, "orderStatus", "fromDate", "page")
 
-    earlier = bronze(spark, sf_dir, dealt=by_bucket, where=f"d < date '{SNAPSHOT_END}'")
+    dealt = by_bucket(lake.layout, width)
+    earlier = bronze(spark, sf_dir, dealt=dealt, where=f"d < date '{SNAPSHOT_END}'")
     lake.store(earlier, "parts", lake.bronze, lake.layout, dealt=True)
     outer = ("orderStatus", "fromDate", "page")
     later = bronze(spark, sf_dir, *SOURCE_COLUMNS, dealt=by_page, where=f"d >= date '{BATCH_START}'")

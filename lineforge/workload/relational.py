@@ -18,7 +18,7 @@ from lineforge.session import run_dir
 from lineforge.sources.files import write_parquet
 from lineforge.sources.runs import RunTable
 from lineforge.sources.tables import Buckets
-from lineforge.workload.bronze import bronze, bronze_sql, bronze_table, read
+from lineforge.workload.bronze import bronze, bronze_sql, bronze_table, by_bucket, dealt_width, read
 from lineforge.workload.registry import query
 from lineforge.workload.sql import BRONZE, SILVER, with_
 
@@ -82,8 +82,11 @@ def upsert_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     lines = bronze_table(spark, sf_dir)
     snapshot = lines.filter(F.col("createdDateTime") < F.lit(f"{SNAPSHOT_END}"))
     later = lines.filter(F.col("createdDateTime") >= F.lit(f"{BATCH_START}"))
-    changes = {name: F.expr(sql) for name, sql in _batch_values().items()}
-    return snapshot, later.drop("changedDateTime").withColumns(changes)
+    return snapshot, _as_batch(later)
+
+
+def _as_batch(later: DataFrame) -> DataFrame:
+    return later.drop("changedDateTime").withColumns({name: F.expr(sql) for name, sql in _batch_values().items()})
 
 
 _UPSERTED = ", ".join(
@@ -115,19 +118,27 @@ def snapshot_and_batch(spark: SparkSession, sf_dir: str) -> tuple[RunTable, Data
     mark = uuid.uuid4().hex[:12]
     location = run_dir(spark, "merge_by_runs")
     table = RunTable("parts", f"merge_{mark}", f"{location}/parts", KEY, location, Buckets(8, KEY))
-    snapshot, batch = upsert_inputs(spark, sf_dir)
-    table.create(snapshot)
+    width = dealt_width(spark, sf_dir)
+
+    def by_key(orders: DataFrame) -> DataFrame:
+        return orders.repartition(width, "k").sortWithinPartitions("k")
+
+    # Orders are dealt out, not their lines of 48 columns.
+    snapshot = bronze(spark, sf_dir, dealt=by_bucket(table.buckets, width), where=f"d < date '{SNAPSHOT_END}'")
+    table.create(snapshot, dealt=True)
+    later = bronze(spark, sf_dir, dealt=by_key, where=f"d >= date '{BATCH_START}'")
+    batch = write_parquet(_as_batch(later), f"{location}/batch")
     # A first run of lines the snapshot holds; the batch replaces them all again.
     held = batch.filter(F.col("createdDateTime") < F.lit(f"{SNAPSHOT_END}"))
-    table.upsert(held.withColumn("status", F.lit("Superseded")))
-    return table, write_parquet(batch, f"{location}/batch")
+    table.upsert(held.withColumn("status", F.lit("Superseded")), stored=True)
+    return table, batch
 
 
 @query("merge_by_runs", _MERGED, fixture=snapshot_and_batch)
 def merge_by_runs(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataFrame:
     """The upsert as a run beside the base, and the table's content after it."""
     table, batch = given
-    table.upsert(batch)
+    table.upsert(batch, stored=True)
     return table.content(spark)
 
 
@@ -135,7 +146,7 @@ def merge_by_runs(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> Dat
 def merge_by_runs_compacted(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataFrame:
     """The same after the runs were folded into a new base."""
     table, batch = given
-    table.upsert(batch)
+    table.upsert(batch, stored=True)
     return table.compact(spark)
 
 
@@ -162,7 +173,7 @@ def gold_upkeep(spark: SparkSession, given: tuple[RunTable, DataFrame]) -> DataF
     folder = run_dir(spark, "gold_upkeep")
     carriers = write_parquet(upkeep.carrier_counts(parts), f"{folder}/carriers")
     centers = write_parquet(upkeep.center_sums(parts), f"{folder}/centers")
-    changes = table.upsert(batch, remember=upkeep.REMEMBERED)
+    changes = table.upsert(batch, stored=True, remember=upkeep.REMEMBERED)
     report = upkeep.fact_emergency_order(upkeep.centers_after(centers, changes))
     return (
         upkeep.carriers_after(carriers, changes)
@@ -202,7 +213,7 @@ def dq_report_upkeep(spark: SparkSession, given: tuple[RunTable, DataFrame]) ->
     folder = run_dir(spark, "dq_upkeep")
     counts = write_parquet(upkeep.check_counts(parts), f"{folder}/counts")
     repeated = write_parquet(upkeep.repeated_keys(parts), f"{folder}/repeated")
-    changes = table.upsert(batch, remember=upkeep.CHECKED)
+    changes = table.upsert(batch, stored=True, remember=upkeep.CHECKED)
     now = silver.silver_parts(table.content(spark))
     return upkeep.check_report(
         upkeep.check_counts_after(counts, changes), upkeep.repeated_keys_after(repeated, now, changes)

@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import bag, plan
+from lineforge import session
 from lineforge.operators import increments, sampling
 from lineforge.operators.antijoin import not_in
 from lineforge.operators.dedupe import dedupe_latest, dedupe_max_max
 from lineforge.sources import runs
+from lineforge.sources.files import write_parquet
 from lineforge.sources.runs import BEFORE, RunTable
-from lineforge.sources.tables import Buckets, overwrite_table
+from lineforge.sources.tables import BUCKET, Buckets, overwrite_table, scan_table
 from lineforge.operators.upsert import DUPLICATE, latest_lines, merge_statement, repeated_keys, unique_or_error, upsert
 
 
@@ -427,3 +429,68 @@ def test_latest_lines_shuffles_only_the_rows_of_repeated_keys(spark):
     assert bag(latest) == bag(latest_lines(batch))
     text = plan(latest)
     assert text.index("Window") < text.index("LeftSemi") and "LeftAnti, BuildRight" in text
+
+
+def shuffled_bytes(spark):
+    """What shuffle files take on disk just now."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    found = [files.apply(i) for i in range(files.size())]
+    return sum(f.length() for f in found if f.getName().startswith("shuffle_"))
+
+
+def test_shuffle_files_go_once_their_rows_are_written(spark, folder):
+    rows = spark.range(200_000).withColumn("text", F.sha2(F.col("id").cast("string"), 256))
+    before = shuffled_bytes(spark)
+    write_parquet(rows.repartition(4, "id"), f"{folder}/plain")
+    table = run_table(folder, "dropped", Buckets(4, "polExternalID"))
+    lines = rows.selectExpr(
+        "cast(id as string) as polExternalID", "cast(id as int) as v", "text as insertDateTime",
+        "cast(null as string) as changedDateTime",
+    )
+    table.create(lines)
+    assert shuffled_bytes(spark) <= before + 1_000_000
+    assert spark.conf.get(session.SHUFFLE_CLEANUP) == "false"
+
+
+def test_a_run_is_written_once(spark, folder, monkeypatch):
+    written = []
+    monkeypatch.setattr(runs, "run_dir", lambda _, purpose: written.append(purpose) or f"{folder}/{purpose}")
+    table = run_table(folder, "once", Buckets(2, "polExternalID"))
+    table.create(keyed(spark, [(str(i), i, "d0", None) for i in range(20)]))
+    batch = write_parquet(keyed(spark, [("3", -3, "d1", None), ("x", -4, "d1", None)]), f"{folder}/batch")
+    changes = table.upsert(batch, remember=["v"], stored=True)
+    assert written == []
+    assert {r["polExternalID"]: r[BEFORE] and r[BEFORE]["v"] for r in changes.collect()} == {"3": 3, "x": None}
+    assert BEFORE not in table.runs(spark).columns and table.numbers(spark) == [1]
+    assert bag(table.content(spark).filter("v < 0"), "polExternalID", "v", "changedDateTime") == [
+        ("3", -3, "d1"), ("x", -4, None),
+    ]
+
+
+@pytest.mark.parametrize("sent, least, buckets", [(250_000, 0, 3), (10, 0, 3), (10, 1 << 40, 3), (10, 0, 4)])
+def test_folding_runs_shuffles_only_their_rows(spark, folder, monkeypatch, sent, least, buckets):
+    """Unless the base's files are small, or its rows lie in other buckets than they should."""
+    monkeypatch.setattr(runs, "MOST_SENT", sent)
+    monkeypatch.setattr(runs, "LEAST_KEPT", least)
+    name = f"folded_{sent}_{least}_{buckets}"
+    table = run_table(folder, name, Buckets(3, "polExternalID"))
+    n = 100_000
+    base = spark.range(n).selectExpr(
+        "nullif(cast(id as string), '9') as polExternalID", "cast(id as int) as v",
+        "sha2(cast(id as string), 256) as insertDateTime", "cast(null as string) as changedDateTime",
+    )
+    table.create(base)
+    for day, divisor in ((1, 50), (2, 70), (3, 80)):
+        batch = base.filter(f"v % {divisor} = 0 and v <> 9").withColumn("v", -F.col("v") - day)
+        table.upsert(batch.withColumn("insertDateTime", F.lit(f"d{day}")))
+    table = run_table(folder, name, Buckets(buckets, "polExternalID"))
+    before = bag(table.content(spark))
+    if buckets == 3:
+        held = shuffled_bytes(spark)
+        table._folded(spark, table.numbers(spark)).write.format("noop").mode("overwrite").save()
+        # The base's hashes alone take more than that.
+        assert (shuffled_bytes(spark) - held < 5_000_000) == (least == 0)
+    assert bag(table.compact(spark)) == before and table.numbers(spark) == []
+    rows = scan_table(spark, table.table, table.database).filter("polExternalID is not null")
+    placed = table.buckets.assign(rows.withColumnRenamed(BUCKET, "was"))
+    assert placed.filter(F.col(BUCKET) != F.col("was")).isEmpty() and rows.count() == n - 1
