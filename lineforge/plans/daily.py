@@ -15,19 +15,21 @@ from lineforge.operators.unions import union_pages
 from lineforge.operators.upsert import latest_lines, repeated_keys, upsert
 from lineforge.plans import delivery, gold, quality, silver, upkeep
 from lineforge.plans.columns import BRONZE_COLUMNS, KEY, LINE_SCHEMA
-from lineforge.session import run_dir
+from lineforge.session import constant_rows, run_dir, setting
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import (
+    DAMAGED,
     DAY_DIRECTORY,
     FAULT,
     HARMLESS,
     STATUS_DIRECTORY,
     bad_pages,
     chain_faults,
-    cut_pages,
+    cut_sound_pages,
     page_counts,
     page_lines,
     read_pages,
+    with_whole_lines,
 )
 from lineforge.sources.runs import MOST_SENT, RunTable
 from lineforge.sources.seeds import load_seed
@@ -44,6 +46,7 @@ from lineforge.sources.zones import ZONE_URI, land_raw, stage_table, zone_path
 
 # The bronze key as it came, kept beside silver and fact rows: trimmed, two keys may be one.
 LINE_KEY = "line_key"
+PAGES_READ = 64  # of some 100 kB each; by default Spark reads 4096 rows at once
 CARRIER_COUNTS, CENTER_SUMS, BUILT_FROM = "carrier_counts", "center_sums", "built_from"
 BRONZE_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in BRONZE_COLUMNS])
 PREDICTION_SCHEMA = T.StructType(
@@ -146,9 +149,24 @@ class DamagedPages(ValueError):
     """Too many of a run's pages are damaged."""
 
 
+def few_pages(spark: SparkSession):
+    """Written pages are read ``PAGES_READ`` at a time within the block; each holds all its lines' texts."""
+    return setting(spark, "spark.sql.parquet.columnarReaderBatchSize", str(PAGES_READ))
+
+
 def fetch(spark: SparkSession, lake: Lake, as_of: str) -> DataFrame:
-    """The pages of the fetch windows cut into lines and written, so that they are parsed once."""
-    return write_parquet(cut_pages(read_pages(spark, lake.pages, run_day(as_of))), run_dir(spark, "pages"))
+    """The pages of the fetch windows cut into lines and written, so that they are parsed once.
+
+    Damaged pages alone, if there are any, pass the function that finds their whole lines: its
+    Python workers take memory beside the executors' for as long as the job runs.
+    """
+    cut = write_parquet(cut_sound_pages(read_pages(spark, lake.pages, run_day(as_of))), run_dir(spark, "pages"))
+    damaged = cut.filter(DAMAGED)
+    if damaged.isEmpty():
+        return cut
+    with few_pages(spark):
+        recovered = write_parquet(with_whole_lines(damaged), run_dir(spark, "damaged"))
+    return cut.filter(~F.col(DAMAGED)).unionByName(recovered)
 
 
 def unreadable(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None = None) -> DataFrame:
@@ -196,7 +214,8 @@ def _batch(spark: SparkSession, lake: Lake, as_of: str, pages: DataFrame | None)
         require_whole_chains(incomplete(spark, lake, as_of, pages))
     stamped = stamp_provenance(page_lines(pages, LINE_SCHEMA), F.col(STATUS_DIRECTORY), as_of)
     fetched = void_to_string(stamped.drop(STATUS_DIRECTORY, DAY_DIRECTORY))
-    land_raw(fetched, lake.account, lake.entity, day, lake.uri)
+    with few_pages(spark):
+        land_raw(fetched, lake.account, lake.entity, day, lake.uri)
     staged = stage_table(
         spark, lake.account, lake.entity, day, "parts_tmp", lake.bronze, lake.uri
     )
@@ -333,7 +352,8 @@ def score(
     table = "deliveryprediction"
     path = lake.path(lake.gold, table)
     if not table_exists(spark, table, lake.gold):
-        nothing = delivery.with_day(spark.createDataFrame([], PREDICTION_SCHEMA))
+        nulls = (F.lit(None).cast(f.dataType).alias(f.name) for f in PREDICTION_SCHEMA)
+        nothing = delivery.with_day(spark.range(0).select(*nulls))
         lake.store(nothing, table, lake.gold, partition=delivery.SCORED_DAY)
     scored = scan_table(spark, table, lake.gold)
     fact = lake.fact(spark)
@@ -369,7 +389,7 @@ def run(
     tables |= build(spark, lake, changes if current else None)
     tables["checks"] = first if first is not None else check(spark, lake, as_of)
     tables["gold.deliveryprediction"] = score(spark, lake, model, as_of, bootstrap)
-    now = spark.createDataFrame([(lake.snapshot.version(spark),)], "version string")
+    now = constant_rows(spark, [(lake.snapshot.version(spark),)], "version")
     lake.store(now, BUILT_FROM, lake.gold)
     return tables
 

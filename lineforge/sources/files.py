@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lineforge.session import dropping_shuffles
+from lineforge.session import writing
 
 
 def _given(path: str) -> str:
@@ -25,7 +25,7 @@ def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
 
 def write_parquet(df: DataFrame, path: str, compression: str = "zstd") -> DataFrame:
     """Overwrite a directory; returns its content as read back."""
-    with dropping_shuffles(df.sparkSession):
+    with writing(df.sparkSession):
         df.write.mode("overwrite").parquet(_given(path), compression=compression)
     return df.sparkSession.read.parquet(path)
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from lineforge.operators.columns import flatten_structs
 from lineforge.operators.increments import DAYS_BACK, within_windows
+from lineforge.session import writing
 
 LINES = "partOrderLines"
 CURSOR = "lastRecordID"
@@ -118,6 +119,17 @@ def cut_pages(pages: DataFrame) -> DataFrame:
     Of a damaged page the whole lines are taken, see ``whole_lines``, and its text is kept.
     What follows may read this frame, once written, in place of the pages.
     """
+    return with_whole_lines(cut_sound_pages(pages))
+
+
+def with_whole_lines(cut: DataFrame) -> DataFrame:
+    """What ``cut_sound_pages`` made, with the whole lines of damaged pages."""
+    damaged = F.when(F.col(DAMAGED), F.col(PAGE_TEXT))
+    return cut.withColumn(TEXTS, F.when(F.col(DAMAGED), whole_lines(damaged)).otherwise(F.col(TEXTS)))
+
+
+def cut_sound_pages(pages: DataFrame) -> DataFrame:
+    """The same, but ``texts`` of damaged pages are null; no Python runs for it."""
     outer = f"{ASKED} string, {CURSOR} string, {LINES} array<string>, {BAD_PAGE} string"
     page = F.from_json(PAGE_TEXT, outer, {"columnNameOfCorruptRecord": BAD_PAGE})
     sound = F.col("__page").isNotNull() & F.col(f"__page.{BAD_PAGE}").isNull()
@@ -128,9 +140,7 @@ def cut_pages(pages: DataFrame) -> DataFrame:
         DAMAGED,
         F.when(F.col(DAMAGED), F.col(PAGE_TEXT)).alias(PAGE_TEXT),
         *(F.when(F.col(DAMAGED), _legible(c)).otherwise(F.col(f"__page.{c}")).alias(c) for c in (ASKED, CURSOR)),
-        F.when(F.col(DAMAGED), whole_lines(F.when(F.col(DAMAGED), F.col(PAGE_TEXT))))
-        .otherwise(F.col(f"__page.{LINES}"))
-        .alias(TEXTS),
+        F.when(~F.col(DAMAGED), F.col(f"__page.{LINES}")).alias(TEXTS),
     )
 
 
@@ -280,9 +290,10 @@ def write_pages(lines: DataFrame, path: str, page: str, linked: bool = False) ->
         pages = pages.withColumns({ASKED: before, CURSOR: cursor})
     else:
         pages = pages.withColumn(CURSOR, cursor)
-    (
-        pages.drop(page)
-        .write.partitionBy(STATUS_DIRECTORY, DAY_DIRECTORY)
-        .mode("overwrite")
-        .json(path, compression="gzip")
-    )
+    with writing(lines.sparkSession):
+        (
+            pages.drop(page)
+            .write.partitionBy(STATUS_DIRECTORY, DAY_DIRECTORY)
+            .mode("overwrite")
+            .json(path, compression="gzip")
+        )

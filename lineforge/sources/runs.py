@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from lineforge.operators.columns import quoted
 from lineforge.operators.upsert import CHANGED_AT, INSERTED_AT, unique_or_error
-from lineforge.session import dropping_shuffles, run_dir
+from lineforge.session import run_dir, writing
 from lineforge.sources.files import write_parquet
 from lineforge.sources.tables import (
     BUCKET,
@@ -68,8 +68,7 @@ class RunTable:
         return self.content(spark)
 
     def _clear_runs(self, spark: SparkSession) -> None:
-        columns = self.base(spark).schema
-        nothing = spark.createDataFrame([], columns).withColumn(RUN, F.lit(0))
+        nothing = self.base(spark).filter("false").withColumn(RUN, F.lit(0))
         overwrite_table(
             nothing, f"{self.path.rstrip('/')}_runs", self.runs_table, self.database,
             database_location=self.location, partition=RUN,
@@ -182,7 +181,7 @@ class RunTable:
         # The table's own write decides whether it can hold them.
         number = self._next_run(spark)
         name = f"`{self.database}`.`{self.runs_table}`"
-        with dropping_shuffles(spark):
+        with writing(spark):
             rows.withColumn(RUN, F.lit(number)).write.insertInto(name)
         spark.catalog.refreshTable(name)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lineforge.session import constant_rows
 from lineforge.sources.tables import overwrite_table
 
 SEED_SCHEMA = "sequence string, status string"
@@ -22,7 +23,7 @@ STATUSES = [
 
 def write_status_seed(spark: SparkSession, path: str) -> str:
     """Put the status lookup as a CSV file where all executors can read it."""
-    rows = spark.createDataFrame(STATUSES, SEED_SCHEMA).coalesce(1)
+    rows = constant_rows(spark, STATUSES, "sequence", "status")
     rows.write.mode("overwrite").option("header", True).csv(path)
     return path
 

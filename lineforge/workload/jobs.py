@@ -12,6 +12,7 @@ from lineforge.plans import daily
 from lineforge.plans.columns import ADDED_COLUMNS, SOURCE_COLUMNS
 from lineforge.plans.quality import PARTS_CHECKS, STATUS_CHECKS
 from lineforge.session import run_dir
+from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import write_pages
 from lineforge.sources.seeds import write_status_seed
 from lineforge.workload.bronze import SPARK, bronze, bronze_sql, by_bucket, dealt_width, rules
@@ -144,7 +145,7 @@ def value_sum(df: DataFrame, columns: tuple[str, ...]) -> Column:
 def daily_run_end_to_end(spark: SparkSession, lake: daily.Lake) -> DataFrame:
     """Rows of every table after one run of the daily job, and a sum over their values."""
     tables = daily.run(spark, lake, WEIGHTS, AS_OF, bootstrap=True)
-    return union_pages(
+    sums = union_pages(
         [
             df.agg(F.count("*").alias("n_rows"), value_sum(df, SUMMED.get(name, ())).alias("value_sum")).select(
                 F.lit(name).alias("table_name"), "n_rows", "value_sum"
@@ -152,3 +153,5 @@ def daily_run_end_to_end(spark: SparkSession, lake: daily.Lake) -> DataFrame:
             for name, df in tables.items()
         ]
     )
+    # A row for each table, summed under the settings for wide rows.
+    return write_parquet(sums, run_dir(spark, "sums"))

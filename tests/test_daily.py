@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, functions as F
 from conftest import bag, plan
 from lineforge.plans import daily, gold, quality, silver, upkeep
 from lineforge.plans.columns import BRONZE_COLUMNS
+from lineforge.sources import pages
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import write_pages
 from lineforge.sources.seeds import write_status_seed
 from lineforge.sources.tables import BUCKET, buckets_in, scan_table
+from lineforge.sources.zones import land_raw
+from lineforge.workload.jobs import AS_OF, prepare_lake
 from lineforge.workload.sql import WEIGHTS
 
 
@@ -213,3 +216,34 @@ def test_a_changed_lookup_builds_the_fact_anew(spark, folder):
     write_pages(lines(spark, [3], "Closed", "2024-01-11"), where.pages, "page")
     tables = daily.run(spark, where, WEIGHTS, "2024-01-11 01:20:32")
     assert bag(tables["gold.factparts"], "status_code") == [(9,)] * 4
+
+
+def test_a_day_of_sound_pages_runs_no_python(spark, small, monkeypatch):
+    """Workers would stay on the executors, beside their heaps."""
+
+    def refuse(*_, **__):
+        raise AssertionError("rows pass Python")
+
+    monkeypatch.setattr(pages, "whole_lines", refuse)
+    monkeypatch.setattr(type(spark), "createDataFrame", refuse)
+    where = prepare_lake(spark, small)
+    assert daily.run(spark, where, WEIGHTS, AS_OF, bootstrap=True)["raw.unreadable"].count() == 0
+
+
+def test_pages_are_read_few_at_a_time(spark, folder, monkeypatch):
+    seen = []
+
+    def landed(df, *rest):
+        seen.append(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize"))
+        return land_raw(df, *rest)
+
+    monkeypatch.setattr(daily, "land_raw", landed)
+    where = lake(spark, folder, "few", bad_pages=0.5)
+    write_pages(lines(spark, range(3), "Open", "2024-01-10"), where.pages, "page")
+    Path(where.pages, "orderStatus=Open/fromDate=2024-01-10/bad.json").write_text(
+        '{"partOrderLines":[{"polExternalID":"9"},{"polExternalID":"1'
+    )
+    tables = daily.run(spark, where, WEIGHTS, "2024-01-10 01:20:32")
+    assert seen == [str(daily.PAGES_READ)] and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+    assert bag(tables["bronze.parts"], "polExternalID") == [("0",), ("1",), ("2",), ("9",)]
+    assert bag(tables["raw.unreadable"], "legible_lines") == [(1,)]

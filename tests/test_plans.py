@@ -11,6 +11,7 @@ from conftest import bag, plan
 from lineforge.plans.columns import LINE_SCHEMA
 from lineforge.plans.delivery import features
 from lineforge.plans.gold import fact_emergency_order
+from lineforge.session import MAX_FIELDS, SHUFFLE_CLEANUP, writing
 from lineforge.sources.files import write_parquet
 from lineforge.sources.pages import page_lines, read_pages
 from lineforge.sources.runs import RunTable
@@ -142,3 +143,13 @@ def test_report_is_one_pass_plus_unique(spark, small):
     assert plan(QUERIES["dq_report"](spark, small)).count("FileScan") == 2
 
 
+
+
+def test_wide_rows_are_written_without_one_method_for_a_stage(spark):
+    """Such methods are large, and so is what compiling them takes beside an executor's heap."""
+    narrow = spark.range(9).selectExpr("id", "id + 1 as a").filter("a > 3")
+    wide = spark.range(9).selectExpr(*(f"cast(id + {i} as string) as c{i}" for i in range(48))).filter("c7 > '3'")
+    with writing(spark):
+        assert re.search(r"\*\(\d\) Project", plan(narrow)) and not re.search(r"\*\(\d\) Project", plan(wide))
+    assert re.search(r"\*\(\d\) Project", plan(wide.select("*")))
+    assert spark.conf.get(MAX_FIELDS) == "100" and spark.conf.get(SHUFFLE_CLEANUP) == "false"
